@@ -7,9 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .exact_topk import exact_topk
 from .jaccard_join import jaccard_components
+from .mixing import mixture
+from .packing import pack_documents
 from .quality_rules import quality_cascade
+from .ring_sharding import shard_documents
 from .sql import ORACLES
+from .tool_calls import TOOLS, derived_calls, link_tool_calls
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(read_table(spark, sf_dir, "documents"))
+
+
+def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(read_table(spark, sf_dir, "embeddings"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results, refs = derived_calls(read_table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, refs, TOOLS)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +42,15 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+ALL = (op1_mixing, op3_ring_sharding, op4_exact_topk, op6_chat_formatting, op7_quality_rules, op8_ngram_jaccard_join, op9_packing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules, op8_ngram_jaccard_join)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
