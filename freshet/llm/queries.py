@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .exact_topk import exact_topk
 from .jaccard_join import jaccard_components
+from .language_id import identify_language
 from .mixing import mixture
 from .packing import pack_documents
+from .quality_classifier import quality_scores
 from .quality_rules import quality_cascade
 from .ring_sharding import shard_documents
 from .sql import ORACLES
@@ -21,6 +23,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(read_table(spark, sf_dir, "documents"))
+
+
 def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -46,7 +52,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_mixing, op3_ring_sharding, op4_exact_topk, op6_chat_formatting, op7_quality_rules, op8_ngram_jaccard_join, op9_packing)
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+ALL = (op1_mixing, op2_language_id, op3_ring_sharding, op4_exact_topk, op6_chat_formatting, op7_quality_rules, op8_ngram_jaccard_join, op9_packing, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
