@@ -16,6 +16,7 @@ from .quality_classifier import quality_scores
 from .quality_rules import quality_cascade
 from .ring_sharding import shard_documents
 from .sql import ORACLES
+from .suffix_dedup import dedup_report
 from .tool_calls import TOOLS, derived_calls, link_tool_calls
 
 
@@ -35,6 +36,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results, refs = derived_calls(read_table(spark, sf_dir, "conversations"))
     return link_tool_calls(calls, results, refs, TOOLS)
@@ -56,7 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-ALL = (op1_mixing, op2_language_id, op3_ring_sharding, op4_exact_topk, op6_chat_formatting, op7_quality_rules, op8_ngram_jaccard_join, op9_packing, op10_quality_classifier)
+ALL = (op1_mixing, op2_language_id, op3_ring_sharding, op4_exact_topk, op5_suffix_array_dedup, op6_chat_formatting, op7_quality_rules, op8_ngram_jaccard_join, op9_packing, op10_quality_classifier)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
