@@ -446,6 +446,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes out of their texts and n_chars set anew; other columns stay. Rows whose text goes whole go."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -457,7 +458,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     texts.append(kept.decode("utf-8", "ignore"))
                 else:
                     texts.append(text.as_py())
-            cols = {c: batch.column(c) for c in docs.columns} | {"text": pa.array(texts, pa.string())}
+            cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_pydict(cols).filter(pa.array(stay))
