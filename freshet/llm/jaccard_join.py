@@ -17,7 +17,7 @@ reach; a null doc_id has none. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,12 @@ PERCENT = 80
 #: At most so many of the commonest shingles have their counts sent to every task; the rest count as equally rare.
 HEAVY = 400_000
 #: Lists up to this long have all their pairs checked at once.
-SHORT = 64
+SHORT = 16
 #: In longer lists a set is checked against so many predecessors.
-NEAR = 8
+NEAR = 4
+#: Before sets of different groups are checked, their sketches are: counts of their shingles in so many hash ranges. The
+#: common shingles are at most the sum of the lesser counts.
+RANGES = 256
 _KEY_BITS, _BUCKET_BITS = 40, 8
 
 
@@ -183,7 +186,7 @@ def _runs(batches: Iterator[pa.RecordBatch], most: float = 500_000) -> Iterator[
     """Sorted rows in blocks that end with a whole token's list. A list longer than a block comes in parts (True)."""
     held: list[np.ndarray] = []
     for batch in batches:
-        part = [c.to_numpy() for c in batch.columns]
+        part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         cols = [np.concatenate(x) for x in zip(held, part, strict=True)] if held else part
         if not len(cols[0]):
             continue
@@ -223,10 +226,13 @@ def candidates(lists: DataFrame) -> DataFrame:
                 at = np.flatnonzero(long)
                 step = np.floor(np.log(np.maximum(n, 1)) * 10).astype(np.int64)
                 lead = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (step[1:] != step[:-1])])
-                which = np.searchsorted(lead, at, "right") - 1
+                # A leader is the set of least id, so that lists of the same sets mostly agree on it.
+                by_id = np.lexsort((key, np.repeat(np.arange(len(lead)), np.diff(np.r_[lead, len(token)]))))
+                which, lead = np.searchsorted(lead, at, "right") - 1, by_id[lead]
                 for back in (0, 1):
                     to = lead[np.maximum(which - back, 0)]
-                    ok = (token[to] == token[at]) & (to != at) & _linkable(n[to], pos[to], n[at], pos[at])
+                    x, y = np.minimum(to, at), np.maximum(to, at)
+                    ok = (token[to] == token[at]) & (to != at) & _linkable(n[x], pos[x], n[y], pos[y])
                     pairs.append((key[to[ok]], key[at[ok]]))
             if pairs:
                 a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
@@ -241,12 +247,15 @@ def candidates(lists: DataFrame) -> DataFrame:
 
 
 def cross_group_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different groups from long lists (token, a, n, pos, grp); what size or position rules out is skipped."""
+    """Pairs (a, b) of different groups from long lists (token, a, n, pos, grp, sketch); what size, position or sketches rule
+    out is skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, key, n, pos, grp), _ in _runs(batches, np.inf):
+        seen: set[tuple[int, int]] = set()
+        for (token, key, n, pos, grp, sketch), _ in _runs(batches, np.inf):
             for at in np.split(np.arange(len(token)), np.flatnonzero(token[1:] != token[:-1]) + 1):
                 k, m, p, g = key[at], n[at].astype(np.int64), pos[at].astype(np.int64), grp[at]
+                counts = np.stack([np.frombuffer(x, np.uint16) for x in sketch[at]])
                 names, size = np.unique(g, return_counts=True)
                 for x in np.flatnonzero(g != names[size.argmax()]):
                     lo, hi = np.searchsorted(m, -((-PERCENT * int(m[x])) // 100)), np.searchsorted(m, 100 * int(m[x]) // PERCENT, "right")
@@ -255,16 +264,21 @@ def cross_group_pairs(entries: DataFrame) -> DataFrame:
                     small = (m[y] < m[x]) | ((m[y] == m[x]) & (y < x))
                     s, t = np.where(small, y, x), np.where(small, x, y)
                     y = y[_linkable(m[s], p[s], m[t], p[t])]
-                    if len(y):
-                        yield pa.RecordBatch.from_pydict({"a": np.minimum(k[y], k[x]), "b": np.maximum(k[y], k[x])})
+                    y = y[np.minimum(counts[y], counts[x]).sum(1, dtype=np.int64) >= need(m[y], m[x])]
+                    new = [ab for ab in zip(np.minimum(k[y], k[x]).tolist(), np.maximum(k[y], k[x]).tolist(), strict=True) if ab not in seen]
+                    if new:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.update(new)
+                        yield pa.RecordBatch.from_pydict({"a": [a for a, _ in new], "b": [b for _, b in new]})
 
     spread = entries.repartition("token").sortWithinPartitions("token", "n", "a")
     return spread.mapInArrow(run, "a long, b long")
 
 
-def _filter_bits(pairs: DataFrame, bits: int = 26) -> np.ndarray:
-    """A bit map (8 MB) over the first bits of the sets' ids: a task sends only sets that some pair names, and few others."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.shiftrightunsigned("id", 64 - bits).alias("v"))
+def _filter_bits(ids: DataFrame, bits: int = 26) -> np.ndarray:
+    """A bit map (8 MB) over the first bits of the sets' ids (id): a task sends only sets that are asked for, and few others."""
+    ids = ids.select(F.shiftrightunsigned("id", 64 - bits).alias("v"))
     maps = ids.groupBy(F.bitmap_bucket_number(F.col("v") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("v") + 1)).alias("map"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for row in maps.toLocalIterator():
@@ -272,24 +286,42 @@ def _filter_bits(pairs: DataFrame, bits: int = 26) -> np.ndarray:
     return out
 
 
-def checked(docs: DataFrame, pairs: DataFrame, bits: int = 26) -> DataFrame:
-    """(a, b) of the pairs that link, by the sets' full content (48 bits a shingle)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(pairs, bits))
+def contents(docs: DataFrame, ids: DataFrame, encode: Callable[[np.ndarray], bytes], bits: int = 26) -> DataFrame:
+    """(id, content) of the sets asked for, and of few others, each once; ``encode`` gives a sorted set's content."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(ids, bits))
 
-    def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
-        ids, blobs, held = [], [], 0
+        keys, blobs, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"id": signed(np.array(keys, np.uint64)), "content": pa.array(blobs, pa.binary())})
+
         for key, s in _new_sets(batches):
             v = int(key) >> (64 - bits)
             if wanted[v >> 3] >> (v & 7) & 1:
-                ids.append(key)
-                blobs.append(s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
+                keys.append(key)
+                blobs.append(encode(s))
                 held += len(blobs[-1])
                 if held > 4_000_000:
-                    yield pa.RecordBatch.from_pydict({"id": signed(np.array(ids, np.uint64)), "content": pa.array(blobs, pa.binary())})
-                    ids, blobs, held = [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_pydict({"id": signed(np.array(ids, np.uint64)), "content": pa.array(blobs, pa.binary())})
+                    yield flush()
+                    keys, blobs, held = [], [], 0
+        if keys:
+            yield flush()
+
+    return text_of(docs).select("text").mapInArrow(run, "id long, content binary").groupBy("id").agg(F.first("content").alias("content"))
+
+
+def six_bytes(s: np.ndarray) -> bytes:
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def range_counts(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES), 65535).astype(np.uint16).tobytes()
+
+
+def checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that link, by the sets' full content (48 bits a shingle)."""
 
     def full(blob) -> np.ndarray:
         x = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, 6)
@@ -306,8 +338,7 @@ def checked(docs: DataFrame, pairs: DataFrame, bits: int = 26) -> DataFrame:
                 ok[i] = 100 * (common := int((both[1:] == both[:-1]).sum())) >= PERCENT * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(pa.array(ok)), "b": batch.column(1).filter(pa.array(ok))})
 
-    sets = text_of(docs).select("text").mapInArrow(content, "id long, content binary")
-    once = sets.groupBy("id").agg(F.first("content").alias("content"))
+    once = contents(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), six_bytes)
     left = pairs.join(once.withColumnsRenamed({"id": "a", "content": "content_a"}), "a")
     both = left.join(once.withColumnsRenamed({"id": "b", "content": "content_b"}), "b").select("a", "b", "content_a", "content_b")
     return both.mapInArrow(compare, "a long, b long")
@@ -324,9 +355,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lists = found.where("token is not null").select("token", "a", "n", "pos").join(group, "a", "left").withColumn("grp", F.coalesce("grp", "a"))
     mixed = lists.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
     entries = durable(lists.join(mixed, "token", "left_semi").select("token", "a", "n", "pos", "grp"), "entries")
-    more = durable(cross_group_pairs(entries).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    sketches = contents(docs, entries.select(F.col("a").alias("id")), range_counts).withColumnsRenamed({"id": "a", "content": "sketch"})
+    sketched = entries.join(sketches, "a").select("token", "a", "n", "pos", "grp", "sketch")
+    more = durable(cross_group_pairs(sketched).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
-        links = links.union(checked(docs, more))
+        links = links.union(durable(checked(docs, more), "links"))
         group = components(links).withColumnsRenamed({"node": "a", "component": "grp"})
     # A group's name is the smallest doc_id of its sets' rows.
     named = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
