@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite
 
-BY_TIME = Window.partitionBy("series_id").orderBy("ts")
-WHOLE = Window.partitionBy("series_id")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("ts")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("series_id")
 
 
 def aligned(rows: DataFrame, order: str = "row_no") -> DataFrame:
@@ -61,11 +66,11 @@ def paired(series: DataFrame, policy: str = "pairwise") -> DataFrame:
     if policy == "zero":
         x = x.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("obs", "sim")})
     elif policy == "mean":
-        x = x.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(WHOLE), F.lit(0.0)) for c in ("obs", "sim")})
+        x = x.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(whole()), F.lit(0.0)) for c in ("obs", "sim")})
     elif policy != "pairwise":
         raise ValueError(f"no such policy: {policy}")
     x = x.where("obs is not null and sim is not null")
-    return x.select("series_id", (F.row_number().over(BY_TIME) - 1).alias("k"), "ts", "obs", "sim")
+    return x.select("series_id", (F.row_number().over(by_time()) - 1).alias("k"), "ts", "obs", "sim")
 
 
 def long_runs(wide: DataFrame, runs: list[str], keys: tuple[str, ...] = ("ts", "obs")) -> DataFrame:
@@ -97,7 +102,7 @@ def step(series: DataFrame) -> DataFrame:
     """The time step: step_ms, irregular, monthly. Monthly if over 90 % of gaps have 28 to 31 days; else the most frequent gap,
     the smallest of several, irregular if over 5 % are no multiples of it or over half differ. A lone row counts as daily."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    gaps = series.select("series_id", (ms - F.lag(ms).over(BY_TIME)).alias("gap"))
+    gaps = series.select("series_id", (ms - F.lag(ms).over(by_time())).alias("gap"))
     day = 86_400_000
     count = gaps.where("gap is not null").groupBy("series_id", "gap").agg(F.count("*").alias("c"))
     best = count.groupBy("series_id").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("gap").between(28 * day, 31 * day), F.col("c")).otherwise(0)).alias("months"), F.max(F.struct("c", (-F.col("gap")).alias("less"))).alias("top"))
@@ -134,27 +139,27 @@ def checks(series: DataFrame) -> DataFrame:
 
 def moving_average(series: DataFrame, n: int, c: str = "obs") -> DataFrame:
     """Mean of the values there are among the last n rows."""
-    return series.withColumn("y", F.avg(c).over(BY_TIME.rowsBetween(-(n - 1), 0)))
+    return series.withColumn("y", F.avg(c).over(by_time().rowsBetween(-(n - 1), 0)))
 
 
 def derivative(series: DataFrame, c: str = "obs") -> DataFrame:
-    return series.withColumn("y", F.col(c) - F.lag(c).over(BY_TIME))
+    return series.withColumn("y", F.col(c) - F.lag(c).over(by_time()))
 
 
 def cumulative(series: DataFrame, c: str = "obs") -> DataFrame:
-    return series.withColumn("y", F.when(F.col(c).isNotNull(), F.sum(c).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))))
+    return series.withColumn("y", F.when(F.col(c).isNotNull(), F.sum(c).over(by_time().rowsBetween(Window.unboundedPreceding, 0))))
 
 
 def from_mean(series: DataFrame, n: int = 1, c: str = "obs") -> DataFrame:
     x = moving_average(series, n, c)
-    return x.withColumn("y", F.col("y") - F.avg("y").over(WHOLE))
+    return x.withColumn("y", F.col("y") - F.avg("y").over(whole()))
 
 
 def exceedance(series: DataFrame, c: str = "obs") -> DataFrame:
     """The flow-duration curve by Weibull's plotting positions, 100 i / (n + 1)."""
     x = series.where(F.col(c).isNotNull())
-    i = F.row_number().over(WHOLE.orderBy(F.desc(c)))
-    return x.select("series_id", i.alias("i"), F.col(c).alias("q"), (100.0 * i / (F.count("*").over(WHOLE) + 1)).alias("p"))
+    i = F.row_number().over(whole().orderBy(F.desc(c)))
+    return x.select("series_id", i.alias("i"), F.col(c).alias("q"), (100.0 * i / (F.count("*").over(whole()) + 1)).alias("p"))
 
 
 def quantile_pairs(series: DataFrame) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, over, pearson, simpson_weight
 from ..plans.config import TimingConfig
 from .classical import flow_duration
 
-W = Window.partitionBy("series_id").orderBy("k")
-WHOLE = Window.partitionBy("series_id")
+
+def by_place() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("k")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("series_id")
 
 
 def thresholds(pairs: DataFrame, cfg: TimingConfig) -> DataFrame:
@@ -23,7 +28,7 @@ def events(pairs: DataFrame, threshold: DataFrame, cfg: TimingConfig, c: str = "
     """(series_id, event_no, start_k, end_k, peak_k, peak_q): runs above the threshold; runs closer than min_distance are one, and
     its peak is the higher one, the first of equals."""
     x = pairs.join(threshold, "series_id").where((F.col(c) > F.col("threshold")) & (F.col("k") >= cfg.warmup)).select("series_id", "k", F.col(c).alias("q"))
-    x = x.withColumn("run", F.sum((F.coalesce(F.col("k") - F.lag("k").over(W), F.lit(2)) > 1).cast("int")).over(W))
+    x = x.withColumn("run", F.sum((F.coalesce(F.col("k") - F.lag("k").over(by_place()), F.lit(2)) > 1).cast("int")).over(by_place()))
     top = F.max(F.struct("q", (-F.col("k")).alias("less"))).alias("top")
     runs = x.groupBy("series_id", "run").agg(F.min("k").alias("start_k"), F.max("k").alias("end_k"), top)
     by = Window.partitionBy("series_id").orderBy("start_k")
@@ -78,26 +83,26 @@ def best_lag(sweep: DataFrame) -> DataFrame:
 
 
 def _masses(pairs: DataFrame) -> DataFrame:
-    ok = F.min(F.least("obs", "sim")).over(WHOLE) >= 0
-    p = lambda c: F.when(ok & (F.sum(c).over(WHOLE) > 0), F.col(c) / F.sum(c).over(WHOLE))
+    ok = F.min(F.least("obs", "sim")).over(whole()) >= 0
+    p = lambda c: F.when(ok & (F.sum(c).over(whole()) > 0), F.col(c) / F.sum(c).over(whole()))
     return pairs.select("series_id", "k", p("obs").alias("po"), p("sim").alias("ps"))
 
 
 def wasserstein1(pairs: DataFrame) -> DataFrame:
-    run = W.rowsBetween(Window.unboundedPreceding, 0)
-    x = _masses(pairs).withColumn("gap", F.abs(F.sum("po").over(run) - F.sum("ps").over(run))).withColumn("last", F.max("k").over(WHOLE))
+    run = by_place().rowsBetween(Window.unboundedPreceding, 0)
+    x = _masses(pairs).withColumn("gap", F.abs(F.sum("po").over(run) - F.sum("ps").over(run))).withColumn("last", F.max("k").over(whole()))
     return x.groupBy("series_id").agg(F.sum(F.when(F.col("k") < F.col("last"), F.col("gap")).otherwise(F.col("gap") * 0)).alias("w1"))
 
 
 def wasserstein2sq(pairs: DataFrame) -> DataFrame:
     """The integral of the squared gap of both inverse distribution functions: both sets of breakpoints in one order, and between
     two breakpoints the first position of either side whose sum reaches the later one."""
-    run = W.rowsBetween(Window.unboundedPreceding, 0)
+    run = by_place().rowsBetween(Window.unboundedPreceding, 0)
     c = _masses(pairs).select("series_id", "k", F.sum("po").over(run).alias("fo"), F.sum("ps").over(run).alias("fs"))
     u = c.select("series_id", F.col("fo").alias("u"), F.col("k").alias("ko"), F.lit(None).cast("int").alias("ks")).unionByName(c.select("series_id", F.col("fs").alias("u"), F.lit(None).cast("int").alias("ko"), F.col("k").alias("ks")))
     order = Window.partitionBy("series_id").orderBy("u", F.coalesce("ko", "ks"))
     ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    last = F.max(F.coalesce("ko", "ks")).over(WHOLE)
+    last = F.max(F.coalesce("ko", "ks")).over(whole())
     x = u.withColumn("du", F.least(F.col("u"), F.lit(1.0)) - F.least(F.coalesce(F.lag("u").over(order), F.lit(0.0)), F.lit(1.0)))
     x = x.withColumn("gap", F.coalesce(F.first("ko", True).over(ahead), last) - F.coalesce(F.first("ks", True).over(ahead), last))
     return x.groupBy("series_id").agg(F.sum(F.col("du") * F.col("gap") * F.col("gap")).alias("w2sq"))
@@ -111,7 +116,7 @@ def diagnostic_efficiency(pairs: DataFrame) -> DataFrame:
     """de, de_const, de_dyn, phi, phi_fdc and non_perennial from the flow-duration curves' relative bias."""
     b = F.when(F.col("s") == F.col("o"), 0.0).otherwise(F.try_divide(F.col("s") - F.col("o"), F.col("o")))
     x = flow_duration(pairs).withColumn("b", b).where("b is not null")
-    x = x.withColumn("j", F.row_number().over(Window.partitionBy("series_id").orderBy("i")) - 1).withColumns({"n": F.count("*").over(WHOLE), "mean": F.avg("b").over(WHOLE)})
+    x = x.withColumn("j", F.row_number().over(Window.partitionBy("series_id").orderBy("i")) - 1).withColumns({"n": F.count("*").over(whole()), "mean": F.avg("b").over(whole())})
     res, n, j = F.col("b") - F.col("mean"), F.col("n"), F.col("j")
     mid = F.floor(n / 2)
     low, m2 = j - mid, n - mid
@@ -133,7 +138,7 @@ def diagnostic_efficiency(pairs: DataFrame) -> DataFrame:
 
 def ar1(series: DataFrame, c: str = "obs") -> DataFrame:
     """Lag-1 autocorrelation between 0 and 0.999."""
-    x = series.withColumn("m", F.avg(c).over(WHOLE)).withColumn("before", F.lag(c).over(W))
+    x = series.withColumn("m", F.avg(c).over(whole())).withColumn("before", F.lag(c).over(by_place()))
     a = F.col(c) - F.col("m")
     g = x.groupBy("series_id").agg(F.sum(a * (F.col("before") - F.col("m"))).alias("num"), F.sum(a * a).alias("den"))
     return g.select("series_id", F.greatest(F.lit(0.0), F.least(F.lit(0.999), over(F.col("num"), F.col("den")))).alias("ar1"))
@@ -141,7 +146,7 @@ def ar1(series: DataFrame, c: str = "obs") -> DataFrame:
 
 def decimated(pairs: DataFrame, most: int = 6000, to: int = 4000) -> DataFrame:
     """Every d-th pair of series longer than ``most``, d = ceil(n / to), and k counted anew."""
-    x = pairs.withColumn("n", F.count("*").over(WHOLE)).withColumn("d", F.when(F.col("n") > most, F.ceil(F.col("n") / to)).otherwise(1))
+    x = pairs.withColumn("n", F.count("*").over(whole())).withColumn("d", F.when(F.col("n") > most, F.ceil(F.col("n") / to)).otherwise(1))
     x = x.where((F.col("k") % F.col("d") == 0) & (F.col("k") < F.floor(F.col("n") / F.col("d")) * F.col("d")))
     return x.select("series_id", (F.col("k") / F.col("d")).cast("int").alias("k"), "ts", "obs", "sim", F.col("d").cast("int").alias("stride"))
 
