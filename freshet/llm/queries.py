@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .exact_topk import exact_topk
@@ -21,7 +22,8 @@ from .tool_calls import TOOLS, derived_calls, link_tool_calls
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(read_table(spark, sf_dir, "documents"))
+    rows = mixture(read_table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("weight", "prob", "draw")})
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read_table(spark, sf_dir, "documents"))
+    return jaccard_components(read_table(spark, sf_dir, "documents")).drop("set_id")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

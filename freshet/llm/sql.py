@@ -28,3 +28,78 @@ FROM f
 """
 
 ORACLES = {"op7_quality_rules": _OP7}
+
+_OP4 = """
+WITH v AS (
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (SELECT q.own, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.own <> c.own)
+SELECT query_id, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) <= 20
+"""
+
+_OP8 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT rid, list_slice(w, i, i + 4) AS g FROM (SELECT rid, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, x.b FROM reach r JOIN both_ x ON x.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (rid)
+JOIN (SELECT r.a AS rid, min(e.doc_id) AS component_id FROM reach r JOIN d e ON e.rid = r.b GROUP BY r.a) m USING (rid)
+"""
+
+
+def _op1() -> str:
+    """Raking and the cap, round by round as CTEs, over cells of source, language and topic."""
+    from .mixing import CAP_ROUNDS, LANGS, ROUNDS, Target
+
+    t = Target()
+    langs = ", ".join(f"'{x}'" for x in LANGS)
+    out = f"""WITH r AS MATERIALIZED (SELECT doc_id, coalesce(source, '(none)') AS source, CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END AS lang, len({WORDS})::DOUBLE AS tokens, coalesce(text, '') AS text FROM documents),
+f AS MATERIALIZED (SELECT * EXCLUDE text, CASE WHEN contains(text, '@') OR contains(text, '://') THEN 'contact' WHEN contains(text, 'License') THEN 'licence' WHEN tokens < 100 THEN 'short' ELSE 'prose' END AS topic FROM r),
+c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS m FROM f GROUP BY ALL), tot AS (SELECT sum(m) AS total FROM c)"""
+    for name, col, power in (("s", "source", t.source_flatten), ("l", "lang", t.lang_flatten), ("t", "topic", t.topic_flatten)):
+        out += f",\n{name}w AS MATERIALIZED (SELECT {col}, pow(sum(m), {power}) / sum(pow(sum(m), {power})) OVER () AS w FROM c GROUP BY {col} HAVING sum(m) > 0)"
+    out += ",\nb0 AS (SELECT lang, 1.0::DOUBLE AS b FROM lw), c0 AS (SELECT topic, 1.0::DOUBLE AS c FROM tw)"
+    for i in range(1, ROUNDS + 1):
+        out += f""",
+a{i} AS MATERIALIZED (SELECT source, any_value(w) / sum(m * b * c) AS a FROM c JOIN sw USING (source) JOIN b{i - 1} USING (lang) JOIN c{i - 1} USING (topic) GROUP BY source),
+b{i} AS MATERIALIZED (SELECT lang, any_value(w) / sum(a * m * c) AS b FROM c JOIN lw USING (lang) JOIN a{i} USING (source) JOIN c{i - 1} USING (topic) GROUP BY lang),
+c{i} AS MATERIALIZED (SELECT topic, any_value(w) / sum(a * m * b) AS c FROM c JOIN tw USING (topic) JOIN a{i} USING (source) JOIN b{i} USING (lang) GROUP BY topic)"""
+    n = ROUNDS
+    out += f""",
+a AS MATERIALIZED (SELECT source, any_value(w) / sum(m * b * c) AS a FROM c JOIN sw USING (source) JOIN b{n} USING (lang) JOIN c{n} USING (topic) GROUP BY source),
+x AS MATERIALIZED (SELECT source, lang, topic, m, a * b * c AS f FROM c JOIN a USING (source) JOIN b{n} USING (lang) JOIN c{n} USING (topic)),
+k0 AS (SELECT {t.share} * total AS k FROM tot)"""
+    for i in range(1, CAP_ROUNDS + 1):
+        out += f",\nk{i} AS MATERIALIZED (SELECT any_value(k) * any_value({t.share} * total) / sum(m * least(1, k * f)) AS k FROM x, k{i - 1}, tot)"
+    draw = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+    return out + f"""
+SELECT doc_id, source, lang, topic, tokens, round(coalesce(k * x.f, 1), 6) AS weight, round(least(1, coalesce(k * x.f, 1)), 6) AS prob, round({draw}, 6) AS draw, {draw} < least(1, coalesce(k * x.f, 1)) AS sampled
+FROM f LEFT JOIN x USING (source, lang, topic), k{CAP_ROUNDS}"""
+
+
+ORACLES |= {"op1_mixing": _op1(), "op4_exact_topk": _OP4, "op8_ngram_jaccard_join": _OP8}
+
+_OP6 = r"""
+WITH RECURSIVE said AS (SELECT conv_id, turn, 'call_' || turn AS call_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'assistant'),
+calls AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'unknown' WHEN n % 2 = 0 THEN 'search' ELSE 'summarise' END AS name, CASE WHEN turn >= 3 THEN '"after":"call_' || (turn - 2) || '",' ELSE '' END AS after FROM said),
+answers AS (SELECT conv_id, 'call_' || (turn - 1) AS call_id, min({'t': turn, 'c': coalesce(text, '')}) AS a, count(*) AS n_results FROM conversations WHERE role = 'user' GROUP BY ALL),
+level AS (SELECT conv_id, turn, 0 AS level FROM (SELECT DISTINCT conv_id, turn FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2 AND c.turn >= 3))
+  UNION SELECT c.conv_id, c.turn, level + 1 FROM level l JOIN calls c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2 AND c.turn >= 3),
+x AS (SELECT calls.*, level.level, a, n_results, count(*) OVER (PARTITION BY calls.conv_id, calls.call_id) > 1 AS id_repeated,
+  CASE WHEN name = 'unknown' THEN 'unknown tool' WHEN name = 'search' AND n < 60 THEN 'query: missing' ELSE '' END AS errors,
+  CASE WHEN name = 'summarise' THEN '{' || after || '"text":' || to_json(text) || ',"words":' || len(regexp_extract_all(text, '\S+')) || '}' ELSE '{' || after || '"limit":' || (n % 50) || CASE WHEN n >= 60 THEN ',"query":' || to_json(substr(text, 1, 40)) ELSE '' END || '}' END AS arguments
+  FROM calls JOIN level USING (conv_id, turn) LEFT JOIN answers USING (conv_id, call_id))
+SELECT conv_id, turn, call_id, name, level, CASE WHEN n_results IS NULL THEN 'no_result' ELSE 'linked' END AS status, errors = '' AS valid, errors, coalesce(n_results, 0) AS n_results, id_repeated,
+  '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","result":' || CASE WHEN n_results IS NULL THEN '{}' ELSE '{"content":' || to_json(a.c) || ',"turn":' || a.t || '}' END || '}' AS line FROM x
+UNION ALL SELECT conv_id, a.t, call_id, NULL, NULL, 'orphan', false, 'no call', n_results, false, '{"id":"' || call_id || '","result":{"content":' || to_json(a.c) || ',"turn":' || a.t || '}}'
+FROM answers WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = answers.conv_id AND c.call_id = answers.call_id)
+"""
+
+ORACLES |= {"op6_chat_formatting": _OP6}
