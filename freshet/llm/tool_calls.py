@@ -1,8 +1,8 @@
 """Chat formatting: linking tool calls to their results, in DataFrame operations.
 
 Calls and results meet in a hash join by conversation and identifier. Calls are ordered topologically: level 0 refers to no
-other call of its conversation, level k + 1 to calls of level k at most. Each round takes away the references that
-are settled, so there are as many rounds as the longest chain has calls. Arguments are validated against the tools'
+other call of its conversation, level k + 1 to calls of level k at most. Where each call refers to one other at most, rounds
+double the distance they look; else each round takes away the references that are settled, one level a round. Arguments are validated against the tools'
 schemas. Each call becomes one line of canonical JSON: keys in order at every depth, no spaces.
 
 Defined results: a call id without a result is ``no_result``, a result without a call ``orphan``; of several results of an
@@ -39,11 +39,27 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return F.when(parsed.isNull(), F.array(F.lit("not JSON"))).when(~F.schema_of_variant(parsed).startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(out)
 
 
+def _chain_levels(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """Levels where a call refers to one other at most: each round every call looks as far again along its chain, so a chain of n
+    calls takes about log n rounds. Chains that never end, in a cycle, have no level."""
+    jump = durable(nodes.join(refs, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("ref").alias("up"), F.when(F.col("ref").isNull(), 0).otherwise(1).alias("level")), "level")
+    total, reach = jump.where("up is not null").count(), 1
+    while total and reach <= 2 * total:
+        above = jump.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        jump = durable(jump.join(above, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "level")
+        reach *= 2
+        if jump.where("up is not null").limit(1).count() == 0:
+            break
+    return jump.where("up is null").select("conv_id", "call_id", "level")
+
+
 def call_levels(calls: DataFrame, refs: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the calls that have one. refs: (conv_id, call_id, ref), a call and one it refers to."""
     nodes = calls.select("conv_id", "call_id").where("conv_id is not null and call_id is not null").distinct()
     known = nodes.withColumnRenamed("call_id", "ref")
     open_ = durable(refs.select("conv_id", "call_id", "ref").distinct().join(known, ["conv_id", "ref"], "left_semi").join(nodes, ["conv_id", "call_id"], "left_semi"), "refs")
+    if open_.groupBy("conv_id", "call_id").count().where("count > 1").limit(1).count() == 0:
+        return _chain_levels(nodes, open_)
     settled = durable(nodes.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
     out, level = settled, 0
     while True:
