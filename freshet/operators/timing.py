@@ -100,9 +100,9 @@ def wasserstein2sq(pairs: DataFrame) -> DataFrame:
     run = by_place().rowsBetween(Window.unboundedPreceding, 0)
     c = _masses(pairs).select("series_id", "k", F.sum("po").over(run).alias("fo"), F.sum("ps").over(run).alias("fs"))
     u = c.select("series_id", F.col("fo").alias("u"), F.col("k").alias("ko"), F.lit(None).cast("int").alias("ks")).unionByName(c.select("series_id", F.col("fs").alias("u"), F.lit(None).cast("int").alias("ko"), F.col("k").alias("ks")))
-    order = Window.partitionBy("series_id").orderBy("u", F.coalesce("ko", "ks"))
+    order = Window.partitionBy("series_id").orderBy("u", F.coalesce("ko", "ks"), F.isnull("ko"))
     # What comes next, as a running value over the reverse order: a frame that ends at the partition's end would be quadratic.
-    ahead = Window.partitionBy("series_id").orderBy(F.desc("u"), F.desc(F.coalesce("ko", "ks"))).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("series_id").orderBy(F.desc("u"), F.coalesce("ko", "ks").desc(), F.isnull("ko").desc()).rowsBetween(Window.unboundedPreceding, 0)
     last = F.max(F.coalesce("ko", "ks")).over(whole())
     x = u.withColumn("du", F.least(F.col("u"), F.lit(1.0)) - F.least(F.coalesce(F.lag("u").over(order), F.lit(0.0)), F.lit(1.0)))
     x = x.withColumn("gap", F.coalesce(F.last("ko", True).over(ahead), last) - F.coalesce(F.last("ks", True).over(ahead), last))

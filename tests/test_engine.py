@@ -257,3 +257,32 @@ def test_entry_names_match():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and "panel_classical" in q
+
+
+def test_workbook(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda ref, text: f'<c r="{ref}" t="inlineStr"><is><t>{text}</t></is></c>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>date</t></si><si><t>obs</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1">{cell("A1", "only one row")}</row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2">{cell("A2", "2001-01-01")}<c r="B2"><v>1.5</v></c></row><row r="3"></row><row r="4">{cell("A4", "2001-01-02")}</row></sheetData></worksheet>')
+    table = tables.read_workbook(spark, str(tmp_path / "b.xlsx"))
+    assert table.columns == ["date", "obs"] and [tuple(r) for r in table.collect()] == [("2001-01-01", "1.5"), ("2001-01-02", "")]
+
+
+def test_table_helpers(spark, noisy):
+    p = pairs_of(spark, {"a": noisy["a"], "b": noisy["b"]})
+    meta = spark.createDataFrame([("a", True, 91.0, 0.0, 1.0), ("b", False, 10.0, 20.0, 5.0)], "series_id string, visible boolean, lat double, lon double, area double")
+    assert {r.series_id for r in frame.visible_runs(p, meta).select("series_id").distinct().collect()} == {"a"}
+    assert [r.series_id for r in frame.valid_location(meta).collect()] == ["b"]
+    assert frame.committed(p, "new", season=(1, 31)).count() == 62
+    e = timing.event_errors(p, timing.events(p, timing.thresholds(p, TimingConfig()), TimingConfig()), 3)
+    wide = classical.wide_panel(p)
+    long, reg = classical.to_long(wide, ["nse", "rmse"]), metric_registry(spark)
+    parts = sinks.report_tables(long, reg, e, ["a", "b"], chunk=1, events=2)
+    assert set(parts) == {"metrics_1", "metrics_2", "events"} and parts["events"].count() <= 4
+    assert sinks.plot_rows({"obs": p, "sim": p}, "ts", "obs").count() == 4 * 365
+    ci = spark.createDataFrame([("a", "nse", 0.1, 0.2)], "series_id string, metric_id string, lo double, hi double")
+    assert sinks.with_intervals(long, ci).where("lo is not null").count() == 1
