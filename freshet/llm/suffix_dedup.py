@@ -7,7 +7,8 @@
    compares two heads only where their shared lengths with the last winner are equal, and only past those. Heads
    that occur once go.
 3. Consecutive windows with one suffix are a stretch. Equal stretches (hash of their bytes) repeat whole and are one from
-   here on. Different stretches with one head meet, and their windows are compared (64-bit hashes).
+   here on. Different stretches with one head meet, and their windows are compared (64-bit hashes); only their texts are
+   sent.
 4. A document gets its repeated stretches and windows back, and its bytes under them go.
 
 So copies cost one entry a task, and what is sorted, sent or compared is a small share of all suffixes.
@@ -277,39 +278,48 @@ def _filter_bits(heads: DataFrame) -> np.ndarray:
     return out
 
 
+def _stretches_with(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[tuple]:
+    """Stretches whose head's bit is set: (bytes, row, start in the row, first and last window, head, same); ``same`` is a hash of a
+    stretch's bytes and of its suffix's place in them."""
+    for batch in batches:
+        for data, row, offset, bounds in pieces(batch.column(0)):
+            piece, a, b, place, sums = stretches(data, bounds)
+            head = _hash(sums, place, place + K)
+            v = (head >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+            on = np.flatnonzero(wanted[v >> 3] >> (v & 7).astype(np.uint8) & 1)
+            if len(on):
+                piece, a, b, place, head = piece[on], a[on], b[on], place[on], head[on]
+                same = mix64(_hash(sums, a, b + SPAN) + (place - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b - a).astype(np.uint64))
+                yield batch, data, row[piece], a - bounds[piece] + offset[piece], a, b, head, same
+
+
 def candidate_stretches(texts: DataFrame, heads: DataFrame) -> DataFrame:
-    """(head, same, row_key, start, windows, content): stretches whose head repeats. ``same`` is a hash of the stretch's bytes and its
-    suffix's place in them; the content comes with the first of a kind in each task."""
+    """(head, same, row_key, start, windows): stretches whose head repeats, and where they are."""
     shared = texts.sparkSession.sparkContext.broadcast(_filter_bits(heads))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, sent = shared.value, set()
         with np.errstate(over="ignore"):
-            for batch in batches:
-                keys = batch.column(1).to_numpy()
-                for data, row, offset, bounds in pieces(batch.column(0)):
-                    piece, a, b, place, sums = stretches(data, bounds)
-                    if not len(a):
-                        continue
-                    head = _hash(sums, place, place + K)
-                    v = (head >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-                    on = np.flatnonzero(wanted[v >> 3] >> (v & 7).astype(np.uint8) & 1)
-                    if not len(on):
-                        continue
-                    piece, a, b, place, head = piece[on], a[on], b[on], place[on], head[on]
-                    same = mix64(_hash(sums, a, b + SPAN) + (place - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b - a).astype(np.uint64))
-                    contents = []
-                    for s, x, y in zip(same.tolist(), a.tolist(), (b + SPAN).tolist(), strict=True):
-                        if s in sent:
-                            contents.append(None)
-                        else:
-                            if len(sent) > 500_000:
-                                sent.clear()
-                            sent.add(s)
-                            contents.append(data[x:y].tobytes())
-                    yield pa.RecordBatch.from_pydict({"head": signed(head), "same": signed(same), "row_key": keys[row[piece]], "start": a - bounds[piece] + offset[piece], "windows": (b - a + 1).astype(np.int32), "content": pa.array(contents, pa.binary())})
-
-    return texts.select("text", "row_key").mapInArrow(run, "head long, same long, row_key long, start long, windows int, content binary")
+            for batch, _, row, start, a, b, head, same in _stretches_with(batches, shared.value):
+                yield pa.RecordBatch.from_pydict({"head": signed(head), "same": signed(same), "row_key": batch.column(1).to_numpy()[row], "start": start, "windows": (b - a + 1).astype(np.int32)})
+
+    return texts.select("text", "row_key").mapInArrow(run, "head long, same long, row_key long, start long, windows int")
+
+
+def contents(texts: DataFrame, heads: DataFrame) -> DataFrame:
+    """(head, same, content) of the stretches with these heads: the bytes of each kind once a task, as long as its memory lasts."""
+    shared = texts.sparkSession.sparkContext.broadcast(_filter_bits(heads))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
+        with np.errstate(over="ignore"):
+            for _, data, _, _, a, b, head, same in _stretches_with(batches, shared.value):
+                new = [i for i, s in enumerate(same.tolist()) if not (s in sent or sent.add(s))]
+                if len(sent) > 1_000_000:
+                    sent.clear()
+                if new:
+                    yield pa.RecordBatch.from_pydict({"head": signed(head[new]), "same": signed(same[new]), "content": pa.array([data[a[i] : b[i] + SPAN].tobytes() for i in new], pa.binary())})
+
+    return texts.select("text").mapInArrow(run, "head long, same long, content binary")
 
 
 def _window_hashes(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -334,18 +344,17 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeats_in_groups(kinds: DataFrame) -> DataFrame:
-    """(same, lo, hi): bytes of a stretch that repeat, from the different stretches (head, same, n, content) of each head. In
-    a partition the heads come in order; a group is compared as a whole, in its task."""
+    """(same, lo, hi): bytes of a stretch that are in another one with its head, from (head, same, content). In a partition the heads
+    come in order; a group is compared as a whole, in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def compare(table: pa.Table) -> pa.RecordBatch:
-            n, same, contents = table["n"].to_numpy(), table["same"].to_numpy(), table["content"].to_pylist()
-            hashes, which = _window_hashes(contents)
+            same, at = np.unique(table["same"].to_numpy(), return_index=True)
+            hashes, which = _window_hashes(table["content"].take(pa.array(at)).to_pylist())
             _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
-            hit = (count[back] > 1) | (n[which] > 1)
-            first = np.searchsorted(which, np.arange(len(n) + 1))
+            hit, first = count[back] > 1, np.searchsorted(which, np.arange(len(same) + 1))
             out = [(s, lo, hi) for i, s in enumerate(same.tolist()) for lo, hi in _spans(hit[first[i] : first[i + 1]])]
             return pa.RecordBatch.from_pydict({"same": pa.array([x[0] for x in out], pa.int64()), "lo": pa.array([x[1] for x in out], pa.int32()), "hi": pa.array([x[2] for x in out], pa.int32())})
 
@@ -363,7 +372,7 @@ def repeats_in_groups(kinds: DataFrame) -> DataFrame:
                 yield compare(pa.Table.from_batches(held))
 
     spread = kinds.repartition("head").sortWithinPartitions("head")
-    return spread.select("head", "same", "n", "content").mapInArrow(run, "same long, lo int, hi int")
+    return spread.select("head", "same", "content").mapInArrow(run, "same long, lo int, hi int")
 
 
 def repeats_by_shuffle(kinds: DataFrame) -> DataFrame:
@@ -378,7 +387,7 @@ def repeats_by_shuffle(kinds: DataFrame) -> DataFrame:
                     at = np.arange(len(which)) - np.searchsorted(which, which)
                     yield pa.RecordBatch.from_pydict({"window": signed(hashes), "same": same, "lo": at.astype(np.int32)})
 
-    windows = durable(kinds.select("same", "content").mapInArrow(explode, "window long, same long, lo int"), "windows")
+    windows = durable(kinds.dropDuplicates(["same"]).select("same", "content").mapInArrow(explode, "window long, same long, lo int"), "windows")
     often = windows.groupBy("window").count().where("count > 1").select("window")
     return windows.join(often, "window", "left_semi").select("same", "lo", (F.col("lo") + SPAN).alias("hi"))
 
@@ -388,15 +397,17 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     ranges = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     heads = durable(repeated_heads(texts, ranges), "heads")
     found = durable(candidate_stretches(texts, heads), "stretches")
-    kinds = durable(found.groupBy("head", "same").agg(F.count("*").alias("n"), F.first("content", ignorenulls=True).alias("content"), F.first("windows").alias("windows")), "kinds")
-    groups = kinds.groupBy("head").agg(F.count("*").alias("kinds"))
+    kinds = durable(found.groupBy("head", "same").agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "kinds")
+    groups = durable(kinds.groupBy("head").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
     whole = kinds.where("n > 1").select("same", F.lit(0).alias("lo"), (F.col("windows") + SPAN - 1).alias("hi"))
-    mixed = kinds.join(groups.where("kinds > 1"), "head").select("head", "same", "n", "content", "kinds")
-    parts = repeats_in_groups(mixed.where(F.col("kinds") <= HOT))
-    hot = groups.where(F.col("kinds") > HOT)
+    mixed = contents(texts, groups)
+    hot = groups.where(F.col("kinds") > HOT).select("head")
     if hot.limit(1).count():
-        parts = parts.unionByName(repeats_by_shuffle(mixed.where(F.col("kinds") > HOT)))
-    single = parts.join(kinds.where("n = 1").select("same"), "same", "left_semi")
+        mixed = durable(mixed, "mixed")
+        parts = repeats_in_groups(mixed.join(hot, "head", "left_anti")).unionByName(repeats_by_shuffle(mixed.join(hot, "head", "left_semi")))
+    else:
+        parts = repeats_in_groups(mixed)
+    single = durable(parts, "parts").join(kinds.where("n = 1").select("same"), "same", "left_semi")
     spans = whole.unionByName(single)
     placed = found.select("same", "row_key", "start").join(spans, "same").select("row_key", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).alias("span"))
     return placed.groupBy("row_key").agg(F.collect_set("span").alias("spans"))
