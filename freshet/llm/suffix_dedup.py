@@ -305,21 +305,21 @@ def candidate_stretches(texts: DataFrame, heads: DataFrame) -> DataFrame:
     return texts.select("text", "row_key").mapInArrow(run, "head long, same long, row_key long, start long, windows int")
 
 
-def contents(texts: DataFrame, heads: DataFrame) -> DataFrame:
-    """(head, same, content) of the stretches with these heads: the bytes of each kind once a task, as long as its memory lasts."""
-    shared = texts.sparkSession.sparkContext.broadcast(_filter_bits(heads))
+def contents(texts: DataFrame, carriers: DataFrame) -> DataFrame:
+    """(head, same, content): the bytes of each kind of stretch in ``carriers`` (same, row_key), from the row that carries it. Which stretches
+    to send is a bit map over same XOR row_key; the few others that it lets through are copies of kinds, or alone."""
+    shared = texts.sparkSession.sparkContext.broadcast(_filter_bits(carriers.select(F.col("same").bitwiseXOR(F.col("row_key")).alias("head"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        wanted, every = shared.value, np.full(1 << (_FILTER_BITS - 3), 255, np.uint8)
         with np.errstate(over="ignore"):
-            for _, data, _, _, a, b, head, same in _stretches_with(batches, shared.value):
-                new = [i for i, s in enumerate(same.tolist()) if not (s in sent or sent.add(s))]
-                if len(sent) > 1_000_000:
-                    sent.clear()
-                if new:
-                    yield pa.RecordBatch.from_pydict({"head": signed(head[new]), "same": signed(same[new]), "content": pa.array([data[a[i] : b[i] + SPAN].tobytes() for i in new], pa.binary())})
+            for batch, data, row, _, a, b, head, same in _stretches_with(batches, every):
+                v = ((same ^ batch.column(1).to_numpy().view(np.uint64)[row]) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+                on = np.flatnonzero(wanted[v >> 3] >> (v & 7).astype(np.uint8) & 1)
+                if len(on):
+                    yield pa.RecordBatch.from_pydict({"head": signed(head[on]), "same": signed(same[on]), "content": pa.array([data[a[i] : b[i] + SPAN].tobytes() for i in on], pa.binary())})
 
-    return texts.select("text").mapInArrow(run, "head long, same long, content binary")
+    return texts.select("text", "row_key").mapInArrow(run, "head long, same long, content binary")
 
 
 def _window_hashes(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -397,10 +397,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     ranges = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     heads = durable(repeated_heads(texts, ranges), "heads")
     found = durable(candidate_stretches(texts, heads), "stretches")
-    kinds = durable(found.groupBy("head", "same").agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "kinds")
+    kinds = durable(found.groupBy("head", "same").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.min("row_key").alias("row_key")), "kinds")
     groups = durable(kinds.groupBy("head").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
     whole = kinds.where("n > 1").select("same", F.lit(0).alias("lo"), (F.col("windows") + SPAN - 1).alias("hi"))
-    mixed = contents(texts, groups)
+    mixed = contents(texts, kinds.join(groups, "head", "left_semi"))
     hot = groups.where(F.col("kinds") > HOT).select("head")
     if hot.limit(1).count():
         mixed = durable(mixed, "mixed")
