@@ -107,7 +107,8 @@ def step(series: DataFrame) -> DataFrame:
     count = gaps.where("gap is not null").groupBy("series_id", "gap").agg(F.count("*").alias("c"))
     best = count.groupBy("series_id").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("gap").between(28 * day, 31 * day), F.col("c")).otherwise(0)).alias("months"), F.max(F.struct("c", (-F.col("gap")).alias("less"))).alias("top"))
     mode = best.select("series_id", "n", "months", (-F.col("top.less")).alias("mode"), F.col("top.c").alias("mode_n"))
-    off = count.join(mode.select("series_id", "mode"), "series_id").groupBy("series_id").agg(F.sum(F.when(F.col("gap") % F.col("mode") != 0, F.col("c")).otherwise(0)).alias("off"))
+    uneven = (F.col("gap") != F.col("mode")) & F.coalesce(F.try_mod("gap", "mode") != 0, F.lit(True))  # mode 0: most dates repeat
+    off = count.join(mode.select("series_id", "mode"), "series_id").groupBy("series_id").agg(F.sum(F.when(uneven, F.col("c")).otherwise(0)).alias("off"))
     x = series.select("series_id").distinct().join(mode, "series_id", "left").join(off, "series_id", "left")
     monthly = F.coalesce(F.col("months") > 0.9 * F.col("n"), F.lit(False))
     odd = F.coalesce((F.col("off") > 0.05 * F.col("n")) | (F.col("n") - F.col("mode_n") > 0.5 * F.col("n")), F.lit(False))
