@@ -102,13 +102,13 @@ TOOLS: Schemas = {
 
 def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and references from plain conversations. An assistant's turn is a call with the identifier of its turn; every fifth
-    names no known tool, and short texts lack an argument. A user's turn answers the turn before it. A call refers to the
+    names no known tool. The arguments hold the whole text; searches for short texts lack the limit. A user's turn answers the turn before it. A call refers to the
     assistant's last call before it, two turns up."""
     text = F.coalesce("text", F.lit(""))
     call_id = F.concat(F.lit("call_"), F.col("turn"))
     after = F.when(F.col("turn") >= 3, F.concat(F.lit("call_"), F.col("turn") - 2))
     name = F.when(F.length(text) % 5 == 0, "unknown").when(F.length(text) % 2 == 0, "search").otherwise("summarise")
-    search = F.to_json(F.struct(F.when(F.length(text) >= 60, F.substring(text, 1, 40)).alias("query"), (F.length(text) % 50).alias("limit"), after.alias("after")))
+    search = F.to_json(F.struct(text.alias("query"), F.when(F.length(text) >= 60, F.length(text) % 50).alias("limit"), after.alias("after")))
     summarise = F.to_json(F.struct(F.regexp_count(text, F.lit(r"\S+")).alias("words"), text.alias("text"), after.alias("after")))
     said = conversations.where("role = 'assistant'")
     calls = said.select("conv_id", "turn", call_id.alias("call_id"), name.alias("name"), F.when(name == "summarise", summarise).otherwise(search).alias("arguments"), after.alias("ref"))
