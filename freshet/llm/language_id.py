@@ -3,7 +3,8 @@
 Features are hashed n-grams of one to three lower-cased characters, anything but a letter being a space; a value is the
 n-gram's share of the text times its inverse document frequency, which is counted over all training rows. Weights
 are learned by follow-the-regularised-leader with an elastic-net penalty, one row at a time, on a bounded sample of
-rows of each language; a temperature fitted on rows put aside calibrates the probabilities.
+rows of each language; a temperature fitted on rows put aside, weighted by the languages' counts over all training rows,
+calibrates the probabilities.
 
 Defined results: a null text, or one without letters, is ``und`` with score 1; equal texts get equal results; a row
 without doc_id is held out; without any training row all is ``und`` with score 0; an empty table gives an empty result;
@@ -97,7 +98,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], idf: np.ndarray, seed: int = 5) -> LanguageModel:
+def fit(texts: list[str], langs: list[str], idf: np.ndarray, totals: dict[str, int], seed: int = 5) -> LanguageModel:
+    """``totals``: all training rows by language, which the sample's rows of a language stand for in the calibration."""
     names = tuple(sorted(set(langs)))
     y = np.array([names.index(x) for x in langs])
     rows = []
@@ -129,9 +131,12 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray, seed: int = 5) -> L
     w, b = weights(z, n), weights(zb, nb)
     logits = np.array([x @ w[at] + b for at, x in (rows[i] for i in aside)]).reshape(-1, c)
 
+    stands = (np.array([totals[x] for x in names]) / np.bincount(y, minlength=c))[y[aside]]
+    stands = stands * len(stands) / stands.sum() if len(stands) else stands
+
     def loss(t: float) -> float:
         p = _softmax(logits / t)[np.arange(len(aside)), y[aside]]
-        return -np.log(np.maximum(p, 1e-12)).sum() + 0.01 * np.log(t) ** 2
+        return -(stands * np.log(np.maximum(p, 1e-12))).sum() + 0.01 * np.log(t) ** 2
 
     temperature = min(np.exp(np.linspace(-2, 2, 81)), key=loss) if len(aside) else 1.0
     return LanguageModel(names, (100.0 * w * idf[:, None]).astype(np.float32), b, float(temperature))
@@ -187,4 +192,4 @@ def identify_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
         return predict_language(docs, None)
     have, n = document_frequency(text_of(known))
     idf = np.log((1.0 + n) / (1.0 + have)) + 1.0
-    return predict_language(docs, fit(sample["text"].tolist(), sample["lang"].tolist(), idf))
+    return predict_language(docs, fit(sample["text"].tolist(), sample["lang"].tolist(), idf, dict(map(tuple, counts))))

@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are built, from good and from bad labelled texts. A text is compressed with each, in segments
 as long as a dictionary helps; the normalised difference of the sizes over the whole text, that of its worst segment and
-the ratio itself go through a logistic calibration to a score from 0 to 1.
+the ratio itself go through a logistic calibration to a score from 0 to 1. The calibration weights its sample by the
+labels' counts over all rows that are not held out, so the bound of the sample does not change what a score means.
 
 Defined results: a null text counts as empty and gets the score of an empty segment; equal texts get equal scores; a row
 without doc_id is held out; without labels of both kinds the score is the share of good labels (0.5 without any); an
@@ -70,16 +71,18 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(w[0] + ((x - self.centre) / self.scale) @ w[1:], -50, 50)))
 
 
-def fit(texts: list[bytes], good: np.ndarray) -> QualityModel:
-    """Two thirds of each label build the dictionaries, the rest the calibration."""
-    n = len(texts)
+def fit(texts: list[bytes], good: np.ndarray, counts: tuple[int, int]) -> QualityModel:
+    """Two thirds of each label build the dictionaries, the rest the calibration. ``counts``: all rows that are good, and bad,
+    which the calibration rows of a label stand for."""
     order = [np.flatnonzero(good == v) for v in (1, 0)]
     if not all(len(x) for x in order):
-        p = (good.sum() + 1) / (n + 2)
+        p = (counts[0] + 1) / (sum(counts) + 2)
         return QualityModel(b"\0" * 16, b"\0" * 16, (float(np.log(p / (1 - p))), 0.0, 0.0, 0.0), (0.0,) * 3, (1.0,) * 3)
     cut = [max(1, 2 * len(x) // 3) for x in order]
     dictionaries = [_dictionary([texts[i] for i in x[:c]]) for x, c in zip(order, cut, strict=True)]
     rest = np.concatenate([x[c:] if c < len(x) else x for x, c in zip(order, cut, strict=True)])
+    stands = np.repeat([k / (len(x) - c or len(x)) for k, x, c in zip(counts, order, cut, strict=True)], [len(x) - c or len(x) for x, c in zip(order, cut, strict=True)])
+    stands *= len(stands) / stands.sum()
     sizes = _Sizes(*dictionaries)
     x, y = np.array([sizes.features(texts[i]) for i in rest]), good[rest].astype(float)
     centre, scale = x.mean(0), x.std(0) + 1e-9
@@ -87,19 +90,23 @@ def fit(texts: list[bytes], good: np.ndarray) -> QualityModel:
     ridge = np.diag([1e-6, 0.05, 0.05, 0.05])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
-        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        w += np.linalg.solve((z * (stands * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (stands * (y - p)) - ridge @ w)
     return QualityModel(*dictionaries, tuple(w.tolist()), tuple(centre.tolist()), tuple(scale.tolist()))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """At most ``rows`` of each label, by a hash of their ids; their texts have SAMPLE_BYTES at most."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray, tuple[int, int]]:
+    """At most ``rows`` of each label, by a hash of their ids; their texts have SAMPLE_BYTES at most. Also how many rows have
+    each label (good, bad) in all, held-out ones aside."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit("quality"), "doc_id")
     parts = [known.where(F.col("quality") == v).orderBy(order, "doc_id").limit(rows) for v in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * rows at most
     found = text_of(docs).join(chosen, "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES)
     pdf = found.orderBy(order, "doc_id", "text").limit(4 * rows).toPandas()
-    return [t.encode() for t in pdf["text"]], pdf["quality"].to_numpy(int)
+    times = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("times"))
+    given = known.groupBy("doc_id", "quality").agg(F.count("*").alias("given")).join(times, "doc_id")
+    counts = dict(given.groupBy("quality").agg(F.sum(F.col("given") * F.col("times"))).collect())
+    return [t.encode() for t in pdf["text"]], pdf["quality"].to_numpy(int), (counts.get(1, 0), counts.get(0, 0))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
