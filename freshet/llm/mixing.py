@@ -1,8 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations.
 
 Token mass is raked to source, language and topic marginals: a document's factor is a[source] * b[lang] * c[topic], and
-the mass so weighted has the target shares. Documents are then kept with probability min(1, k * factor), where k makes
-the expected tokens the asked share of all; the draw is a hash of the document's id, so it repeats.
+the mass so weighted has the target shares and sums to the asked share of all tokens. Documents are kept with probability
+min(1, factor); the draw is a hash of the document's id, so it repeats. Where factors above 1 would move the shares, the
+fit goes on under that bound: such cells count as kept whole, and the others are fitted to what is left of each target,
+until all margins hold within TOLERANCE. A class whose target exceeds all it has is kept whole, and the others share the
+rest in proportion; ``margins`` lists targets and expected shares, which differ where no probabilities meet all targets.
 
 Sources may be many: they stay in a table with a row each, and a round of fitting is one aggregation over it that
 returns languages x topics sums. Languages and topics are lists given by the caller; what is not listed is ``other``.
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Rounds of fitting, and of fitting k under the cap of 1.
+#: Rounds of fitting without a bound (CAP_ROUNDS: only in the SQL, which rescales under the cap of 1 instead of fitting on).
 ROUNDS, CAP_ROUNDS = 12, 12
+#: Rounds of fitting under the bound of 1 at most, and the error of a share at which they end.
+BOUND_ROUNDS, TOLERANCE = 60, 1e-4
 LANGS = ("de", "en", "es", "fr", "other")
 TOPICS = ("contact", "licence", "short", "prose")
 
@@ -65,64 +70,112 @@ def _shares(mass: list[float], flatten: float) -> list[float]:
     return [p / total for p in powers]
 
 
-def _factor(b: list[float], c: list[float], powers: float, flatten: float) -> Column:
-    """a[source] from its ``own`` tokens and its cells ``m`` (languages x topics, in order)."""
-    bc = F.array(*[F.lit(x * y) for x in b for y in c])
-    weighed = F.aggregate(F.zip_with("m", bc, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    return F.when(F.col("own") > 0, F.pow("own", F.lit(flatten)) / F.element_at(F.array(F.lit(powers)), 1) / weighed)
-
-
-def fitted(cells: DataFrame, langs: tuple[str, ...], topics: tuple[str, ...], target: Target) -> tuple[list[float], list[float], float, float]:
-    """(b by language, c by topic, the sources' sum of powers, k) for ``cells``: a row a source (own, m)."""
+def _factor(b: list[float], c: list[float], scale: float, flatten: float) -> Column:
+    """a[source] from its ``own`` tokens and its cells ``m`` (languages x topics, in order): the least with which the sum of
+    m * min(1, a * b * c) is the source's target. That sum is the least of the lines that keep the cells of largest b * c
+    whole, so a is the largest of the lines' solutions."""
+    bc = [x * y for x in b for y in c]
+    cells = F.array(*[F.struct(F.col("m")[i].alias("m"), F.lit(bc[i]).alias("q")) for i in sorted(range(len(bc)), key=bc.__getitem__)])
+    short = F.least("own", F.lit(scale) * F.pow("own", F.lit(flatten))) - F.col("own")
+
+    def step(x: Column, y: Column) -> Column:
+        free, slope = x["free"] + y["m"], x["slope"] + y["m"] * y["q"]
+        return F.struct(free.alias("free"), slope.alias("slope"), F.greatest(x["a"], F.when(slope > 0, (short + free) / slope).otherwise(0.0)).alias("a"))
+
+    start = F.struct(F.lit(0.0).alias("free"), F.lit(0.0).alias("slope"), F.lit(0.0).alias("a"))
+    return F.when(F.col("own") > 0, F.aggregate(cells, start, step, lambda x: x["a"]))
+
+
+def _within(shares: list[float], mass: list[float], asked: float) -> list[float]:
+    """Targets of ``asked`` tokens in all by ``shares``; a class gets all it has at most, the others the rest in proportion."""
+    out, free = [0.0] * len(mass), [i for i, s in enumerate(shares) if s > 0]
+    while free:
+        left, total = asked - sum(out), sum(shares[i] for i in free)
+        over = [i for i in free if left * shares[i] / total > mass[i]]
+        for i in over or free:
+            out[i] = mass[i] if over else left * shares[i] / total
+        free = [i for i in free if i not in over] if over else []
+    return out
+
+
+def _source_scale(cells: DataFrame, powers: float, asked: float, flatten: float) -> float:
+    """The scale with which the sources' targets, min(own, scale * own ** flatten), sum to ``asked``."""
+    scale, power = asked / powers, F.pow("own", F.lit(flatten))
+    while True:
+        whole = F.lit(scale) * power > F.col("own")
+        row = cells.where("own > 0").agg(F.sum(F.when(whole, F.col("own")).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(power))).collect()[0]
+        new = (asked - row[0]) / row[1] if row[0] and row[1] else scale
+        if new <= scale * (1 + 1e-12):
+            return scale
+        scale = new
+
+
+def fitted(cells: DataFrame, langs: tuple[str, ...], topics: tuple[str, ...], target: Target) -> tuple[list[float], list[float], float]:
+    """(b by language, c by topic, the scale of the sources' targets) for ``cells``: a row a source (own, m)."""
     L, T = range(len(langs)), range(len(topics))
-    n = len(langs) * len(topics)
+    n, w = len(langs) * len(topics), len(topics)
     first = cells.agg(F.sum(F.when(F.col("own") > 0, F.pow("own", F.lit(target.source_flatten)))), *[F.sum(F.col("m")[i]) for i in range(n)]).collect()[0]
     mass = [x or 0.0 for x in first[1:]]
     total = sum(mass)
     if not total:
-        return [1.0] * len(langs), [1.0] * len(topics), 1.0, 1.0
-    powers = first[0]
-    to_lang = _shares([sum(mass[i * len(topics) + j] for j in T) for i in L], target.lang_flatten)
-    to_topic = _shares([sum(mass[i * len(topics) + j] for i in L) for j in T], target.topic_flatten)
+        return [1.0] * len(langs), [1.0] * len(topics), 1.0
+    powers, asked = first[0], min(1.0, target.share) * total
+    of_lang, of_topic = [sum(mass[i * w + j] for j in T) for i in L], [sum(mass[i * w + j] for i in L) for j in T]
+    to_lang, to_topic = _shares(of_lang, target.lang_flatten), _shares(of_topic, target.topic_flatten)
     b, c = [1.0] * len(langs), [1.0] * len(topics)
     for _ in range(ROUNDS):
-        weighed = cells.select("m", _factor(b, c, powers, target.source_flatten).alias("a"))
-        row = weighed.agg(*[F.sum(F.col("a") * F.col("m")[i]) for i in range(n)]).collect()[0]
+        a = F.when(F.col("own") > 0, F.pow("own", F.lit(target.source_flatten)) / F.lit(powers) / sum((F.col("m")[i * w + j] * (b[i] * c[j]) for i in L for j in T), F.lit(0.0)))
+        row = cells.select("m", a.alias("a")).agg(*[F.sum(F.col("a") * F.col("m")[i]) for i in range(n)]).collect()[0]
         m = [x or 0.0 for x in row]
         for i in L:
-            s = sum(m[i * len(topics) + j] * c[j] for j in T)
+            s = sum(m[i * w + j] * c[j] for j in T)
             b[i] = to_lang[i] / s if s else 1.0
         for j in T:
-            s = sum(m[i * len(topics) + j] * b[i] for i in L)
+            s = sum(m[i * w + j] * b[i] for i in L)
             c[j] = to_topic[j] / s if s else 1.0
-    k = target.share * total
-    for _ in range(CAP_ROUNDS):
-        kbc = F.array(*[F.lit(k * x * y) for x in b for y in c])
-        weighed = cells.select("m", _factor(b, c, powers, target.source_flatten).alias("a"))
-        kept = F.aggregate(F.zip_with("m", kbc, lambda x, y: x * F.least(F.lit(1.0), y * F.col("a"))), F.lit(0.0), lambda x, y: x + y)
-        k *= target.share * total / weighed.agg(F.sum(kept)).collect()[0][0]
-    return b, c, powers, k
+    scale = _source_scale(cells, powers, asked, target.source_flatten)
+    to_lang, to_topic = _within(to_lang, of_lang, asked), _within(to_topic, of_topic, asked)
+
+    def moved(x: float, to: float, whole: float, free: float) -> float:
+        """A factor that brings whole + factor * free to its target; halved where the whole cells alone are above it."""
+        if not to or not free and whole <= to:
+            return x
+        return (to - whole) / free if free and to > whole else x / 2
+
+    for _ in range(BOUND_ROUNDS):
+        bc = [x * y for x in b for y in c]
+        weighed = cells.select("m", _factor(b, c, scale, target.source_flatten).alias("a"))
+        over = [F.col("a") * bc[i] >= 1 for i in range(n)]
+        row = weighed.agg(*[F.sum(F.when(over[i], F.col("m")[i])) for i in range(n)], *[F.sum(F.when(~over[i], F.col("a") * F.col("m")[i])) for i in range(n)]).collect()[0]
+        whole, free = [x or 0.0 for x in row[:n]], [x or 0.0 for x in row[n:]]
+        kept = [whole[i] + free[i] * bc[i] for i in range(n)]
+        errors = [sum(kept[i * w + j] for j in T) - to_lang[i] for i in L] + [sum(kept[i * w + j] for i in L) - to_topic[j] for j in T]
+        if max(map(abs, errors)) <= TOLERANCE * asked:
+            break
+        b = [moved(b[i], to_lang[i], sum(whole[i * w + j] for j in T), sum(free[i * w + j] * c[j] for j in T)) for i in L]
+        c = [moved(c[j], to_topic[j], sum(whole[i * w + j] for i in L), sum(free[i * w + j] * b[i] for i in L)) for j in T]
+    return b, c, scale
 
 
 def weighted(docs: DataFrame, target: Target, langs: tuple[str, ...], topics: tuple[str, ...], salt: str) -> DataFrame:
-    """``docs`` with their classes, freshet_weight (k * factor), freshet_prob and freshet_draw. Texts are not shuffled."""
+    """``docs`` with their classes, freshet_weight (the factor), freshet_prob and freshet_draw. Texts are not shuffled."""
     rows = with_classes(docs, langs)
     lang, topic, tokens = F.col("freshet_lang"), F.col("freshet_topic"), F.col("freshet_tokens")
     in_cell = [(lang == x) & (topic == y) for x in langs for y in topics]
     sums = rows.groupBy("freshet_source").agg(F.array(*[F.coalesce(F.sum(F.when(w, tokens)), F.lit(0.0)) for w in in_cell]).alias("m"), F.sum(tokens).alias("own"))
     cells = durable(sums, "cells")
-    b, c, powers, k = fitted(cells, langs, topics, target)
-    factor = cells.select(F.col("freshet_source").alias("freshet_factor_of"), _factor(b, c, powers, target.source_flatten).alias("freshet_a"))
+    b, c, scale = fitted(cells, langs, topics, target)
+    factor = cells.select(F.col("freshet_source").alias("freshet_factor_of"), _factor(b, c, scale, target.source_flatten).alias("freshet_a"))
     b_of = F.element_at(F.create_map(*[F.lit(x) for n, v in zip(langs, b, strict=True) for x in (n, v)]), lang)
     c_of = F.element_at(F.create_map(*[F.lit(x) for n, v in zip(topics, c, strict=True) for x in (n, v)]), topic)
-    weight = F.coalesce(F.col("freshet_a") * b_of * c_of * F.lit(k), F.lit(1.0))
+    weight = F.coalesce(F.col("freshet_a") * b_of * c_of, F.lit(1.0))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     out = rows.join(factor, F.col("freshet_source") == F.col("freshet_factor_of"), "left")
     return out.withColumn("freshet_weight", weight).withColumn("freshet_prob", F.least(F.lit(1.0), F.col("freshet_weight"))).withColumn("freshet_draw", draw)
 
 
 def mixture(docs: DataFrame, target: Target = Target(), langs: tuple[str, ...] = LANGS, topics: tuple[str, ...] = TOPICS, salt: str = "mix") -> DataFrame:
-    """Per row: doc_id, source, lang, topic, tokens, weight (k * factor), prob, draw, sampled."""
+    """Per row: doc_id, source, lang, topic, tokens, weight (the factor), prob, draw, sampled."""
     out = weighted(docs.select("doc_id", "text", "source", "lang"), target, langs, topics, salt)
     named = [F.col(f"freshet_{c}").alias(c) for c in ("source", "lang", "topic", "tokens", "weight", "prob", "draw")]
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *named, (F.col("freshet_draw") < F.col("freshet_prob")).alias("sampled"))
@@ -131,3 +184,14 @@ def mixture(docs: DataFrame, target: Target = Target(), langs: tuple[str, ...] =
 def sample_mixture(docs: DataFrame, target: Target = Target(), langs: tuple[str, ...] = LANGS, topics: tuple[str, ...] = TOPICS, salt: str = "mix") -> DataFrame:
     """The sampled rows of ``docs``, all columns."""
     return weighted(docs, target, langs, topics, salt).where("freshet_draw < freshet_prob").select(docs.columns)
+
+
+def margins(docs: DataFrame, target: Target = Target(), langs: tuple[str, ...] = LANGS, topics: tuple[str, ...] = TOPICS) -> DataFrame:
+    """(kind, class, tokens, target, reached): each class's share of the sampled tokens, as asked for and as expected."""
+    rows = durable(mixture(docs, target, langs, topics), "mixture")
+    parts = []
+    for kind, flatten in (("source", target.source_flatten), ("lang", target.lang_flatten), ("topic", target.topic_flatten)):
+        g = rows.groupBy(F.lit(kind).alias("kind"), F.col(kind).alias("class")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("prob")).alias("kept")).where("tokens > 0")
+        sums = g.agg(F.sum(F.pow("tokens", F.lit(flatten))).alias("powers"), F.sum("kept").alias("all_kept"))
+        parts.append(g.crossJoin(F.broadcast(sums)).select("kind", "class", "tokens", (F.pow("tokens", F.lit(flatten)) / F.col("powers")).alias("target"), (F.col("kept") / F.col("all_kept")).alias("reached")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
