@@ -64,7 +64,7 @@ def index_prefix(n):
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id); set_id is null for an empty set."""
+    """(doc_id, n_shingles, set_id, text_hash); set_id is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,9 +72,10 @@ def document_sets(docs: DataFrame) -> DataFrame:
             for i, s in shingle_sets(batch.column(1)):
                 n[i] = len(s)
                 key[i] = set_key(s) if len(s) else 0
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": n, "set_id": pa.array(signed(key), mask=n == 0)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": n, "set_id": pa.array(signed(key), mask=n == 0), "text_hash": batch.column(2)})
 
-    return text_of(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id long, text_hash long")
 
 
 def _new_sets(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[np.uint64, np.ndarray]]:
@@ -344,8 +345,8 @@ def checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, set_id (null: no shingles)."""
+def grouped_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``document_sets``, and (set_id, component_id, grp) of each set; ``grp`` names a component also where no row has a doc_id."""
     sets = durable(document_sets(docs), "sets")
     index = candidates(postings(docs, heavy_shingles(docs)))
     found = durable(index, "found")
@@ -365,13 +366,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     owned = named.join(group.withColumnRenamed("a", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("grp", "set_id").alias("grp"))
     least = owned.groupBy("grp").agg(F.min("least").alias("component_id"))
-    known = durable(owned.join(least, "grp").select("set_id", "component_id"), "known")
+    return sets, durable(owned.join(least, "grp").select("set_id", "component_id", "grp"), "known")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, set_id (null: no shingles)."""
+    sets, known = grouped_sets(docs)
     return sets.join(known, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "set_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that lead their component: those with its smallest doc_id, once if rows repeat.
-    Rows without a doc_id stay."""
-    lead = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    unique = docs.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return unique.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs``, all columns, that lead their component: of its texts with the smallest doc_id (rows without one
+    come last) one by a hash of the text, once if rows repeat. Rows of different texts stay apart if their doc_id is the
+    same. Rows without a doc_id and without words stay."""
+    sets, known = grouped_sets(docs)
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    lead = sets.where("set_id is not null").join(known.select("set_id", "grp"), "set_id").groupBy("grp").agg(row.alias("row")).select("row.doc_id", "row.text_hash")
+    alone = sets.where("set_id is null and doc_id is not null").select("doc_id", "text_hash")
+    lead = lead.union(alone).distinct().withColumnsRenamed({"doc_id": "freshet_id", "text_hash": "freshet_lead"})
+    hashed = docs.withColumn("freshet_hash", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("freshet_id")) & (F.col("freshet_hash") == F.col("freshet_lead"))
+    unique = hashed.join(lead, same, "left_semi").dropDuplicates(["doc_id", "freshet_hash"]).select(docs.columns)
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return unique.unionByName(docs.where(F.col("doc_id").isNull() & wordless))
