@@ -184,8 +184,10 @@ def _linkable(nx, px, ny, py) -> np.ndarray:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: float = 500_000) -> Iterator[tuple[list[np.ndarray], bool]]:
-    """Sorted rows in blocks that end with a whole token's list. A list longer than a block comes in parts (True)."""
+    """Sorted rows in blocks that end with a whole token's list. A list longer than a block comes in parts (True, the last
+    one too)."""
     held: list[np.ndarray] = []
+    open_ = False
     for batch in batches:
         part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         cols = [np.concatenate(x) for x in zip(held, part, strict=True)] if held else part
@@ -193,13 +195,18 @@ def _runs(batches: Iterator[pa.RecordBatch], most: float = 500_000) -> Iterator[
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
         if cut:
-            yield [c[:cut] for c in cols], False
+            # What is left of a list that was cut is at the front; it is a part too, and short lists after it are not.
+            tail = int(np.searchsorted(cols[0], cols[0][0], "right")) if open_ else 0
+            for part_of, lo, hi in ((True, 0, tail), (False, tail, cut)):
+                if lo < hi:
+                    yield [c[lo:hi] for c in cols], part_of
+            open_ = False
         held = [c[cut:] for c in cols]
         if len(held[0]) > most:
             yield held, True
-            held = [c[-1:] for c in held]
+            held, open_ = [c[-1:] for c in held], True
     if held and len(held[0]):
-        yield held, False
+        yield held, open_
 
 
 def candidates(lists: DataFrame) -> DataFrame:
