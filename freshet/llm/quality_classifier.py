@@ -1,13 +1,14 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built, from good and from bad labelled texts. A text is compressed with each, in segments
-as long as a dictionary helps; the normalised difference of the sizes over the whole text, that of its worst segment and
-the ratio itself go through a logistic calibration to a score from 0 to 1. The calibration weights its sample by the
-labels' counts over all rows that are not held out, so the bound of the sample does not change what a score means.
-
-Defined results: a null text counts as empty and gets the score of an empty segment; equal texts get equal scores; a row
-without doc_id is held out; without labels of both kinds the score is the share of good labels (0.5 without any); an
-empty table gives an empty result; extra columns are not read. Labels repeat as often as they are given.
+as long as a dictionary helps; the normalised difference of the sizes over the whole text, (bad - good) / (bad + good), goes
+through a logistic calibration to a score from 0 to 1. The calibration weights its sample by the labels' counts over all
+rows that are not held out, so the bound of the sample does not change what a score means.
+
+Defined results: a null text counts as empty and gets the score of an empty segment; a very long text counts whole, in as many
+segments as it has, in one task; equal texts get equal scores; a row without doc_id is held out; without labels of both
+kinds the score is the share of good labels (0.5 without any); an empty table gives an empty result; extra columns are not
+read. Labels repeat as often as they are given.
 """
 
 from __future__ import annotations
@@ -51,24 +52,23 @@ class _Sizes:
             d.precompute_compress(LEVEL)
             self.by.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False))
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
+    def difference(self, text: bytes) -> float:
         parts = [text[i : i + SEGMENT] for i in range(0, max(1, len(text)), SEGMENT)]
-        good, bad = (np.array([len(c.compress(p)) for p in parts], float) for c in self.by)
-        g, b = good.sum(), bad.sum()
-        return (b - g) / (b + g), (b + g) / 2 / (len(text) + 50), float(((bad - good) / (bad + good)).min())
+        good, bad = (sum(len(c.compress(p)) for p in parts) for c in self.by)
+        return (bad - good) / (bad + good)
 
 
 @dataclass(frozen=True)
 class QualityModel:
+    """The score of a difference x is 1 / (1 + exp(-(bias + slope * x)))."""
+
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
-    centre: tuple[float, ...]
-    scale: tuple[float, ...]
+    bias: float
+    slope: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        w = np.array(self.weights)
-        return 1 / (1 + np.exp(-np.clip(w[0] + ((x - self.centre) / self.scale) @ w[1:], -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * x, -50, 50)))
 
 
 def fit(texts: list[bytes], good: np.ndarray, counts: tuple[int, int]) -> QualityModel:
@@ -77,26 +77,25 @@ def fit(texts: list[bytes], good: np.ndarray, counts: tuple[int, int]) -> Qualit
     order = [np.flatnonzero(good == v) for v in (1, 0)]
     if not all(len(x) for x in order):
         p = (counts[0] + 1) / (sum(counts) + 2)
-        return QualityModel(b"\0" * 16, b"\0" * 16, (float(np.log(p / (1 - p))), 0.0, 0.0, 0.0), (0.0,) * 3, (1.0,) * 3)
+        return QualityModel(b"\0" * 16, b"\0" * 16, float(np.log(p / (1 - p))), 0.0)
     cut = [max(1, 2 * len(x) // 3) for x in order]
     dictionaries = [_dictionary([texts[i] for i in x[:c]]) for x, c in zip(order, cut, strict=True)]
-    rest = np.concatenate([x[c:] if c < len(x) else x for x, c in zip(order, cut, strict=True)])
-    stands = np.repeat([k / (len(x) - c or len(x)) for k, x, c in zip(counts, order, cut, strict=True)], [len(x) - c or len(x) for x, c in zip(order, cut, strict=True)])
+    rest = [x[c:] if c < len(x) else x for x, c in zip(order, cut, strict=True)]
+    stands = np.concatenate([np.full(len(r), k / len(r)) for r, k in zip(rest, counts, strict=True)])
     stands *= len(stands) / stands.sum()
-    sizes = _Sizes(*dictionaries)
-    x, y = np.array([sizes.features(texts[i]) for i in rest]), good[rest].astype(float)
-    centre, scale = x.mean(0), x.std(0) + 1e-9
-    z, w = np.c_[np.ones(len(x)), (x - centre) / scale], np.zeros(4)
-    ridge = np.diag([1e-6, 0.05, 0.05, 0.05])
+    sizes, rest = _Sizes(*dictionaries), np.concatenate(rest)
+    x, y = np.array([sizes.difference(texts[i]) for i in rest]), good[rest].astype(float)
+    spread = x.std() + 1e-9
+    z, w, ridge = np.c_[np.ones(len(x)), x / spread], np.zeros(2), np.diag([1e-6, 0.05])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
         w += np.linalg.solve((z * (stands * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (stands * (y - p)) - ridge @ w)
-    return QualityModel(*dictionaries, tuple(w.tolist()), tuple(centre.tolist()), tuple(scale.tolist()))
+    return QualityModel(*dictionaries, float(w[0]), float(w[1] / spread))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray, tuple[int, int]]:
-    """At most ``rows`` of each label, by a hash of their ids; their texts have SAMPLE_BYTES at most. Also how many rows have
-    each label (good, bad) in all, held-out ones aside."""
+    """At most ``rows`` labels of each kind, by a hash of their ids, and of their texts (of SAMPLE_BYTES at most) the first 4 * rows
+    where ids repeat. Also how many rows have each label (good, bad) in all, held-out ones aside."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit("quality"), "doc_id")
     parts = [known.where(F.col("quality") == v).orderBy(order, "doc_id").limit(rows) for v in (0, 1)]
@@ -117,8 +116,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRES
         m = shared.value
         sizes = _Sizes(m.good, m.bad)
         for batch in batches:
-            x = np.array([sizes.features(t.as_buffer().to_pybytes()) for t in batch.column(2)]).reshape(-1, 3)
-            score = m.score(x)
+            score = m.score(np.array([sizes.difference(t.as_buffer().to_pybytes()) for t in batch.column(2)], float))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "score": score, "predicted": (score >= threshold).astype(np.int32)})
 
     return text_of(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
