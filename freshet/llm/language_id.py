@@ -6,9 +6,12 @@ are learned by follow-the-regularised-leader with an elastic-net penalty, one ro
 rows of each language; a temperature fitted on rows put aside, weighted by the languages' counts over all training rows,
 calibrates the probabilities.
 
-Defined results: a null text, or one without letters, is ``und`` with score 1; equal texts get equal results; a row
-without doc_id is held out; without any training row all is ``und`` with score 0; an empty table gives an empty result;
-extra columns are not read.
+The rows learned from, languages x rows at most, and the model, features x languages, are held by the driver and each task: both
+grow with the number of languages, not with the documents.
+
+Defined results: a null text, or one without letters, is ``und`` with score 1; a very long text counts whole, in one task; equal
+texts get equal results; a row without doc_id is held out; without any training row all is ``und`` with score 0; an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TextBlock, text_blocks, text_of
+from .common import TextBlock, durable, text_blocks, text_of
 
-#: Bounds of the training sample: rows of each language, bytes of a text in it, and languages (the most frequent).
-SAMPLE_ROWS, SAMPLE_BYTES, LANGUAGES = 600, 65_536, 200
+#: Bounds of the training sample: rows of each language, and bytes of a text in it. Every language is learned.
+SAMPLE_ROWS, SAMPLE_BYTES = 600, 65_536
 BITS = 15
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 3
 
@@ -181,15 +184,14 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 def identify_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Learn from the rows that are not held out and have a language, then predict for all."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return predict_language(docs, None)
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, rows / n))]), F.col("lang"))
-    share = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    small = known.where((share < rate) & (F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES))
-    sample = small.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").limit(2 * rows * len(counts)).toPandas().sort_values(["doc_id", "text"])
+    counts = durable(known.groupBy("lang").count(), "languages")
+    share = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    small = known.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
+    near = small.join(counts, "lang").where(share < F.least(F.lit(1.0), 1.5 * rows / F.col("count")))  # about half more than asked for
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(share, "doc_id", "text"))
+    sample = near.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", first.alias("first")).where(F.col("first") <= rows).drop("first").toPandas().sort_values(["doc_id", "text"])
     if not len(sample):
         return predict_language(docs, None)
     have, n = document_frequency(text_of(known))
     idf = np.log((1.0 + n) / (1.0 + have)) + 1.0
-    return predict_language(docs, fit(sample["text"].tolist(), sample["lang"].tolist(), idf, dict(map(tuple, counts))))
+    return predict_language(docs, fit(sample["text"].tolist(), sample["lang"].tolist(), idf, dict(map(tuple, counts.collect()))))
