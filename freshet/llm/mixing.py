@@ -1,23 +1,26 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations.
 
-Token mass is raked to source, language and topic marginals: a document's factor is a[source] * b[lang] * c[topic], and
-the mass so weighted has the target shares and sums to the asked share of all tokens. Documents are kept with probability
-min(1, factor); the draw is a hash of the document's id, so it repeats. Where factors above 1 would move the shares, the
-fit goes on under that bound: such cells count as kept whole, and the others are fitted to what is left of each target,
-until all margins hold within TOLERANCE. A class whose target exceeds all it has is kept whole, and the others share the
-rest in proportion; ``margins`` lists targets and expected shares, which differ where no probabilities meet all targets.
+Token mass is raked to source, language and topic marginals under the bound that nothing is kept more than once: a document
+is kept with probability min(1, a[source] * b[lang] * c[topic]), and the mass so kept has the target shares and sums to the
+asked share of all tokens. A round solves each source's factor exactly, then moves the languages' and topics' factors;
+rounds end when all margins hold within TOLERANCE, or after ROUNDS. A class whose target exceeds all it has is kept whole,
+and the others share the rest in proportion; ``margins`` lists targets and expected shares, which differ where no
+probabilities meet all targets. The draw is a hash of the document's id and text, so it repeats.
 
-Sources may be many: they stay in a table with a row each, and a round of fitting is one aggregation over it that
-returns languages x topics sums. Languages and topics are lists given by the caller; what is not listed is ``other``.
+Target shares are given class by class, or made from the classes' own tokens. Sources may be many: they stay in a table with a
+row each, and a round of fitting is one aggregation over it that returns languages x topics sums. Languages and topics
+are lists given by the caller, as is the expression that tells a text's topic; a language that is not listed is ``other``.
 
 Defined results: a null text has no tokens; null or unlisted languages are ``other``; a null source is a source of its
-own; a class without tokens has no share; rows without tokens keep the weight of their cell, or 1 if their cell has
-none; equal rows get equal results; an empty table gives an empty result; extra columns are not read by the query and
-kept by ``sample_mixture``.
+own; a class without tokens, or that given shares leave out, has the target 0; rows without tokens keep the weight of
+their cell, or 1 if their cell has none; a very long text counts whole; equal rows get equal results, and rows of one
+doc_id with different texts, or without doc_id, are drawn apart; an empty table gives an empty result; extra columns are
+not read by the query and kept by ``sample_mixture``, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,23 +28,25 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Rounds of fitting without a bound (CAP_ROUNDS: only in the SQL, which rescales under the cap of 1 instead of fitting on).
-ROUNDS, CAP_ROUNDS = 12, 12
-#: Rounds of fitting under the bound of 1 at most, and the error of a share at which they end.
-BOUND_ROUNDS, TOLERANCE = 60, 1e-4
+#: Rounds of fitting at most, and the error of all margins, as a share of what is asked for, at which they end.
+ROUNDS, TOLERANCE = 40, 1e-12
 LANGS = ("de", "en", "es", "fr", "other")
 TOPICS = ("contact", "licence", "short", "prose")
 
 
 @dataclass(frozen=True)
 class Target:
-    """Shares to reach: a class's tokens to the power ``flatten``, scaled to 1 (1 leaves the shares as they are, 0 evens
-    them out). ``share``: the share of all tokens to keep."""
+    """Shares to reach. ``sources``, ``langs``, ``topics``: weight by class, scaled to 1; where they are not given, a class's tokens
+    to the power ``flatten``, scaled to 1 (1 leaves the shares as they are, 0 evens them out). ``share``: the share of all
+    tokens to keep."""
 
     source_flatten: float = 0.7
     lang_flatten: float = 0.7
     topic_flatten: float = 0.9
     share: float = 0.7
+    sources: Mapping[str, float] | None = None
+    langs: Mapping[str, float] | None = None
+    topics: Mapping[str, float] | None = None
 
 
 def tokens_of(text: Column) -> Column:
@@ -57,26 +62,27 @@ def lang_of(lang: Column, langs: tuple[str, ...] = LANGS) -> Column:
     return F.when(lang.isin(*langs), lang).otherwise("other")
 
 
-def with_classes(docs: DataFrame, langs: tuple[str, ...] = LANGS) -> DataFrame:
-    """``docs`` with freshet_source, freshet_lang, freshet_tokens and freshet_topic."""
-    text = F.coalesce("text", F.lit(""))
-    counted = docs.withColumns({"freshet_source": F.coalesce("source", F.lit("(none)")), "freshet_lang": lang_of(F.col("lang"), langs), "freshet_tokens": tokens_of(text)})
-    return counted.withColumn("freshet_topic", topic_of(text, F.col("freshet_tokens")))
+def with_classes(docs: DataFrame, langs: tuple[str, ...] = LANGS, topic: Callable[[Column, Column], Column] = topic_of) -> DataFrame:
+    """(row, source, lang, tokens, topic): the whole row of ``docs`` as a struct, and its classes."""
+    text, source, lang = (F.col("row").getField(c) for c in ("text", "source", "lang"))
+    text = F.coalesce(text, F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.coalesce(source, F.lit("(none)")).alias("source"), lang_of(lang, langs).alias("lang"), tokens_of(text).alias("tokens"))
+    return rows.withColumn("topic", topic(text, F.col("tokens")))
 
 
-def _shares(mass: list[float], flatten: float) -> list[float]:
-    powers = [m**flatten if m > 0 else 0.0 for m in mass]
+def _shares(mass: list[float], flatten: float, given: Mapping[str, float] | None, names: tuple[str, ...]) -> list[float]:
+    powers = [0.0 if m <= 0 else m**flatten if given is None else given.get(name, 0.0) for name, m in zip(names, mass, strict=True)]
     total = sum(powers) or 1.0
     return [p / total for p in powers]
 
 
-def _factor(b: list[float], c: list[float], scale: float, flatten: float) -> Column:
-    """a[source] from its ``own`` tokens and its cells ``m`` (languages x topics, in order): the least with which the sum of
-    m * min(1, a * b * c) is the source's target. That sum is the least of the lines that keep the cells of largest b * c
-    whole, so a is the largest of the lines' solutions."""
-    bc = [x * y for x in b for y in c]
-    cells = F.array(*[F.struct(F.col("m")[i].alias("m"), F.lit(bc[i]).alias("q")) for i in sorted(range(len(bc)), key=bc.__getitem__)])
-    short = F.least("own", F.lit(scale) * F.pow("own", F.lit(flatten))) - F.col("own")
+def _factor(b: list[float], c: list[float]) -> Column:
+    """a[source] from its ``own`` tokens, its target ``want`` and its cells ``m`` (languages x topics, in order): the least with which
+    the sum of m * min(1, a * b * c) is the target. That sum is the least of the lines that keep the cells of largest
+    b * c whole, so a is the largest of the lines' solutions."""
+    cells = F.array_sort(F.zip_with(F.lit([x * y for x in b for y in c]), "m", lambda q, m: F.struct(q.alias("q"), m.alias("m"))))
+    short = F.col("want") - F.col("own")
 
     def step(x: Column, y: Column) -> Column:
         free, slope = x["free"] + y["m"], x["slope"] + y["m"] * y["q"]
@@ -98,100 +104,113 @@ def _within(shares: list[float], mass: list[float], asked: float) -> list[float]
     return out
 
 
-def _source_scale(cells: DataFrame, powers: float, asked: float, flatten: float) -> float:
-    """The scale with which the sources' targets, min(own, scale * own ** flatten), sum to ``asked``."""
-    scale, power = asked / powers, F.pow("own", F.lit(flatten))
+def _source_targets(cells: DataFrame, target: Target, asked: float) -> DataFrame:
+    """``cells`` with each source's target ``want``: min(own, scale * power), where the scale makes them sum to ``asked``. The sources
+    that are kept whole only grow in number, so few rounds of one sum each find it."""
+    if target.sources is None:
+        power = F.pow("own", F.lit(target.source_flatten))
+    else:
+        power = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for name, share in target.sources.items() for x in (name, float(share))]), F.col("source")), F.lit(0.0))
+    power = F.when(F.col("own") > 0, power).otherwise(0.0)
+    scale = 0.0
     while True:
         whole = F.lit(scale) * power > F.col("own")
-        row = cells.where("own > 0").agg(F.sum(F.when(whole, F.col("own")).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(power))).collect()[0]
-        new = (asked - row[0]) / row[1] if row[0] and row[1] else scale
+        row = cells.agg(F.sum(F.when(whole, F.col("own")).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(power))).collect()[0]
+        new = (asked - row[0]) / row[1] if row[1] else scale
         if new <= scale * (1 + 1e-12):
-            return scale
+            return cells.withColumn("want", F.least("own", F.lit(scale) * power))
         scale = new
 
 
-def fitted(cells: DataFrame, langs: tuple[str, ...], topics: tuple[str, ...], target: Target) -> tuple[list[float], list[float], float]:
-    """(b by language, c by topic, the scale of the sources' targets) for ``cells``: a row a source (own, m)."""
+@dataclass(frozen=True)
+class Fit:
+    """Factors by language and topic; ``sources``: (source, own, m, want). ``error``: the margins' largest miss, as a share of what is
+    asked for, at the last round."""
+
+    b: list[float]
+    c: list[float]
+    sources: DataFrame
+    rounds: int
+    error: float
+
+
+def fitted(cells: DataFrame, langs: tuple[str, ...], topics: tuple[str, ...], target: Target) -> Fit:
+    """The factors for ``cells``: a row a source (source, own, m)."""
     L, T = range(len(langs)), range(len(topics))
     n, w = len(langs) * len(topics), len(topics)
-    first = cells.agg(F.sum(F.when(F.col("own") > 0, F.pow("own", F.lit(target.source_flatten)))), *[F.sum(F.col("m")[i]) for i in range(n)]).collect()[0]
-    mass = [x or 0.0 for x in first[1:]]
-    total = sum(mass)
-    if not total:
-        return [1.0] * len(langs), [1.0] * len(topics), 1.0
-    powers, asked = first[0], min(1.0, target.share) * total
+    mass = [x or 0.0 for x in cells.agg(*[F.sum(F.col("m")[i]) for i in range(n)]).collect()[0]]
+    b, c, asked = [1.0] * len(langs), [1.0] * len(topics), min(1.0, target.share) * sum(mass)
+    if not asked:
+        return Fit(b, c, cells.withColumn("want", F.lit(0.0)), 0, 0.0)
     of_lang, of_topic = [sum(mass[i * w + j] for j in T) for i in L], [sum(mass[i * w + j] for i in L) for j in T]
-    to_lang, to_topic = _shares(of_lang, target.lang_flatten), _shares(of_topic, target.topic_flatten)
-    b, c = [1.0] * len(langs), [1.0] * len(topics)
-    for _ in range(ROUNDS):
-        a = F.when(F.col("own") > 0, F.pow("own", F.lit(target.source_flatten)) / F.lit(powers) / sum((F.col("m")[i * w + j] * (b[i] * c[j]) for i in L for j in T), F.lit(0.0)))
-        row = cells.select("m", a.alias("a")).agg(*[F.sum(F.col("a") * F.col("m")[i]) for i in range(n)]).collect()[0]
-        m = [x or 0.0 for x in row]
-        for i in L:
-            s = sum(m[i * w + j] * c[j] for j in T)
-            b[i] = to_lang[i] / s if s else 1.0
-        for j in T:
-            s = sum(m[i * w + j] * b[i] for i in L)
-            c[j] = to_topic[j] / s if s else 1.0
-    scale = _source_scale(cells, powers, asked, target.source_flatten)
-    to_lang, to_topic = _within(to_lang, of_lang, asked), _within(to_topic, of_topic, asked)
+    to_lang = _within(_shares(of_lang, target.lang_flatten, target.langs, langs), of_lang, asked)
+    to_topic = _within(_shares(of_topic, target.topic_flatten, target.topics, topics), of_topic, asked)
+    sources = _source_targets(cells, target, asked)
 
     def moved(x: float, to: float, whole: float, free: float) -> float:
         """A factor that brings whole + factor * free to its target; halved where the whole cells alone are above it."""
-        if not to or not free and whole <= to:
+        if not to:
+            return 0.0
+        if not free and whole <= to:
             return x
         return (to - whole) / free if free and to > whole else x / 2
 
-    for _ in range(BOUND_ROUNDS):
+    error, rounds = 1.0, 0
+    while rounds < ROUNDS:
+        rounds += 1
         bc = [x * y for x in b for y in c]
-        weighed = cells.select("m", _factor(b, c, scale, target.source_flatten).alias("a"))
-        over = [F.col("a") * bc[i] >= 1 for i in range(n)]
-        row = weighed.agg(*[F.sum(F.when(over[i], F.col("m")[i])) for i in range(n)], *[F.sum(F.when(~over[i], F.col("a") * F.col("m")[i])) for i in range(n)]).collect()[0]
-        whole, free = [x or 0.0 for x in row[:n]], [x or 0.0 for x in row[n:]]
+        # Cells as rows and factors as arrays: a round's plan is small, and its code the same as that of the round before.
+        cell = F.zip_with("m", F.lit(bc), lambda m, q: F.struct(m.alias("m"), (q * F.col("a")).alias("q")))
+        each = sources.select("m", _factor(b, c).alias("a")).select("a", F.posexplode(cell).alias("i", "cell"))
+        m, over = F.col("cell.m"), F.col("cell.q") >= 1
+        sums = each.groupBy("i").agg(F.sum(F.when(over, m)).alias("whole"), F.sum(F.when(~over, F.col("a") * m)).alias("free")).collect()
+        whole, free = ([next((r[k] or 0.0 for r in sums if r["i"] == i), 0.0) for i in range(n)] for k in ("whole", "free"))
         kept = [whole[i] + free[i] * bc[i] for i in range(n)]
-        errors = [sum(kept[i * w + j] for j in T) - to_lang[i] for i in L] + [sum(kept[i * w + j] for i in L) - to_topic[j] for j in T]
-        if max(map(abs, errors)) <= TOLERANCE * asked:
+        misses = [sum(kept[i * w + j] for j in T) - to_lang[i] for i in L] + [sum(kept[i * w + j] for i in L) - to_topic[j] for j in T]
+        error = max(map(abs, misses)) / asked
+        if error <= TOLERANCE:
             break
         b = [moved(b[i], to_lang[i], sum(whole[i * w + j] for j in T), sum(free[i * w + j] * c[j] for j in T)) for i in L]
         c = [moved(c[j], to_topic[j], sum(whole[i * w + j] for i in L), sum(free[i * w + j] * b[i] for i in L)) for j in T]
-    return b, c, scale
-
-
-def weighted(docs: DataFrame, target: Target, langs: tuple[str, ...], topics: tuple[str, ...], salt: str) -> DataFrame:
-    """``docs`` with their classes, freshet_weight (the factor), freshet_prob and freshet_draw. Texts are not shuffled."""
-    rows = with_classes(docs, langs)
-    lang, topic, tokens = F.col("freshet_lang"), F.col("freshet_topic"), F.col("freshet_tokens")
-    in_cell = [(lang == x) & (topic == y) for x in langs for y in topics]
-    sums = rows.groupBy("freshet_source").agg(F.array(*[F.coalesce(F.sum(F.when(w, tokens)), F.lit(0.0)) for w in in_cell]).alias("m"), F.sum(tokens).alias("own"))
-    cells = durable(sums, "cells")
-    b, c, scale = fitted(cells, langs, topics, target)
-    factor = cells.select(F.col("freshet_source").alias("freshet_factor_of"), _factor(b, c, scale, target.source_flatten).alias("freshet_a"))
-    b_of = F.element_at(F.create_map(*[F.lit(x) for n, v in zip(langs, b, strict=True) for x in (n, v)]), lang)
-    c_of = F.element_at(F.create_map(*[F.lit(x) for n, v in zip(topics, c, strict=True) for x in (n, v)]), topic)
-    weight = F.coalesce(F.col("freshet_a") * b_of * c_of, F.lit(1.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    out = rows.join(factor, F.col("freshet_source") == F.col("freshet_factor_of"), "left")
-    return out.withColumn("freshet_weight", weight).withColumn("freshet_prob", F.least(F.lit(1.0), F.col("freshet_weight"))).withColumn("freshet_draw", draw)
-
-
-def mixture(docs: DataFrame, target: Target = Target(), langs: tuple[str, ...] = LANGS, topics: tuple[str, ...] = TOPICS, salt: str = "mix") -> DataFrame:
+    return Fit(b, c, sources, rounds, error)
+
+
+def weighted(docs: DataFrame, target: Target, langs: tuple[str, ...], topics: tuple[str, ...], salt: str, topic: Callable[[Column, Column], Column]) -> DataFrame:
+    """(row, source, lang, tokens, topic, weight, prob, draw) for each row of ``docs``. Texts are not shuffled unless the sources
+    are too many to be broadcast."""
+    rows = with_classes(docs, langs, topic)
+    in_cell = [(F.col("lang") == x) & (F.col("topic") == y) for x in langs for y in topics]
+    sums = rows.groupBy("source").agg(F.array(*[F.coalesce(F.sum(F.when(w, F.col("tokens"))), F.lit(0.0)) for w in in_cell]).alias("m"), F.sum("tokens").alias("own"))
+    fit = fitted(durable(sums, "cells"), langs, topics, target)
+    factor = fit.sources.select("source", _factor(fit.b, fit.c).alias("a"))
+    b_of = F.element_at(F.create_map(*[F.lit(x) for n, v in zip(langs, fit.b, strict=True) for x in (n, v)]), F.col("lang"))
+    c_of = F.element_at(F.create_map(*[F.lit(x) for n, v in zip(topics, fit.c, strict=True) for x in (n, v)]), F.col("topic"))
+    weight = F.coalesce(F.col("a") * b_of * c_of, F.lit(1.0))
+    named = F.concat(F.lit(f"{salt}:"), F.coalesce(F.col("row").getField("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("row").getField("text"), F.lit("")))
+    draw = F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    out = rows.join(factor, "source", "left")
+    return out.withColumn("weight", weight).withColumn("prob", F.least(F.lit(1.0), F.col("weight"))).withColumn("draw", draw)
+
+
+def mixture(docs: DataFrame, target: Target = Target(), langs: tuple[str, ...] = LANGS, topics: tuple[str, ...] = TOPICS, salt: str = "mix", topic: Callable[[Column, Column], Column] = topic_of) -> DataFrame:
     """Per row: doc_id, source, lang, topic, tokens, weight (the factor), prob, draw, sampled."""
-    out = weighted(docs.select("doc_id", "text", "source", "lang"), target, langs, topics, salt)
-    named = [F.col(f"freshet_{c}").alias(c) for c in ("source", "lang", "topic", "tokens", "weight", "prob", "draw")]
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), *named, (F.col("freshet_draw") < F.col("freshet_prob")).alias("sampled"))
+    out = weighted(docs.select("doc_id", "text", "source", "lang"), target, langs, topics, salt, topic)
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "prob", "draw", (F.col("draw") < F.col("prob")).alias("sampled"))
 
 
-def sample_mixture(docs: DataFrame, target: Target = Target(), langs: tuple[str, ...] = LANGS, topics: tuple[str, ...] = TOPICS, salt: str = "mix") -> DataFrame:
+def sample_mixture(docs: DataFrame, target: Target = Target(), langs: tuple[str, ...] = LANGS, topics: tuple[str, ...] = TOPICS, salt: str = "mix", topic: Callable[[Column, Column], Column] = topic_of) -> DataFrame:
     """The sampled rows of ``docs``, all columns."""
-    return weighted(docs, target, langs, topics, salt).where("freshet_draw < freshet_prob").select(docs.columns)
+    return weighted(docs, target, langs, topics, salt, topic).where("draw < prob").select("row.*")
 
 
-def margins(docs: DataFrame, target: Target = Target(), langs: tuple[str, ...] = LANGS, topics: tuple[str, ...] = TOPICS) -> DataFrame:
+def margins(docs: DataFrame, target: Target = Target(), langs: tuple[str, ...] = LANGS, topics: tuple[str, ...] = TOPICS, topic: Callable[[Column, Column], Column] = topic_of) -> DataFrame:
     """(kind, class, tokens, target, reached): each class's share of the sampled tokens, as asked for and as expected."""
-    rows = durable(mixture(docs, target, langs, topics), "mixture")
+    rows = durable(mixture(docs, target, langs, topics, topic=topic), "mixture")
     parts = []
-    for kind, flatten in (("source", target.source_flatten), ("lang", target.lang_flatten), ("topic", target.topic_flatten)):
+    for kind, flatten, given in (("source", target.source_flatten, target.sources), ("lang", target.lang_flatten, target.langs), ("topic", target.topic_flatten, target.topics)):
         g = rows.groupBy(F.lit(kind).alias("kind"), F.col(kind).alias("class")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("prob")).alias("kept")).where("tokens > 0")
-        sums = g.agg(F.sum(F.pow("tokens", F.lit(flatten))).alias("powers"), F.sum("kept").alias("all_kept"))
-        parts.append(g.crossJoin(F.broadcast(sums)).select("kind", "class", "tokens", (F.pow("tokens", F.lit(flatten)) / F.col("powers")).alias("target"), (F.col("kept") / F.col("all_kept")).alias("reached")))
+        power = F.pow("tokens", F.lit(flatten)) if given is None else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in given.items() for x in (k, float(v))]), F.col("class")), F.lit(0.0))
+        g = g.withColumn("power", power)
+        sums = g.agg(F.sum("power").alias("powers"), F.sum("kept").alias("all_kept"))
+        parts.append(g.crossJoin(F.broadcast(sums)).select("kind", "class", "tokens", (F.col("power") / F.col("powers")).alias("target"), (F.col("kept") / F.col("all_kept")).alias("reached")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -55,33 +55,42 @@ JOIN (SELECT r.a AS rid, min(e.doc_id) AS component_id FROM reach r JOIN d e ON
 
 
 def _op1() -> str:
-    """Raking and the cap, round by round as CTEs, over cells of source, language and topic."""
-    from .mixing import CAP_ROUNDS, LANGS, ROUNDS, Target
+    """Raking under the bound of 1, round by round as CTEs, over cells of source, language and topic."""
+    from .mixing import LANGS, ROUNDS, Target
 
     t = Target()
     langs = ", ".join(f"'{x}'" for x in LANGS)
     out = f"""WITH r AS MATERIALIZED (SELECT doc_id, coalesce(source, '(none)') AS source, CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END AS lang, len({WORDS})::DOUBLE AS tokens, coalesce(text, '') AS text FROM documents),
-f AS MATERIALIZED (SELECT * EXCLUDE text, CASE WHEN contains(text, '@') OR contains(text, '://') THEN 'contact' WHEN contains(text, 'License') THEN 'licence' WHEN tokens < 100 THEN 'short' ELSE 'prose' END AS topic FROM r),
-c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS m FROM f GROUP BY ALL), tot AS (SELECT sum(m) AS total FROM c)"""
+f AS MATERIALIZED (SELECT *, CASE WHEN contains(text, '@') OR contains(text, '://') THEN 'contact' WHEN contains(text, 'License') THEN 'licence' WHEN tokens < 100 THEN 'short' ELSE 'prose' END AS topic FROM r),
+c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS m FROM f GROUP BY ALL HAVING sum(tokens) > 0), tot AS (SELECT {t.share} * sum(m) AS asked FROM c)"""
+    # A class's target is its power's share, or all it has; what it lacks goes to the others. As many rounds as classes may fill up.
     for name, col, power in (("s", "source", t.source_flatten), ("l", "lang", t.lang_flatten), ("t", "topic", t.topic_flatten)):
-        out += f",\n{name}w AS MATERIALIZED (SELECT {col}, pow(sum(m), {power}) / sum(pow(sum(m), {power})) OVER () AS w FROM c GROUP BY {col} HAVING sum(m) > 0)"
+        out += f",\n{name}0 AS MATERIALIZED (SELECT {col}, sum(m) AS own, pow(sum(m), {power}) AS p, false AS whole FROM c GROUP BY {col})"
+        for i in range(1, 9):
+            out += f",\n{name}{i} AS MATERIALIZED (SELECT {col}, own, p, whole OR p * (asked - sum(CASE WHEN whole THEN own ELSE 0 END) OVER ()) / sum(CASE WHEN whole THEN 0 ELSE p END) OVER () > own AS whole FROM {name}{i - 1}, tot)"
+        out += f",\n{name}w AS MATERIALIZED (SELECT {col}, own, CASE WHEN whole THEN own ELSE p * (asked - sum(CASE WHEN whole THEN own ELSE 0 END) OVER ()) / sum(CASE WHEN whole THEN 0 ELSE p END) OVER () END AS want FROM {name}8, tot)"
     out += ",\nb0 AS (SELECT lang, 1.0::DOUBLE AS b FROM lw), c0 AS (SELECT topic, 1.0::DOUBLE AS c FROM tw)"
-    for i in range(1, ROUNDS + 1):
-        out += f""",
-a{i} AS MATERIALIZED (SELECT source, any_value(w) / sum(m * b * c) AS a FROM c JOIN sw USING (source) JOIN b{i - 1} USING (lang) JOIN c{i - 1} USING (topic) GROUP BY source),
-b{i} AS MATERIALIZED (SELECT lang, any_value(w) / sum(a * m * c) AS b FROM c JOIN lw USING (lang) JOIN a{i} USING (source) JOIN c{i - 1} USING (topic) GROUP BY lang),
-c{i} AS MATERIALIZED (SELECT topic, any_value(w) / sum(a * m * b) AS c FROM c JOIN tw USING (topic) JOIN a{i} USING (source) JOIN b{i} USING (lang) GROUP BY topic)"""
-    n = ROUNDS
-    out += f""",
-a AS MATERIALIZED (SELECT source, any_value(w) / sum(m * b * c) AS a FROM c JOIN sw USING (source) JOIN b{n} USING (lang) JOIN c{n} USING (topic) GROUP BY source),
-x AS MATERIALIZED (SELECT source, lang, topic, m, a * b * c AS f FROM c JOIN a USING (source) JOIN b{n} USING (lang) JOIN c{n} USING (topic)),
-k0 AS (SELECT {t.share} * total AS k FROM tot)"""
-    for i in range(1, CAP_ROUNDS + 1):
-        out += f",\nk{i} AS MATERIALIZED (SELECT any_value(k) * any_value({t.share} * total) / sum(m * least(1, k * f)) AS k FROM x, k{i - 1}, tot)"
-    draw = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
-    return out + f"""
-SELECT doc_id, source, lang, topic, tokens, round(coalesce(k * x.f, 1), 6) AS weight, round(least(1, coalesce(k * x.f, 1)), 6) AS prob, round({draw}, 6) AS draw, {draw} < least(1, coalesce(k * x.f, 1)) AS sampled
-FROM f LEFT JOIN x USING (source, lang, topic), k{CAP_ROUNDS}"""
+
+    def factors(i: int) -> str:
+        return f"""
+q{i} AS MATERIALIZED (SELECT source, lang, topic, m, b, c, own, want, b * c AS q FROM c JOIN sw USING (source) JOIN b{i} USING (lang) JOIN c{i} USING (topic)),
+a{i} AS MATERIALIZED (SELECT source, greatest(0, max(CASE WHEN slope > 0 THEN (want - own + free) / slope ELSE 0 END)) AS a FROM (SELECT source, own, want, sum(m) OVER w AS free, sum(m * q) OVER w AS slope FROM q{i} WINDOW w AS (PARTITION BY source ORDER BY q ROWS UNBOUNDED PRECEDING)) GROUP BY source)"""
+
+    def moved(x: str) -> str:
+        whole, free, at_bound = "sum(CASE WHEN over THEN m ELSE 0 END)", "sum(CASE WHEN over THEN 0 ELSE am END)", f"any_value({x})"
+        return f"CASE WHEN {free} = 0 AND {whole} <= any_value(want) THEN {at_bound} WHEN {free} > 0 AND any_value(want) > {whole} THEN (any_value(want) - {whole}) / {free} ELSE {at_bound} / 2 END"
+
+    for i in range(1, ROUNDS):
+        out += f""",{factors(i - 1)},
+x{i} AS MATERIALIZED (SELECT lang, topic, m, b, c, a * m AS am, a * q >= 1 AS over FROM q{i - 1} JOIN a{i - 1} USING (source)),
+b{i} AS MATERIALIZED (SELECT lang, {moved('b')} AS b FROM (SELECT lang, m, b, am * c AS am, over FROM x{i}) JOIN lw USING (lang) GROUP BY lang),
+c{i} AS MATERIALIZED (SELECT topic, {moved('c')} AS c FROM (SELECT topic, m, c, am * b{i}.b AS am, over FROM x{i} JOIN b{i} USING (lang)) JOIN tw USING (topic) GROUP BY topic)"""
+    n = ROUNDS - 1
+    draw = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || text), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+    weight = "coalesce(a.a * z.b * z.c, 1)"
+    return out + f""",{factors(n)}
+SELECT doc_id, f.source, f.lang, f.topic, tokens, round({weight}, 6) AS weight, round(least(1, {weight}), 6) AS prob, round({draw}, 6) AS draw, {draw} < least(1, {weight}) AS sampled
+FROM f LEFT JOIN a{n} a USING (source) LEFT JOIN (SELECT lang, topic, b, c FROM b{n}, c{n}) z USING (lang, topic)"""
 
 
 ORACLES |= {"op1_mixing": _op1(), "op4_exact_topk": _OP4, "op8_ngram_jaccard_join": _OP8}
