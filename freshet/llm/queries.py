@@ -18,7 +18,7 @@ from .quality_rules import quality_cascade
 from .ring_sharding import shard_documents
 from .sql import ORACLES
 from .suffix_dedup import dedup_report
-from .tool_calls import TOOLS, derived_calls, link_tool_calls
+from .tool_calls import TOOLS, calls_of_turns, link_tool_calls
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results, refs = derived_calls(read_table(spark, sf_dir, "conversations"))
-    return link_tool_calls(calls, results, refs, TOOLS)
+    calls, results, refs, context = calls_of_turns(read_table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, refs, TOOLS, context)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

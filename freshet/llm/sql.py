@@ -95,20 +95,25 @@ FROM f LEFT JOIN a{n} a USING (source) LEFT JOIN (SELECT lang, topic, b, c FROM
 
 ORACLES |= {"op1_mixing": _op1(), "op4_exact_topk": _OP4, "op8_ngram_jaccard_join": _OP8}
 
+# The given conversations hold plain turns only, so turns that are JSON calls have no part here.
 _OP6 = r"""
 WITH RECURSIVE said AS (SELECT conv_id, turn, 'call_' || turn AS call_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'assistant'),
 calls AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'unknown' WHEN n % 2 = 0 THEN 'search' ELSE 'summarise' END AS name, CASE WHEN turn >= 3 THEN '"after":"call_' || (turn - 2) || '",' ELSE '' END AS after FROM said),
-answers AS (SELECT conv_id, 'call_' || (turn - 1) AS call_id, min({'t': turn, 'c': coalesce(text, '')}) AS a, count(*) AS n_results FROM conversations WHERE role = 'user' GROUP BY ALL),
-level AS (SELECT conv_id, turn, 0 AS level FROM (SELECT DISTINCT conv_id, turn FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2 AND c.turn >= 3))
-  UNION SELECT c.conv_id, c.turn, level + 1 FROM level l JOIN calls c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2 AND c.turn >= 3),
+answers AS (SELECT conv_id, 'call_' || (turn - 1) AS call_id, min({'t': turn, 'c': coalesce(text, '')}) AS a, count(*) AS n_results FROM conversations WHERE role IN ('user', 'tool') GROUP BY ALL),
+refs AS (SELECT DISTINCT c.conv_id, c.turn, p.turn AS up FROM calls c JOIN calls p ON p.conv_id = c.conv_id AND (p.turn = c.turn - 2 AND c.turn > 2 OR p.turn = c.turn - 4 AND c.turn > 4)),
+paths AS (SELECT DISTINCT conv_id, turn, 0 AS steps FROM calls c WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.conv_id = c.conv_id AND r.turn = c.turn)
+  UNION SELECT r.conv_id, r.turn, steps + 1 FROM paths p JOIN refs r ON r.conv_id = p.conv_id AND r.up = p.turn),
+level AS (SELECT conv_id, turn, max(steps) AS level FROM paths GROUP BY ALL),
 x AS (SELECT calls.*, level.level, a, n_results, count(*) OVER (PARTITION BY calls.conv_id, calls.call_id) > 1 AS id_repeated,
-  CASE WHEN name = 'unknown' THEN 'unknown tool' WHEN name = 'search' AND n < 60 THEN 'query: missing' ELSE '' END AS errors,
-  CASE WHEN name = 'summarise' THEN '{' || after || '"text":' || to_json(text) || ',"words":' || len(regexp_extract_all(text, '\S+')) || '}' ELSE '{' || after || '"limit":' || (n % 50) || CASE WHEN n >= 60 THEN ',"query":' || to_json(substr(text, 1, 40)) ELSE '' END || '}' END AS arguments
+  CASE WHEN name = 'unknown' THEN 'unknown tool' WHEN name = 'search' AND n < 60 THEN 'limit: missing' ELSE '' END AS errors,
+  CASE WHEN name = 'summarise' THEN '{' || after || '"text":' || to_json(text) || ',"words":' || len(regexp_extract_all(text, '\S+')) || '}' ELSE '{' || after || CASE WHEN n >= 60 THEN '"limit":' || (n % 50) || ',' ELSE '' END || '"query":' || to_json(text) || '}' END AS arguments
   FROM calls JOIN level USING (conv_id, turn) LEFT JOIN answers USING (conv_id, call_id))
 SELECT conv_id, turn, call_id, name, level, CASE WHEN n_results IS NULL THEN 'no_result' ELSE 'linked' END AS status, errors = '' AS valid, errors, coalesce(n_results, 0) AS n_results, id_repeated,
   '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","result":' || CASE WHEN n_results IS NULL THEN '{}' ELSE '{"content":' || to_json(a.c) || ',"turn":' || a.t || '}' END || '}' AS line FROM x
 UNION ALL SELECT conv_id, a.t, call_id, NULL, NULL, 'orphan', false, 'no call', n_results, false, '{"id":"' || call_id || '","result":{"content":' || to_json(a.c) || ',"turn":' || a.t || '}}'
 FROM answers WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = answers.conv_id AND c.call_id = answers.call_id)
+UNION ALL SELECT conv_id, turn, NULL, NULL, NULL, 'context', true, '', 0, false, '{"content":' || to_json(coalesce(text, '')) || CASE WHEN role IS NULL THEN '' ELSE ',"role":' || to_json(role) END || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('assistant', 'user', 'tool')
 """
 
 ORACLES |= {"op6_chat_formatting": _OP6}

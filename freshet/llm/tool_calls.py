@@ -1,14 +1,17 @@
 """Chat formatting: linking tool calls to their results, in DataFrame operations.
 
 Calls and results meet in a hash join by conversation and identifier. Calls are ordered topologically: level 0 refers to no
-other call of its conversation, level k + 1 to calls of level k at most. Where each call refers to one other at most, rounds
-double the distance they look; else each round takes away the references that are settled, one level a round. Arguments are validated against the tools'
-schemas. Each call becomes one line of canonical JSON: keys in order at every depth, no spaces.
+other call of its conversation, level k + 1 to calls of level k at most. Calls that refer to one other at most form chains;
+rounds double the distance that a call looks along its chain, down to a call with no or several references. Only calls
+with several references are then settled one after the other, so the number of rounds is the logarithm of the longest
+chain and the depth of such calls. Arguments are validated against the tools' schemas. Each call becomes one line of
+canonical JSON: keys in order at every depth, no spaces.
 
 Defined results: a call id without a result is ``no_result``, a result without a call ``orphan``; of several results of an
 id the first by turn (then content) counts, and n_results tells how many there are; repeated calls each get the result,
 and id_repeated is true; calls in or after a cycle have no level; null or broken arguments are ``not JSON``; null ids
-link with nothing; empty tables give empty results. A conversation is never gathered in one place.
+link with nothing; turns of a system, or of no known role, are ``context``; a very long text is in its lines whole; empty
+tables give empty results; extra columns are not read. A conversation is never gathered in one place.
 """
 
 from __future__ import annotations
@@ -39,48 +42,68 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return F.when(parsed.isNull(), F.array(F.lit("not JSON"))).when(~F.schema_of_variant(parsed).startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(out)
 
 
-def _chain_levels(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """Levels where a call refers to one other at most: each round every call looks as far again along its chain, so a chain of n
-    calls takes about log n rounds. Chains that never end, in a cycle, have no level."""
-    jump = durable(nodes.join(refs, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.col("ref").alias("up"), F.when(F.col("ref").isNull(), 0).otherwise(1).alias("level")), "level")
+#: Rounds over calls with several references between two written tables.
+UNROLLED = 3
+
+
+def _chain_ends(nodes: DataFrame, single: DataFrame, ends: DataFrame) -> DataFrame:
+    """(conv_id, call_id, up, away): the call of ``ends`` to which a chain of ``single`` references leads, and how far it is; ``up`` is
+    null if the chain ends in a call without references. Chains that never end, in a cycle, are not returned."""
+    ids = ["conv_id", "call_id"]
+    stop = ends.select(*ids, F.lit(True).alias("stop"))
+    start = nodes.join(single, ids, "left").join(stop, ids, "left").select(*ids, F.when(F.col("stop").isNull(), F.col("ref")).alias("up"), "stop")
+    jump = durable(start.select(*ids, "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("away"), F.when(F.col("stop"), F.col("call_id")).alias("end")), "level")
     total, reach = jump.where("up is not null").count(), 1
     while total and reach <= 2 * total:
-        above = jump.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
-        jump = durable(jump.join(above, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "level")
+        above = jump.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("away").alias("more"), F.col("end").alias("its_end"))
+        jump = durable(jump.join(above.hint("shuffle_hash"), ["conv_id", "up"], "left").select(*ids, F.col("next").alias("up"), (F.col("away") + F.coalesce("more", F.lit(0))).alias("away"), F.coalesce("end", "its_end").alias("end")), "level")
         reach *= 2
         if jump.where("up is not null").limit(1).count() == 0:
             break
-    return jump.where("up is null").select("conv_id", "call_id", "level")
+    return jump.where("up is null").select(*ids, F.col("end").alias("up"), "away")
 
 
 def call_levels(calls: DataFrame, refs: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the calls that have one. refs: (conv_id, call_id, ref), a call and one it refers to."""
-    nodes = calls.select("conv_id", "call_id").where("conv_id is not null and call_id is not null").distinct()
+    ids = ["conv_id", "call_id"]
+    nodes = calls.select(*ids).where("conv_id is not null and call_id is not null").distinct()
     known = nodes.withColumnRenamed("call_id", "ref")
-    open_ = durable(refs.select("conv_id", "call_id", "ref").distinct().join(known, ["conv_id", "ref"], "left_semi").join(nodes, ["conv_id", "call_id"], "left_semi"), "refs")
-    if open_.groupBy("conv_id", "call_id").count().where("count > 1").limit(1).count() == 0:
-        return _chain_levels(nodes, open_)
-    settled = durable(nodes.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    out, level = settled, 0
+    open_ = durable(refs.select(*ids, "ref").distinct().join(known, ["conv_id", "ref"], "left_semi").join(nodes, ids, "left_semi"), "refs")
+    several = durable(open_.groupBy(*ids).count().where("count > 1").select(*ids), "several")
+    chain = durable(_chain_ends(nodes, open_.join(several, ids, "left_anti"), several), "chain")
+    if several.limit(1).count() == 0:
+        return chain.select(*ids, F.col("away").alias("level"))
+    # References of the calls with several: to such a call over `away` steps, or to the end of a chain (up is null).
+    reach = chain.select("conv_id", F.col("call_id").alias("ref"), "up", "away", F.lit(True).alias("ends"))
+    edges = durable(open_.join(several, ids, "left_semi").join(reach.hint("shuffle_hash"), ["conv_id", "ref"], "left").select(*ids, "up", F.when(F.col("ends"), F.col("away") + 1).alias("steps")), "edges")
+    settled = several.withColumn("level", F.lit(None).cast("int"))
+    before = 0
     while True:
-        rest = durable(open_.join(settled.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_anti"), "refs")
-        level += 1
-        settled = durable(open_.select("conv_id", "call_id").distinct().join(rest, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "level")
-        if settled.limit(1).count() == 0:
-            return out
-        out, open_ = out.unionByName(settled), rest
+        for _ in range(UNROLLED):
+            of = settled.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("up_level"))
+            here = F.when(F.col("up").isNull(), F.col("steps")).otherwise(F.col("steps") + F.col("up_level"))
+            settled = edges.join(of.hint("shuffle_hash"), ["conv_id", "up"], "left").groupBy(*ids).agg(F.when(F.count("*") == F.count(here), F.max(here)).cast("int").alias("level"))
+        settled = durable(settled, "settled")
+        done = settled.where("level is not null").count()
+        if done == before:
+            break
+        before = done
+    ends = settled.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("up_level"))
+    level = F.when(F.col("up").isNull(), F.col("away")).otherwise(F.col("away") + F.col("up_level"))
+    return chain.join(ends.hint("shuffle_hash"), ["conv_id", "up"], "left").select(*ids, level.alias("level")).where("level is not null")
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, refs: DataFrame, schemas: Schemas) -> DataFrame:
-    """calls: (conv_id, turn, call_id, name, arguments); results: (conv_id, turn, call_id, content).
+def link_tool_calls(calls: DataFrame, results: DataFrame, refs: DataFrame, schemas: Schemas, context: DataFrame | None = None) -> DataFrame:
+    """calls: (conv_id, turn, call_id, name, arguments); results: (conv_id, turn, call_id, content); context: (conv_id, turn, role,
+    content), turns that are neither.
 
-    Returns a row for each call and for each id of results without a call: conv_id, turn, call_id, name, level, status (linked,
-    no_result, orphan), valid, errors, n_results, id_repeated, line."""
+    Returns a row for each call, for each id of results without a call, and for each turn of context: conv_id, turn, call_id, name,
+    level, status (linked, no_result, orphan, context), valid, errors, n_results, id_repeated, line."""
     ids = ["conv_id", "call_id"]
     answer = results.groupBy(*ids).agg(F.min(F.struct("turn", "content")).alias("answer"), F.count("*").alias("n_results"))
     times = calls.groupBy(*ids).agg((F.count("*") > 1).alias("id_repeated"))
     errors = argument_errors(F.col("name"), F.col("arguments"), schemas)
-    linked = calls.join(times, ids, "left").join(answer, ids, "left").join(call_levels(calls, refs), ids, "left").withColumn("errors", errors)
+    linked = calls.join(times.hint("shuffle_hash"), ids, "left").join(answer.hint("shuffle_hash"), ids, "left").join(call_levels(calls, refs).hint("shuffle_hash"), ids, "left").withColumn("errors", errors)
     line = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.struct(F.col("answer.content").alias("content"), F.col("answer.turn").alias("turn")).alias("result")))
     rows = linked.select(
         "conv_id", "turn", "call_id", "name", "level", F.when(F.col("n_results").isNull(), "no_result").otherwise("linked").alias("status"), (F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"),
@@ -90,7 +113,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, refs: DataFrame, schem
         "conv_id", F.col("answer.turn").alias("turn"), "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit("orphan").alias("status"), F.lit(False).alias("valid"), F.lit("no call").alias("errors"),
         "n_results", F.lit(False).alias("id_repeated"), F.to_json(F.struct(F.col("call_id").alias("id"), F.struct(F.col("answer.content").alias("content"), F.col("answer.turn").alias("turn")).alias("result"))).alias("line"),
     )
-    return rows.unionByName(lone)
+    out = rows.unionByName(lone)
+    if context is not None:
+        said = F.to_json(F.struct("content", "role"))
+        out = out.unionByName(context.select("conv_id", "turn", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit("context").alias("status"), F.lit(True).alias("valid"), F.lit("").alias("errors"), F.lit(0).cast("long").alias("n_results"), F.lit(False).alias("id_repeated"), said.alias("line")))
+    return out
 
 
 #: The tools that the query over ``conversations`` assumes.
@@ -100,17 +127,32 @@ TOOLS: Schemas = {
 }
 
 
-def derived_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls, results and references from plain conversations. An assistant's turn is a call with the identifier of its turn; every fifth
-    names no known tool. The arguments hold the whole text; searches for short texts lack the limit. A user's turn answers the turn before it. A call refers to the
-    assistant's last call before it, two turns up."""
+def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Calls, results, references and context from the turns (conv_id, turn, role, text) of conversations.
+
+    An assistant's turn that is a JSON object with id and name is that call, and refers to its argument ``after``; any other turn
+    of a user or a tool that is a JSON object with call_id and content is that result. Plain turns become calls and
+    results, too: an assistant's is a call with the identifier of its turn, with its whole text in the arguments; every fifth
+    names no known tool, and searches for short texts lack the limit. It refers to the assistant's two calls before it. A
+    user's turn answers the turn before it."""
     text = F.coalesce("text", F.lit(""))
+    json = F.when(text.rlike(r"^\s*\{") & F.is_valid_utf8(text) & F.try_parse_json(text).isNotNull(), text)
+    turns = conversations.select("conv_id", "turn", "role", text.alias("text"), json.alias("json"))
+    of = lambda key: F.get_json_object("json", f"$.{key}")
+    text, own = F.col("text"), of("id").isNotNull() & of("name").isNotNull()
     call_id = F.concat(F.lit("call_"), F.col("turn"))
-    after = F.when(F.col("turn") >= 3, F.concat(F.lit("call_"), F.col("turn") - 2))
+    before = lambda n: F.when(F.col("turn") > n, F.concat(F.lit("call_"), F.col("turn") - n))
     name = F.when(F.length(text) % 5 == 0, "unknown").when(F.length(text) % 2 == 0, "search").otherwise("summarise")
-    search = F.to_json(F.struct(text.alias("query"), F.when(F.length(text) >= 60, F.length(text) % 50).alias("limit"), after.alias("after")))
-    summarise = F.to_json(F.struct(F.regexp_count(text, F.lit(r"\S+")).alias("words"), text.alias("text"), after.alias("after")))
-    said = conversations.where("role = 'assistant'")
-    calls = said.select("conv_id", "turn", call_id.alias("call_id"), name.alias("name"), F.when(name == "summarise", summarise).otherwise(search).alias("arguments"), after.alias("ref"))
-    results = conversations.where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("call_"), F.col("turn") - 1).alias("call_id"), text.alias("content"))
-    return calls.drop("ref"), results, calls.where("ref is not null").select("conv_id", "call_id", "ref")
+    search = F.to_json(F.struct(text.alias("query"), F.when(F.length(text) >= 60, F.length(text) % 50).alias("limit"), before(2).alias("after")))
+    summarise = F.to_json(F.struct(F.regexp_count(text, F.lit(r"\S+")).alias("words"), text.alias("text"), before(2).alias("after")))
+    said = turns.where("role = 'assistant'").withColumn("own", F.coalesce(own, F.lit(False)))
+    plain = said.where("not own")
+    given = said.where("own").select("conv_id", "turn", of("id").alias("call_id"), of("name").alias("name"), of("arguments").alias("arguments"))
+    calls = plain.select("conv_id", "turn", call_id.alias("call_id"), name.alias("name"), F.when(name == "summarise", summarise).otherwise(search).alias("arguments")).unionByName(given)
+    refs = plain.select("conv_id", call_id.alias("call_id"), F.explode(F.array_compact(F.array(before(2), before(4)))).alias("ref"))
+    refs = refs.unionByName(given.select("conv_id", "call_id", F.get_json_object("arguments", "$.after").alias("ref")).where("ref is not null"))
+    is_result = of("call_id").isNotNull() & of("content").isNotNull()
+    answers = turns.where("role in ('user', 'tool')")
+    results = answers.select("conv_id", "turn", F.when(is_result, of("call_id")).otherwise(F.concat(F.lit("call_"), F.col("turn") - 1)).alias("call_id"), F.when(is_result, of("content")).otherwise(text).alias("content"))
+    rest = turns.where(~F.coalesce(F.col("role").isin("assistant", "user", "tool"), F.lit(False)))
+    return calls, results, refs, rest.select("conv_id", "turn", "role", text.alias("content"))

@@ -1,6 +1,7 @@
 """Derived calls carry whole texts."""
 
 import json
+import random
 
 from freshet.llm import tool_calls
 
@@ -10,7 +11,7 @@ def test_calls_carry_whole_texts(spark):
     texts = [same + "first" + " " * 15 + "é\"\\", same + "other" + "." * 50, "short", "", "y" * 61, "z" * 5000, "odd one", "four"] + ["q" * n for n in range(50, 66)]
     rows = [(1, 2 * i + 1, "assistant", t) for i, t in enumerate(texts)] + [(1, 99, "assistant", None)]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    calls, results, refs = tool_calls.derived_calls(conversations)
+    calls, results, refs, _ = tool_calls.calls_of_turns(conversations)
     got = {r.turn: r for r in tool_calls.link_tool_calls(calls, results, refs, tool_calls.TOOLS).collect()}
     for _, turn, _, text in rows:
         args = json.loads(got[turn].line)["arguments"]
@@ -18,3 +19,41 @@ def test_calls_carry_whole_texts(spark):
         searches = got[turn].name == "search"
         assert got[turn].errors == ("unknown tool" if got[turn].name == "unknown" else "limit: missing" if searches and len(text) < 60 else "")
     assert {r.name for r in got.values()} == {"search", "summarise", "unknown"} and {r.errors for r in got.values()} >= {"", "limit: missing"}
+
+
+def test_turns_that_are_calls_and_context(spark):
+    """Calls given as JSON are taken as they are; system turns and turns of no known role stay as context."""
+    rows = [
+        (1, 0, "system", "be brief"), (1, 1, "assistant", '{"id": "z9", "name": "search", "arguments": {"query": "q", "limit": 2}}'), (1, 2, "tool", '{"call_id": "z9", "content": "found"}'),
+        (1, 3, "assistant", '{"id": "z8", "name": "search", "arguments": {"after": "z9", "query": 1}}'), (1, 4, "user", "thanks"), (1, 5, "assistant", "{not json"), (1, 6, None, None), (1, 7, "robot", "x" * 300_000),
+    ]
+    calls, results, refs, context = tool_calls.calls_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.turn: r for r in tool_calls.link_tool_calls(calls, results, refs, tool_calls.TOOLS, context).collect()}
+    assert len(got) == 7 and got[1].line == '{"arguments":{"limit":2,"query":"q"},"id":"z9","name":"search","result":{"content":"found","turn":2}}' and got[1].level == 0
+    assert got[3].level == 1 and got[3].errors == "query: not string; limit: missing" and got[3].status == "no_result"
+    assert got[5].call_id == "call_5" and got[4].status == "orphan"
+    assert [(got[i].status, got[i].valid, json.loads(got[i].line)) for i in (0, 6, 7)] == [("context", True, {"content": "be brief", "role": "system"}), ("context", True, {"content": ""}), ("context", True, {"content": "x" * 300_000, "role": "robot"})]
+
+
+def test_levels_equal_longest_paths(spark):
+    """Random graphs with chains, joints and cycles, against plain longest paths."""
+    r = random.Random(8)
+    calls, refs = [], []
+    for conv in range(12):
+        n = r.randint(1, 40)
+        calls += [(conv, f"c{i}") for i in range(n)]
+        for i in range(1, n):
+            refs += [(conv, f"c{i}", f"c{max(0, i - r.choice([1, 1, 1, 2, 5]))}") for _ in range(r.choice([0, 1, 1, 1, 1, 2, 3]))]
+        if conv % 4 == 0 and n > 3:
+            refs.append((conv, "c0", f"c{r.randrange(1, n)}"))
+    ups = {}
+    for conv, a, b in refs:
+        ups.setdefault((conv, a), set()).add((conv, b))
+    level, changed = {}, True
+    while changed:
+        changed = False
+        for x in calls:
+            if x not in level and all(u in level for u in ups.get(x, ())):
+                level[x], changed = max((level[u] + 1 for u in ups.get(x, ())), default=0), True
+    got = tool_calls.call_levels(spark.createDataFrame(calls, "conv_id long, call_id string"), spark.createDataFrame(refs, "conv_id long, call_id string, ref string"))
+    assert {(x.conv_id, x.call_id): x.level for x in got.collect()} == level and len(level) < len(calls)
