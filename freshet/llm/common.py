@@ -19,9 +19,11 @@ WHITESPACE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="spark-freshet-"))
     return base.rstrip("/")
 
@@ -37,6 +39,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def filter_bits(ids: DataFrame, least: int = 20, most: int = 30) -> tuple[np.ndarray, int]:
+    """A bit map over the first bits of 64-bit hashes (id), and how many bits: about 16 places a hash, 128 MB at most however many
+    there are. What it lets through by chance is sorted out later."""
+    bits = min(most, max(least, (16 * ids.count()).bit_length()))
+    v = ids.select(F.shiftrightunsigned("id", 64 - bits).alias("v"))
+    maps = v.groupBy(F.bitmap_bucket_number(F.col("v") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("v") + 1)).alias("map"))
+    out = np.zeros(max(4096, 1 << (bits - 3)), np.uint8)
+    for row in maps.toLocalIterator():
+        out[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.map, np.uint8)
+    return out, bits
+
+
+def let_through(hashes: np.ndarray, wanted: tuple[np.ndarray, int]) -> np.ndarray:
+    """Places of the hashes (unsigned) whose bit is set."""
+    v = (hashes >> np.uint64(64 - wanted[1])).astype(np.int64)
+    return np.flatnonzero(wanted[0][v >> 3] >> (v & 7).astype(np.uint8) & 1)
+
+
 def text_of(df: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns are not read."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

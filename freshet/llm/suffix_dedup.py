@@ -6,14 +6,15 @@
    (length shared with the one before, then the rest) and deal them by range; a range's runs meet in a loser tree that
    compares two heads only where their shared lengths with the last winner are equal, and only past those. Heads
    that occur once go.
-3. Consecutive windows with one suffix are a stretch. Equal stretches (hash of their bytes) repeat whole and are one from
-   here on. Different stretches with one head meet, and their windows are compared (64-bit hashes); only their texts are
-   sent.
+3. Consecutive windows with one suffix are a stretch. Equal stretches (two 64-bit hashes, of head and bytes) repeat whole and
+   are one from here on. Different stretches with one head meet, and only their texts are sent: the suffixes at all their
+   windows that might repeat are sorted by their bytes, doubling the known common prefix, up to SPAN bytes; equal ones repeat.
 4. A document gets its repeated stretches and windows back, and its bytes under them go.
 
 So copies cost one entry a task, and what is sorted, sent or compared is a small share of all suffixes.
 
-Defined results: a null or empty text has no bytes, and nothing to remove; copies of a text of SPAN bytes or more lose all
+Defined results: a null or empty text has no bytes, and nothing to remove; a very long text is looked at in pieces, and counts
+whole; copies of a text of SPAN bytes or more lose all
 their bytes; equal rows lose the same; matches never cross rows; an empty table gives an empty result; extra columns
 are not read by the query and kept by ``without_repeats``. Where a cut splits a character, that character goes, too.
 """
@@ -28,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BYTE, _powers, durable, mix64, signed, text_blocks
+from .common import _BASE, _BYTE, _powers, durable, filter_bits, free_name, let_through, mix64, signed, text_blocks
 
 SPAN, K = 200, 32
 #: Bytes looked at in one go; a longer text is looked at in overlapping pieces.
 PIECE = 1 << 18
 #: Groups of more different stretches with one head are compared by a shuffle of their windows instead of in one task.
-HOT = 50_000
-_FILTER_BITS = 26
+HOT = 1000
+#: Ranges of the order, of about so many heads each; a task merges RANGES_A_TASK of them, one after the other.
+RANGE_HEADS, MOST_RANGES, RANGES_A_TASK = 50_000, 100_000, 8
 _PW = _powers(_BASE, PIECE + 1)
 _IPW = _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), PIECE + 1)
 
@@ -197,8 +199,9 @@ def _heads_of(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.lib.stride_tricks.sliding_window_view(data, K)[place]
 
 
-def splitters(texts: DataFrame, ranges: int, rows: int = 1000) -> np.ndarray:
-    """Heads that cut the order into about equal ranges, from a sample of rows; they only balance the work."""
+def splitters(texts: DataFrame, total: int, ranges: int) -> np.ndarray:
+    """Heads that cut the order into about equal ranges, from a sample of the ``total`` rows; they only balance the work."""
+    rows = max(1000, 2 * ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -206,18 +209,22 @@ def splitters(texts: DataFrame, ranges: int, rows: int = 1000) -> np.ndarray:
                 for heads in _heads_of(batch.column(0)):
                     yield pa.RecordBatch.from_pydict({"head": pa.array([h.tobytes() for h in heads[:: max(1, len(heads) // 500)]], pa.binary())})
 
-    total = texts.count()
-    found = texts.select("text").sample(min(1.0, rows / max(1, total)), seed=11).mapInArrow(run, "head binary").limit(100_000).collect()
+    found = texts.select("text").sample(min(1.0, rows / max(1, total)), seed=11).mapInArrow(run, "head binary").limit(max(100_000, 20 * ranges)).collect()
     heads = np.array([np.frombuffer(r[0], np.uint8) for r in found], np.uint8).reshape(-1, K)
-    if len(heads) < ranges:
+    ranges = min(ranges, len(heads))
+    if ranges < 2:
         return np.zeros((0, K), np.uint8)
     heads = heads[np.lexsort(_columns(heads)[::-1])]
     return heads[np.arange(1, ranges) * len(heads) // ranges]
 
 
-def repeated_heads(texts: DataFrame, ranges: int) -> DataFrame:
-    """(head long): hashes of the heads that occur twice or more, by the merge sort."""
-    cuts = [h.tobytes() for h in splitters(texts, ranges)]
+def repeated_heads(texts: DataFrame) -> DataFrame:
+    """(head long): hashes of the heads that occur twice or more, by the merge sort. Ranges and tasks follow the size of the texts."""
+    total, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).collect()[0]
+    least = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = min(MOST_RANGES, max(least, (size or 0) // (RANGE_HEADS * (SPAN - K) // 2)))
+    tasks = max(least, ranges // RANGES_A_TASK)
+    cuts = [h.tobytes() for h in splitters(texts, total, ranges)]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -265,28 +272,18 @@ def repeated_heads(texts: DataFrame, ranges: int) -> DataFrame:
                 yield repeats(held)
 
     runs = texts.select("text").mapInArrow(sort, "range int, run binary")
-    return runs.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(merge, "head long")
+    task = F.floor(F.col("range") * F.lit(tasks) / F.lit(len(cuts) + 1)).cast("int")
+    return runs.repartitionById(tasks, task).sortWithinPartitions("range").mapInArrow(merge, "head long")
 
 
-def _filter_bits(heads: DataFrame) -> np.ndarray:
-    """A bit map (8 MB) over the first bits of the hashes; what it lets through by chance is found unique later."""
-    v = heads.select(F.shiftrightunsigned("head", 64 - _FILTER_BITS).alias("v"))
-    maps = v.groupBy(F.bitmap_bucket_number(F.col("v") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("v") + 1)).alias("map"))
-    out = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
-    for row in maps.toLocalIterator():
-        out[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.map, np.uint8)
-    return out
-
-
-def _stretches_with(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[tuple]:
-    """Stretches whose head's bit is set: (bytes, row, start in the row, first and last window, head, same); ``same`` is a hash of a
+def _stretches_with(batches: Iterator[pa.RecordBatch], wanted: tuple[np.ndarray, int] | None) -> Iterator[tuple]:
+    """Stretches whose head's bit is set (all if ``wanted`` is None): (bytes, row, start in the row, first and last window, head, same); ``same`` is a hash of a
     stretch's bytes and of its suffix's place in them."""
     for batch in batches:
         for data, row, offset, bounds in pieces(batch.column(0)):
             piece, a, b, place, sums = stretches(data, bounds)
             head = _hash(sums, place, place + K)
-            v = (head >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-            on = np.flatnonzero(wanted[v >> 3] >> (v & 7).astype(np.uint8) & 1)
+            on = np.arange(len(head)) if wanted is None else let_through(head, wanted)
             if len(on):
                 piece, a, b, place, head = piece[on], a[on], b[on], place[on], head[on]
                 same = mix64(_hash(sums, a, b + SPAN) + (place - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b - a).astype(np.uint64))
@@ -294,28 +291,26 @@ def _stretches_with(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> It
 
 
 def candidate_stretches(texts: DataFrame, heads: DataFrame) -> DataFrame:
-    """(head, same, row_key, start, windows): stretches whose head repeats, and where they are."""
-    shared = texts.sparkSession.sparkContext.broadcast(_filter_bits(heads))
+    """(head, same, row_key, doc, start, windows): stretches whose head repeats, and where they are."""
+    shared = texts.sparkSession.sparkContext.broadcast(filter_bits(heads.withColumnRenamed("head", "id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch, _, row, start, a, b, head, same in _stretches_with(batches, shared.value):
-                yield pa.RecordBatch.from_pydict({"head": signed(head), "same": signed(same), "row_key": batch.column(1).to_numpy()[row], "start": start, "windows": (b - a + 1).astype(np.int32)})
+                yield pa.RecordBatch.from_pydict({"head": signed(head), "same": signed(same), "row_key": batch.column(1).to_numpy()[row], "doc": batch.column(2).to_numpy()[row], "start": start, "windows": (b - a + 1).astype(np.int32)})
 
-    return texts.select("text", "row_key").mapInArrow(run, "head long, same long, row_key long, start long, windows int")
+    return texts.select("text", "row_key", "doc").mapInArrow(run, "head long, same long, row_key long, doc long, start long, windows int")
 
 
 def contents(texts: DataFrame, carriers: DataFrame) -> DataFrame:
     """(head, same, content): the bytes of each kind of stretch in ``carriers`` (same, row_key), from the row that carries it. Which stretches
     to send is a bit map over same XOR row_key; the few others that it lets through are copies of kinds, or alone."""
-    shared = texts.sparkSession.sparkContext.broadcast(_filter_bits(carriers.select(F.col("same").bitwiseXOR(F.col("row_key")).alias("head"))))
+    shared = texts.sparkSession.sparkContext.broadcast(filter_bits(carriers.select(F.col("same").bitwiseXOR(F.col("row_key")).alias("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, every = shared.value, np.full(1 << (_FILTER_BITS - 3), 255, np.uint8)
         with np.errstate(over="ignore"):
-            for batch, data, row, _, a, b, head, same in _stretches_with(batches, every):
-                v = ((same ^ batch.column(1).to_numpy().view(np.uint64)[row]) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-                on = np.flatnonzero(wanted[v >> 3] >> (v & 7).astype(np.uint8) & 1)
+            for batch, data, row, _, a, b, head, same in _stretches_with(batches, None):
+                on = let_through(same ^ batch.column(1).to_numpy().view(np.uint64)[row], shared.value)
                 if len(on):
                     yield pa.RecordBatch.from_pydict({"head": signed(head[on]), "same": signed(same[on]), "content": pa.array([data[a[i] : b[i] + SPAN].tobytes() for i in on], pa.binary())})
 
@@ -343,20 +338,52 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) + SPAN - 1) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
+def equal_windows(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For all windows of some stretches: whether the window's bytes occur at another place, and each one's stretch.
+
+    Hashes leave out windows that can't repeat. The others' suffixes are sorted: ranks of suffixes by their first n bytes give
+    those by 2n, so that no known prefix is looked at again, up to SPAN; windows of equal rank have equal bytes."""
+    hashes, which = _window_hashes(contents)
+    _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    hit = count[back] > 1
+    if not hit.any():
+        return hit, which
+    some = np.unique(which[hit])  # stretches with windows that may repeat, one after the other
+    size = np.array([len(contents[i]) for i in some])
+    data = np.frombuffer(b"".join(contents[i] for i in some), np.uint8)
+    first = np.searchsorted(which, some)
+    at = np.flatnonzero(hit)
+    of = np.searchsorted(some, which[at])
+    place = at - first[of] + (np.cumsum(size) - size)[of]
+    rank, known = np.zeros(len(data) - 7, np.uint64), 8
+    for k in range(8):
+        rank = rank << np.uint64(8) | data[k : len(data) - 7 + k]
+    while known < SPAN:
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+        step = min(known, SPAN - known)
+        rank, known = rank[:-step] * np.uint64(len(rank)) + rank[step:], known + step
+    _, back, count = np.unique(rank[place], return_inverse=True, return_counts=True)
+    hit[at] = count[back] > 1
+    return hit, which
+
+
 def repeats_in_groups(kinds: DataFrame) -> DataFrame:
-    """(same, lo, hi): bytes of a stretch that are in another one with its head, from (head, same, content). In a partition the heads
-    come in order; a group is compared as a whole, in its task."""
+    """(head, same, lo, hi): bytes of a stretch that are in another one with its head, from (head, same, content). In a partition the
+    heads come in order; a group is compared as a whole, in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def compare(table: pa.Table) -> pa.RecordBatch:
-            same, at = np.unique(table["same"].to_numpy(), return_index=True)
-            hashes, which = _window_hashes(table["content"].take(pa.array(at)).to_pylist())
-            _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
-            hit, first = count[back] > 1, np.searchsorted(which, np.arange(len(same) + 1))
-            out = [(s, lo, hi) for i, s in enumerate(same.tolist()) for lo, hi in _spans(hit[first[i] : first[i + 1]])]
-            return pa.RecordBatch.from_pydict({"same": pa.array([x[0] for x in out], pa.int64()), "lo": pa.array([x[1] for x in out], pa.int32()), "hi": pa.array([x[2] for x in out], pa.int32())})
+            head, same = table["head"].to_numpy(), table["same"].to_numpy()
+            order = np.lexsort((same, head))
+            new = np.r_[True, (head[order][1:] != head[order][:-1]) | (same[order][1:] != same[order][:-1])]
+            at = order[new]  # each kind of stretch once
+            hit, which = equal_windows(table["content"].take(pa.array(at)).to_pylist())
+            first = np.searchsorted(which, np.arange(len(at) + 1))
+            out = [(i, lo, hi) for i in range(len(at)) for lo, hi in _spans(hit[first[i] : first[i + 1]])]
+            i, lo, hi = np.array(out, np.int64).reshape(-1, 3).T
+            return pa.RecordBatch.from_pydict({"head": head[at[i]], "same": same[at[i]], "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -372,34 +399,37 @@ def repeats_in_groups(kinds: DataFrame) -> DataFrame:
                 yield compare(pa.Table.from_batches(held))
 
     spread = kinds.repartition("head").sortWithinPartitions("head")
-    return spread.select("head", "same", "content").mapInArrow(run, "same long, lo int, hi int")
+    return spread.select("head", "same", "content").mapInArrow(run, "head long, same long, lo int, hi int")
 
 
-def repeats_by_shuffle(kinds: DataFrame) -> DataFrame:
-    """The same for large groups: windows meet by their hashes."""
+def repeats_by_shuffle(kinds: DataFrame, parts: int = 16) -> DataFrame:
+    """The same for large groups: windows meet by their head and hash. What is often is spread over ``parts`` tasks."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                    hashes, which = _window_hashes(part.column(1).to_pylist())
-                    same = part.column(0).to_numpy()[which]
+                    hashes, which = _window_hashes(part.column(2).to_pylist())
+                    head, same = part.column(0).to_numpy()[which], part.column(1).to_numpy()[which]
                     at = np.arange(len(which)) - np.searchsorted(which, which)
-                    yield pa.RecordBatch.from_pydict({"window": signed(hashes), "same": same, "lo": at.astype(np.int32)})
+                    yield pa.RecordBatch.from_pydict({"head": head, "window": signed(hashes), "same": same, "lo": at.astype(np.int32)})
 
-    windows = durable(kinds.dropDuplicates(["same"]).select("same", "content").mapInArrow(explode, "window long, same long, lo int"), "windows")
-    often = windows.groupBy("window").count().where("count > 1").select("window")
-    return windows.join(often, "window", "left_semi").select("same", "lo", (F.col("lo") + SPAN).alias("hi"))
+    each = kinds.dropDuplicates(["head", "same"]).select("head", "same", "content")
+    windows = durable(each.mapInArrow(explode, "head long, window long, same long, lo int"), "windows")
+    often = windows.groupBy("head", "window").count().where("count > 1").select("head", "window", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    spread = windows.withColumn("part", F.pmod(F.xxhash64("same"), F.lit(parts)).cast("int"))
+    return spread.join(often, ["head", "window", "part"], "left_semi").select("head", "same", "lo", (F.col("lo") + SPAN).alias("hi"))
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(row_key, spans): for each text of ``texts`` (text, row_key) with repeats, [from, to) byte ranges that repeat (they may overlap)."""
-    ranges = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    heads = durable(repeated_heads(texts, ranges), "heads")
+    """(row_key, doc, spans): for each text of ``texts`` (text, row_key, doc) with repeats, [from, to) byte ranges that repeat (they may
+    overlap). Rows are told apart by row_key and doc together."""
+    heads = durable(repeated_heads(texts), "heads")
     found = durable(candidate_stretches(texts, heads), "stretches")
-    kinds = durable(found.groupBy("head", "same").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.min("row_key").alias("row_key")), "kinds")
+    kind, row = ["head", "same"], ["row_key", "doc"]
+    kinds = durable(found.groupBy(*kind).agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.min("row_key").alias("row_key")), "kinds")
     groups = durable(kinds.groupBy("head").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
-    whole = kinds.where("n > 1").select("same", F.lit(0).alias("lo"), (F.col("windows") + SPAN - 1).alias("hi"))
+    whole = kinds.where("n > 1").select(*kind, F.lit(0).alias("lo"), (F.col("windows") + SPAN - 1).alias("hi"))
     mixed = contents(texts, kinds.join(groups, "head", "left_semi"))
     hot = groups.where(F.col("kinds") > HOT).select("head")
     if hot.limit(1).count():
@@ -407,10 +437,10 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         parts = repeats_in_groups(mixed.join(hot, "head", "left_anti")).unionByName(repeats_by_shuffle(mixed.join(hot, "head", "left_semi")))
     else:
         parts = repeats_in_groups(mixed)
-    single = durable(parts, "parts").join(kinds.where("n = 1").select("same"), "same", "left_semi")
+    single = durable(parts, "parts").join(kinds.where("n = 1").select(*kind), kind, "left_semi")
     spans = whole.unionByName(single)
-    placed = found.select("same", "row_key", "start").join(spans, "same").select("row_key", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).alias("span"))
-    return placed.groupBy("row_key").agg(F.collect_set("span").alias("spans"))
+    placed = found.select(*kind, *row, "start").join(spans, kind).select(*row, F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).alias("span"))
+    return placed.groupBy(*row).agg(F.collect_set("span").alias("spans"))
 
 
 def _kept(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
@@ -427,15 +457,13 @@ def _kept(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     return b"".join(out), runs
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("freshet_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text))
-
-
-def _with_spans(docs: DataFrame) -> DataFrame:
-    keyed = _keyed(docs)
-    spans = repeated_spans(keyed.select(F.coalesce("text", F.lit("")).alias("text"), F.col("freshet_key").alias("row_key")))
-    return keyed.join(spans.withColumnsRenamed({"row_key": "freshet_key", "spans": "freshet_spans"}), "freshet_key", "left")
+def _with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column of spans, and its name."""
+    text, doc_id = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    key, doc, spans = (free_name(docs, n) for n in ("row_key", "row_doc", "row_spans"))
+    keyed = docs.withColumns({key: F.xxhash64(doc_id, text), doc: doc_id})
+    found = repeated_spans(keyed.select(text.alias("text"), F.col(key).alias("row_key"), F.col(doc).alias("doc")))
+    return keyed.join(found.withColumnsRenamed({"row_key": key, "doc": doc, "spans": spans}), [key, doc], "left"), spans
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -451,18 +479,21 @@ def dedup_report(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string())})
 
-    joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return joined.select("doc_id", "text", "freshet_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined, found = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return joined.select("doc_id", "text", found).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes out of their texts and n_chars set anew; other columns stay. Rows whose text goes whole go."""
+    """``docs`` with the repeated bytes out of their texts and n_chars set anew, in its own type; other columns stay. Rows whose text
+    goes whole go."""
     names = docs.columns
+    joined, found = _with_spans(docs)
+    joined = joined.select(*[F.col(f"`{c}`") for c in names], found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stay = [], np.ones(batch.num_rows, bool)
-            for i, (text, spans) in enumerate(zip(batch.column("text"), batch.column("freshet_spans"), strict=True)):
+            for i, (text, spans) in enumerate(zip(batch.column("text"), batch.column(found), strict=True)):
                 if text.is_valid and spans.is_valid:
                     kept, _ = _kept(text.as_buffer().to_pybytes(), spans.as_py())
                     stay[i] = bool(kept.strip())
@@ -471,7 +502,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     texts.append(text.as_py())
             cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in cols:
-                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.column("n_chars").type)
             yield pa.RecordBatch.from_pydict(cols).filter(pa.array(stay))
 
-    return _with_spans(docs).mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)

@@ -152,3 +152,37 @@ def test_front_coding_and_loser_tree():
         same = next((i for i in range(suffix_dedup.K) if a[i] != b[i]), suffix_dedup.K)
         assert s == same
     assert zlib.crc32(b"") == 0
+
+
+def test_equal_windows_by_sorted_suffixes():
+    r = np.random.default_rng(4)
+    base = r.integers(97, 100, 900).astype(np.uint8).tobytes()
+    contents = [base[:400], base[100:420], base[:150] + b"x" + base[151:400], r.integers(97, 100, 300).astype(np.uint8).tobytes(), b"a" * 260]
+    with np.errstate(over="ignore"):
+        hit, which = suffix_dedup.equal_windows(contents)
+    windows = [(i, c[j : j + 200]) for i, c in enumerate(contents) for j in range(len(c) - 199)]
+    count = Counter(w for _, w in windows)
+    assert which.tolist() == [i for i, _ in windows] and hit.tolist() == [count[w] > 1 for _, w in windows]
+
+
+@pytest.mark.parametrize("n_chars", ["int", "long", "string"])
+def test_repeats_in_long_texts_and_columns_of_any_name(spark, n_chars):
+    """Texts over the size of a piece, a passage across two pieces, and columns that clash with all names used inside."""
+    r = np.random.default_rng(9)
+    letters = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    long, passage = letters(600_000), letters(450)
+    cut = suffix_dedup.PIECE - 200
+    texts = [long[:cut] + passage + long[cut:], letters(300) + passage + letters(100), "ü" * 150 + letters(40), None, "", letters(700)]
+    names = ["row_key", "row_doc", "row_spans", "spans", "head", "freshet_spans"]
+    rows = [(i // 2, t, None if t is None or n_chars == "string" else len(t), *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars " + n_chars + "".join(f", {c} string" for c in names))
+    if n_chars == "string":
+        docs = docs.drop("n_chars")
+    got = without_repeats(docs)
+    assert got.schema == docs.schema
+    want = {b[5].decode("utf-8", "ignore") for b, t in zip(brute_kept(docs.collect()), texts) if t is not None}
+    out = got.collect()
+    assert {x.text for x in out if x.text is not None} == want and len(out) == len(texts)
+    assert all(x.row_key == f"row_key{i}" for i, x in zip((texts.index(t) for t in texts), sorted(out, key=lambda x: x.row_key)))
+    if n_chars != "string":
+        assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in out)
