@@ -3,16 +3,21 @@
 A document is the set of its distinct five-word shingles (64-bit hashes). Two sets link if 100 * common >= 80 * union.
 
 * Index: shingles are ordered by falling rarity (exact counts over all documents). A set is indexed under its first
-  shingles only, as many as a linked partner must share. Index lists are sorted by set size, and a list is walked in
-  blocks of equal distance ("lag"): a block whose sizes or positions leave too few common shingles is skipped.
-* Answers: equal sets are one set. Sets in a long list are checked against leaders and near neighbours; links found
-  join them to a group. Later only sets of different groups are compared, as a group's members have their answer.
-
-So a group of near copies costs a few checks per member, not one per pair, and no link between groups is missed.
-
-Defined results: a null or empty text, or one without words, has no shingles and is alone; equal texts link; equal
-rows give equal rows; an empty table gives an empty result. The component of a row is the smallest doc_id that links
-reach; a null doc_id has none. Extra columns are not read.
+  shingles only, as many as a linked partner must share. A list is sorted by set size and position; a block of one size
+  is entered up to the last position that leaves enough common shingles, and skipped if there is none.
+* Groups: equal sets are one set. Sets in a long list are checked against leaders and near neighbours; links found
+  join them to a group. Later only sets of different groups are compared, so no link between groups is missed.
+* Answers: a group's leader has its answers with all members: what each lacks of it and has beside it. From two
+  members' differences follow the common shingles of both: with few of them, the link needs no look; else only the
+  differences are compared. So every document gets its number of links, and a pair is never compared in full twice.
+
+A list of a common shingle is dealt to several tasks, by a hash of the set; pairs of different groups, and members with
+large differences, meet in blocks of bounded size.
+
+Defined results: a null or empty text, or one without words, has no shingles, no links and is alone; equal texts link;
+equal rows give equal rows and count as links of each other; a very long text is one large set, whole; an empty table
+gives an empty result. The component of a row is the smallest doc_id that links reach; a null doc_id has none. Extra
+columns are not read by the query and kept by ``keep_one_of_each``.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shingle_sets, signed, text_of
+from .common import durable, filter_bits, free_name, let_through, mix64, shingle_sets, signed, text_of
 from .graph import components
 
 #: A link needs 100 * common >= PERCENT * union.
@@ -35,10 +40,15 @@ HEAVY = 400_000
 SHORT = 16
 #: In longer lists a set is checked against so many predecessors.
 NEAR = 4
+#: Lists of shingles with more documents are dealt to tasks in parts of about so many.
+PART = 2000
+#: Entries, or members of a group, that meet in one task: so many of each side.
+BLOCK = 1024
 #: Before sets of different groups are checked, their sketches are: counts of their shingles in so many hash ranges. The
 #: common shingles are at most the sum of the lesser counts.
 RANGES = 256
-_KEY_BITS, _BUCKET_BITS = 40, 8
+#: Counting: keys of 40 bits, in 2^8 to 2^20 hash ranges by the size of the texts.
+_KEY_BITS, _LEAST_BITS, _MOST_BITS = 40, 8, 20
 
 
 def set_key(s: np.ndarray) -> np.uint64:
@@ -94,42 +104,58 @@ def _new_sets(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterato
 
 def heavy_shingles(docs: DataFrame, bound: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys (first 40 bits) and counts of the commonest shingles, at most ``bound`` of them, from counts over all
-    documents. Counting: each task sends sorted keys in 256 hash ranges, four bytes a key."""
-    low = np.uint64(_KEY_BITS - _BUCKET_BITS)
+    documents. Counting: each task sends sorted keys in hash ranges, four bytes a key; a range has about a million keys."""
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (size // 6_000_000).bit_length()))
+    low = np.uint64(_KEY_BITS - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             keys = np.sort(np.concatenate(held))
-            cut = np.searchsorted(keys, np.arange(1, 1 << _BUCKET_BITS, dtype=np.uint64) << low)
-            parts = [(b, p) for b, p in enumerate(np.split(keys, cut)) if len(p)]
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in parts], pa.int32()), "keys": pa.array([(p & np.uint64((1 << 32) - 1)).astype(np.uint32).tobytes() for _, p in parts], pa.binary())})
+            bucket = (keys >> low).astype(np.int64)
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            parts = np.split((keys & np.uint64((1 << int(low)) - 1)).astype(np.uint32), first[1:])
+            return pa.RecordBatch.from_pydict({"bucket": bucket[first].astype(np.int32), "keys": pa.array([p.tobytes() for p in parts], pa.binary())})
 
         for _, s in _new_sets(batches):
             held.append(s >> np.uint64(64 - _KEY_BITS))
             n += len(s)
-            if n >= 2_000_000:
+            if n >= max(2_000_000, 16 << bits):
                 yield flush()
                 held, n = [], 0
-        if held:
+        if held and n:
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def table(bucket: int) -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held.pop(bucket)), return_counts=True)
-            few = n >= 16
-            return pa.RecordBatch.from_pydict({"key": keys[few].astype(np.int64) | (bucket << int(low)), "n": n[few].astype(np.int64)})
+        current, keys, times, fresh, waiting = None, np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
+
+        def fold() -> None:
+            nonlocal keys, times, fresh, waiting
+            new, n = np.unique(np.concatenate(fresh) if fresh else np.zeros(0, np.uint32), return_counts=True)
+            both, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            keys, times, fresh, waiting = both, np.bincount(back, np.concatenate([times, n]), len(both)).astype(np.int64), [], 0
+
+        def table() -> pa.RecordBatch:
+            nonlocal keys, times
+            fold()
+            few = times >= 16
+            out = pa.RecordBatch.from_pydict({"key": keys[few].astype(np.int64) | (current << int(low)), "n": times[few]})
+            keys, times = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            return out
 
         for batch in batches:
-            for b, keys in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for done in [x for x in held if x != b]:
-                    yield table(done)
-                held.setdefault(b, []).append(np.frombuffer(keys.as_buffer(), np.uint32))
-        for done in list(held):
-            yield table(done)
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b != current and current is not None:
+                    yield table()
+                current = b
+                fresh.append(np.frombuffer(blob.as_buffer(), np.uint32))
+                waiting += len(fresh[-1])
+                if waiting > 4_000_000:
+                    fold()
+        if current is not None:
+            yield table()
 
     sent = text_of(docs).select("text").mapInArrow(send, "bucket int, keys binary")
     spread = sent.repartition("bucket").sortWithinPartitions("bucket")
@@ -149,7 +175,8 @@ def heavy_shingles(docs: DataFrame, bound: int = HEAVY) -> tuple[np.ndarray, np.
 
 
 def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, set_id, n, pos): each set under its rarest shingles."""
+    """(token, whole, set_id, n, pos): each set under its rarest shingles. The list of a common shingle comes in parts with tokens of
+    their own; ``whole`` is the shingle then."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,16 +185,22 @@ def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame
         rows = 0
 
         def flush() -> pa.RecordBatch:
-            token, key, n, pos = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_pydict({"token": signed(token), "set_id": signed(key), "n": n, "pos": pos})
+            token, parted, whole, key, n, pos = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.RecordBatch.from_pydict({"token": signed(token), "whole": pa.array(signed(whole), mask=~parted), "set_id": signed(key), "n": n, "pos": pos})
 
         for key, s in _new_sets(batches):
             p = prefix(len(s))
+            many = np.zeros(len(s), np.int64)
             if len(keys):
                 short = s >> np.uint64(64 - _KEY_BITS)
                 at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-                s = s[np.lexsort((s, np.where(keys[at] == short, counts[at], 0)))]
-            out.append((s[:p], np.full(p, key), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)))
+                many = np.where(keys[at] == short, counts[at], 0)
+                order = np.lexsort((s, many))
+                s, many = s[order], many[order]
+            s, parts = s[:p], (many[:p] // PART + 1).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                token = np.where(parts > 1, mix64(s + (key % parts) * np.uint64(0x9E3779B97F4A7C15)), s)
+            out.append((token, parts > 1, s, np.full(p, key), np.full(p, len(many), np.int32), np.arange(p, dtype=np.int32)))
             rows += p
             if rows > 100_000:
                 yield flush()
@@ -175,7 +208,7 @@ def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame
         if out:
             yield flush()
 
-    return text_of(docs).select("text").mapInArrow(run, "token long, set_id long, n int, pos int")
+    return text_of(docs).select("text").mapInArrow(run, "token long, whole long, set_id long, n int, pos int")
 
 
 def _linkable(nx, px, ny, py) -> np.ndarray:
@@ -210,16 +243,17 @@ def _runs(batches: Iterator[pa.RecordBatch], most: float = 500_000) -> Iterator[
 
 
 def candidates(lists: DataFrame) -> DataFrame:
-    """Rows of two kinds from the index: pairs to check (token null; a, b), and entries of long lists (token, a = set, n, pos)."""
+    """Rows of three kinds from the index: pairs to check (token null; a, b), entries of long lists (token, a = set, n, pos), and
+    leaders of lists that are parts (token, a = set, b = its step of size; n null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, key, n, pos), part in _runs(batches):
+        for (token, whole, is_part, key, n, pos), cut in _runs(batches):
             twin = np.zeros(len(token), bool)
             twin[1:] = (token[1:] == token[:-1]) & (key[1:] == key[:-1])
-            token, key, n, pos = (x[~twin].astype(np.int64) for x in (token, key, n, pos))
+            token, whole, is_part, key, n, pos = (x[~twin].astype(np.int64) for x in (token, whole, is_part, key, n, pos))
             first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             size = np.diff(np.r_[first, len(token)])
-            long = np.repeat((size > SHORT) | part, size)
+            long = np.repeat((size > SHORT) | cut, size) | (is_part == 1)
             rank = np.arange(len(token)) - np.repeat(first, size)
             pairs = []
             live = np.flatnonzero(np.repeat(size, size) > 1)
@@ -242,72 +276,122 @@ def candidates(lists: DataFrame) -> DataFrame:
                     x, y = np.minimum(to, at), np.maximum(to, at)
                     ok = (token[to] == token[at]) & (to != at) & _linkable(n[x], pos[x], n[y], pos[y])
                     pairs.append((key[to[ok]], key[at[ok]]))
+                of_part = lead[is_part[lead] == 1]
+                m = len(of_part)
+                yield pa.RecordBatch.from_pydict({"token": whole[of_part], "a": key[of_part], "b": step[of_part], "n": pa.nulls(m, pa.int32()), "pos": pa.nulls(m, pa.int32())})
+                m = len(at)
+                yield pa.RecordBatch.from_pydict({"token": np.where(is_part == 1, whole, token)[at], "a": key[at], "b": pa.nulls(m, pa.int64()), "n": n[at].astype(np.int32), "pos": pos[at].astype(np.int32)})
             if pairs:
                 a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
                 ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
                 m = ab.shape[1]
                 yield pa.RecordBatch.from_pydict({"token": pa.nulls(m, pa.int64()), "a": ab[0], "b": ab[1], "n": pa.nulls(m, pa.int32()), "pos": pa.nulls(m, pa.int32())})
-            if long.any():
-                yield pa.RecordBatch.from_pydict({"token": token[long], "a": key[long], "b": pa.nulls(int(long.sum()), pa.int64()), "n": n[long].astype(np.int32), "pos": pos[long].astype(np.int32)})
 
     spread = lists.repartition("token").sortWithinPartitions("token", "n", "set_id")
-    return spread.mapInArrow(run, "token long, a long, b long, n int, pos int")
+    columns = spread.select("token", F.coalesce("whole", F.lit(0)).alias("whole"), F.col("whole").isNotNull().cast("long").alias("is_part"), "set_id", "n", "pos")
+    return columns.mapInArrow(run, "token long, a long, b long, n int, pos int")
+
+
+def leader_pairs(found: DataFrame) -> DataFrame:
+    """(a, b): each part's leaders with the one of least id of the same, and of the next lower, step of the whole list."""
+    leads = found.where("token is not null and n is null").select("token", "a", F.col("b").alias("step")).distinct()
+    chief = leads.groupBy("token", "step").agg(F.min("a").alias("chief"))
+    near = leads.select("token", "a", F.explode(F.array("step", F.col("step") - 1)).alias("step"))
+    both = near.join(chief, ["token", "step"]).where("a <> chief")
+    return both.select(F.least("a", "chief").alias("a"), F.greatest("a", "chief").alias("b"))
+
+
+def in_blocks(entries: DataFrame) -> DataFrame:
+    """Entries (token, a, n, pos, grp) of lists in which groups meet, dealt to blocks (token, i, j): in each, entries outside the
+    list's largest group (asks) meet some of all (no asks). Each side of a block has about BLOCK entries."""
+    sizes = entries.groupBy("token", "grp").agg(F.count("*").alias("m"))
+    lists = sizes.groupBy("token").agg(F.max(F.struct("m", "grp")).alias("top"), F.sum("m").alias("m"), F.count("*").alias("groups")).where("groups > 1")
+    blocks = lambda m: F.ceil(m / F.lit(BLOCK)).cast("int")
+    lists = lists.select("token", F.col("top.grp").alias("largest"), blocks(F.col("m") - F.col("top.m")).alias("of_i"), blocks(F.col("m")).alias("of_j"))
+    spread = 8  # a list's entries are joined to what is known of it in so many tasks
+    known = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    x = entries.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(spread)).cast("int")).join(known, ["token", "salt"])
+    own = lambda of, seed: F.pmod(F.xxhash64(F.lit(seed), "a"), of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    cols = ["token", "i", "j", "asks", "a", "n", "pos", "grp"]
+    small = x.where("grp <> largest").withColumn("i", own(F.col("of_i"), "i")).withColumn("j", every(F.col("of_j"))).withColumn("asks", F.lit(True))
+    large = x.withColumn("j", own(F.col("of_j"), "j")).withColumn("i", every(F.col("of_i"))).withColumn("asks", F.lit(False))
+    return small.select(cols).unionByName(large.select(cols))
+
+
+def pairs_of_block(n: np.ndarray, pos: np.ndarray, m: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): of entries (n, pos) with entries (m, place) those that can link. Entries (m, place) are sorted by size and position: each
+    block of one size is entered up to a position, or skipped."""
+    first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]]) if len(m) else np.zeros(0, np.int64)
+    xs, ys = [], []
+    for lo, hi in zip(first, np.r_[first[1:], len(m)], strict=True):
+        size = int(m[lo])
+        least = need(n, size)
+        x = np.flatnonzero((100 * np.minimum(n, size) >= PERCENT * np.maximum(n, size)) & (n - pos >= least))
+        if len(x):
+            until = np.searchsorted(place[lo:hi], size - least[x], "right")  # size - place >= least
+            xs.append(np.repeat(x, until))
+            ys.append(lo + np.arange(int(until.sum())) - np.repeat(np.cumsum(until) - until, until))
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of the rows that agree in the first ``keys`` columns, which come together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        cols = [table.column(c).to_numpy() for c in range(keys)]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        for lo, hi in zip(np.r_[0, cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+            yield table.slice(lo, hi - lo)
+        held = (table.slice(cuts[-1]) if len(cuts) else table).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def cross_group_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different groups from long lists (token, a, n, pos, grp, sketch); what size, position or sketches rule
-    out is skipped."""
+def cross_group_pairs(blocks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups from blocks (token, i, j, asks, a, n, pos, grp, sketch); what size, position or sketches rule out
+    is skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for (token, key, n, pos, grp, sketch), _ in _runs(batches, np.inf):
-            for at in np.split(np.arange(len(token)), np.flatnonzero(token[1:] != token[:-1]) + 1):
-                k, m, p, g = key[at], n[at].astype(np.int64), pos[at].astype(np.int64), grp[at]
-                counts = np.stack([np.frombuffer(x, np.uint16) for x in sketch[at]])
-                names, size = np.unique(g, return_counts=True)
-                for x in np.flatnonzero(g != names[size.argmax()]):
-                    lo, hi = np.searchsorted(m, -((-PERCENT * int(m[x])) // 100)), np.searchsorted(m, 100 * int(m[x]) // PERCENT, "right")
-                    y = np.arange(lo, hi)
-                    y = y[g[y] != g[x]]
-                    small = (m[y] < m[x]) | ((m[y] == m[x]) & (y < x))
-                    s, t = np.where(small, y, x), np.where(small, x, y)
-                    y = y[_linkable(m[s], p[s], m[t], p[t])]
-                    y = y[np.minimum(counts[y], counts[x]).sum(1, dtype=np.int64) >= need(m[y], m[x])]
-                    new = [ab for ab in zip(np.minimum(k[y], k[x]).tolist(), np.maximum(k[y], k[x]).tolist(), strict=True) if ab not in seen]
-                    if new:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.update(new)
-                        yield pa.RecordBatch.from_pydict({"a": [a for a, _ in new], "b": [b for _, b in new]})
-
-    spread = entries.repartition("token").sortWithinPartitions("token", "n", "a")
-    return spread.mapInArrow(run, "a long, b long")
-
-
-def _filter_bits(ids: DataFrame, bits: int = 26) -> np.ndarray:
-    """A bit map (8 MB) over the first bits of the sets' ids (id): a task sends only sets that are asked for, and few others."""
-    ids = ids.select(F.shiftrightunsigned("id", 64 - bits).alias("v"))
-    maps = ids.groupBy(F.bitmap_bucket_number(F.col("v") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("v") + 1)).alias("map"))
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for row in maps.toLocalIterator():
-        out[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.map, np.uint8)
-    return out
-
-
-def contents(docs: DataFrame, ids: DataFrame, encode: Callable[[np.ndarray], bytes], bits: int = 26) -> DataFrame:
+        for table in _blocks(batches, 3):
+            asks = table["asks"].to_numpy()
+            if asks.all() or not asks.any():
+                continue
+            a, grp = table["a"].to_numpy(), table["grp"].to_numpy()
+            n, pos = table["n"].to_numpy().astype(np.int64), table["pos"].to_numpy().astype(np.int64)
+            counts = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in table["sketch"]])
+            q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
+            c = c[np.lexsort((pos[c], n[c]))]
+            x, y = pairs_of_block(n[q], pos[q], n[c], pos[c])
+            x, y = q[x], c[y]
+            ok = grp[x] != grp[y]
+            x, y = x[ok], y[ok]
+            keep = [np.minimum(counts[x[k : k + 50_000]], counts[y[k : k + 50_000]]).sum(1, dtype=np.int64) >= need(n[x[k : k + 50_000]], n[y[k : k + 50_000]]) for k in range(0, len(x), 50_000)]
+            if keep:
+                keep = np.concatenate(keep)
+                x, y = a[x[keep]], a[y[keep]]
+                ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_pydict({"a": ab[0], "b": ab[1]})
+
+    spread = blocks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return spread.select("token", "i", "j", "asks", "a", "n", "pos", "grp", "sketch").mapInArrow(run, "a long, b long")
+
+
+def contents(docs: DataFrame, ids: DataFrame, encode: Callable[[np.ndarray], bytes]) -> DataFrame:
     """(id, content) of the sets asked for, and of few others, each once; ``encode`` gives a sorted set's content."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(ids, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
         keys, blobs, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"id": signed(np.array(keys, np.uint64)), "content": pa.array(blobs, pa.binary())})
 
         for key, s in _new_sets(batches):
-            v = int(key) >> (64 - bits)
-            if wanted[v >> 3] >> (v & 7) & 1:
+            if len(let_through(np.array([key]), shared.value)):
                 keys.append(key)
                 blobs.append(encode(s))
                 held += len(blobs[-1])
@@ -320,79 +404,177 @@ def contents(docs: DataFrame, ids: DataFrame, encode: Callable[[np.ndarray], byt
     return text_of(docs).select("text").mapInArrow(run, "id long, content binary").groupBy("id").agg(F.first("content").alias("content"))
 
 
-def six_bytes(s: np.ndarray) -> bytes:
-    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def whole_set(s: np.ndarray) -> bytes:
+    return s.tobytes()
 
 
 def range_counts(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES), 65535).astype(np.uint16).tobytes()
+    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype(np.uint32).tobytes()
+
 
+def _full(blob: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(blob.as_buffer(), np.uint64)
 
-def checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that link, by the sets' full content (48 bits a shingle)."""
 
-    def full(blob) -> np.ndarray:
-        x = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, 6)
-        out = np.zeros((len(x), 8), np.uint8)
-        out[:, 2:] = x
-        return out.view(np.uint64).ravel()
+def checked(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that link, by the sets' full contents ``known`` (id, content)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = full(x), full(y)
+                x, y = _full(x), _full(y)
                 both = np.sort(np.concatenate([x, y]))
                 ok[i] = 100 * (common := int((both[1:] == both[:-1]).sum())) >= PERCENT * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(pa.array(ok)), "b": batch.column(1).filter(pa.array(ok))})
 
-    once = contents(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), six_bytes)
-    left = pairs.join(once.withColumnsRenamed({"id": "a", "content": "content_a"}), "a")
-    both = left.join(once.withColumnsRenamed({"id": "b", "content": "content_b"}), "b").select("a", "b", "content_a", "content_b")
+    left = pairs.join(known.withColumnsRenamed({"id": "a", "content": "content_a"}), "a")
+    both = left.join(known.withColumnsRenamed({"id": "b", "content": "content_b"}), "b").select("a", "b", "content_a", "content_b")
     return both.mapInArrow(compare, "a long, b long")
 
 
-def grouped_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``document_sets``, and (set_id, component_id, grp) of each set; ``grp`` names a component also where no row has a doc_id."""
-    sets = durable(document_sets(docs), "sets")
-    index = candidates(postings(docs, heavy_shingles(docs)))
-    found = durable(index, "found")
-    pairs = durable(found.where("token is null").select("a", "b").distinct(), "pairs")
-    links = durable(checked(docs, pairs), "links")
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(set_id, grp) of the sets that link with others, links found (a, b), which connect each group, and contents (id, content) of all
+    these sets."""
+    found = durable(candidates(postings(docs, heavy_shingles(docs))), "found")
+    pairs = durable(found.where("token is null").select("a", "b").union(leader_pairs(found)).distinct(), "pairs")
+    known = durable(contents(docs, _ids(pairs), whole_set), "contents")
+    links = durable(checked(pairs, known), "links")
     group = components(links).withColumnsRenamed({"node": "a", "component": "grp"})
-    lists = found.where("token is not null").select("token", "a", "n", "pos").join(group, "a", "left").withColumn("grp", F.coalesce("grp", "a"))
-    mixed = lists.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
-    entries = durable(lists.join(mixed, "token", "left_semi").select("token", "a", "n", "pos", "grp"), "entries")
-    sketches = contents(docs, entries.select(F.col("a").alias("id")), range_counts).withColumnsRenamed({"id": "a", "content": "sketch"})
-    sketched = entries.join(sketches, "a").select("token", "a", "n", "pos", "grp", "sketch")
-    more = durable(cross_group_pairs(sketched).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    lists = found.where("token is not null and n is not null").select("token", "a", "n", "pos").join(group, "a", "left").withColumn("grp", F.coalesce("grp", "a"))
+    blocks = durable(in_blocks(durable(lists, "lists")), "blocks")
+    sketches = contents(docs, blocks.select(F.col("a").alias("id")).distinct(), range_counts).withColumnsRenamed({"id": "a", "content": "sketch"})
+    more = durable(cross_group_pairs(blocks.join(sketches, "a")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
-        links = links.union(durable(checked(docs, more), "links"))
+        new = durable(contents(docs, _ids(more), whole_set).join(known, "id", "left_anti"), "contents")
+        known = known.unionByName(new)
+        links = durable(links.union(checked(more, known)), "links")
         group = components(links).withColumnsRenamed({"node": "a", "component": "grp"})
-    # A group's name is the smallest doc_id of its sets' rows.
+    return durable(group.withColumnRenamed("a", "set_id"), "groups"), links, known
+
+
+def members_by_leader(group: DataFrame, links: DataFrame, known: DataFrame, times: DataFrame) -> DataFrame:
+    """(grp, set_id, n, lacks, size, times, more, diff): each member of a group, against its leader of ``size`` shingles: how many it
+    lacks, and a hash list of what it lacks or has beside it. ``more``: members of the group."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("degree"))
+    lead = group.join(degree, "set_id").groupBy("grp").agg(F.max(F.struct("degree", "set_id")).alias("lead"), F.count("*").alias("more"))
+    tasks = F.ceil(F.col("more") / F.lit(BLOCK)).cast("int")  # a group's members meet copies of its leader in so many places
+    lead = lead.select("grp", "more", F.col("lead.set_id").alias("id"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"))
+    lead = lead.join(known, "id").select("grp", "salt", "more", F.col("content").alias("leader"))
+    sizes = group.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("tasks")).where("tasks > 1")
+    own = group.join(sizes, "grp", "left").withColumn("salt", F.pmod(F.xxhash64("set_id"), F.coalesce("tasks", F.lit(1))).cast("int")).select("grp", "salt", "set_id")
+    rows = own.join(known.withColumnRenamed("id", "set_id"), "set_id").join(times, "set_id").join(lead, ["grp", "salt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lacks, size, diff = [], [], [], []
+            for own, leader in zip(batch.column(4), batch.column(5), strict=True):
+                y, x = _full(own), _full(leader)
+                gone, new = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+                n.append(len(y))
+                lacks.append(len(gone))
+                size.append(len(x))
+                diff.append(np.concatenate([gone, new]).tobytes())
+            cols = {k: batch.column(i) for i, k in enumerate(("grp", "set_id", "times", "more"))}
+            yield pa.RecordBatch.from_pydict(cols | {k: pa.array(v, pa.int64()) for k, v in (("n", n), ("lacks", lacks), ("size", size))} | {"diff": pa.array(diff, pa.binary())})
+
+    return rows.select("grp", "set_id", "times", "more", "content", "leader").mapInArrow(run, "grp long, set_id long, times long, more long, n long, lacks long, size long, diff binary")
+
+
+def link_counts(group: DataFrame, links: DataFrame, known: DataFrame, times: DataFrame) -> DataFrame:
+    """(set_id, links): rows whose sets link with this one, but for its own. ``times``: (set_id, times), the rows of a set.
+
+    With x the leader, y and z lack ly and lz of it, and share c of their differences: they have size - ly - lz + c in common. So they
+    link whatever c is if weight(y) + weight(z) <= (100 + PERCENT) * size, weight = PERCENT * n + (100 + PERCENT) * lacks. Two
+    light members, each with half of that at most, need no look: their number is one sum a group. Heavy members meet all
+    members in blocks, where c is counted for all pairs at once."""
+    weight = PERCENT * F.col("n") + (100 + PERCENT) * F.col("lacks")
+    members = durable(members_by_leader(group, links, known, times).withColumn("heavy", 2 * weight > (100 + PERCENT) * F.col("size")), "members")
+    light = members.where("not heavy").groupBy("grp").agg(F.sum("times").alias("all"))
+    known_links = members.where("not heavy").join(light, "grp").select("set_id", (F.col("all") - F.col("times")).alias("links"))
+    blocks = F.ceil(F.col("more") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit("block"), "set_id"), blocks).cast("int")
+    heavy_groups = members.where("heavy").select("grp").distinct()
+    every = lambda: F.explode(F.sequence(F.lit(0), blocks - 1))
+    cols = ["grp", "i", "j", "asks", "set_id", "n", "lacks", "size", "times", "heavy", "diff"]
+    ask = members.where("heavy").withColumn("i", own).withColumn("j", every()).withColumn("asks", F.lit(True))
+    other = members.join(heavy_groups, "grp", "left_semi").withColumn("j", own).withColumn("i", every()).withColumn("asks", F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches, 3):
+            asks = table["asks"].to_numpy()
+            q, z = np.flatnonzero(asks), np.flatnonzero(~asks)
+            if not len(q) or not len(z):
+                continue
+            ids, n, lacks, times = (table[c].to_numpy() for c in ("set_id", "n", "lacks", "times"))
+            heavy, size = table["heavy"].to_numpy(), int(table["size"][0].as_py())
+            diffs = [_full(x) for x in table["diff"]]
+            row = np.repeat(np.arange(len(ids)), [len(x) for x in diffs])
+            token = np.unique(np.concatenate(diffs), return_inverse=True)[1] if len(row) else np.zeros(0, np.int64)
+            top = int(token.max()) + 1 if len(token) else 0
+            shared = (np.bincount(token[asks[row]], minlength=top) > 0) & (np.bincount(token[~asks[row]], minlength=top) > 0)
+            on = shared[token]
+            row, token = row[on], (np.cumsum(shared) - 1)[token[on]]
+            place = np.where(asks, np.cumsum(asks), np.cumsum(~asks)) - 1
+            common = np.zeros((len(q), len(z)), np.float32)
+            order = np.argsort(token, kind="stable")
+            row, token = row[order], token[order]
+            for lo in range(0, int(shared.sum()), 4096):
+                a, b = np.searchsorted(token, (lo, lo + 4096))
+                if a == b:
+                    continue
+                left, right = np.zeros((len(q), 4096), np.float32), np.zeros((len(z), 4096), np.float32)
+                r, t = row[a:b], token[a:b] - lo
+                left[place[r[asks[r]]], t[asks[r]]] = 1
+                right[place[r[~asks[r]]], t[~asks[r]]] = 1
+                common += left @ right.T
+            have = size - lacks[q][:, None] - lacks[z][None, :] + common.astype(np.int64)
+            link = (have >= need(n[q][:, None], n[z][None, :])) & (ids[q][:, None] != ids[z][None, :])
+            gain = link @ times[z]
+            back = times[q] @ link * ~heavy[z]  # a heavy member asks for itself
+            yield pa.RecordBatch.from_pydict({"set_id": np.concatenate([ids[q], ids[z]]), "links": np.concatenate([gain, back]).astype(np.int64)})
+
+    met = ask.select(cols).unionByName(other.select(cols)).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(run, "set_id long, links long")
+    return known_links.unionByName(met).groupBy("set_id").agg(F.sum("links").alias("links"))
+
+
+def named_groups(sets: DataFrame, group: DataFrame) -> DataFrame:
+    """(set_id, component_id, grp) of each set; ``grp`` names a component also where no row has a doc_id."""
     named = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    owned = named.join(group.withColumnRenamed("a", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("grp", "set_id").alias("grp"))
+    owned = named.join(group, "set_id", "left").select("set_id", "least", F.coalesce("grp", "set_id").alias("grp"))
     least = owned.groupBy("grp").agg(F.min("least").alias("component_id"))
-    return sets, durable(owned.join(least, "grp").select("set_id", "component_id", "grp"), "known")
+    return durable(owned.join(least, "grp").select("set_id", "component_id", "grp"), "known")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, set_id (null: no shingles)."""
-    sets, known = grouped_sets(docs)
-    return sets.join(known, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "set_id")
+    """Per row of ``docs``: doc_id, n_shingles, component_id, n_links (other rows that link with it), set_id (null: no shingles)."""
+    sets = durable(document_sets(docs), "sets")
+    group, links, contents_ = linked_sets(docs)
+    times = durable(sets.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("times")), "times")
+    counts = durable(link_counts(group, links, contents_, times), "counts")
+    known = named_groups(sets, group).join(times, "set_id").join(counts, "set_id", "left")
+    joined = sets.join(known, "set_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("times") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"), "set_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that lead their component: of its texts with the smallest doc_id (rows without one
     come last) one by a hash of the text, once if rows repeat. Rows of different texts stay apart if their doc_id is the
     same. Rows without a doc_id and without words stay."""
-    sets, known = grouped_sets(docs)
+    sets = durable(document_sets(docs), "sets")
+    known = named_groups(sets, linked_sets(docs)[0])
     row = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     lead = sets.where("set_id is not null").join(known.select("set_id", "grp"), "set_id").groupBy("grp").agg(row.alias("row")).select("row.doc_id", "row.text_hash")
     alone = sets.where("set_id is null and doc_id is not null").select("doc_id", "text_hash")
-    lead = lead.union(alone).distinct().withColumnsRenamed({"doc_id": "freshet_id", "text_hash": "freshet_lead"})
-    hashed = docs.withColumn("freshet_hash", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("freshet_id")) & (F.col("freshet_hash") == F.col("freshet_lead"))
-    unique = hashed.join(lead, same, "left_semi").dropDuplicates(["doc_id", "freshet_hash"]).select(docs.columns)
+    own, lead_id, lead_hash = (free_name(docs, x) for x in ("text_hash", "lead_id", "lead_hash"))
+    lead = lead.union(alone).distinct().withColumnsRenamed({"doc_id": lead_id, "text_hash": lead_hash})
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(lead_id)) & (F.col(own) == F.col(lead_hash))
+    unique = hashed.join(lead, same, "left_semi").dropDuplicates(["doc_id", own]).select([F.col(f"`{c}`") for c in docs.columns])
     wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return unique.unionByName(docs.where(F.col("doc_id").isNull() & wordless))

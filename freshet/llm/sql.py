@@ -49,8 +49,8 @@ p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.
 l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 both_ AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, x.b FROM reach r JOIN both_ x ON x.a = r.b)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (rid)
-JOIN (SELECT r.a AS rid, min(e.doc_id) AS component_id FROM reach r JOIN d e ON e.rid = r.b GROUP BY r.a) m USING (rid)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, coalesce(k.links, 0) AS n_links FROM d LEFT JOIN n USING (rid)
+LEFT JOIN (SELECT a AS rid, count(*) AS links FROM both_ GROUP BY a) k USING (rid) JOIN (SELECT r.a AS rid, min(e.doc_id) AS component_id FROM reach r JOIN d e ON e.rid = r.b GROUP BY r.a) m USING (rid)
 """
 
 

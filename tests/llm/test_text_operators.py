@@ -45,30 +45,36 @@ def test_quality_filter_keeps_columns_and_rows(docs, empty):
     assert quality_cascade(empty).count() == 0 and keep_good(empty).count() == 0
 
 
-def brute_components(rows):
+def brute_components(rows, links=False):
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     sets = []
     for d in rows:
         w = words(lower(d.text))
         sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
-    group = list(range(len(rows)))
+    group, count = list(range(len(rows))), [0] * len(rows)
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
             if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                count[i] += 1
+                count[j] += 1
                 group = [group[i] if g == group[j] else g for g in group]
     least = {}
     for d, g in zip(rows, group):
         if d.doc_id is not None:
             least[g] = min(least.get(g, d.doc_id), d.doc_id)
-    return sorted([(d.doc_id, len(s), None if d.doc_id is None else (least[g] if s else d.doc_id)) for d, s, g in zip(rows, sets, group)], key=str)
+    out = [(d.doc_id, len(s), None if d.doc_id is None else (least[g] if s else d.doc_id), k) for d, s, g, k in zip(rows, sets, group, count)]
+    return sorted([x if links else x[:3] for x in out], key=str)
+
+
+def links_of(docs):
+    return sorted([(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(docs).collect()], key=str)
 
 
 @pytest.mark.parametrize("short", [16, 2])
 def test_jaccard_components(docs, empty, monkeypatch, short):
     monkeypatch.setattr(jaccard_join, "SHORT", short)
-    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()], key=str)
-    assert got == brute_components(docs.collect())
+    assert links_of(docs) == brute_components(docs.collect(), True)
     if short == 16:
         assert jaccard_components(empty).count() == 0
 
@@ -84,8 +90,7 @@ def test_jaccard_long_lists_of_loose_copies(spark):
         for _ in range(int(r.integers(1, 4))):
             words_[int(r.integers(120))] = f"x{i}_{int(r.integers(9))}"
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
-    got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect()], key=str)
-    assert got == brute_components(df.collect())
+    assert links_of(df) == brute_components(df.collect(), True)
 
 
 def test_one_of_each(docs):
@@ -186,3 +191,44 @@ def test_repeats_in_long_texts_and_columns_of_any_name(spark, n_chars):
     assert all(x.row_key == f"row_key{i}" for i, x in zip((texts.index(t) for t in texts), sorted(out, key=lambda x: x.row_key)))
     if n_chars != "string":
         assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in out)
+
+
+@pytest.mark.parametrize("block", [5, 40])
+def test_jaccard_in_parts_and_blocks(spark, monkeypatch, block):
+    """Lists dealt in parts, and groups that meet in blocks: a chain of versions, loose copies of one text, templates that share most
+    of their words without linking, and repeated rows."""
+    for k, v in {"BLOCK": block, "PART": 8, "SHORT": 3}.items():
+        monkeypatch.setattr(jaccard_join, k, v)
+    r = np.random.default_rng(6)
+    texts, words_ = [], [f"w{i}" for i in range(90)]
+    for i in range(60):
+        texts.append(" ".join(words_))
+        words_ = list(words_)
+        for _ in range(int(r.integers(1, 4))):
+            words_[int(r.integers(90))] = f"x{i}_{int(r.integers(9))}"
+    base = [f"v{i}" for i in range(120)]
+    for i in range(80):
+        w = list(base)
+        for _ in range(int(r.integers(0, 5))):
+            w[int(r.integers(120))] = f"y{int(r.integers(6))}"
+        texts.append(" ".join(w))
+    template = [f"t{i}" for i in range(40)]
+    texts += [" ".join([f"a{i}", f"b{i % 9}", f"c{i}", *template[: 30 + i % 3], f"d{i}"]) for i in range(50)]
+    texts += texts[60:70] + texts[::30]
+    rows = [(i, t, "en", "s", 1, 0.0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double").repartition(4)
+    got, want = links_of(df), brute_components(df.collect(), True)
+    assert got == want
+    assert max(x[3] for x in want) > 20
+
+
+def test_blocks_are_entered_up_to_a_position():
+    r = np.random.default_rng(3)
+    n, m = r.integers(20, 60, 200), np.sort(r.integers(20, 60, 300))
+    pos = np.array([r.integers(jaccard_join.prefix(int(x))) for x in n])
+    place = np.array([r.integers(jaccard_join.prefix(int(x))) for x in m])
+    order = np.lexsort((place, m))
+    m, place = m[order], place[order]
+    x, y = jaccard_join.pairs_of_block(n, pos, m, place)
+    want = {(i, j) for i in range(200) for j in range(300) if 100 * min(n[i], m[j]) >= 80 * max(n[i], m[j]) and min(n[i] - pos[i], m[j] - place[j]) >= jaccard_join.need(n[i], m[j])}
+    assert set(zip(x.tolist(), y.tolist())) == want and 0 < len(want) < 60_000
