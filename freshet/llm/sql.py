@@ -100,7 +100,7 @@ _OP6 = r"""
 WITH RECURSIVE said AS (SELECT conv_id, turn, 'call_' || turn AS call_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations WHERE role = 'assistant'),
 calls AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'unknown' WHEN n % 2 = 0 THEN 'search' ELSE 'summarise' END AS name, CASE WHEN turn >= 3 THEN '"after":"call_' || (turn - 2) || '",' ELSE '' END AS after FROM said),
 answers AS (SELECT conv_id, 'call_' || (turn - 1) AS call_id, min({'t': turn, 'c': coalesce(text, '')}) AS a, count(*) AS n_results FROM conversations WHERE role IN ('user', 'tool') GROUP BY ALL),
-refs AS (SELECT DISTINCT c.conv_id, c.turn, p.turn AS up FROM calls c JOIN calls p ON p.conv_id = c.conv_id AND (p.turn = c.turn - 2 AND c.turn > 2 OR p.turn = c.turn - 4 AND c.turn > 4)),
+refs AS (SELECT DISTINCT c.conv_id, c.turn, p.turn AS up FROM calls c JOIN calls p ON p.conv_id = c.conv_id AND (p.turn = c.turn - 2 AND c.turn > 2 OR p.turn = 1 AND c.turn = 5)),
 paths AS (SELECT DISTINCT conv_id, turn, 0 AS steps FROM calls c WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.conv_id = c.conv_id AND r.turn = c.turn)
   UNION SELECT r.conv_id, r.turn, steps + 1 FROM paths p JOIN refs r ON r.conv_id = p.conv_id AND r.up = p.turn),
 level AS (SELECT conv_id, turn, max(steps) AS level FROM paths GROUP BY ALL),

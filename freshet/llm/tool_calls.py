@@ -133,8 +133,8 @@ def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame, Data
     An assistant's turn that is a JSON object with id and name is that call, and refers to its argument ``after``; any other turn
     of a user or a tool that is a JSON object with call_id and content is that result. Plain turns become calls and
     results, too: an assistant's is a call with the identifier of its turn, with its whole text in the arguments; every fifth
-    names no known tool, and searches for short texts lack the limit. It refers to the assistant's two calls before it. A
-    user's turn answers the turn before it."""
+    names no known tool, and searches for short texts lack the limit. It refers to the assistant's call before it, that of
+    turn 5 to that of turn 1, too. A user's turn answers the turn before it."""
     text = F.coalesce("text", F.lit(""))
     json = F.when(text.rlike(r"^\s*\{") & F.is_valid_utf8(text) & F.try_parse_json(text).isNotNull(), text)
     turns = conversations.select("conv_id", "turn", "role", text.alias("text"), json.alias("json"))
@@ -149,7 +149,7 @@ def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame, Data
     plain = said.where("not own")
     given = said.where("own").select("conv_id", "turn", of("id").alias("call_id"), of("name").alias("name"), of("arguments").alias("arguments"))
     calls = plain.select("conv_id", "turn", call_id.alias("call_id"), name.alias("name"), F.when(name == "summarise", summarise).otherwise(search).alias("arguments")).unionByName(given)
-    refs = plain.select("conv_id", call_id.alias("call_id"), F.explode(F.array_compact(F.array(before(2), before(4)))).alias("ref"))
+    refs = plain.select("conv_id", call_id.alias("call_id"), F.explode(F.array_compact(F.array(before(2), F.when(F.col("turn") == 5, before(4))))).alias("ref"))
     refs = refs.unionByName(given.select("conv_id", "call_id", F.get_json_object("arguments", "$.after").alias("ref")).where("ref is not null"))
     is_result = of("call_id").isNotNull() & of("content").isNotNull()
     answers = turns.where("role in ('user', 'tool')")
