@@ -125,7 +125,7 @@ def step_label(step_ms: Column, monthly: Column) -> Column:
 def checks(series: DataFrame) -> DataFrame:
     """(series_id, level, message) rows: what would stop an evaluation (error), and what may mislead it (warning)."""
     dup = series.groupBy("series_id").agg((F.count("ts") - F.count_distinct("ts")).alias("dups"), F.count_if(F.col("ts").isNull()).alias("undated"))
-    x = summary(series).join(dup, "series_id").join(step(series.where("ts is not null")), "series_id")
+    x = summary(series).join(dup, "series_id").join(step(series.where("ts is not null")), "series_id", "left")
     rules = [
         ("error", F.col("undated") > 0, "dates that can't be read"), ("error", F.col("overlap") < 2, "fewer than two complete pairs"), ("warning", F.col("dups") > 0, "repeated dates"), ("warning", F.col("irregular"), "irregular time step"),
         ("warning", F.col("obs_missing") > 0.5 * F.col("n"), "more than half of the observations are missing"), ("warning", (F.col("obs_negative") > 0) | (F.col("sim_negative") > 0), "negative values"),

@@ -12,7 +12,7 @@ from ..functions.stats import uniform_draw
 from ..operators import bootstrap, classical, frame, ranking, sandbox, shape, timing, units
 from . import oracles as sql
 from .config import Perturbation, TimingConfig
-from .derived import by_brand, by_flag, hourly, table
+from .derived import by_brand, by_flag, hourly, messy, table
 from .panel import full_panel
 from .registry import C2M, CORRELATION, EFFICIENCIES, ERROR_NORMS, ESSENTIALS, FDC, displayed, metric_registry, preset, search
 
@@ -112,7 +112,7 @@ t AS (SELECT series_id, arg_max(gap, c * 1e12 - gap) AS mode, max(c) AS mode_n,
 o AS (SELECT series_id, any_value(mode) AS mode, any_value(mode_n) AS mode_n, any_value(n) AS n, any_value(months) AS months, sum(CASE WHEN gap % mode <> 0 THEN c ELSE 0 END) AS off FROM c JOIN t USING (series_id) GROUP BY series_id),
 r AS (SELECT series_id, CASE WHEN months > 0.9 * n THEN 30 * 86400000::BIGINT ELSE mode END::BIGINT AS step_ms, months <= 0.9 * n AND (off > 0.05 * n OR n - mode_n > 0.5 * n) AS irregular, months > 0.9 * n AS monthly FROM o)
 SELECT *, CASE WHEN monthly THEN '1mo' WHEN step_ms % 86400000 = 0 THEN (step_ms // 86400000)::VARCHAR || 'd' WHEN step_ms % 3600000 = 0 THEN (step_ms // 3600000)::VARCHAR || 'h' WHEN step_ms % 60000 = 0 THEN (step_ms // 60000)::VARCHAR || 'min' ELSE step_ms::VARCHAR || 'ms' END AS label FROM r""")
-    _add("validate_checks", lambda s, d: frame.checks(by_flag(s, d)), f"WITH {sql.FLAG}, c AS (SELECT series_id, count_if(obs IS NOT NULL AND sim IS NOT NULL) AS overlap, count(*) AS n FROM series WHERE ts < TIMESTAMP '1995-02-10' GROUP BY series_id) SELECT series_id, CASE WHEN overlap < 2 THEN 'error' ELSE 'warning' END AS level, CASE WHEN overlap < 2 THEN 'fewer than two complete pairs' ELSE 'little overlap' END AS message FROM c WHERE overlap < 30")
+    _add("validate_checks", lambda s, d: frame.checks(by_flag(s, d).unionByName(messy(s, d))), sql.CHECKS)
 
     def dedup(spark: SparkSession, sf: str) -> DataFrame:
         x = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("series_id"), F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias("ts"), F.struct("l_orderkey", "l_linenumber").alias("row_no"), F.col("l_quantity").alias("obs"), F.col("l_extendedprice").alias("sim"))

@@ -11,9 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _daily(lines: DataFrame, key: Column) -> DataFrame:
-    """obs: quantity, sim: discounted price / 1500, a row a day; every 37th day has no obs and every 53rd no sim."""
+    """obs: quantity, sim: discounted price / 1500 to four digits, a row a day; every 37th day has no obs and every 53rd no sim. Prices
+    are added as decimals and rounded as whole numbers of 0.0001, so that no sum's order and no double near a half shows."""
+    ten_thousandths = (F.sum(F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))) * 10000).cast("long")
     g = lines.groupBy(key.alias("series_id"), F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias("ts")).agg(
-        F.round(F.sum("l_quantity"), 4).alias("obs"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1500, 4).alias("sim")
+        F.round(F.sum("l_quantity"), 4).alias("obs"), (F.floor((ten_thousandths + 750) / 1500) / 10000).alias("sim")
     )
     day = F.datediff("ts", F.lit("1995-01-01"))
     return g.withColumns({"obs": F.when(day % 37 != 0, F.col("obs")), "sim": F.when(day % 53 != 0, F.col("sim"))})
@@ -29,6 +31,15 @@ def by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(lines.join(parts, "l_partkey"), F.col("p_brand"))
 
 
+def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by part with what records have: dates that can't be read, repeated dates, gaps, negative values, one side missing."""
+    x, part = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity"), F.col("l_partkey")
+    ts = F.when((part % 5 != 0) | (F.col("l_linenumber") != 7), F.date_trunc("day", F.col("l_shipdate").cast("timestamp")))
+    obs = F.when((part % 11 != 0) | (F.col("l_orderkey") % 3 == 0), F.when(part % 13 == 0, -F.col("l_quantity")).otherwise(F.col("l_quantity")))
+    sim = F.when(part % 17 != 0, F.col("l_quantity") + F.col("l_linenumber"))
+    return x.select(F.concat(F.lit("part "), part).alias("series_id"), ts.alias("ts"), obs.alias("obs"), sim.alias("sim"))
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values by hour and type: obs the sum, sim ten times the number of events."""
     e = table(spark, sf_dir, "events").select("event_type", "ts", "value")

@@ -5,12 +5,14 @@ from __future__ import annotations
 
 def _daily(key: str, source: str) -> str:
     day = "date_diff('day', DATE '1995-01-01', ts::DATE)"
-    return f"""raw AS (SELECT {key} AS series_id, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, round(sum(l_quantity), 4) AS obs, round(sum(l_extendedprice * (1 - l_discount)) / 1500, 4) AS sim FROM {source} GROUP BY ALL),
+    return f"""raw AS (SELECT {key} AS series_id, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, round(sum(l_quantity), 4) AS obs, floor(((sum(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2))) * 10000)::BIGINT + 750) / 1500) / 10000 AS sim FROM {source} GROUP BY ALL),
 series AS (SELECT series_id, ts, CASE WHEN {day} % 37 <> 0 THEN obs END AS obs, CASE WHEN {day} % 53 <> 0 THEN sim END AS sim FROM raw)"""
 
 
 FLAG = _daily("l_returnflag", "lineitem")
 BRAND = _daily("p_brand", "lineitem JOIN part ON l_partkey = p_partkey")
+MESSY = """messy AS (SELECT 'part ' || l_partkey AS series_id, CASE WHEN l_partkey % 5 <> 0 OR l_linenumber <> 7 THEN date_trunc('day', l_shipdate)::TIMESTAMP END AS ts,
+  CASE WHEN l_partkey % 11 <> 0 OR l_orderkey % 3 = 0 THEN CASE WHEN l_partkey % 13 = 0 THEN -l_quantity ELSE l_quantity END END AS obs, CASE WHEN l_partkey % 17 <> 0 THEN l_quantity + l_linenumber END AS sim FROM lineitem)"""
 HOURLY = "series AS (SELECT event_type AS series_id, date_trunc('hour', ts)::TIMESTAMP AS ts, round(sum(value), 4) AS obs, count(*) * 10.0::DOUBLE AS sim FROM events GROUP BY ALL)"
 
 
@@ -123,3 +125,21 @@ def draw(k: str, seed: int) -> str:
     a = f"((({k})::HUGEINT + 1) * 1831565813 + {seed}) % 4294967296"
     t1 = lambda c: mul(f"xor({c}, {c} >> 15)", f"{c} | 1")
     return f"(SELECT xor(t2, t2 >> 14) / 4294967296.0::DOUBLE FROM (SELECT xor((t1 + {mul('xor(t1, t1 >> 7)', 't1 | 61')}) % 4294967296, t1) AS t2 FROM (SELECT {t1('a0')} AS t1 FROM (SELECT ({a})::BIGINT AS a0))))"
+
+
+def steps(source: str) -> str:
+    """CTEs up to ``steps_`` (series_id, step_ms, irregular, monthly) from the gaps between the dates of a CTE."""
+    return f"""g AS (SELECT series_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY series_id ORDER BY ts) AS gap FROM {source} WHERE ts IS NOT NULL), c AS (SELECT series_id, gap, count(*) AS c FROM g WHERE gap IS NOT NULL GROUP BY ALL),
+t AS (SELECT series_id, arg_max(gap, c * 1e12 - gap) AS mode, max(c) AS mode_n, sum(c) AS n, sum(CASE WHEN gap BETWEEN 28 * 86400000::BIGINT AND 31 * 86400000::BIGINT THEN c ELSE 0 END) AS months FROM c GROUP BY series_id),
+o AS (SELECT series_id, any_value(mode) AS mode, any_value(mode_n) AS mode_n, any_value(n) AS n, any_value(months) AS months, sum(CASE WHEN gap <> mode AND (mode = 0 OR gap % mode <> 0) THEN c ELSE 0 END) AS off FROM c JOIN t USING (series_id) GROUP BY series_id),
+steps_ AS (SELECT series_id, CASE WHEN months > 0.9 * n THEN 30 * 86400000::BIGINT ELSE mode END::BIGINT AS step_ms, months <= 0.9 * n AND (off > 0.05 * n OR n - mode_n > 0.5 * n) AS irregular, months > 0.9 * n AS monthly FROM o)"""
+
+
+_RULES = [
+    ("error", "undated > 0", "dates that can''t be read"), ("error", "overlap < 2", "fewer than two complete pairs"), ("warning", "dups > 0", "repeated dates"), ("warning", "irregular", "irregular time step"),
+    ("warning", "obs_missing > 0.5 * n", "more than half of the observations are missing"), ("warning", "negative > 0", "negative values"), ("warning", "overlap >= 2 AND (overlap < 30 OR overlap < 0.1 * n)", "little overlap"),
+]
+CHECKS = f"""WITH {FLAG}, {MESSY}, every_ AS (SELECT series_id, ts, obs, sim FROM series UNION ALL SELECT * FROM messy), {steps("every_")},
+f AS (SELECT series_id, count(*) AS n, count_if(ts IS NULL) AS undated, count(ts) - count(DISTINCT ts) AS dups, count_if(obs IS NULL) AS obs_missing, count_if(obs < 0 OR sim < 0) AS negative, count_if(obs IS NOT NULL AND sim IS NOT NULL) AS overlap FROM every_ GROUP BY series_id),
+x AS (SELECT f.*, coalesce(irregular, false) AS irregular FROM f LEFT JOIN steps_ USING (series_id))
+""" + " UNION ALL ".join(f"SELECT series_id, '{level}' AS level, '{text}' AS message FROM x WHERE {rule}" for level, rule, text in _RULES)
