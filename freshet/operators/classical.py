@@ -1,8 +1,8 @@
-"""The 45 classical metrics as two aggregations and two rank windows.
+"""The 45 classical metrics from one exchange by series.
 
-Input: pairs (series_id, k, obs, sim), both values finite. First the series' own statistics, then, joined back, sums about
-their means; ranks and flow-duration curves come from windows over each series. Everything a metric shares with
-another is computed once.
+Input: pairs (series_id, k, obs, sim), both values finite. Within a series' partition, windows give each pair its neighbours,
+ranks and places by observed value, simulated value and error; quantiles and flow-duration sums are read off the places,
+and one aggregation makes every sum a metric needs. Everything a metric shares with another is computed once.
 """
 
 from __future__ import annotations
@@ -15,53 +15,85 @@ from ..functions.stats import finite, js_round, over, pearson
 EPS = 0.01
 
 
-def series_statistics(pairs: DataFrame) -> DataFrame:
-    """One row a series: n, means, deviations, extremes and exact quantiles."""
-    o, s = F.col("obs"), F.col("sim")
-    e = s - o
-    q = lambda x, *p: F.percentile(x, F.array(*[F.lit(v) for v in p]))
-    return pairs.groupBy("series_id").agg(
-        F.count("*").alias("n"), F.avg(o).alias("mo"), F.avg(s).alias("ms"), F.stddev_pop(o).alias("so"), F.stddev_pop(s).alias("ss"),
-        F.min(o).alias("min_o"), F.max(o).alias("max_o"), F.min(F.least(o, s)).alias("min_any"), F.max((o == 0).cast("int")).alias("zero_o"), F.max(((o == 0) & (s == 0)).cast("int")).alias("zero_both"),
-        q(o, 0.25, 0.75, 1 - 0.2, 1 - 0.7, 0.5).alias("qo"), q(s, 1 - 0.2, 1 - 0.7, 0.5).alias("qs"),
-        F.median(F.abs(e)).alias("mdae"), F.median(e).alias("mde"), F.median(e * e).alias("mdse"),
-    )
-
-
 def _square(x: Column) -> Column:
     return x * x
 
 
-def centred_sums(pairs: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row a series: the sums that error norms, correlations and efficiencies are made of."""
-    w = Window.partitionBy("series_id").orderBy("k")
-    x = pairs.withColumn("before", F.lag("obs").over(w)).join(stats.select("series_id", "mo", "ms"), "series_id")
-    o, s, mo, ms = F.col("obs"), F.col("sim"), F.col("mo"), F.col("ms")
-    e, a, b = s - o, o - mo, s - ms
+def placed(pairs: DataFrame) -> DataFrame:
+    """Each pair with its series' n, mo and ms (means), the obs before it, and by obs, sim, error e and abs(e): its place from 0
+    (at_o, at_s, at_e, at_a); average ranks ro and rs. All windows share one partitioning."""
+    w = Window.partitionBy("series_id")
+    peers = lambda c: w.orderBy(c).rangeBetween(Window.currentRow, Window.currentRow)
+    rank = lambda c: F.rank().over(w.orderBy(c)) + (F.count("*").over(peers(c)) - 1) / 2
+    place = lambda c: F.row_number().over(w.orderBy(c)) - 1
+    x = pairs.select("series_id", "k", "obs", "sim", (F.col("sim") - F.col("obs")).alias("e"))
+    x = x.withColumns({"n": F.count("*").over(w), "mo": F.avg("obs").over(w), "ms": F.avg("sim").over(w)}).withColumn("before", F.lag("obs").over(w.orderBy("k")))
+    x = x.withColumns({"ro": rank("obs"), "at_o": place("obs")}).withColumns({"rs": rank("sim"), "at_s": place("sim")})
+    return x.withColumn("at_e", place("e")).withColumn("a", F.abs("e")).withColumn("at_a", place("a"))
+
+
+def _between(at: Column, x: Column, q: float) -> list[Column]:
+    """Aggregates for the quantile q of x, whose places from 0 are ``at``: the value at or below it, and the one above."""
+    h = (F.col("n") - 1) * F.lit(q)
+    return [F.max(F.when(at == F.floor(h), x)), F.max(F.when(at == F.ceil(h), x))]
+
+
+def series_sums(x: DataFrame, high: float = 0.02, low: float = 0.3) -> DataFrame:
+    """One row a series from ``placed`` pairs: extremes, quantiles, and the sums that the metrics are made of."""
+    o, s, e, mo, ms, n = (F.col(c) for c in ("obs", "sim", "e", "mo", "ms", "n"))
+    a, b = o - mo, s - ms
     ratio = F.when((o > 0) & (s > 0), F.ln(F.try_divide(s, o)))
-    rel = F.abs(F.try_divide(e, o))
-    lo, ls = F.when(o + mo * EPS > 0, F.ln(o + mo * EPS)), F.when(s + mo * EPS > 0, F.ln(s + mo * EPS))
+    rel, eps = F.abs(F.try_divide(e, o)), mo * EPS
+    lo, ls = _ln(o + eps), _ln(s + eps)
     reach = F.abs(s - mo) + F.abs(a)
-    return x.groupBy("series_id").agg(
-        F.avg(e).alias("me"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sum(e * e).alias("see"), F.sum(F.abs(e)).alias("sae"), F.sum(o).alias("sum_o"), F.sum(F.abs(o)).alias("abs_o"),
-        F.sum(a * b).alias("cov"), F.sum(a * a).alias("vo"), F.sum(b * b).alias("vs"), F.sum(F.abs(a)).alias("dev_o"),
-        F.sum(_square(reach)).alias("reach2"), F.sum(reach).alias("reach1"), F.sum(_square(F.try_divide(reach, mo))).alias("reach_rel"),
-        F.sum(_square(F.try_divide(e, o))).alias("rel2"), F.sum(_square(F.try_divide(a, mo))).alias("dev_rel"),
-        F.avg(ratio).alias("mle"), F.avg(F.abs(ratio)).alias("male"), F.avg(ratio * ratio).alias("msle"),
-        (100 * F.avg(rel)).alias("mape"), (100 * F.avg(F.coalesce(F.try_divide(F.abs(e), (F.abs(o) + F.abs(s)) / 2), F.lit(0.0)))).alias("smape"),
-        F.avg(F.when(o == 0, F.pi() / 2).otherwise(F.atan(rel))).alias("maape"), F.avg(F.abs(o - F.col("before"))).alias("step"),
-        F.sum(_square(lo - ls)).alias("log_see"), (F.var_pop(lo) * F.count("*")).alias("log_vo"), F.max((lo.isNull() | ls.isNull()).cast("int")).alias("log_bad"),
-    )
-
-
-def rank_sums(pairs: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row a series: centred sums of average ranks."""
-    by = lambda c: Window.partitionBy("series_id").orderBy(c)
-    ties = lambda c: F.count("*").over(Window.partitionBy("series_id", c))
-    r = pairs.select("series_id", (F.rank().over(by("obs")) + (ties("obs") - 1) / 2).alias("ro"), (F.rank().over(by("sim")) + (ties("sim") - 1) / 2).alias("rs"))
-    r = r.join(stats.select("series_id", ((F.col("n") + 1) / 2).alias("m")), "series_id")
-    a, b = F.col("ro") - F.col("m"), F.col("rs") - F.col("m")
-    return r.groupBy("series_id").agg(F.sum(a * b).alias("rank_cov"), F.sum(a * a).alias("rank_vo"), F.sum(b * b).alias("rank_vs"))
+    ra, rb = F.col("ro") - (n + 1) / 2, F.col("rs") - (n + 1) / 2
+    # Flow-duration curves: places in falling order; each side's sums need its own places only.
+    top, tail = F.greatest(F.lit(1), js_round(n * F.lit(high))), F.floor(n * F.lit(1 - low))
+    down_o, down_s = n - 1 - F.col("at_o"), n - 1 - F.col("at_s")
+    tail_o, tail_s = down_o >= tail, down_s >= tail
+    aggregates = {
+        "n": F.max(n), "mo": F.max(mo), "ms": F.max(ms), "so": F.stddev_pop(o), "ss": F.stddev_pop(s),
+        "min_o": F.min(o), "max_o": F.max(o), "min_any": F.min(F.least(o, s)), "zero_o": F.max((o == 0).cast("int")), "zero_both": F.max(((o == 0) & (s == 0)).cast("int")),
+        "me": F.avg(e), "mae": F.avg(F.abs(e)), "mse": F.avg(e * e), "see": F.sum(e * e), "sae": F.sum(F.abs(e)), "sum_o": F.sum(o), "abs_o": F.sum(F.abs(o)),
+        "cov": F.sum(a * b), "vo": F.sum(a * a), "vs": F.sum(b * b), "dev_o": F.sum(F.abs(a)),
+        "reach2": F.sum(_square(reach)), "reach1": F.sum(reach), "reach_rel": F.sum(_square(F.try_divide(reach, mo))), "rel2": F.sum(_square(F.try_divide(e, o))), "dev_rel": F.sum(_square(F.try_divide(a, mo))),
+        "mle": F.avg(ratio), "male": F.avg(F.abs(ratio)), "msle": F.avg(ratio * ratio),
+        "mape": 100 * F.avg(rel), "smape": 100 * F.avg(F.coalesce(F.try_divide(F.abs(e), (F.abs(o) + F.abs(s)) / 2), F.lit(0.0))),
+        "maape": F.avg(F.when(o == 0, F.pi() / 2).otherwise(F.atan(rel))), "step": F.avg(F.abs(o - F.col("before"))),
+        "log_see": F.sum(_square(lo - ls)), "log_vo": F.var_pop(lo) * F.count("*"), "log_bad": F.max((lo.isNull() | ls.isNull()).cast("int")),
+        "rank_cov": F.sum(ra * rb), "rank_vo": F.sum(ra * ra), "rank_vs": F.sum(rb * rb),
+        "top_o": F.sum(F.when(down_o < top, o)), "top_s": F.sum(F.when(down_s < top, s)),
+        "low_o": F.sum(F.when(tail_o, lo)), "low_min_o": F.min(F.when(tail_o, lo)), "low_s": F.sum(F.when(tail_s, ls)), "low_min_s": F.min(F.when(tail_s, ls)), "low_n": F.sum(tail_o.cast("int")),
+        "low_bad": F.max(((tail_o & lo.isNull()) | (tail_s & ls.isNull())).cast("int")),
+    }
+    wanted = {"o": (F.col("at_o"), o, (0.25, 0.75, 1 - 0.2, 1 - 0.7, 0.5)), "s": (F.col("at_s"), s, (1 - 0.2, 1 - 0.7, 0.5)), "e": (F.col("at_e"), e, (0.5,)), "a": (F.col("at_a"), F.col("a"), (0.5,))}
+    for side, (at, value, qs) in wanted.items():
+        for i, q in enumerate(qs):
+            aggregates |= {f"{side}{i}_{end}": v for end, v in zip(("lo", "hi"), _between(at, value, q), strict=True)}
+    g = x.groupBy("series_id").agg(*[v.alias(k) for k, v in aggregates.items()])
+
+    def quantile(side: str, i: int, q: float) -> Column:
+        below, above, h = F.col(f"{side}{i}_lo"), F.col(f"{side}{i}_hi"), (F.col("n") - 1) * F.lit(q)
+        return below + (above - below) * (h - F.floor(h))
+
+    below, above = F.col("a0_lo"), F.col("a0_hi")
+    below_o, below_s = F.col("low_o") - F.col("low_n") * F.col("low_min_o"), F.col("low_s") - F.col("low_n") * F.col("low_min_s")
+    return g.withColumns({
+        "qo": F.array(*[quantile("o", i, q) for i, q in enumerate(wanted["o"][2])]), "qs": F.array(*[quantile("s", i, q) for i, q in enumerate(wanted["s"][2])]),
+        "mde": quantile("e", 0, 0.5), "mdae": quantile("a", 0, 0.5), "mdse": (below * below + above * above) / 2,
+        "fhv": over(100 * (F.col("top_s") - F.col("top_o")), F.col("top_o")), "flv": F.when(F.col("low_bad") == 0, over(-100 * (below_s - below_o), below_o)),
+    })
+
+
+def curve_distance(x: DataFrame) -> DataFrame:
+    """(series_id, fdc_l1): the sum of the gaps between both sides' sorted values, as shares of their sums. That is the area between
+    the two distributions: both sides' values in one order, each step times how many more of one side lie below it."""
+    share = lambda v, m: F.try_divide(F.col(v), F.col("n") * F.col(m))
+    both = x.select("series_id", F.inline(F.array(F.struct(share("obs", "mo").alias("v"), F.lit(1).alias("d")), F.struct(share("sim", "ms").alias("v"), F.lit(-1).alias("d")))))
+    w = Window.partitionBy("series_id").orderBy("v")
+    gap = F.abs(F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))) * (F.lead("v").over(w) - F.col("v"))
+    g = both.select("series_id", "v", gap.alias("gap")).groupBy("series_id").agg(F.sum("gap").alias("l1"), F.count("v").alias("have"), F.count("*").alias("n"))
+    return g.select("series_id", F.when(F.col("have") == F.col("n"), F.col("l1")).alias("fdc_l1"))
 
 
 def flow_duration(pairs: DataFrame) -> DataFrame:
@@ -71,29 +103,14 @@ def flow_duration(pairs: DataFrame) -> DataFrame:
     return left.join(pairs.select("series_id", by("sim").alias("i"), F.col("sim").alias("s")), ["series_id", "i"])
 
 
-def flow_duration_sums(pairs: DataFrame, stats: DataFrame, high: float = 0.02, low: float = 0.3) -> DataFrame:
-    """One row a series: what kgenp, fhv and flv take from the curves."""
-    c = flow_duration(pairs).join(stats.select("series_id", "n", "mo", "ms"), "series_id")
-    o, s, n, eps = F.col("o"), F.col("s"), F.col("n"), F.col("mo") * EPS
-    top = F.col("i") < F.greatest(F.lit(1), js_round(n * F.lit(high)))
-    tail = F.col("i") >= F.floor(n * F.lit(1 - low))
-    lo, ls = F.when(tail & (o + eps > 0), F.ln(o + eps)), F.when(tail & (s + eps > 0), F.ln(s + eps))
-    g = c.groupBy("series_id").agg(
-        F.sum(F.abs(F.try_divide(s, n * F.col("ms")) - F.try_divide(o, n * F.col("mo")))).alias("fdc_l1"), F.sum(F.when(top, s - o)).alias("top_e"), F.sum(F.when(top, o)).alias("top_o"),
-        F.sum(lo).alias("low_o"), F.min(lo).alias("low_min_o"), F.sum(ls).alias("low_s"), F.min(ls).alias("low_min_s"), F.sum(tail.cast("int")).alias("low_n"), F.max((tail & (lo.isNull() | ls.isNull())).cast("int")).alias("low_bad"),
-    )
-    below_o, below_s = F.col("low_o") - F.col("low_n") * F.col("low_min_o"), F.col("low_s") - F.col("low_n") * F.col("low_min_s")
-    return g.select("series_id", "fdc_l1", over(100 * F.col("top_e"), F.col("top_o")).alias("fhv"), F.when(F.col("low_bad") == 0, over(-100 * (below_s - below_o), below_o)).alias("flv"))
-
-
 def _ln(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
 def wide_panel(pairs: DataFrame) -> DataFrame:
     """One row a series with a column for each classical metric, and kge parts (r, variability, bias) for the three KGEs."""
-    stats = series_statistics(pairs)
-    joined = stats.join(centred_sums(pairs, stats), "series_id").join(rank_sums(pairs, stats), "series_id").join(flow_duration_sums(pairs, stats), "series_id")
+    x = placed(pairs)
+    joined = series_sums(x).join(curve_distance(x), "series_id")
     c = {n: F.col(n) for n in joined.columns}
     n, mo, ms, so, ss = c["n"], c["mo"], c["ms"], c["so"], c["ss"]
     eps = mo * EPS
