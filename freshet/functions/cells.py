@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # What stands for a missing value, whatever the case.
 MISSING = ["", "na", "nan", "null", "n/a", "-", "--", "---", "none", "missing"]
 # Month names.
-MONTHS = "january february march april may june july august september october november december".split()
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -44,6 +44,12 @@ def pivot_year(y: Column) -> Column:
     return F.when(y > 99, y).when(y <= 68, y + 2000).otherwise(y + 1900)
 
 
+def _year(t: Column, pattern: str, i: int) -> Column:
+    """A year of one or two digits counts from its pivot."""
+    y = _part(t, pattern, i)
+    return F.when(F.length(F.regexp_extract(t, pattern, i)) > 2, y).otherwise(pivot_year(y))
+
+
 def _part(t: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(t, pattern, i), F.lit("")).try_cast("int")
 
@@ -54,11 +60,12 @@ def _stamp(y: Column, m: Column, d: Column, h: Column, mi: Column, s: Column) ->
     return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), F.try_make_timestamp(y, m, d, F.coalesce(h, z), F.coalesce(mi, z), F.coalesce(s, z)))
 
 
-ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}))?)?"
-NUMERIC = r"^(\d{1,4})[/\-.](\d{1,2})[/\-.](\d{1,4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
+# The shapes of dates that are read, each with an optional time.
+ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?"
+NUMERIC = r"^(\d{1,4})[/\-.](\d{1,2})[/\-.](\d{1,4})(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
 JULIAN = r"^(\d{4})[-_ ]?(\d{3})$"
-DAY_NAME = r"^(\d{1,2})[-/ ]([A-Za-z]+)\.?[-/ ,]+(\d{2,4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
-NAME_DAY = r"^([A-Za-z]+)\.? (\d{1,2}),? (\d{2,4})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
+DAY_NAME = r"^(\d{1,2})[-/. ]([A-Za-z]{3,9})[-/. ]+(\d{2,4})(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
+NAME_DAY = r"^([A-Za-z]{3,9})[-/. ]+(\d{1,2})(?:,\s*|[-/. ]+)(\d{2,4})(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
 
 
 def iso_date(raw: Column) -> Column:
@@ -66,14 +73,14 @@ def iso_date(raw: Column) -> Column:
 
 
 def numeric_date(raw: Column, order: str) -> Column:
-    """a/b/c with the given order, dmy or mdy; four leading digits always mean year, month, day."""
+    """a/b/c with the given order, dmy, mdy or ymd; four leading digits always mean year, month, day."""
     return bound(F.trim(raw), lambda t: _numeric(t, order))
 
 
 def _numeric(t: Column, order: str) -> Column:
     a, b, c, h, mi, s = (_part(t, NUMERIC, i) for i in range(1, 7))
-    d, m = (a, b) if order == "dmy" else (b, a)
-    return F.when(t.rlike(r"^\d{4}"), _stamp(a, b, c, h, mi, s)).otherwise(_stamp(pivot_year(c), m, d, h, mi, s))
+    day, month, year = {"dmy": (a, b, _year(t, NUMERIC, 3)), "mdy": (b, a, _year(t, NUMERIC, 3)), "ymd": (c, b, _year(t, NUMERIC, 1))}[order]
+    return F.when(t.rlike(r"^\d{4}"), _stamp(a, b, c, h, mi, s)).otherwise(_stamp(year, month, day, h, mi, s))
 
 
 def month_number(name: Column) -> Column:
@@ -86,13 +93,13 @@ def month_number(name: Column) -> Column:
 
 
 def named_date(raw: Column) -> Column:
-    """5-Mar-2001 or March 5, 2001."""
+    """5-Mar-2001, 05.March.01, March 5, 2001 or Mar-05-2001; a month and a year alone are no date."""
     return bound(F.trim(raw), _named)
 
 
 def _named(t: Column) -> Column:
-    first = _stamp(pivot_year(_part(t, DAY_NAME, 3)), month_number(F.regexp_extract(t, DAY_NAME, 2)), _part(t, DAY_NAME, 1), *[_part(t, DAY_NAME, i) for i in (4, 5, 6)])
-    second = _stamp(pivot_year(_part(t, NAME_DAY, 3)), month_number(F.regexp_extract(t, NAME_DAY, 1)), _part(t, NAME_DAY, 2), *[_part(t, NAME_DAY, i) for i in (4, 5, 6)])
+    first = _stamp(_year(t, DAY_NAME, 3), month_number(F.regexp_extract(t, DAY_NAME, 2)), _part(t, DAY_NAME, 1), *[_part(t, DAY_NAME, i) for i in (4, 5, 6)])
+    second = _stamp(_year(t, NAME_DAY, 3), month_number(F.regexp_extract(t, NAME_DAY, 1)), _part(t, NAME_DAY, 2), *[_part(t, NAME_DAY, i) for i in (4, 5, 6)])
     return F.when(t.rlike(DAY_NAME), first).when(t.rlike(NAME_DAY), second)
 
 
@@ -127,8 +134,9 @@ def date_format_of(rows: DataFrame, column: str) -> str:
 
 
 def parsed_date(raw: Column, kind: str) -> Column:
-    if kind in ("dmy", "mdy"):
-        return F.coalesce(numeric_date(raw, kind), named_date(raw))
+    """A cell's date. With a given order (ymd, mdy, dmy) dates that tell their own order are read, too."""
+    if kind in ("dmy", "mdy", "ymd"):
+        return F.coalesce(iso_date(raw), named_date(raw), numeric_date(raw, kind))
     return {"julian": julian_date(raw), "iso": iso_date(raw), "month-name": named_date(raw)}.get(kind, F.coalesce(iso_date(raw), numeric_date(raw, "dmy"), named_date(raw)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,20 @@ def uniform_draw(k: Column, seed: int) -> Column:
     t = _mul32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1).cast("long")))
     t = (t + _mul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(mask).bitwiseXOR(t)
     return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)
+
+
+def normal_draws(spark: SparkSession, seed: int, n: int, chunk: int = 4096) -> DataFrame:
+    """(j, z): the first n normal draws by Marsaglia's polar method on the generator. Each pair of draws is accepted or not on its
+    own; a pair's number among the accepted is its number in its chunk and the counts of the chunks before."""
+    m = F.col("id")
+    x, y = 2 * uniform_draw(2 * m, seed) - 1, 2 * uniform_draw(2 * m + 1, seed) - 1
+    # Within arrays, as a filter over columns would repeat the generator's whole expression.
+    point = F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), (p["x"] * p["x"] + p["y"] * p["y"]).alias("r")))
+    good = spark.range(2 * n + 32).select("id", F.floor(m / chunk).alias("chunk"), F.inline(F.filter(point, lambda p: (p["r"] > 0) & (p["r"] < 1))))
+    counts = good.groupBy("chunk").agg(F.count("*").alias("have"))
+    before = counts.select("chunk", (F.sum("have").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("have")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("chunk").orderBy("id")) - 1
+    f = F.sqrt(-2 * F.ln("r") / F.col("r"))
+    two = F.array(F.struct(F.lit(0).alias("side"), (F.col("x") * f).alias("z")), F.struct(F.lit(1).alias("side"), (F.col("y") * f).alias("z")))
+    each = good.withColumn("inside", inside).join(before, "chunk").select((2 * (F.col("before") + F.col("inside"))).alias("at"), F.inline(two))
+    return each.select((F.col("at") + F.col("side")).cast("long").alias("j"), "z").where(F.col("j") < n)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import uniform_draw
+from ..functions.stats import normal_draws, uniform_draw
 from ..plans.config import Perturbation
-from .shape import gaussian_noise
 
 
 def perturbed(base: DataFrame, p: Perturbation, c: str = "sim") -> DataFrame:
@@ -25,16 +22,8 @@ def perturbed(base: DataFrame, p: Perturbation, c: str = "sim") -> DataFrame:
         if p.noise_kind == "uniform":
             y = y + (uniform_draw(F.col("draw"), p.seed) * 2 - 1) * p.noise
         else:
-            x, y = _with_gaussian(x.withColumn("y", y), p, c), F.col("y")
+            most = n.agg(F.max("last")).collect()[0][0]
+            draws = normal_draws(base.sparkSession, p.seed, (most or 0) + 1).withColumnRenamed("j", "draw")
+            x, y = x.join(draws, "draw", "left"), y + p.noise * F.col("z")
     return x.withColumn(c, y).select(base.columns)
 
-
-def _with_gaussian(x: DataFrame, p: Perturbation, c: str) -> DataFrame:
-    """Normal draws come one after another, so a series is one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        noise = gaussian_noise(p.seed, int(pdf["draw"].max()) + 1 if len(pdf) else 0)
-        have = pdf["y"].notna()
-        return pdf.assign(y=np.where(have, pdf["y"] + p.noise * noise[pdf["draw"].clip(lower=0).astype(int)] if len(noise) else pdf["y"], np.nan))
-
-    return x.groupBy("series_id").applyInPandas(run, x.schema)

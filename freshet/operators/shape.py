@@ -1,4 +1,4 @@
-"""Timing and shape measures with sequential rules: greedy matching, peak selection, warping, wavelets.
+"""Timing and shape measures with sequential rules: peak selection, warping, wavelets.
 
 Each runs on one series at a time in a grouped Arrow-batch function; series are spread by Spark. What comes back is small (a
 row a series, peak, scale or path point). Long series are thinned before warping, by ``timing.decimated``.
@@ -23,35 +23,6 @@ def _none(x: float) -> float | None:
     return float(x) if np.isfinite(x) else None
 
 
-# Events
-
-
-def match_first(a: list[tuple], b: list[tuple], tolerance: int) -> int:
-    """Hits: each event of a takes the first free event of b that overlaps it."""
-    used: set[int] = set()
-    for s, e in a:
-        for j, (t, f) in enumerate(b):
-            if j not in used and s - tolerance <= f and t - tolerance <= e:
-                used.add(j)
-                break
-    return len(used)
-
-
-def event_threat(obs_events: DataFrame, sim_events: DataFrame, tolerance: int) -> DataFrame:
-    """hits, misses, false alarms and threat score of each series; the events come in one small group a series."""
-    cols = ["series_id", "event_no", "start_k", "end_k"]
-    both = obs_events.select(*cols, F.lit(True).alias("observed")).unionByName(sim_events.select(*cols, F.lit(False).alias("observed")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_k")
-        a, b = ([(r.start_k, r.end_k) for r in pdf[pdf["observed"] == v].itertuples()] for v in (True, False))
-        hits = match_first(a, b, tolerance)
-        total = len(a) + len(b) - hits
-        return pd.DataFrame([(pdf["series_id"].iloc[0], hits, len(a) - hits, len(b) - hits, hits / total if total else None)], columns=["series_id", "hits", "misses", "false_alarms", "event_threat"])
-
-    return both.groupBy("series_id").applyInPandas(run, "series_id string, hits long, misses long, false_alarms long, event_threat double")
-
-
 # Peaks
 
 
@@ -107,51 +78,6 @@ def peak_timing(table: DataFrame) -> DataFrame:
     return table.groupBy("series_id").agg(F.avg(F.abs("lag")).alias("peak_lag_abs"), F.avg("lag").alias("peak_lag_signed"), F.count_if(~F.col("resolved")).alias("unresolved"))
 
 
-# Series distance
-
-
-def _runs(x: np.ndarray, threshold: float, cfg: TimingConfig) -> list[tuple[int, int, int]]:
-    on = np.flatnonzero((x > threshold) & (np.arange(len(x)) >= cfg.warmup))
-    found: list[list[int]] = []
-    for part in np.split(on, np.flatnonzero(np.diff(on) > 1) + 1) if len(on) else []:
-        peak = int(part[np.argmax(x[part])])
-        if found and part[0] - found[-1][1] < cfg.min_distance:
-            found[-1] = [found[-1][0], int(part[-1]), peak if x[peak] > x[found[-1][2]] else found[-1][2]]
-        else:
-            found.append([int(part[0]), int(part[-1]), peak])
-    return [tuple(f) for f in found]
-
-
-def series_distance(pairs: DataFrame, threshold: DataFrame, cfg: TimingConfig, points: int = 20) -> DataFrame:
-    """sd_occ, sd_amp, sd_time, sd_abs_time: events matched to the free event with the nearest peak, and compared at equal relative
-    places of rise and recession."""
-    u = np.arange(points + 1) / points
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, o, s = _sorted(pdf)
-        level = float(pdf["threshold"].iloc[0])
-        a, b = _runs(o, level, cfg), _runs(s, level, cfg)
-        used: set[int] = set()
-        amp, time = [], []
-        for start, end, peak in a:
-            near = [(abs(p - peak), j) for j, (t, f, p) in enumerate(b) if j not in used and start - cfg.tolerance <= f and t - cfg.tolerance <= end]
-            if not near:
-                continue
-            j = min(near)[1]
-            used.add(j)
-            for (x0, x1), (y0, y1) in (((start, peak), (b[j][0], b[j][2])), ((peak, end), (b[j][2], b[j][1]))):
-                t, v = x0 + u * (x1 - x0), y0 + u * (y1 - y0)
-                q, w = np.interp(t, np.arange(x0, x1 + 1), o[x0 : x1 + 1]), np.interp(v, np.arange(y0, y1 + 1), s[y0 : y1 + 1])
-                amp.append(100 * (w[q != 0] - q[q != 0]) / q[q != 0])
-                time.append(v - t)
-        total = len(a) + len(b) - len(used)
-        amp, time = (np.concatenate(x) if x else np.zeros(0) for x in (amp, time))
-        row = (name, len(used) / total if total else None, amp.mean() if len(amp) else None, time.mean() if len(time) else None, np.abs(time).mean() if len(time) else None)
-        return pd.DataFrame([row], columns=["series_id", "sd_occ", "sd_amp", "sd_time", "sd_abs_time"])
-
-    return pairs.join(threshold, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, sd_occ double, sd_amp double, sd_time double, sd_abs_time double")
-
-
 # Dynamic time warping
 
 
@@ -288,19 +214,3 @@ def cross_wavelet(pairs: DataFrame, most: int = 16384, to: int = 8192) -> DataFr
 
 def cross_wavelet_lag(by_scale: DataFrame) -> DataFrame:
     return by_scale.groupBy("series_id").agg(F.try_divide(F.sum("weighted_lag"), F.nullif(F.sum("weight"), F.lit(0.0))).alias("lag"), F.max("stride").alias("stride")).select("series_id", (F.col("lag") * F.col("stride")).alias("xwt_lag"))
-
-
-def gaussian_noise(seed: int, n: int) -> np.ndarray:
-    """n normal draws: Marsaglia's polar method on the 32-bit generator."""
-    k = np.arange(1, 4 * n + 65, dtype=np.uint64)
-    mask = np.uint64(0xFFFFFFFF)
-    with np.errstate(over="ignore"):
-        a = (np.uint64(seed & 0xFFFFFFFF) + k * np.uint64(0x6D2B79F5)) & mask
-        t = ((a ^ (a >> np.uint64(15))) * (a | np.uint64(1))) & mask
-        t = ((t + ((t ^ (t >> np.uint64(7))) * (t | np.uint64(61)))) & mask) ^ t
-        u = (t ^ (t >> np.uint64(14))) / 4294967296.0
-    x, y = 2 * u[0::2][: len(u) // 2] - 1, 2 * u[1::2][: len(u) // 2] - 1
-    r = x * x + y * y
-    ok = (r > 0) & (r < 1)
-    f = np.sqrt(-2 * np.log(r[ok]) / r[ok])
-    return np.stack([x[ok] * f, y[ok] * f], 1).ravel()[:n]

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions.stats import uniform_draw
-from ..operators import bootstrap, classical, frame, ranking, sandbox, shape, timing, units
+from ..operators import bootstrap, classical, frame, matching, ranking, sandbox, shape, timing, units
 from . import oracles as sql
-from .config import Perturbation, TimingConfig
+from .config import EvalConfig, Perturbation, TimingConfig
 from .derived import by_brand, by_flag, hourly, messy, table
-from .panel import full_panel
+from .panel import evaluate, full_panel, skill_rows
 from .registry import C2M, CORRELATION, EFFICIENCIES, ERROR_NORMS, ESSENTIALS, FDC, displayed, metric_registry, preset, search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,8 @@ def _panels() -> None:
         return _rounded(m.join(b, "series_id").select("series_id", classical.skill(F.col("m"), F.col("b")).alias("skill")))
 
     _add("skill", skill, f"WITH {sql.pairs()}, c AS (SELECT *, avg(obs) OVER (PARTITION BY series_id) AS mo, {bench['climatology']} AS b FROM pairs), n AS (SELECT series_id, {sql.LOW_NSE} AS m, 1 - sum(power(b - obs, 2)) / sum(power(obs - mo, 2)) AS bn FROM c GROUP BY series_id) SELECT series_id, round(least(1, (m - bn) / (1 - bn)), 6) AS skill FROM n")
+    _add("skill_rows", lambda s, d: _rounded(skill_rows(by_flag(s, d), EvalConfig(benchmark="climatology"))), sql.skills())
+    _add("evaluate_mean_sqrt", lambda s, d: _rounded(evaluate(by_flag(s, d), EvalConfig("mean", "sqrt"), heavy=False)), f"{sql.long(every, sql.pairs(policy='mean', transform='sqrt'))} SELECT series_id, metric_id, round(value, 6) AS value FROM long")
 
 
 def _frames() -> None:
@@ -142,7 +144,7 @@ def _plots() -> None:
     _add("qq", lambda s, d: _rounded(frame.quantile_pairs(by_flag(s, d))), f"WITH {sql.FLAG}, q AS (SELECT series_id, quantile_cont(obs, [i / 100.0::DOUBLE for i in range(1, 100)]) AS o, quantile_cont(sim, [i / 100.0::DOUBLE for i in range(1, 100)]) AS s FROM series GROUP BY series_id) SELECT series_id, unnest(range(1, 100))::INT AS percent, round(unnest(o), 6) AS obs_q, round(unnest(s), 6) AS sim_q FROM q")
     _add("doy_climatology", lambda s, d: _rounded(frame.doy_climatology(by_flag(s, d))), f"WITH {sql.FLAG} SELECT series_id, dayofyear(ts)::INT AS doy, round(quantile_cont(obs, 0.25), 6) AS obs_q25, round(median(obs), 6) AS obs_median, round(quantile_cont(obs, 0.75), 6) AS obs_q75, round(median(sim), 6) AS sim_median FROM series GROUP BY 1, 2")
     _add("year_doy", lambda s, d: frame.year_by_doy(hourly(s, d)), f"WITH {sql.HOURLY} SELECT series_id, year(ts)::INT AS year, dayofyear(ts)::INT AS doy, arg_max(obs, ts) AS value FROM series GROUP BY 1, 2, 3")
-    _add("year_doy_matrix", lambda s, d: frame.year_matrix(by_flag(s, d)))
+    _add("year_doy_matrix", lambda s, d: frame.year_matrix(by_flag(s, d)), f"WITH {sql.FLAG} SELECT series_id, year(ts)::INT AS year, " + ", ".join(f'max(CASE WHEN dayofyear(ts) = {i} THEN obs END) AS "{i}"' for i in range(1, 367)) + " FROM series GROUP BY 1, 2")
     _add("threshold_line", lambda s, d: _rounded(frame.threshold_line(by_flag(s, d), 50.0, True)), f"WITH {sql.FLAG} SELECT series_id, ts, round(log10(50.0::DOUBLE), 6) AS y FROM series")
     _add("colour_floor", lambda s, d: _rounded(frame.colour_floor(timing.lag_sweep(_pairs(s, d)))), f"{sql.SWEEP} SELECT series_id, round(greatest(-1, least(floor(min(r) * 20) / 20 - 0.05, 0.9)), 6)::DOUBLE AS floor FROM sweep GROUP BY series_id")
 
@@ -163,11 +165,12 @@ h AS (SELECT d.series_id, du, o.k AS ko, s.k AS ks FROM (SELECT series_id, du, u
     _add("diagnostic_efficiency", lambda s, d: _rounded(timing.diagnostic_efficiency(_pairs(s, d))), sql.DE)
     _add("ar1", lambda s, d: _rounded(timing.ar1(_pairs(s, d))), f"WITH {sql.pairs()}, c AS (SELECT series_id, obs - avg(obs) OVER (PARTITION BY series_id) AS a, k FROM pairs), l AS (SELECT *, lag(a) OVER (PARTITION BY series_id ORDER BY k) AS b FROM c) SELECT series_id, round(greatest(0, least(0.999, sum(a * b) / sum(a * a))), 6)::DOUBLE AS ar1 FROM l GROUP BY series_id")
     _add("decimated", lambda s, d: timing.decimated(_pairs(s, d), 1000, 400), f"WITH {sql.pairs()}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM pairs), d AS (SELECT *, CASE WHEN n > 1000 THEN ceil(n / 400.0)::INT ELSE 1 END AS stride FROM n) SELECT series_id, (k // stride)::INT AS k, ts, obs, sim, stride FROM d WHERE k % stride = 0 AND k < (n // stride) * stride")
-    _add("peak_timing", lambda s, d: shape.peak_timing(shape.peak_table(_pairs(s, d), DAILY)))
-    _add("peak_table", lambda s, d: shape.peak_table(_pairs(s, d), DAILY))
-    _add("event_threat", lambda s, d: shape.event_threat(found(p := _pairs(s, d)), simulated(p), 3))
-    _add("series_distance", lambda s, d: shape.series_distance(p := _pairs(s, d), timing.thresholds(p, DAILY), DAILY))
+    _add("peak_timing", lambda s, d: _rounded(shape.peak_timing(shape.peak_table(_pairs(s, d), DAILY))), f"{sql.PEAKS} SELECT series_id, round(avg(abs(lag)), 6) AS peak_lag_abs, round(avg(lag), 6) AS peak_lag_signed, count_if(NOT resolved)::BIGINT AS unresolved FROM peaks GROUP BY series_id")
+    _add("peak_table", lambda s, d: shape.peak_table(_pairs(s, d), DAILY), f"{sql.PEAKS} SELECT * FROM peaks")
+    _add("event_threat", lambda s, d: _rounded(matching.event_threat(found(p := _pairs(s, d)), simulated(p), 3)), sql.THREAT)
+    _add("series_distance", lambda s, d: _rounded(matching.series_distance(p := _pairs(s, d), found(p), simulated(p), DAILY)), sql.DISTANCE)
     _add("dtw", lambda s, d: shape.warping(timing.decimated(_pairs(s, d)), DAILY))
+    _add("dtw_monthly", lambda s, d: _rounded(shape.warping(frame.paired(frame.resampled(by_flag(s, d), "month")), DAILY)), sql.DTW)
     _add("dtw_path_ties", lambda s, d: shape.ties(shape.warping_path(timing.decimated(p := _pairs(s, d)), DAILY), p))
     _add("xwt_by_scale", lambda s, d: shape.cross_wavelet(_pairs(s, d)))
     _add("xwt", lambda s, d: shape.cross_wavelet_lag(shape.cross_wavelet(_pairs(s, d))))
@@ -183,7 +186,7 @@ def _runs() -> None:
     _add("perturb", lambda s, d: pick(sandbox.perturbed(_pairs(s, d), moved)), f"{base}{src} SELECT series_id, k::INT AS k, obs, round(sim, 6) AS sim FROM q")
     noisy = Perturbation(noise=5.0, seed=42)
     _add("perturb_uniform", lambda s, d: pick(sandbox.perturbed(_pairs(s, d), noisy)), f"WITH {sql.pairs()} SELECT series_id, k::INT AS k, obs, round(sim + ({sql.draw('k', 42)} * 2 - 1) * 5, 6) AS sim FROM pairs")
-    _add("perturb_gaussian", lambda s, d: sandbox.perturbed(_pairs(s, d), Perturbation(noise=5.0, noise_kind="gaussian")).select("series_id", "k", "sim"))
+    _add("perturb_gaussian", lambda s, d: _rounded(sandbox.perturbed(_pairs(s, d), Perturbation(noise=5.0, noise_kind="gaussian")).select("series_id", "k", "sim")), f"WITH {sql.pairs()}, {sql.normals(42)} SELECT series_id, k::INT AS k, round(sim + 5 * z, 6) AS sim FROM pairs JOIN z ON j = k")
     _add("prng_uniform", lambda s, d: table(s, d, "orders").select("o_orderkey", uniform_draw(F.col("o_orderkey"), 7).alias("u")), f"SELECT o_orderkey, {sql.draw('o_orderkey', 7)} AS u FROM orders")
 
     def against(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,6 +207,8 @@ r AS (SELECT i.series_id, b, obs, sim FROM i JOIN pairs p ON p.series_id = i.ser
 v AS (SELECT series_id, b, {sql.LOW_NSE} AS nse, sqrt(avg(power(sim - obs, 2))) AS rmse, 100 * sum(obs - sim) / sum(obs) AS pbias FROM m GROUP BY ALL), l AS (UNPIVOT v ON nse, rmse, pbias INTO NAME metric_id VALUE value)
 SELECT series_id, metric_id, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM l GROUP BY ALL""",
     )
+    every = [i for g in (ERROR_NORMS, CORRELATION, EFFICIENCIES, FDC) for i in _ids(g)]
+    _add("bootstrap_ci", lambda s, d: _rounded(bootstrap.confidence_intervals(_pairs(s, d))), f"{sql.long(every, sql.resampled_pairs(500, 12345))} SELECT split_part(series_id, '#', 1) AS series_id, metric_id, CASE WHEN count(value) >= 400 THEN round(quantile_cont(value, 0.025), 6) END AS lo, CASE WHEN count(value) >= 400 THEN round(quantile_cont(value, 0.975), 6) END AS hi FROM long GROUP BY ALL")
     used = ["nse", "kge2009", "mae", "pbias"]
     weights = {"nse": 1.0, "kge2009": 2.0, "mae": 1.0}
 
@@ -242,6 +247,16 @@ def _cells() -> None:
         return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", when.alias("ts"))
 
     _add("parse_dates", dates, "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 6 < 5 THEN date_trunc('day', l_shipdate)::TIMESTAMP END AS ts FROM lineitem")
+    def given_order(spark: SparkSession, sf: str) -> DataFrame:
+        t, kind = F.col("l_shipdate").cast("timestamp"), F.col("l_orderkey") % 9
+        f = lambda p: F.date_format(t, p)
+        shapes = ["yy-MM-dd", "yyyy/M/d", "yy.M.d", "dd.MMM.yyyy", "MMM-dd-yyyy", "MMM/d/yyyy", "MMMM d yy HH:mm", "yyyy-MM-dd", "MMM-yyyy"]
+        text = F.when(kind == 0, f(shapes[0]))
+        for i, p in enumerate(shapes[1:], 1):
+            text = text.when(kind == i, f(p))
+        return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", cells.bound(text, lambda x: cells.parsed_date(x, "ymd")).alias("ts"))
+
+    _add("parse_dates_given_order", given_order, "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 9 < 8 THEN date_trunc('day', l_shipdate)::TIMESTAMP END AS ts FROM lineitem")
     _add(
         "calendar",
         lambda s, d: by_flag(s, d).select("series_id", "ts", F.dayofyear("ts").alias("doy"), F.day(F.last_day("ts")).alias("days"), cells.pivot_year(F.year("ts") % 100).alias("year"), cells.shown_stamp(F.col("ts"), F.lit(86_400_000)).alias("stamp"), cells.shown_number(F.col("obs"), 2).alias("shown")),

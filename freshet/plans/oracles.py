@@ -76,16 +76,66 @@ def long(ids: list[str], source: str | None = None) -> str:
 
 LOW_NSE = "1 - sum(power(sim - obs, 2)) / nullif(sum(power(obs - mo, 2)), 0)"
 
+def _events(c: str = "obs", x: str = "") -> str:
+    """CTEs up to ``events_`` of one side; x ends their names."""
+    return f"""hit{x} AS (SELECT series_id, k, {c} AS q FROM pairs JOIN thr USING (series_id) WHERE {c} > threshold),
+run{x} AS (SELECT *, k - row_number() OVER (PARTITION BY series_id ORDER BY k) AS g FROM hit{x}),
+runs{x} AS (SELECT series_id, g, min(k) AS s, max(k) AS e FROM run{x} GROUP BY ALL),
+far{x} AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY series_id ORDER BY s) < 5 THEN 0 ELSE 1 END AS new FROM runs{x}),
+num{x} AS (SELECT *, sum(new) OVER (PARTITION BY series_id ORDER BY s) - 1 AS event_no FROM far{x}),
+span{x} AS (SELECT series_id, event_no, min(s) AS start_k, max(e) AS end_k FROM num{x} GROUP BY ALL),
+top{x} AS (SELECT series_id, event_no, start_k, end_k, k AS peak_k, q AS peak_q, row_number() OVER (PARTITION BY series_id, event_no ORDER BY q DESC, k) AS place FROM span{x} JOIN hit{x} USING (series_id) WHERE k BETWEEN start_k AND end_k),
+events_{x} AS (SELECT series_id, event_no::BIGINT AS event_no, start_k, end_k, peak_k, peak_q FROM top{x} WHERE place = 1)"""
+
+
 EVENTS = f"""WITH {pairs()},
 thr AS (SELECT series_id, quantile_cont(obs, 0.9) AS threshold FROM pairs GROUP BY series_id),
-hit AS (SELECT series_id, k, obs AS q FROM pairs JOIN thr USING (series_id) WHERE obs > threshold),
-run AS (SELECT *, k - row_number() OVER (PARTITION BY series_id ORDER BY k) AS g FROM hit),
-runs AS (SELECT series_id, g, min(k) AS s, max(k) AS e FROM run GROUP BY ALL),
-far AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY series_id ORDER BY s) < 5 THEN 0 ELSE 1 END AS new FROM runs),
-num AS (SELECT *, sum(new) OVER (PARTITION BY series_id ORDER BY s) - 1 AS event_no FROM far),
-span AS (SELECT series_id, event_no, min(s) AS start_k, max(e) AS end_k FROM num GROUP BY ALL),
-top AS (SELECT series_id, event_no, start_k, end_k, k AS peak_k, q AS peak_q, row_number() OVER (PARTITION BY series_id, event_no ORDER BY q DESC, k) AS place FROM span JOIN hit USING (series_id) WHERE k BETWEEN start_k AND end_k),
-events_ AS (SELECT series_id, event_no::BIGINT AS event_no, start_k, end_k, peak_k, peak_q FROM top WHERE place = 1)"""
+{_events()}"""
+
+
+def _matches(order: str) -> str:
+    """CTEs up to ``matched`` (series_id, pairs of event numbers): in order, each observed event takes its first free overlapping one."""
+    return f"""{EVENTS.replace("WITH", "WITH RECURSIVE", 1)}, {_events("sim", "_sim")},
+asks AS MATERIALIZED (SELECT a.series_id, a.event_no, coalesce(list(b.event_no ORDER BY {order}, b.event_no) FILTER (WHERE b.event_no IS NOT NULL), []) AS others FROM events_ a LEFT JOIN events__sim b ON b.series_id = a.series_id AND a.start_k - 3 <= b.end_k AND b.start_k - 3 <= a.end_k GROUP BY ALL),
+m AS (SELECT series_id, -1::BIGINT AS event_no, []::BIGINT[] AS used, []::BIGINT[] AS askers FROM thr
+  UNION ALL SELECT series_id, event_no, CASE WHEN len(free) > 0 THEN list_append(used, free[1]) ELSE used END, CASE WHEN len(free) > 0 THEN list_append(askers, event_no) ELSE askers END
+  FROM (SELECT m.series_id, a.event_no, used, askers, list_filter(others, lambda o: NOT list_contains(used, o)) AS free FROM m JOIN asks a ON a.series_id = m.series_id AND a.event_no = m.event_no + 1)),
+matched AS (SELECT series_id, used, askers FROM m QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY event_no DESC) = 1),
+total AS (SELECT series_id, (SELECT count(*) FROM events_ e WHERE e.series_id = thr.series_id) AS a, (SELECT count(*) FROM events__sim e WHERE e.series_id = thr.series_id) AS b FROM thr)"""
+
+
+THREAT = f"""{_matches("b.event_no")} SELECT series_id, len(used)::BIGINT AS hits, (a - len(used))::BIGINT AS misses, (b - len(used))::BIGINT AS false_alarms, round(len(used) / nullif(a + b - len(used), 0), 6) AS event_threat FROM matched JOIN total USING (series_id)"""
+DISTANCE = f"""{_matches("abs(b.peak_k - a.peak_k)")},
+both_ AS (SELECT series_id, unnest(askers) AS event_no, unnest(used) AS other FROM matched),
+limbs AS (SELECT b.series_id, unnest([{{'x': a.start_k, 'x1': a.peak_k, 'y': s.start_k, 'y1': s.peak_k}}, {{'x': a.peak_k, 'x1': a.end_k, 'y': s.peak_k, 'y1': s.end_k}}]) AS l FROM both_ b JOIN events_ a USING (series_id, event_no) JOIN events__sim s ON s.series_id = b.series_id AND s.event_no = b.other),
+u AS (SELECT series_id, l.x + i / 20.0::DOUBLE * (l.x1 - l.x) AS t, l.y + i / 20.0::DOUBLE * (l.y1 - l.y) AS v FROM limbs, (SELECT unnest(range(21)) AS i)),
+w AS (SELECT u.series_id, v - t AS late, o.obs + (t - o.k) * coalesce(p.obs - o.obs, 0) AS q, s.sim + (v - s.k) * coalesce(r.sim - s.sim, 0) AS z FROM u JOIN pairs o ON o.series_id = u.series_id AND o.k = floor(t) LEFT JOIN pairs p ON p.series_id = u.series_id AND p.k = floor(t) + 1
+  JOIN pairs s ON s.series_id = u.series_id AND s.k = floor(v) LEFT JOIN pairs r ON r.series_id = u.series_id AND r.k = floor(v) + 1)
+SELECT series_id, round(any_value(len(used) / nullif(a + b - len(used), 0)), 6) AS sd_occ, round(avg(CASE WHEN q <> 0 THEN 100 * (z - q) / q END), 6) AS sd_amp, round(avg(late), 6) AS sd_time, round(avg(abs(late)), 6) AS sd_abs_time FROM matched JOIN total USING (series_id) LEFT JOIN w USING (series_id) GROUP BY series_id"""
+
+PEAKS = f"""WITH RECURSIVE {pairs()},
+dev AS (SELECT series_id, stddev_pop(obs) AS least, count(*) AS n FROM pairs GROUP BY series_id),
+side AS (SELECT *, lag(obs) OVER w AS obs_before, lead(obs) OVER w AS obs_after, lag(sim) OVER w AS sim_before, lead(sim) OVER w AS sim_after FROM pairs WINDOW w AS (PARTITION BY series_id ORDER BY k)),
+mid AS (SELECT series_id, k, obs FROM side WHERE obs > obs_before AND obs >= obs_after),
+lim AS (SELECT m.series_id, m.k, m.obs, coalesce(max(CASE WHEN p.k < m.k THEN p.k END), -1) AS lo, coalesce(min(CASE WHEN p.k > m.k THEN p.k END), 1000000000) AS hi FROM mid m LEFT JOIN pairs p ON p.series_id = m.series_id AND p.obs > m.obs GROUP BY ALL),
+prom AS (SELECT l.series_id, l.k, l.obs, l.obs - greatest(min(CASE WHEN p.k <= l.k THEN p.obs END), min(CASE WHEN p.k >= l.k THEN p.obs END)) AS prominence FROM lim l JOIN pairs p ON p.series_id = l.series_id AND p.k > lo AND p.k < hi GROUP BY l.series_id, l.k, l.obs),
+high AS MATERIALIZED (SELECT series_id, k, row_number() OVER (PARTITION BY series_id ORDER BY obs DESC, k) AS place FROM prom JOIN dev USING (series_id) WHERE prominence > least),
+pick AS (SELECT series_id, 0::BIGINT AS place, []::BIGINT[] AS kept FROM dev UNION ALL SELECT p.series_id, h.place, CASE WHEN len(list_filter(kept, lambda q: abs(q - h.k) < 5)) = 0 THEN list_append(kept, h.k) ELSE kept END FROM pick p JOIN high h ON h.series_id = p.series_id AND h.place = p.place + 1),
+kept AS (SELECT series_id, unnest(kept) AS t FROM (SELECT * FROM pick QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY place DESC) = 1)),
+near AS (SELECT x.series_id, t, s.k AS m, sim, sim_before, sim_after, row_number() OVER (PARTITION BY x.series_id, t ORDER BY sim DESC, s.k) AS place FROM kept x JOIN side s ON s.series_id = x.series_id AND s.k BETWEEN t - 3 AND t + 3),
+found AS (SELECT series_id, t, m, sim, NOT ((m = greatest(0, t - 3) AND coalesce(sim_before > sim, false)) OR (m = least(n - 1, t + 3) AND coalesce(sim_after > sim, false))) AS resolved FROM near JOIN dev USING (series_id) WHERE place = 1),
+peaks AS (SELECT f.series_id, t AS obs_k, m AS sim_k, CASE WHEN resolved THEN m - t END::DOUBLE AS lag, p.obs AS obs_q, f.sim AS sim_q, resolved FROM found f JOIN pairs p ON p.series_id = f.series_id AND p.k = t)"""
+
+# Warping cell by cell along anti-diagonals: each step keeps the last two; of equal ways the diagonal goes first, then the step in obs.
+DTW = f"""WITH RECURSIVE {pairs("%s").replace("%s", f"{FLAG.replace('series AS', 'daily AS')}, series AS (SELECT series_id, date_trunc('month', ts)::TIMESTAMP AS ts, avg(obs) AS obs, avg(sim) AS sim FROM daily GROUP BY ALL)")},
+p AS MATERIALIZED (SELECT series_id, k, obs, sim FROM pairs), size AS MATERIALIZED (SELECT series_id, count(*) AS n, greatest(1, ceil(0.1 * count(*)))::BIGINT AS band FROM p GROUP BY series_id),
+cell AS (SELECT series_id, 0::BIGINT AS d, 0::BIGINT AS i, 0::BIGINT AS j, abs(obs - sim) AS c, 1::BIGINT AS steps, 0::BIGINT AS warp, true AS new FROM p WHERE k = 0
+UNION ALL SELECT * FROM (
+  WITH child AS (SELECT series_id, i + di AS i, j + dj AS j, c, steps, warp, way FROM cell, (VALUES (1, 1, 0, false), (1, 0, 1, true), (0, 1, 2, true)) v(di, dj, way, of_new) WHERE new = of_new),
+  best AS (SELECT series_id, i, j, arg_min({{'c': c, 'steps': steps, 'warp': warp}}, {{'c': c, 'way': way}}) AS b FROM child GROUP BY ALL)
+  SELECT x.series_id, i + j, i, j, b.c + abs(a.obs - z.sim), b.steps + 1, b.warp + abs(i - j), true FROM best x JOIN size USING (series_id) JOIN p a ON a.series_id = x.series_id AND a.k = i JOIN p z ON z.series_id = x.series_id AND z.k = j WHERE abs(i - j) <= band
+  UNION ALL SELECT series_id, d, i, j, c, steps, warp, false FROM cell WHERE new))
+SELECT series_id, round(c, 6) AS distance, steps AS path_length, round(c / steps, 6) AS dtw_dist, round(warp / steps, 6) AS dtw_warp FROM cell JOIN size USING (series_id) WHERE new AND i = n - 1 AND j = n - 1"""
 
 ERRORS = f"""{EVENTS},
 near AS (SELECT v.*, p.k, p.sim, p.obs, row_number() OVER (PARTITION BY v.series_id, event_no ORDER BY sim DESC, k) AS place, sum(CASE WHEN k BETWEEN start_k AND end_k THEN obs END) OVER (PARTITION BY v.series_id, event_no) AS vo, sum(CASE WHEN k BETWEEN start_k AND end_k THEN sim END) OVER (PARTITION BY v.series_id, event_no) AS vs
@@ -143,3 +193,25 @@ CHECKS = f"""WITH {FLAG}, {MESSY}, every_ AS (SELECT series_id, ts, obs, sim FRO
 f AS (SELECT series_id, count(*) AS n, count_if(ts IS NULL) AS undated, count(ts) - count(DISTINCT ts) AS dups, count_if(obs IS NULL) AS obs_missing, count_if(obs < 0 OR sim < 0) AS negative, count_if(obs IS NOT NULL AND sim IS NOT NULL) AS overlap FROM every_ GROUP BY series_id),
 x AS (SELECT f.*, coalesce(irregular, false) AS irregular FROM f LEFT JOIN steps_ USING (series_id))
 """ + " UNION ALL ".join(f"SELECT series_id, '{level}' AS level, '{text}' AS message FROM x WHERE {rule}" for level, rule, text in _RULES)
+
+
+def normals(seed: int) -> str:
+    """CTE ``z`` (j, z): normal draws by the polar method, as many as the longest series needs."""
+    return f"""tries AS (SELECT m, 2 * {draw('2 * m', seed)} - 1 AS x, 2 * {draw('2 * m + 1', seed)} - 1 AS y FROM (SELECT unnest(range(2 * (SELECT max(k) + 1 FROM pairs) + 32)) AS m)),
+good AS (SELECT x, y, sqrt(-2 * ln(x * x + y * y) / (x * x + y * y)) AS f, row_number() OVER (ORDER BY m) - 1 AS place FROM tries WHERE x * x + y * y > 0 AND x * x + y * y < 1),
+z AS (SELECT 2 * place AS j, x * f AS z FROM good UNION ALL SELECT 2 * place + 1, y * f FROM good)"""
+
+
+def resampled_pairs(b: int, seed: int) -> str:
+    """CTE ``pairs`` of moving-block replicates: series_id is the series and the replicate."""
+    return f"""{pairs().replace("pairs AS (", "base AS (")}, size AS (SELECT series_id, count(*) AS n, greatest(3, floor(cbrt(count(*)) + 0.5))::BIGINT AS len FROM base GROUP BY series_id),
+blocks AS (SELECT *, unnest(range(blocks)) AS blk FROM (SELECT *, ceil(n / len)::BIGINT AS blocks, unnest(range({b})) AS b FROM size)), starts AS (SELECT *, floor({draw("b * blocks + blk", seed)} * n)::BIGINT AS start FROM blocks),
+places AS (SELECT *, unnest(range(len)) AS j FROM starts),
+pairs AS (SELECT i.series_id || '#' || b AS series_id, p.ts, blk * len + j AS k, obs, sim FROM places i JOIN base p ON p.series_id = i.series_id AND p.k = (start + j) % n WHERE blk * len + j < n)"""
+
+
+def skills() -> str:
+    """NSE and KGE of the model and of the climatology, each from its own panel."""
+    bench = pairs().replace("pairs AS (", "base AS (") + ", pairs AS (SELECT series_id, ts, k, obs, avg(obs) OVER (PARTITION BY series_id, month(ts)) AS sim FROM base)"
+    of = lambda source, x: f"(WITH {panel(source)} SELECT series_id, {METRICS['nse']} AS nse{x}, {METRICS['kge2009']} AS kge{x} FROM panel)"
+    return f"SELECT series_id, round(least(1, (nse - nse_b) / (1 - nse_b)), 6) AS nse_skill, round(least(1, (kge - kge_b) / (1 - kge_b)), 6) AS kge_skill FROM {of(pairs(), '')} JOIN {of(bench, '_b')} USING (series_id)"

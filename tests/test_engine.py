@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import cells
-from freshet.functions.stats import uniform_draw
-from freshet.operators import bootstrap, classical, frame, ranking, sandbox, shape, timing, units
+from freshet.functions.stats import normal_draws, uniform_draw
+from freshet.operators import bootstrap, classical, frame, matching, ranking, sandbox, shape, timing, units
 from freshet.plans.config import Perturbation, TimingConfig
 from freshet.plans.panel import full_panel
 from freshet.plans.registry import metric_registry, rows
@@ -76,11 +76,12 @@ def test_shift_identities(spark):
     assert (peak.peak_lag_abs, peak.peak_lag_signed, peak.unresolved) == (5, 5, 0)
     assert shape.peak_table(p, cfg).count() == 3
     assert shape.warping(p, cfg).collect()[0].dtw_dist == pytest.approx(0, abs=1e-3)
-    sd = shape.series_distance(p, timing.thresholds(p, cfg), cfg).collect()[0]
+    level = timing.thresholds(p, cfg)
+    sd = matching.series_distance(p, timing.events(p, level, cfg), timing.events(p, level, cfg, "sim"), cfg).collect()[0]
     assert sd.sd_occ == 1 and sd.sd_time == pytest.approx(5, abs=0.6)
     e = timing.events(p, timing.thresholds(p, cfg), cfg)
     assert e.count() == 3 and timing.event_metrics(timing.event_errors(p, e, 10)).collect()[0].event_lag == 5
-    assert shape.event_threat(e, timing.events(p, timing.thresholds(p, cfg), cfg, "sim"), 3).collect()[0].event_threat == 1
+    assert matching.event_threat(e, timing.events(p, timing.thresholds(p, cfg), cfg, "sim"), 3).collect()[0].event_threat == 1
 
 
 def test_unresolved_peaks_are_left_out(spark):
@@ -109,8 +110,46 @@ def test_warping_matches_the_plain_recursion():
 def test_generator_is_the_sequential_one(spark):
     want = list(itertools.islice(golden.mulberry(12345), 2000))
     assert [r.u for r in spark.range(2000).select(uniform_draw(F.col("id"), 12345).alias("u")).collect()] == want
-    noise = shape.gaussian_noise(42, 5000)
-    assert abs(noise.mean()) < 0.05 and abs(noise.std() - 1) < 0.05 and len(noise) == 5000
+    u, noise = golden.mulberry(42), []
+    while len(noise) < 5000:
+        x, y = 2 * next(u) - 1, 2 * next(u) - 1
+        if 0 < (r := x * x + y * y) < 1:
+            noise += [x * (f := np.sqrt(-2 * np.log(r) / r)), y * f]
+    got = [r.z for r in normal_draws(spark, 42, 4999, 512).orderBy("j").collect()]
+    assert np.allclose(got, noise[:4999], rtol=1e-12) and abs(np.mean(got)) < 0.05 and abs(np.std(got) - 1) < 0.05
+
+
+def test_event_matching_is_the_greedy_one(spark):
+    """Random events, many of them touching, against loops in order."""
+    rng = np.random.default_rng(7)
+    seen, made, want = [], [], {}
+    for series in range(25):
+        sides = []
+        for _ in range(2):
+            at, events = 0, []
+            for _ in range(int(rng.integers(0, 30))):
+                start = at + int(rng.integers(1, 7))
+                end = start + int(rng.integers(0, 12))
+                events.append((start, end, int(rng.integers(start, end + 1))))
+                at = end
+            sides.append(events)
+        a, b = sides
+        seen += [(f"s{series}", i, *e) for i, e in enumerate(a)]
+        made += [(f"s{series}", i, *e) for i, e in enumerate(b)]
+        used, near, pairs_ = set(), set(), set()
+        for i, (s, e, p) in enumerate(a):
+            over = [j for j, (t, f, _) in enumerate(b) if s - 2 <= f and t - 2 <= e]
+            used |= set([j for j in over if j not in used][:1])
+            free = sorted((abs(b[j][2] - p), j) for j in over if j not in near)
+            if free:
+                near.add(free[0][1])
+                pairs_.add((f"s{series}", i, free[0][1]))
+        want[f"s{series}"] = (len(used), len(a), len(b), pairs_)
+    kind = "series_id string, event_no long, start_k int, end_k int, peak_k int"
+    x, y = spark.createDataFrame(seen, kind), spark.createDataFrame(made, kind)
+    got = {r.series_id: (r.hits, r.hits + r.misses, r.hits + r.false_alarms) for r in matching.event_threat(x, y, 2).collect()}
+    assert got == {k: v[:3] for k, v in want.items() if v[1] + v[2]}
+    assert {tuple(r) for r in matching.nearest_matches(x, y, 2).collect()} == set().union(*(v[3] for v in want.values()))
 
 
 def test_bootstrap_repeats_and_brackets(spark, noisy):
