@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_PATH_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 #: Bytes that separate words.
 WHITESPACE = b" \t\n\x0b\x0c\r"
@@ -32,7 +34,19 @@ def durable(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: later stages survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/freshet-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATH_OF[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote, once all that reads them is written. What a result still reads stays in the shared
+    folder, for the caller to clear when it is done with."""
+    for df in tables:
+        where = _PATH_OF.pop(df, None)
+        if where:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

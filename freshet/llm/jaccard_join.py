@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, filter_bits, free_name, let_through, mix64, shingle_sets, signed, text_of
+from .common import discard, durable, filter_bits, free_name, let_through, mix64, shingle_sets, signed, text_of
 from .graph import components
 
 #: A link needs 100 * common >= PERCENT * union.
@@ -42,11 +42,11 @@ SHORT = 16
 NEAR = 4
 #: Lists of shingles with more documents are dealt to tasks in parts of about so many.
 PART = 2000
-#: Entries, or members of a group, that meet in one task: so many of each side.
-BLOCK = 1024
-#: Before sets of different groups are checked, their sketches are: counts of their shingles in so many hash ranges. The
-#: common shingles are at most the sum of the lesser counts.
-RANGES = 256
+#: Entries of a list, and members of a group, that meet in one task: so many of each side.
+BLOCK, MEMBERS = 512, 1024
+#: Before sets of different groups are checked, their sketches are: counts of their shingles in so many hash ranges, fewer for
+#: sets of less than SMALL shingles. The common shingles are at most the sum of the lesser counts.
+RANGES, FEW_RANGES, SMALL = 256, 64, 600
 #: Counting: keys of 40 bits, in 2^8 to 2^20 hash ranges by the size of the texts.
 _KEY_BITS, _LEAST_BITS, _MOST_BITS = 40, 8, 20
 
@@ -362,16 +362,14 @@ def cross_group_pairs(blocks: DataFrame) -> DataFrame:
                 continue
             a, grp = table["a"].to_numpy(), table["grp"].to_numpy()
             n, pos = table["n"].to_numpy().astype(np.int64), table["pos"].to_numpy().astype(np.int64)
-            counts = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in table["sketch"]])
             q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
             c = c[np.lexsort((pos[c], n[c]))]
             x, y = pairs_of_block(n[q], pos[q], n[c], pos[c])
             x, y = q[x], c[y]
             ok = grp[x] != grp[y]
             x, y = x[ok], y[ok]
-            keep = [np.minimum(counts[x[k : k + 50_000]], counts[y[k : k + 50_000]]).sum(1, dtype=np.int64) >= need(n[x[k : k + 50_000]], n[y[k : k + 50_000]]) for k in range(0, len(x), 50_000)]
-            if keep:
-                keep = np.concatenate(keep)
+            keep = sketch_bounds(table["sketch"].to_pylist(), x, y) >= need(n[x], n[y])
+            if keep.any():
                 x, y = a[x[keep]], a[y[keep]]
                 ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
                 yield pa.RecordBatch.from_pydict({"a": ab[0], "b": ab[1]})
@@ -409,7 +407,30 @@ def whole_set(s: np.ndarray) -> bytes:
 
 
 def range_counts(s: np.ndarray) -> bytes:
-    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES).astype(np.uint32).tobytes()
+    """A set's sketch: FEW_RANGES counts of one byte for a small set, of four where they don't fit, RANGES of four for a large one."""
+    ranges = FEW_RANGES if len(s) < SMALL else RANGES
+    counts = np.bincount((s >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64), minlength=ranges)
+    return counts.astype(np.uint8 if ranges == FEW_RANGES and counts.max() < 256 else np.uint32).tobytes()
+
+
+def sketch_bounds(sketches: list[bytes], x: np.ndarray, y: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """For pairs of sketches, the most shingles that they can have in common."""
+    few = np.zeros((len(sketches), FEW_RANGES), np.uint32)
+    many = np.zeros((len(sketches), RANGES), np.uint32)
+    large = np.array([len(b) == 4 * RANGES for b in sketches], bool)
+    for i, b in enumerate(sketches):
+        counts = np.frombuffer(b, np.uint8 if len(b) == FEW_RANGES else np.uint32)
+        if large[i]:
+            many[i] = counts
+            counts = counts.reshape(FEW_RANGES, -1).sum(1)
+        few[i] = counts
+    out = np.zeros(len(x), np.int64)
+    both = large[x] & large[y]
+    for table, on in ((few, np.flatnonzero(~both)), (many, np.flatnonzero(both))):
+        for k in range(0, len(on), step):
+            at = on[k : k + step]
+            out[at] = np.minimum(table[x[at]], table[y[at]]).sum(1, dtype=np.int64)
+    return out
 
 
 def _full(blob: pa.Scalar) -> np.ndarray:
@@ -437,16 +458,17 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
-def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(set_id, grp) of the sets that link with others, links found (a, b), which connect each group, and contents (id, content) of all
-    these sets."""
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(set_id, grp) of the sets that link with others; links found (a, b), which connect each group; contents (id, content) of all
+    these sets; and groups (grp) with members in long lists: in the others every pair that can link was checked."""
     found = durable(candidates(postings(docs, heavy_shingles(docs))), "found")
     pairs = durable(found.where("token is null").select("a", "b").union(leader_pairs(found)).distinct(), "pairs")
     known = durable(contents(docs, _ids(pairs), whole_set), "contents")
     links = durable(checked(pairs, known), "links")
     group = components(links).withColumnsRenamed({"node": "a", "component": "grp"})
     lists = found.where("token is not null and n is not null").select("token", "a", "n", "pos").join(group, "a", "left").withColumn("grp", F.coalesce("grp", "a"))
-    blocks = durable(in_blocks(durable(lists, "lists")), "blocks")
+    found_lists = durable(lists, "lists")
+    blocks = durable(in_blocks(found_lists), "blocks")
     sketches = contents(docs, blocks.select(F.col("a").alias("id")).distinct(), range_counts).withColumnsRenamed({"id": "a", "content": "sketch"})
     more = durable(cross_group_pairs(blocks.join(sketches, "a")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
@@ -454,7 +476,10 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         known = known.unionByName(new)
         links = durable(links.union(checked(more, known)), "links")
         group = components(links).withColumnsRenamed({"node": "a", "component": "grp"})
-    return durable(group.withColumnRenamed("a", "set_id"), "groups"), links, known
+    group = durable(group.withColumnRenamed("a", "set_id"), "groups")
+    open_ = durable(found_lists.select(F.col("a").alias("set_id")).distinct().join(group, "set_id").select("grp").distinct(), "open")
+    discard(found, found_lists, blocks)
+    return group, links, known, open_
 
 
 def members_by_leader(group: DataFrame, links: DataFrame, known: DataFrame, times: DataFrame) -> DataFrame:
@@ -462,10 +487,10 @@ def members_by_leader(group: DataFrame, links: DataFrame, known: DataFrame, time
     lacks, and a hash list of what it lacks or has beside it. ``more``: members of the group."""
     degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("degree"))
     lead = group.join(degree, "set_id").groupBy("grp").agg(F.max(F.struct("degree", "set_id")).alias("lead"), F.count("*").alias("more"))
-    tasks = F.ceil(F.col("more") / F.lit(BLOCK)).cast("int")  # a group's members meet copies of its leader in so many places
+    tasks = F.ceil(F.col("more") / F.lit(MEMBERS)).cast("int")  # a group's members meet copies of its leader in so many places
     lead = lead.select("grp", "more", F.col("lead.set_id").alias("id"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"))
     lead = lead.join(known, "id").select("grp", "salt", "more", F.col("content").alias("leader"))
-    sizes = group.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("tasks")).where("tasks > 1")
+    sizes = group.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).alias("tasks")).where("tasks > 1")
     own = group.join(sizes, "grp", "left").withColumn("salt", F.pmod(F.xxhash64("set_id"), F.coalesce("tasks", F.lit(1))).cast("int")).select("grp", "salt", "set_id")
     rows = own.join(known.withColumnRenamed("id", "set_id"), "set_id").join(times, "set_id").join(lead, ["grp", "salt"])
 
@@ -485,18 +510,21 @@ def members_by_leader(group: DataFrame, links: DataFrame, known: DataFrame, time
     return rows.select("grp", "set_id", "times", "more", "content", "leader").mapInArrow(run, "grp long, set_id long, times long, more long, n long, lacks long, size long, diff binary")
 
 
-def link_counts(group: DataFrame, links: DataFrame, known: DataFrame, times: DataFrame) -> DataFrame:
-    """(set_id, links): rows whose sets link with this one, but for its own. ``times``: (set_id, times), the rows of a set.
+def link_counts(group: DataFrame, links: DataFrame, known: DataFrame, open_: DataFrame, times: DataFrame) -> DataFrame:
+    """(set_id, links): rows whose sets link with this one, but for its own. ``times``: (set_id, times), the rows of a set. In groups
+    that are not ``open_`` (grp) all links are found.
 
-    With x the leader, y and z lack ly and lz of it, and share c of their differences: they have size - ly - lz + c in common. So they
+    In the others, with x the leader, y and z lack ly and lz of it, and share c of their differences: they have size - ly - lz + c in common. So they
     link whatever c is if weight(y) + weight(z) <= (100 + PERCENT) * size, weight = PERCENT * n + (100 + PERCENT) * lacks. Two
     light members, each with half of that at most, need no look: their number is one sum a group. Heavy members meet all
     members in blocks, where c is counted for all pairs at once."""
     weight = PERCENT * F.col("n") + (100 + PERCENT) * F.col("lacks")
-    members = durable(members_by_leader(group, links, known, times).withColumn("heavy", 2 * weight > (100 + PERCENT) * F.col("size")), "members")
+    ends = links.select("a", "b").union(links.select("b", "a")).withColumnsRenamed({"a": "set_id", "b": "other"})
+    closed = ends.join(group.join(open_, "grp", "left_anti").select("set_id"), "set_id").join(times.withColumnsRenamed({"set_id": "other", "times": "links"}), "other").select("set_id", "links")
+    members = durable(members_by_leader(group.join(open_, "grp", "left_semi"), links, known, times).withColumn("heavy", 2 * weight > (100 + PERCENT) * F.col("size")), "members")
     light = members.where("not heavy").groupBy("grp").agg(F.sum("times").alias("all"))
     known_links = members.where("not heavy").join(light, "grp").select("set_id", (F.col("all") - F.col("times")).alias("links"))
-    blocks = F.ceil(F.col("more") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("more") / F.lit(MEMBERS)).cast("int")
     own = F.pmod(F.xxhash64(F.lit("block"), "set_id"), blocks).cast("int")
     heavy_groups = members.where("heavy").select("grp").distinct()
     every = lambda: F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -539,7 +567,7 @@ def link_counts(group: DataFrame, links: DataFrame, known: DataFrame, times: Dat
             yield pa.RecordBatch.from_pydict({"set_id": np.concatenate([ids[q], ids[z]]), "links": np.concatenate([gain, back]).astype(np.int64)})
 
     met = ask.select(cols).unionByName(other.select(cols)).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(run, "set_id long, links long")
-    return known_links.unionByName(met).groupBy("set_id").agg(F.sum("links").alias("links"))
+    return closed.unionByName(known_links).unionByName(met).groupBy("set_id").agg(F.sum("links").alias("links"))
 
 
 def named_groups(sets: DataFrame, group: DataFrame) -> DataFrame:
@@ -553,9 +581,9 @@ def named_groups(sets: DataFrame, group: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, n_links (other rows that link with it), set_id (null: no shingles)."""
     sets = durable(document_sets(docs), "sets")
-    group, links, contents_ = linked_sets(docs)
+    group, links, contents_, open_ = linked_sets(docs)
     times = durable(sets.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("times")), "times")
-    counts = durable(link_counts(group, links, contents_, times), "counts")
+    counts = durable(link_counts(group, links, contents_, open_, times), "counts")
     known = named_groups(sets, group).join(times, "set_id").join(counts, "set_id", "left")
     joined = sets.join(known, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

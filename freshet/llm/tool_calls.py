@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 #: Tool -> parameter -> (type, required). Types: string, integer, number, boolean, array, object.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -56,7 +56,8 @@ def _chain_ends(nodes: DataFrame, single: DataFrame, ends: DataFrame) -> DataFra
     total, reach = jump.where("up is not null").count(), 1
     while total and reach <= 2 * total:
         above = jump.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("away").alias("more"), F.col("end").alias("its_end"))
-        jump = durable(jump.join(above.hint("shuffle_hash"), ["conv_id", "up"], "left").select(*ids, F.col("next").alias("up"), (F.col("away") + F.coalesce("more", F.lit(0))).alias("away"), F.coalesce("end", "its_end").alias("end")), "level")
+        last, jump = jump, durable(jump.join(above.hint("shuffle_hash"), ["conv_id", "up"], "left").select(*ids, F.col("next").alias("up"), (F.col("away") + F.coalesce("more", F.lit(0))).alias("away"), F.coalesce("end", "its_end").alias("end")), "level")
+        discard(last)
         reach *= 2
         if jump.where("up is not null").limit(1).count() == 0:
             break

@@ -197,7 +197,7 @@ def test_repeats_in_long_texts_and_columns_of_any_name(spark, n_chars):
 def test_jaccard_in_parts_and_blocks(spark, monkeypatch, block):
     """Lists dealt in parts, and groups that meet in blocks: a chain of versions, loose copies of one text, templates that share most
     of their words without linking, and repeated rows."""
-    for k, v in {"BLOCK": block, "PART": 8, "SHORT": 3}.items():
+    for k, v in {"BLOCK": block, "MEMBERS": block, "PART": 8, "SHORT": 3}.items():
         monkeypatch.setattr(jaccard_join, k, v)
     r = np.random.default_rng(6)
     texts, words_ = [], [f"w{i}" for i in range(90)]
@@ -232,3 +232,13 @@ def test_blocks_are_entered_up_to_a_position():
     x, y = jaccard_join.pairs_of_block(n, pos, m, place)
     want = {(i, j) for i in range(200) for j in range(300) if 100 * min(n[i], m[j]) >= 80 * max(n[i], m[j]) and min(n[i] - pos[i], m[j] - place[j]) >= jaccard_join.need(n[i], m[j])}
     assert set(zip(x.tolist(), y.tolist())) == want and 0 < len(want) < 60_000
+
+
+def test_sketches_bound_common_shingles_of_all_sizes():
+    r = np.random.default_rng(2)
+    pool = r.integers(0, 1 << 63, 60_000).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(r.choice(pool, n)) for n in (3, 200, 599, 650, 5000, 40_000)] + [pool[:500] & np.uint64((1 << 56) - 1), pool[:20_000] & np.uint64((1 << 56) - 1)]
+    x, y = map(np.ravel, np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    got = jaccard_join.sketch_bounds([jaccard_join.range_counts(s) for s in sets], x, y)
+    common = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y)])
+    assert (got >= common).all() and (got[x == y] == [len(s) for s in sets]).all()
