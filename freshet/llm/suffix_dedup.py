@@ -35,7 +35,7 @@ SPAN, K = 200, 32
 #: Bytes looked at in one go; a longer text is looked at in overlapping pieces.
 PIECE = 1 << 18
 #: Groups of more different stretches with one head are compared by a shuffle of their windows instead of in one task.
-HOT = 1000
+HOT = 50_000
 #: Ranges of the order, of about so many heads each; a task merges RANGES_A_TASK of them, one after the other.
 RANGE_HEADS, MOST_RANGES, RANGES_A_TASK = 50_000, 100_000, 8
 _PW = _powers(_BASE, PIECE + 1)
