@@ -45,15 +45,15 @@ def best_of_block(q: np.ndarray, q_own: np.ndarray, c: np.ndarray, c_own: np.nda
     rest = lambda x: np.sqrt(np.cumsum((x * x)[:, ::-1], 1)[:, ::-1])
     ends = [e for e in cuts[1:] if e < c.shape[1]]
     q_rest, c_rest = {e: rest(q)[:, e] for e in ends}, {e: rest(c)[:, e] for e in ends}
-    columns = [np.ascontiguousarray(c[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    columns = [np.ascontiguousarray(c[:, a:b].T) for a, b in zip(cuts, cuts[1:], strict=False)]  # a row a dimension
     for lo in range(0, len(q), 256):
-        first = q[lo : lo + 256, : cuts[1]] @ columns[0].T
+        first = q[lo : lo + 256, : cuts[1]] @ columns[0]
         for i in range(lo, min(lo + 256, len(q))):
             live, score = np.flatnonzero(c_own != q_own[i]), first[i - lo]
             score = score[live]
             for j, end in enumerate(cuts[1:]):
                 if j:
-                    score = score + columns[j][live] @ q[i, cuts[j] : end]
+                    score = score + q[i, cuts[j] : end] @ columns[j][:, live]
                 if len(live) > k and end < c.shape[1]:
                     slack = c_rest[end][live] * q_rest[end][i] + 1e-6
                     bound = score - slack

@@ -8,7 +8,7 @@ node of a shard with room. Without slack the bounds add up to the number of rows
 Only the counts of the CELLS cells go to the driver; they decide how many keys of each cell go where. Rows then find
 their place by their rank in their cell.
 
-Defined results: a null text has size 1 and checksum 0; a row without doc_id is placed by its text; equal rows get slots of
+Defined results: a null text has size 1 and checksum 0; a very long text is read once, for its size and checksum; a row without doc_id is placed by its text; equal rows get slots of
 their own; an empty table gives an empty result; extra columns are not read.
 """
 
