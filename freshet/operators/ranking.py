@@ -35,7 +35,8 @@ def ranked(scores: DataFrame, priorities: dict[str, float] | None = None) -> Dat
 
 def recommended(scores: DataFrame, ranks: DataFrame, priorities: dict[str, float] | None = None, top: int = 2) -> DataFrame:
     """The first run of each dataset with its best-scoring priority metrics."""
-    x = scores.where(F.col("metric_id").isin(list(priorities or PRIORITIES))).join(ranks.where("rank = 1").select("dataset_id", "run"), ["dataset_id", "run"], "left_semi")
+    used = [k for k, v in (priorities or PRIORITIES).items() if v > 0]
+    x = scores.where(F.col("metric_id").isin(used)).join(ranks.where("rank = 1").select("dataset_id", "run"), ["dataset_id", "run"], "left_semi")
     place = F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.desc_nulls_last("score"), "metric_id"))
     return x.withColumn("place", place).where(F.col("place") <= top).select("dataset_id", "run", "place", "metric_id", "score")
 

@@ -88,7 +88,6 @@ def warp(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[float, np.ndarr
     band = max(1, int(np.ceil(fraction * max(n, m))), abs(n - m))
     moves: list[tuple[int, np.ndarray]] = []
     far = np.inf
-    before, last = {}, {}
     old = (0, np.zeros(0))
     older = (0, np.zeros(0))
 
@@ -110,7 +109,6 @@ def warp(a: np.ndarray, b: np.ndarray, fraction: float) -> tuple[float, np.ndarr
             v = cost + np.minimum(diag, np.minimum(up, left))
         moves.append((lo, move))
         older, old = old, (lo, v)
-    del before, last
     i, j, path = n - 1, m - 1, []
     while True:
         path.append((i, j))

@@ -57,24 +57,41 @@ def event_metrics(errors: DataFrame) -> DataFrame:
 
 
 def lag_sweep(pairs: DataFrame, lo: int = -30, hi: int = 30) -> DataFrame:
-    """(series_id, lag, nse, kge, r, w1): obs at t against sim at t + lag, over the overlap. Sums are made lag by lag from one
-    equi-join; masses below 0 have no w1."""
-    a = pairs.select("series_id", "k", "obs").withColumn("lag", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn("at", F.col("k") + F.col("lag"))
-    x = a.join(pairs.select("series_id", F.col("k").alias("at"), "sim"), ["series_id", "at"])
-    key = ["series_id", "lag"]
+    """(series_id, lag, nse, kge, r, w1): obs at t against sim at t + lag, over the overlap; masses below 0 have no w1.
+
+    The pairs are moved once, by series. Each pair sees its neighbours within the lags, and what it adds to each lag's sums goes
+    into one aggregation: moments about the series' means, moved to the overlap's own afterwards, and gaps between running
+    sums, which start at the overlap's edge (its sums come from the few pairs at a series' ends)."""
+    most = max(abs(lo), abs(hi))
+    run = by_place().rowsBetween(Window.unboundedPreceding, 0)
+    x = pairs.select("series_id", F.col("k").cast("int").alias("k"), "obs", "sim").withColumns({"n": F.count("*").over(whole()).cast("int"), "mo": F.avg("obs").over(whole()), "ms": F.avg("sim").over(whole())})
+    near = F.collect_list(F.struct("k", "sim", F.col("ps").alias("ps"))).over(by_place().rowsBetween(lo, hi))
+    x = x.withColumns({"po": F.sum("obs").over(run), "ps": F.sum("sim").over(run)}).withColumn("near", near)
+    ends = x.where((F.col("k") <= most) | (F.col("k") >= F.col("n") - 1 - most)).groupBy("series_id").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("po", "ps")))).alias("at"))
+    sums = lambda k, c: F.coalesce(F.try_element_at(F.col("at"), k)[c], F.lit(0.0))
+
+    def edges(lag: Column) -> Column:
+        first, last, zero = F.greatest(F.lit(0), -lag), F.col("n") - 1 - F.greatest(F.lit(0), lag), F.greatest(F.lit(0), lag)
+        before_o, before_s = sums(first - 1, "po"), sums(zero - 1, "ps")
+        return F.struct(last.alias("last"), before_o.alias("o"), before_s.alias("s"), (sums(last, "po") - before_o).alias("to"), (sums(last + lag, "ps") - before_s).alias("ts"))
+
+    ends = ends.select("series_id", F.transform(F.sequence(F.lit(lo), F.lit(hi)), edges).alias("edges"))
+    each = x.join(ends, "series_id").select("series_id", "k", "obs", "mo", "ms", "po", F.inline(F.transform("near", lambda e: F.struct((e["k"] - F.col("k")).alias("lag"), e["sim"].alias("sim"), e["ps"].alias("ps"), F.get(F.col("edges"), e["k"] - F.col("k") - lo).alias("edge")))))
     o, s = F.col("obs"), F.col("sim")
-    m = x.groupBy(*key).agg(F.count("*").alias("n"), F.avg(o).alias("mo"), F.avg(s).alias("ms"), F.sum(o).alias("to"), F.sum(s).alias("ts_"), F.min(F.least(o, s)).alias("least"), F.min(o).alias("lo_"), F.max(o).alias("hi_"))
-    y = x.join(m, key)
-    w = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    y = y.withColumn("gap", F.abs(F.sum(F.try_divide(o, F.col("to"))).over(w) - F.sum(F.try_divide(s, F.col("ts_"))).over(w)))
-    last = F.max("k").over(Window.partitionBy(*key))
-    y = y.withColumn("gap", F.when(F.col("k") < last, F.col("gap")).otherwise(0.0))
     a, b, e = o - F.col("mo"), s - F.col("ms"), s - o
-    g = y.groupBy(*key, "n", "mo", "ms", "to", "ts_", "least", "lo_", "hi_").agg(F.sum(a * b).alias("cov"), F.sum(a * a).alias("vo"), F.sum(b * b).alias("vs"), F.sum(e * e).alias("see"), F.sum("gap").alias("gap"))
-    r = pearson(F.col("cov"), F.col("vo"), F.col("vs"), F.col("mo"), F.col("ms"), F.col("n"))
-    kge = finite(1 - F.sqrt(F.pow(r - 1, F.lit(2)) + F.pow(over(F.sqrt("vs"), F.sqrt("vo")) - 1, F.lit(2)) + F.pow(over(F.col("ms"), F.col("mo")) - 1, F.lit(2))))
+    gap = F.abs(F.try_divide(F.col("po") - F.col("edge.o"), F.col("edge.to")) - F.try_divide(F.col("ps") - F.col("edge.s"), F.col("edge.ts")))
+    g = each.groupBy("series_id", "lag").agg(
+        F.count("*").alias("n"), F.first("mo").alias("at_o"), F.first("ms").alias("at_s"), F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(e * e).alias("see"),
+        F.sum(o).alias("to"), F.sum(s).alias("ts_"), F.min(F.least(o, s)).alias("least"), F.min(o).alias("lo_"), F.max(o).alias("hi_"), F.sum(F.when(F.col("k") < F.col("edge.last"), gap).otherwise(0.0)).alias("gap"),
+    )
+    n = F.col("n")
+    mo, ms = F.col("at_o") + F.col("a") / n, F.col("at_s") + F.col("b") / n
+    flat = F.col("lo_") >= F.col("hi_")
+    cov, vo, vs = F.col("ab") - F.col("a") * F.col("b") / n, F.when(flat, 0.0).otherwise(F.col("aa") - F.col("a") * F.col("a") / n), F.greatest(F.lit(0.0), F.col("bb") - F.col("b") * F.col("b") / n)
+    r = pearson(cov, vo, vs, mo, ms, n)
+    kge = finite(1 - F.sqrt(F.pow(r - 1, F.lit(2)) + F.pow(over(F.sqrt(vs), F.sqrt(vo)) - 1, F.lit(2)) + F.pow(over(ms, mo) - 1, F.lit(2))))
     good = (F.col("least") >= 0) & (F.col("to") > 0) & (F.col("ts_") > 0)
-    return g.select(*key, F.when(F.col("lo_") < F.col("hi_"), 1 - over(F.col("see"), F.col("vo"))).alias("nse"), kge.alias("kge"), r.alias("r"), F.when(good, F.col("gap")).alias("w1"))
+    return g.select("series_id", "lag", F.when(~flat, 1 - over(F.col("see"), vo)).alias("nse"), kge.alias("kge"), r.alias("r"), F.when(good, F.col("gap")).alias("w1"))
 
 
 def best_lag(sweep: DataFrame) -> DataFrame:

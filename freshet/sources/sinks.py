@@ -53,9 +53,10 @@ def report_tables(metrics: DataFrame, registry: DataFrame, errors: DataFrame, ru
     return parts | {"events": errors.where(F.col("event_no") < events).orderBy("series_id", "event_no")}
 
 
-def write_markdown(df: DataFrame, path: str, most: int = 1000) -> None:
-    """A small table as Markdown text, a file in a folder."""
-    bar = lambda cells: "| " + " | ".join(cells) + " |"
-    rows = [bar([str(v) if v is not None else "n/a" for v in r]) for r in df.limit(most).collect()]
-    lines = [bar(df.columns), bar(["---"] * len(df.columns)), *rows]
-    df.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def write_markdown(df: DataFrame, path: str) -> None:
+    """A table as Markdown text, all rows: a folder with the head in one file, and the rows in others after it."""
+    shown = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("n/a")) for c in df.columns]
+    bar = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = "\n".join("| " + " | ".join(x) + " |" for x in (df.columns, ["---"] * len(df.columns)))
+    first = df.sparkSession.range(1, numPartitions=1).select(F.lit(head).alias("value"))
+    first.union(df.select(bar(shown).alias("value"))).write.mode("overwrite").text(path)
