@@ -69,7 +69,8 @@ NAME_DAY = r"^([A-Za-z]{3,9})[-/. ]+(\d{1,2})(?:,\s*|[-/. ]+)(\d{2,4})(?:[T ](\d
 
 
 def iso_date(raw: Column) -> Column:
-    return bound(F.trim(raw), lambda t: _stamp(*[_part(t, ISO, i) for i in range(1, 7)]))
+    """A date that starts with a year of four digits."""
+    return bound(F.trim(raw), lambda t: F.when(t.rlike(ISO), _stamp(*[_part(t, ISO, i) for i in range(1, 7)])).when(t.rlike(r"^\d{4}\D"), _numeric(t, "ymd")))
 
 
 def numeric_date(raw: Column, order: str) -> Column:

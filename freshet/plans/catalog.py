@@ -11,8 +11,10 @@ from ..functions import cells
 from ..functions.stats import uniform_draw
 from ..operators import bootstrap, classical, frame, matching, ranking, sandbox, shape, timing, units
 from . import oracles as sql
-from .config import EvalConfig, Perturbation, TimingConfig
-from .derived import by_brand, by_flag, hourly, messy, table
+from ..sources import sinks, tables
+from ..sources.scratch import scratch_path
+from .config import EvalConfig, Perturbation, TimingConfig, timing_defaults
+from .derived import by_brand, by_flag, by_supplier, hourly, messy, one_record, table
 from .panel import evaluate, full_panel, skill_rows
 from .registry import C2M, CORRELATION, EFFICIENCIES, ERROR_NORMS, ESSENTIALS, FDC, displayed, metric_registry, preset, search
 
@@ -30,7 +32,11 @@ def _add(name: str, query: Query, oracle: str | None = None) -> None:
 
 def _rounded(df: DataFrame, *keep: str) -> DataFrame:
     """Doubles to six digits, so that the order of a sum does not show."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
+    return _to_digits(df, 6, *keep)
+
+
+def _to_digits(df: DataFrame, digits: int, *keep: str) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
 def _ids(group: list[tuple]) -> list[str]:
@@ -52,6 +58,8 @@ def _panels() -> None:
     for name, g in groups.items():
         _add(f"panel_{name}", _wide(_ids(g)), sql.wide(_ids(g)))
     _add("panel_by_brand", _wide(every, source=by_brand), sql.wide(every, sql.pairs(sql.BRAND)))
+    # Many short series, more with a larger table; values to four digits, as thousands of them are compared.
+    _add("panel_by_supplier", lambda s, d: _to_digits(classical.wide_panel(frame.paired(by_supplier(s, d))).select("series_id", *every), 4), sql.wide(every, sql.pairs(sql.SUPPLIER), 4))
     some = ["me", "rmse", "nse", "kge2009", "pbias"]
     for p in ("pairwise", "zero", "mean"):
         _add(f"nan_policy_{p}", _wide(some, p), sql.wide(some, sql.pairs(policy=p)))
@@ -101,6 +109,38 @@ def _frames() -> None:
     _add("resample_daily", lambda s, d: _rounded(frame.resampled(hourly(s, d), "day")), f"WITH {sql.HOURLY} SELECT series_id, date_trunc('day', ts)::TIMESTAMP AS ts, {means} FROM series GROUP BY 1, 2")
     _add("resample_monthly", lambda s, d: _rounded(frame.resampled(by_flag(s, d), "month")), f"WITH {sql.FLAG} SELECT series_id, date_trunc('month', ts)::TIMESTAMP AS ts, {means} FROM series GROUP BY 1, 2")
     _add("subset_composed", lambda s, d: _rounded(frame.subset(by_flag(s, d), (day("1996-01-01"), day("1999-12-31")), (60, 151), "month")), f"WITH {sql.FLAG} SELECT series_id, date_trunc('month', ts)::TIMESTAMP AS ts, {means} FROM series WHERE ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31' AND dayofyear(ts) BETWEEN 60 AND 151 GROUP BY 1, 2")
+    def committed(spark: SparkSession, sf: str) -> DataFrame:
+        return frame.committed(by_flag(spark, sf), "spring", window=(day("1995-06-01"), day("2000-06-30")), season=(60, 151))
+
+    _add("subset_commit", committed, f"WITH {sql.FLAG} SELECT {cols}, 'spring' AS dataset_id FROM series WHERE ts BETWEEN TIMESTAMP '1995-06-01' AND TIMESTAMP '2000-06-30' AND dayofyear(ts) BETWEEN 60 AND 151")
+
+    def thresholds(spark: SparkSession, sf: str) -> DataFrame:
+        x, months, area = by_flag(spark, sf), frame.resampled(by_flag(spark, sf), "month"), units.area_km2(100, "mi2")
+        cases = [("cfs to l/s", units.converted_threshold(x, 50.0, "cfs", "ls")), ("mm a day to m3/s", units.converted_threshold(x, 2.0, "mm_day", "m3s", area)), ("mm a month to m3/s", units.converted_threshold(months, 30.0, "mm_step", "m3s", area, monthly=True))]
+        return spark.createDataFrame(cases, "conversion string, threshold double").withColumn("threshold", F.round("threshold", 6))
+
+    _add("threshold_rescale", thresholds, f"""WITH {sql.FLAG}, f AS (SELECT 'cfs to l/s' AS conversion, 50.0::DOUBLE AS t, 0.0283168 / 0.001 AS f FROM series UNION ALL SELECT 'mm a day to m3/s', 2.0, 258.9988 * 1000 / 86400 FROM series UNION ALL SELECT 'mm a month to m3/s', 30.0, 258.9988 * 1000 / (day(last_day(ts)) * 86400) FROM series)
+SELECT conversion, CASE WHEN max(f) - min(f) <= 1e-9 * max(f) THEN round(any_value(t) * min(f), 6) END AS threshold FROM f GROUP BY conversion""")
+
+    def defaults(spark: SparkSession, sf: str) -> DataFrame:
+        distance, tolerance = timing_defaults(F.col("step_ms"))
+        return frame.step(by_flag(spark, sf).unionByName(hourly(spark, sf))).select("series_id", distance.alias("min_distance"), tolerance.alias("tolerance"))
+
+    _add("timing_defaults", defaults, f"WITH {sql.FLAG}, {sql.HOURLY.replace('series AS', 'hourly AS')}, every_ AS (SELECT series_id, ts FROM series UNION ALL SELECT series_id, ts FROM hourly), {sql.steps('every_')} SELECT series_id, CASE WHEN step_ms >= 22 * 3600000 THEN 5 ELSE 24 END AS min_distance, CASE WHEN step_ms >= 22 * 3600000 THEN 3 ELSE 24 END AS tolerance FROM steps_")
+
+    def through_text(spark: SparkSession, sf: str) -> DataFrame:
+        path = scratch_path(spark, "table")
+        sinks.write_text(one_record(spark, sf).withColumnRenamed("ts", "Date"), path, ";")
+        return tables.staged(tables.read_delimited(spark, path))[0]
+
+    def through_project(spark: SparkSession, sf: str) -> DataFrame:
+        path = scratch_path(spark, "project")
+        runs = one_record(spark, sf).unpivot(["ts", "Observed"], ["A", "N", "R"], "series_id", "sim").withColumnRenamed("Observed", "obs")
+        sinks.project_documents(runs, "all").write.text(path)
+        return tables.read_project(spark, path)[0].select(F.substring_index("series_id", "/", -1).alias("series_id"), "ts", "obs", "sim")
+
+    for name, query in (("text_round_trip", through_text), ("project_round_trip", through_project)):
+        _add(name, query, f"WITH {sql.RECORD} SELECT series_id, ts, obs, sim FROM record")
     _add("validate_summary", lambda s, d: _rounded(frame.summary(by_flag(s, d))), f"WITH {sql.FLAG} SELECT series_id, count(*) AS n, " + ", ".join(f"count_if({c} IS NULL)::BIGINT AS {c}_missing, count_if({c} < 0)::BIGINT AS {c}_negative, round(min({c}), 6) AS {c}_min, round(avg({c}), 6) AS {c}_mean, round(max({c}), 6) AS {c}_max" for c in ("obs", "sim")) + ", count_if(obs IS NOT NULL AND sim IS NOT NULL)::BIGINT AS overlap FROM series GROUP BY series_id")
 
     def steps(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 HOUR_MS = 3_600_000
 
 
@@ -25,6 +28,13 @@ class TimingConfig:
         return cls() if step_ms >= 22 * HOUR_MS else cls(min_distance=24, tolerance=24)
 
 
+def timing_defaults(step_ms: Column) -> tuple[Column, Column]:
+    """(min_distance, tolerance) of ``TimingConfig.for_step``, as columns."""
+    daily, finer = TimingConfig.for_step(24 * HOUR_MS), TimingConfig.for_step(HOUR_MS)
+    is_daily = step_ms >= 22 * HOUR_MS
+    return F.when(is_daily, daily.min_distance).otherwise(finer.min_distance), F.when(is_daily, daily.tolerance).otherwise(finer.tolerance)
+
+
 @dataclass(frozen=True)
 class EvalConfig:
     nan_policy: str = "pairwise"  # pairwise, zero, mean

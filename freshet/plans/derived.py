@@ -31,6 +31,19 @@ def by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(lines.join(parts, "l_partkey"), F.col("p_brand"))
 
 
+def by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series a supplier: their number grows with the table."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
+    return _daily(lines, F.concat(F.lit("supplier "), "l_suppkey"))
+
+
+def one_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of one observed record and runs A, N and R on the same days, as files have it: ts, Observed, A, N, R."""
+    x = by_flag(spark, sf_dir)
+    wide = x.groupBy("ts").pivot("series_id", ["A", "N", "R"]).agg(F.first("sim"))
+    return wide.join(x.where("series_id = 'R'").select("ts", F.col("obs").alias("Observed")), "ts", "left").select("ts", "Observed", "A", "N", "R")
+
+
 def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by part with what records have: dates that can't be read, repeated dates, gaps, negative values, one side missing."""
     x, part = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity"), F.col("l_partkey")

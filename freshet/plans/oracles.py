@@ -10,12 +10,16 @@ series AS (SELECT series_id, ts, CASE WHEN {day} % 37 <> 0 THEN obs END AS obs,
 
 
 FLAG = _daily("l_returnflag", "lineitem")
+SUPPLIER = _daily("'supplier ' || l_suppkey", "lineitem")
 BRAND = _daily("p_brand", "lineitem JOIN part ON l_partkey = p_partkey")
 MESSY = """messy AS (SELECT 'part ' || l_partkey AS series_id, CASE WHEN l_partkey % 5 <> 0 OR l_linenumber <> 7 THEN date_trunc('day', l_shipdate)::TIMESTAMP END AS ts,
   CASE WHEN l_partkey % 11 <> 0 OR l_orderkey % 3 = 0 THEN CASE WHEN l_partkey % 13 = 0 THEN -l_quantity ELSE l_quantity END END AS obs, CASE WHEN l_partkey % 17 <> 0 THEN l_quantity + l_linenumber END AS sim FROM lineitem)"""
 HOURLY = "series AS (SELECT event_type AS series_id, date_trunc('hour', ts)::TIMESTAMP AS ts, round(sum(value), 4) AS obs, count(*) * 10.0::DOUBLE AS sim FROM events GROUP BY ALL)"
 
 
+RECORD = f"""{FLAG}, days AS (SELECT DISTINCT ts FROM series), record AS (SELECT r.run AS series_id, d.ts, o.obs, s.sim FROM days d, (VALUES ('A'), ('N'), ('R')) r(run) LEFT JOIN series o ON o.ts = d.ts AND o.series_id = 'R' LEFT JOIN series s ON s.ts = d.ts AND s.series_id = r.run)"""
+
+
 def pairs(series: str = FLAG, policy: str = "pairwise", transform: str = "none") -> str:
     values = {
         "pairwise": "obs, sim",
@@ -66,8 +70,8 @@ fds AS (SELECT series_id, sum(abs(s / (n * ms) - o / (n * mo))) AS fdc_l1, sum(C
 panel AS (SELECT *, cov / sqrt(vo * vs) AS r FROM st JOIN sums USING (series_id) JOIN lg USING (series_id) JOIN rks USING (series_id) JOIN fds USING (series_id))"""
 
 
-def wide(ids: list[str], source: str | None = None) -> str:
-    return f"WITH {panel(source or pairs())} SELECT series_id, {', '.join(f'round({METRICS[i]}, 6) AS {i}' for i in ids)} FROM panel"
+def wide(ids: list[str], source: str | None = None, digits: int = 6) -> str:
+    return f"WITH {panel(source or pairs())} SELECT series_id, {', '.join(f'round({METRICS[i]}, {digits}) AS {i}' for i in ids)} FROM panel"
 
 
 def long(ids: list[str], source: str | None = None) -> str:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
 import zipfile
+from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,40 +35,97 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     return raw.dropna(how="all")
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+#: Number formats that show a date.
+_DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 
 
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a local workbook with two or more rows that are not blank, all cells as strings. A workbook is a small file
-    that one machine reads; its rows become a DataFrame."""
-    with zipfile.ZipFile(path) as z:
+def _cells(content: bytes) -> Iterator[tuple[int, int, list[str]]]:
+    """(sheet, row, cells) of a workbook, row by row, blank rows aside. Dates come as ISO text."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        for sheet in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0])):
-            rows = []
-            for row in ElementTree.fromstring(z.read(sheet)).iter(f"{{{_NS['m']}}}row"):
-                cells: dict[int, str] = {}
-                for c in row:
-                    v, letters = c.find("m:v", _NS), re.match(r"[A-Z]+", c.get("r", "A1"))[0]
-                    text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if c.get("t") == "inlineStr" else (v.text if v is not None else "")
-                    at = 0
-                    for x in letters:
-                        at = at * 26 + ord(x) - 64
-                    cells[at - 1] = shared[int(text)] if c.get("t") == "s" and text else text or ""
-                if any(x.strip() for x in cells.values()):
-                    rows.append([cells.get(i, "") for i in range(max(cells) + 1)])
-            if len(rows) >= 2:
-                header = rows[0]
-                body = [tuple((r + [""] * len(header))[: len(header)]) for r in rows[1:]]
-                return spark.createDataFrame(body, T.StructType([T.StructField(h.strip() or f"c{i}", T.StringType()) for i, h in enumerate(header)]))
-    return spark.createDataFrame([], T.StructType([]))
+        root = lambda name: ElementTree.fromstring(z.read(name)) if name in names else ElementTree.Element("none")
+        shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in root("xl/sharedStrings.xml").iter(f"{_NS}si")]
+        styles = root("xl/styles.xml")
+        own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")) for f in styles.iter(f"{_NS}numFmt")}
+        is_date = [(i := int(x.get("numFmtId", 0))) in _DATE_FORMATS or bool(re.search("[ymdhs]", own.get(i, ""), re.I)) for xs in styles.iter(f"{_NS}cellXfs") for x in xs]
+        base = "1904-01-01" if any(p.get("date1904") in ("1", "true") for p in root("xl/workbook.xml").iter(f"{_NS}workbookPr")) else "1899-12-30"
+        sheets = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+        for number, sheet in sheets:
+            row_no = 0
+            with z.open(sheet) as f:
+                for _, row in ElementTree.iterparse(f):
+                    if row.tag != f"{_NS}row":
+                        continue
+                    cells: dict[int, str] = {}
+                    for c in row.iter(f"{_NS}c"):
+                        v, kind = c.find(f"{_NS}v"), c.get("t")
+                        text = "".join(t.text or "" for t in c.iter(f"{_NS}t")) if kind == "inlineStr" else (v.text or "" if v is not None else "")
+                        at = 0
+                        for x in re.match(r"[A-Z]+", c.get("r", "A1"))[0]:
+                            at = at * 26 + ord(x) - 64
+                        style = int(c.get("s", 0))
+                        if kind == "s" and text:
+                            text = shared[int(text)]
+                        elif kind is None and text and style < len(is_date) and is_date[style]:
+                            text = str(datetime.fromisoformat(base) + timedelta(seconds=round(float(text) * 86400)))
+                        cells[at - 1] = text
+                    row.clear()
+                    if any(x.strip() for x in cells.values()):
+                        yield number, row_no, [cells.get(i, "") for i in range(max(cells) + 1)]
+                        row_no += 1
+
+
+def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet, row_no, cells) of all workbooks under a path, each read by one task, row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = _cells(content)
+                while part := list(itertools.islice(rows, 5000)):
+                    sheet, row_no, cells = zip(*part, strict=True)
+                    yield pa.RecordBatch.from_pydict({"path": [name] * len(part), "sheet": pa.array(sheet, pa.int32()), "row_no": pa.array(row_no, pa.int32()), "cells": pa.array(cells, pa.list_(pa.string()))})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, sheet int, row_no int, cells array<string>")
+
+
+def _sheets(rows: DataFrame) -> list[int]:
+    """Sheets with two or more rows that are not blank."""
+    return [r[0] for r in rows.groupBy("sheet").count().where("count > 1").orderBy("sheet").collect()]
+
+
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook with two or more rows that are not blank, all cells as strings. Only the header row comes to the
+    driver."""
+    rows = workbook_rows(spark, path)
+    sheets = _sheets(rows)
+    if not sheets:
+        return spark.createDataFrame([], T.StructType([]))
+    first = rows.where(F.col("sheet") == sheets[0])
+    names = [c.strip() or f"c{i}" for i, c in enumerate(first.where("row_no = 0").select("cells").collect()[0][0])]
+    return first.where("row_no > 0").select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
+
+
+def workbook_notes(spark: SparkSession, path: str) -> list[str]:
+    """What a reader of a workbook should know: other sheets that are left out."""
+    more = len(_sheets(workbook_rows(spark, path))) - 1
+    return [f"{more} other sheets with data are left out"] if more > 0 else []
 
 
 def from_grid(spark: SparkSession, rows: list[tuple], runs: int = 1) -> DataFrame:
-    """Pasted cells by position: date, observed, simulated 1 to n. Blank rows go."""
+    """Cells of a grid on screen by position; see ``from_paste`` for text."""
+    return from_paste(spark, "\n".join("\t".join("" if x is None else str(x) for x in r) for r in rows), runs)
+
+
+def from_paste(spark: SparkSession, text: str, runs: int = 1) -> DataFrame:
+    """Pasted cells, separated by tabs (else commas or semicolons) and line ends, by position: date, observed, simulated 1 to n. Blank rows
+    go."""
     names = ["Date", "Observed", *[f"Simulated {i + 1}" for i in range(runs)]]
-    full = [tuple(str(x) if x is not None else "" for x in (list(r) + [""] * len(names))[: len(names)]) for r in rows]
-    return spark.createDataFrame([r for r in full if any(x.strip() for x in r)], ", ".join(f"`{n}` string" for n in names))
+    lines = spark.createDataFrame([(text,)], "text string").select(F.explode(F.split("text", r"\r?\n")).alias("line"))
+    cells = F.when(F.contains("line", F.lit("\t")), F.split("line", "\t")).otherwise(F.split("line", "[,;]"))
+    table = lines.select(*[F.trim(F.coalesce(F.get(cells, F.lit(i)), F.lit(""))).alias(n) for i, n in enumerate(names)])
+    return table.where(F.concat_ws("", *[F.col(f"`{n}`") for n in names]) != "")
 
 
 def unit_of(header: str) -> tuple[str, str | None]:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import zipfile
 
 import golden
 import numpy as np
@@ -266,6 +267,24 @@ def test_text_tables(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.staged(table, ["date", "ignore", "run", "ignore"])
     assert tables.from_grid(spark, [("2001-01-01", 1, 2), ("", None, "")]).count() == 1
+    grid = tables.from_paste(spark, "2001-01-01\t1\t2\r\n\t\t\n2001-01-02\t3\n", 2).collect()
+    assert [tuple(r) for r in grid] == [("2001-01-01", "1", "2", ""), ("2001-01-02", "3", "", "")]
+
+
+def test_workbooks(spark, tmp_path):
+    """Shared and inline strings, dates as numbers with a date style, a blank row, a short first sheet and a later one."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = lambda rows: f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>"
+    body = '<row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>obs</t></is></c></row><row/><row><c r="A3" s="1"><v>36892</v></c><c r="B3"><v>1.5</v></c></row><row><c r="A4" s="2"><v>36893.25</v></c></row>'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Date</t></si></sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet('<row><c r="A1"><v>1</v></c></row>'))
+        z.writestr("xl/worksheets/sheet2.xml", sheet(body))
+        z.writestr("xl/worksheets/sheet10.xml", sheet(body))
+    table = tables.read_workbook(spark, str(tmp_path / "w.xlsx"))
+    assert [tuple(r) for r in table.collect()] == [("2001-01-01 00:00:00", "1.5"), ("2001-01-02 06:00:00", "")] and table.columns == ["Date", "obs"]
+    assert tables.workbook_notes(spark, str(tmp_path / "w.xlsx")) == ["1 other sheets with data are left out"]
 
 
 def test_project_round_trip(spark, tmp_path):
