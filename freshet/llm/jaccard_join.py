@@ -44,9 +44,9 @@ NEAR = 4
 PART = 2000
 #: Entries of a list, and members of a group, that meet in one task: so many of each side.
 BLOCK, MEMBERS = 512, 1024
-#: Before sets of different groups are checked, their sketches are: counts of their shingles in so many hash ranges, fewer for
-#: sets of less than SMALL shingles. The common shingles are at most the sum of the lesser counts.
-RANGES, FEW_RANGES, SMALL = 256, 64, 600
+#: Before sets of different groups are checked, their sketches are: counts of their shingles in so many hash ranges. The
+#: common shingles are at most the sum of the lesser counts.
+RANGES = 256
 #: Counting: keys of 40 bits, in 2^8 to 2^20 hash ranges by the size of the texts.
 _KEY_BITS, _LEAST_BITS, _MOST_BITS = 40, 8, 20
 
@@ -356,6 +356,7 @@ def cross_group_pairs(blocks: DataFrame) -> DataFrame:
     is skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # lists of the same sets give the same pairs
         for table in _blocks(batches, 3):
             asks = table["asks"].to_numpy()
             if asks.all() or not asks.any():
@@ -371,8 +372,11 @@ def cross_group_pairs(blocks: DataFrame) -> DataFrame:
             keep = sketch_bounds(table["sketch"].to_pylist(), x, y) >= need(n[x], n[y])
             if keep.any():
                 x, y = a[x[keep]], a[y[keep]]
-                ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                yield pa.RecordBatch.from_pydict({"a": ab[0], "b": ab[1]})
+                new = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - seen
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen |= new
+                yield pa.RecordBatch.from_pydict({"a": pa.array([v for v, _ in new], pa.int64()), "b": pa.array([v for _, v in new], pa.int64())})
 
     spread = blocks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return spread.select("token", "i", "j", "asks", "a", "n", "pos", "grp", "sketch").mapInArrow(run, "a long, b long")
@@ -407,38 +411,25 @@ def whole_set(s: np.ndarray) -> bytes:
 
 
 def range_counts(s: np.ndarray) -> bytes:
-    """A set's sketch: FEW_RANGES counts of one byte for a small set, of four where they don't fit, RANGES of four for a large one."""
-    ranges = FEW_RANGES if len(s) < SMALL else RANGES
-    counts = np.bincount((s >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64), minlength=ranges)
-    return counts.astype(np.uint8 if ranges == FEW_RANGES and counts.max() < 256 else np.uint32).tobytes()
+    """A set's sketch: RANGES counts of one byte, of four where they don't fit."""
+    counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
 def sketch_bounds(sketches: list[bytes], x: np.ndarray, y: np.ndarray, step: int = 50_000) -> np.ndarray:
     """For pairs of sketches, the most shingles that they can have in common."""
-    few = np.zeros((len(sketches), FEW_RANGES), np.uint32)
-    many = np.zeros((len(sketches), RANGES), np.uint32)
-    large = np.array([len(b) == 4 * RANGES for b in sketches], bool)
-    for i, b in enumerate(sketches):
-        counts = np.frombuffer(b, np.uint8 if len(b) == FEW_RANGES else np.uint32)
-        if large[i]:
-            many[i] = counts
-            counts = counts.reshape(FEW_RANGES, -1).sum(1)
-        few[i] = counts
-    out = np.zeros(len(x), np.int64)
-    both = large[x] & large[y]
-    for table, on in ((few, np.flatnonzero(~both)), (many, np.flatnonzero(both))):
-        for k in range(0, len(on), step):
-            at = on[k : k + step]
-            out[at] = np.minimum(table[x[at]], table[y[at]]).sum(1, dtype=np.int64)
-    return out
+    counts = np.stack([np.frombuffer(b, np.uint8 if len(b) == RANGES else np.uint32).astype(np.uint32) for b in sketches])
+    parts = [np.minimum(counts[x[k : k + step]], counts[y[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def _full(blob: pa.Scalar) -> np.ndarray:
     return np.frombuffer(blob.as_buffer(), np.uint64)
 
 
-def checked(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that link, by the sets' full contents ``known`` (id, content)."""
+def checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that link, by the sets' full contents. They come dealt by id and are not written, so that both joins find
+    them in place."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -449,6 +440,7 @@ def checked(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 ok[i] = 100 * (common := int((both[1:] == both[:-1]).sum())) >= PERCENT * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(pa.array(ok)), "b": batch.column(1).filter(pa.array(ok))})
 
+    known = contents(docs, _ids(pairs), whole_set)
     left = pairs.join(known.withColumnsRenamed({"id": "a", "content": "content_a"}), "a")
     both = left.join(known.withColumnsRenamed({"id": "b", "content": "content_b"}), "b").select("a", "b", "content_a", "content_b")
     return both.mapInArrow(compare, "a long, b long")
@@ -458,13 +450,12 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
-def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(set_id, grp) of the sets that link with others; links found (a, b), which connect each group; contents (id, content) of all
-    these sets; and groups (grp) with members in long lists: in the others every pair that can link was checked."""
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(set_id, grp) of the sets that link with others; links found (a, b), which connect each group; and groups (grp) with members in
+    long lists: in the others every pair that can link was checked."""
     found = durable(candidates(postings(docs, heavy_shingles(docs))), "found")
     pairs = durable(found.where("token is null").select("a", "b").union(leader_pairs(found)).distinct(), "pairs")
-    known = durable(contents(docs, _ids(pairs), whole_set), "contents")
-    links = durable(checked(pairs, known), "links")
+    links = durable(checked(docs, pairs), "links")
     group = components(links).withColumnsRenamed({"node": "a", "component": "grp"})
     lists = found.where("token is not null and n is not null").select("token", "a", "n", "pos").join(group, "a", "left").withColumn("grp", F.coalesce("grp", "a"))
     found_lists = durable(lists, "lists")
@@ -472,19 +463,18 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     sketches = contents(docs, blocks.select(F.col("a").alias("id")).distinct(), range_counts).withColumnsRenamed({"id": "a", "content": "sketch"})
     more = durable(cross_group_pairs(blocks.join(sketches, "a")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
-        new = durable(contents(docs, _ids(more), whole_set).join(known, "id", "left_anti"), "contents")
-        known = known.unionByName(new)
-        links = durable(links.union(checked(more, known)), "links")
+        links = durable(links.union(checked(docs, more)), "links")
         group = components(links).withColumnsRenamed({"node": "a", "component": "grp"})
     group = durable(group.withColumnRenamed("a", "set_id"), "groups")
     open_ = durable(found_lists.select(F.col("a").alias("set_id")).distinct().join(group, "set_id").select("grp").distinct(), "open")
     discard(found, found_lists, blocks)
-    return group, links, known, open_
+    return group, links, open_
 
 
-def members_by_leader(group: DataFrame, links: DataFrame, known: DataFrame, times: DataFrame) -> DataFrame:
+def members_by_leader(docs: DataFrame, group: DataFrame, links: DataFrame, times: DataFrame) -> DataFrame:
     """(grp, set_id, n, lacks, size, times, more, diff): each member of a group, against its leader of ``size`` shingles: how many it
     lacks, and a hash list of what it lacks or has beside it. ``more``: members of the group."""
+    known = durable(contents(docs, group.select(F.col("set_id").alias("id")), whole_set), "contents")
     degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("degree"))
     lead = group.join(degree, "set_id").groupBy("grp").agg(F.max(F.struct("degree", "set_id")).alias("lead"), F.count("*").alias("more"))
     tasks = F.ceil(F.col("more") / F.lit(MEMBERS)).cast("int")  # a group's members meet copies of its leader in so many places
@@ -510,7 +500,7 @@ def members_by_leader(group: DataFrame, links: DataFrame, known: DataFrame, time
     return rows.select("grp", "set_id", "times", "more", "content", "leader").mapInArrow(run, "grp long, set_id long, times long, more long, n long, lacks long, size long, diff binary")
 
 
-def link_counts(group: DataFrame, links: DataFrame, known: DataFrame, open_: DataFrame, times: DataFrame) -> DataFrame:
+def link_counts(docs: DataFrame, group: DataFrame, links: DataFrame, open_: DataFrame, times: DataFrame) -> DataFrame:
     """(set_id, links): rows whose sets link with this one, but for its own. ``times``: (set_id, times), the rows of a set. In groups
     that are not ``open_`` (grp) all links are found.
 
@@ -521,7 +511,7 @@ def link_counts(group: DataFrame, links: DataFrame, known: DataFrame, open_: Dat
     weight = PERCENT * F.col("n") + (100 + PERCENT) * F.col("lacks")
     ends = links.select("a", "b").union(links.select("b", "a")).withColumnsRenamed({"a": "set_id", "b": "other"})
     closed = ends.join(group.join(open_, "grp", "left_anti").select("set_id"), "set_id").join(times.withColumnsRenamed({"set_id": "other", "times": "links"}), "other").select("set_id", "links")
-    members = durable(members_by_leader(group.join(open_, "grp", "left_semi"), links, known, times).withColumn("heavy", 2 * weight > (100 + PERCENT) * F.col("size")), "members")
+    members = durable(members_by_leader(docs, durable(group.join(open_, "grp", "left_semi"), "open"), links, times).withColumn("heavy", 2 * weight > (100 + PERCENT) * F.col("size")), "members")
     light = members.where("not heavy").groupBy("grp").agg(F.sum("times").alias("all"))
     known_links = members.where("not heavy").join(light, "grp").select("set_id", (F.col("all") - F.col("times")).alias("links"))
     blocks = F.ceil(F.col("more") / F.lit(MEMBERS)).cast("int")
@@ -581,9 +571,9 @@ def named_groups(sets: DataFrame, group: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, n_links (other rows that link with it), set_id (null: no shingles)."""
     sets = durable(document_sets(docs), "sets")
-    group, links, contents_, open_ = linked_sets(docs)
+    group, links, open_ = linked_sets(docs)
     times = durable(sets.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("times")), "times")
-    counts = durable(link_counts(group, links, contents_, open_, times), "counts")
+    counts = durable(link_counts(docs, group, links, open_, times), "counts")
     known = named_groups(sets, group).join(times, "set_id").join(counts, "set_id", "left")
     joined = sets.join(known, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
