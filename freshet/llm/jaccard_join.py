@@ -122,7 +122,7 @@ def heavy_shingles(docs: DataFrame, bound: int = HEAVY) -> tuple[np.ndarray, np.
         for _, s in _new_sets(batches):
             held.append(s >> np.uint64(64 - _KEY_BITS))
             n += len(s)
-            if n >= max(2_000_000, 16 << bits):
+            if n >= max(1_000_000, 16 << bits):
                 yield flush()
                 held, n = [], 0
         if held and n:
@@ -152,7 +152,7 @@ def heavy_shingles(docs: DataFrame, bound: int = HEAVY) -> tuple[np.ndarray, np.
                 current = b
                 fresh.append(np.frombuffer(blob.as_buffer(), np.uint32))
                 waiting += len(fresh[-1])
-                if waiting > 4_000_000:
+                if waiting > 2_000_000:
                     fold()
         if current is not None:
             yield table()

@@ -36,6 +36,8 @@ SPAN, K = 200, 32
 PIECE = 1 << 18
 #: Groups of more different stretches with one head are compared by a shuffle of their windows instead of in one task.
 HOT = 50_000
+#: Heads that a task sorts at once, in about 250 bytes each with the copies that sorting takes.
+RUN_HEADS = 300_000
 #: Ranges of the order, of about so many heads each; a task merges RANGES_A_TASK of them, one after the other.
 RANGE_HEADS, MOST_RANGES, RANGES_A_TASK = 50_000, 100_000, 8
 _PW = _powers(_BASE, PIECE + 1)
@@ -242,7 +244,7 @@ def repeated_heads(texts: DataFrame) -> DataFrame:
                 for heads in _heads_of(batch.column(0)):
                     held.append(heads)
                     count += len(heads)
-                    if count > 1_000_000:
+                    if count > RUN_HEADS:
                         yield flush()
                         held, count = [], 0
             if held:
