@@ -13,12 +13,15 @@ from .jaccard_join import jaccard_components
 from .language_id import identify_language
 from .mixing import mixture
 from .packing import pack_documents
+from .periodic_runs import run_report, with_repeats
 from .quality_classifier import quality_scores
 from .quality_rules import quality_cascade
 from .ring_sharding import shard_documents
 from .sql import ORACLES
 from .suffix_dedup import dedup_report
 from .tool_calls import TOOLS, calls_of_turns, link_tool_calls
+from .toxicity import toxicity_scores
+from .whitening import whitened_components
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +66,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-ALL = (op1_mixing, op2_language_id, op3_ring_sharding, op4_exact_topk, op5_suffix_array_dedup, op6_chat_formatting, op7_quality_rules, op8_ngram_jaccard_join, op9_packing, op10_quality_classifier)
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(with_repeats(read_table(spark, sf_dir, "documents")))
+
+
+ALL = (op1_mixing, op2_language_id, op3_ring_sharding, op4_exact_topk, op5_suffix_array_dedup, op6_chat_formatting, op7_quality_rules, op8_ngram_jaccard_join, op9_packing, op10_quality_classifier, op11_embedding_whitening, op12_toxicity, op13_periodic_runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
