@@ -31,7 +31,7 @@ def replicates(pairs: DataFrame, b: int = 500, length: int | None = None, seed:
 def confidence_intervals(pairs: DataFrame, b: int = 500, length: int | None = None, alpha: float = 0.05, seed: int = 12345, transform: str = "none", ids: list[str] | None = None) -> DataFrame:
     """(series_id, metric_id, lo, hi): percentile intervals; none if under 80 % of the replicates, or under 20, have the metric."""
     r = replicates(pairs, b, length, seed).withColumn("series_id", F.concat_ws("\x1f", "series_id", "b")).drop("b")
-    wide = wide_panel(transformed(r, transform))
+    wide = wide_panel(transformed(r, transform), long=None)
     long = to_long(wide, ids or metric_ids(wide)).withColumn("series_id", F.element_at(F.split("series_id", "\x1f"), 1))
     q = F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     g = long.groupBy("series_id", "metric_id").agg(q.alias("q"), F.count("value").alias("have"))

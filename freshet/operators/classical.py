@@ -1,8 +1,10 @@
-"""The 45 classical metrics from one exchange by series.
+"""The 45 classical metrics, in one of two ways to the same values.
 
-Input: pairs (series_id, k, obs, sim), both values finite. Within a series' partition, windows give each pair its neighbours,
-ranks and places by observed value, simulated value and error; quantiles and flow-duration sums are read off the places,
-and one aggregation makes every sum a metric needs. Everything a metric shares with another is computed once.
+Input: pairs (series_id, k, obs, sim), both values finite. Short series take one exchange by series: windows give each pair its
+neighbours, ranks and places by observed value, simulated value and error; quantiles and flow-duration sums are read off the
+places, and one aggregation makes every sum a metric needs. Once a series has more than LONG pairs no window spans a series: sums are
+plain aggregations, the value before comes from blocks of places that overlap by one, and ranks, quantiles and flow-duration sums come
+from the distinct values of each side, ranked range by range. Everything a metric shares with another is computed once.
 """
 
 from __future__ import annotations
@@ -11,8 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, js_round, over, pearson
+from ..sources.scratch import deleted, written
+from . import ranges
 
 EPS = 0.01
+#: Pairs of a series beyond which it is spread over tasks.
+LONG = 2_000_000
 
 
 def _square(x: Column) -> Column:
@@ -38,20 +44,20 @@ def _between(at: Column, x: Column, q: float) -> list[Column]:
     return [F.max(F.when(at == F.floor(h), x)), F.max(F.when(at == F.ceil(h), x))]
 
 
-def series_sums(x: DataFrame, high: float = 0.02, low: float = 0.3) -> DataFrame:
-    """One row a series from ``placed`` pairs: extremes, quantiles, and the sums that the metrics are made of."""
+#: Quantiles of obs, sim, error and absolute error, and the shares of the flow-duration curve's ends.
+QUANTILES = {"o": (0.25, 0.75, 1 - 0.2, 1 - 0.7, 0.5), "s": (1 - 0.2, 1 - 0.7, 0.5), "e": (0.5,), "a": (0.5,)}
+HIGH, LOW = 0.02, 0.3
+
+
+def _plain_sums() -> dict[str, Column]:
+    """Aggregates over pairs with e, n, mo and ms that no order matters to."""
     o, s, e, mo, ms, n = (F.col(c) for c in ("obs", "sim", "e", "mo", "ms", "n"))
     a, b = o - mo, s - ms
     ratio = F.when((o > 0) & (s > 0), F.ln(F.try_divide(s, o)))
     rel, eps = F.abs(F.try_divide(e, o)), mo * EPS
     lo, ls = _ln(o + eps), _ln(s + eps)
     reach = F.abs(s - mo) + F.abs(a)
-    ra, rb = F.col("ro") - (n + 1) / 2, F.col("rs") - (n + 1) / 2
-    # Flow-duration curves: places in falling order; each side's sums need its own places only.
-    top, tail = F.greatest(F.lit(1), js_round(n * F.lit(high))), F.floor(n * F.lit(1 - low))
-    down_o, down_s = n - 1 - F.col("at_o"), n - 1 - F.col("at_s")
-    tail_o, tail_s = down_o >= tail, down_s >= tail
-    aggregates = {
+    return {
         "n": F.max(n), "mo": F.max(mo), "ms": F.max(ms), "so": F.stddev_pop(o), "ss": F.stddev_pop(s),
         "min_o": F.min(o), "max_o": F.max(o), "min_any": F.min(F.least(o, s)), "zero_o": F.max((o == 0).cast("int")), "zero_both": F.max(((o == 0) & (s == 0)).cast("int")),
         "me": F.avg(e), "mae": F.avg(F.abs(e)), "mse": F.avg(e * e), "see": F.sum(e * e), "sae": F.sum(F.abs(e)), "sum_o": F.sum(o), "abs_o": F.sum(F.abs(o)),
@@ -59,18 +65,43 @@ def series_sums(x: DataFrame, high: float = 0.02, low: float = 0.3) -> DataFrame
         "reach2": F.sum(_square(reach)), "reach1": F.sum(reach), "reach_rel": F.sum(_square(F.try_divide(reach, mo))), "rel2": F.sum(_square(F.try_divide(e, o))), "dev_rel": F.sum(_square(F.try_divide(a, mo))),
         "mle": F.avg(ratio), "male": F.avg(F.abs(ratio)), "msle": F.avg(ratio * ratio),
         "mape": 100 * F.avg(rel), "smape": 100 * F.avg(F.coalesce(F.try_divide(F.abs(e), (F.abs(o) + F.abs(s)) / 2), F.lit(0.0))),
-        "maape": F.avg(F.when(o == 0, F.pi() / 2).otherwise(F.atan(rel))), "step": F.avg(F.abs(o - F.col("before"))),
+        "maape": F.avg(F.when(o == 0, F.pi() / 2).otherwise(F.atan(rel))),
         "log_see": F.sum(_square(lo - ls)), "log_vo": F.var_pop(lo) * F.count("*"), "log_bad": F.max((lo.isNull() | ls.isNull()).cast("int")),
-        "rank_cov": F.sum(ra * rb), "rank_vo": F.sum(ra * ra), "rank_vs": F.sum(rb * rb),
-        "top_o": F.sum(F.when(down_o < top, o)), "top_s": F.sum(F.when(down_s < top, s)),
+    }
+
+
+def _rank_sums() -> dict[str, Column]:
+    ra, rb = F.col("ro") - (F.col("n") + 1) / 2, F.col("rs") - (F.col("n") + 1) / 2
+    return {"rank_cov": F.sum(ra * rb), "rank_vo": F.sum(ra * ra), "rank_vs": F.sum(rb * rb)}
+
+
+def _ends() -> tuple[Column, Column]:
+    """Places in falling order: those of the curve's high end lie before the first, those of its low end from the second on."""
+    n = F.col("n")
+    return F.greatest(F.lit(1), js_round(n * F.lit(HIGH))), F.floor(n * F.lit(1 - LOW))
+
+
+def series_sums(x: DataFrame) -> DataFrame:
+    """One row a series from ``placed`` pairs: extremes, quantiles, and the sums that the metrics are made of."""
+    o, s, e, n, eps = F.col("obs"), F.col("sim"), F.col("e"), F.col("n"), F.col("mo") * EPS
+    lo, ls = _ln(o + eps), _ln(s + eps)
+    top, tail = _ends()
+    down_o, down_s = n - 1 - F.col("at_o"), n - 1 - F.col("at_s")
+    tail_o, tail_s = down_o >= tail, down_s >= tail
+    aggregates = _plain_sums() | _rank_sums() | {
+        "step": F.avg(F.abs(o - F.col("before"))), "top_o": F.sum(F.when(down_o < top, o)), "top_s": F.sum(F.when(down_s < top, s)),
         "low_o": F.sum(F.when(tail_o, lo)), "low_min_o": F.min(F.when(tail_o, lo)), "low_s": F.sum(F.when(tail_s, ls)), "low_min_s": F.min(F.when(tail_s, ls)), "low_n": F.sum(tail_o.cast("int")),
         "low_bad": F.max(((tail_o & lo.isNull()) | (tail_s & ls.isNull())).cast("int")),
     }
-    wanted = {"o": (F.col("at_o"), o, (0.25, 0.75, 1 - 0.2, 1 - 0.7, 0.5)), "s": (F.col("at_s"), s, (1 - 0.2, 1 - 0.7, 0.5)), "e": (F.col("at_e"), e, (0.5,)), "a": (F.col("at_a"), F.col("a"), (0.5,))}
-    for side, (at, value, qs) in wanted.items():
-        for i, q in enumerate(qs):
-            aggregates |= {f"{side}{i}_{end}": v for end, v in zip(("lo", "hi"), _between(at, value, q), strict=True)}
-    g = x.groupBy("series_id").agg(*[v.alias(k) for k, v in aggregates.items()])
+    sides = {"o": ("at_o", o), "s": ("at_s", s), "e": ("at_e", e), "a": ("at_a", F.col("a"))}
+    for side, (at, value) in sides.items():
+        for i, q in enumerate(QUANTILES[side]):
+            aggregates |= {f"{side}{i}_{end}": v for end, v in zip(("lo", "hi"), _between(F.col(at), value, q), strict=True)}
+    return _with_quantiles(x.groupBy("series_id").agg(*[v.alias(k) for k, v in aggregates.items()]))
+
+
+def _with_quantiles(g: DataFrame) -> DataFrame:
+    """Quantiles from the values around them, and the ends of the flow-duration curve."""
 
     def quantile(side: str, i: int, q: float) -> Column:
         below, above, h = F.col(f"{side}{i}_lo"), F.col(f"{side}{i}_hi"), (F.col("n") - 1) * F.lit(q)
@@ -79,12 +110,69 @@ def series_sums(x: DataFrame, high: float = 0.02, low: float = 0.3) -> DataFrame
     below, above = F.col("a0_lo"), F.col("a0_hi")
     below_o, below_s = F.col("low_o") - F.col("low_n") * F.col("low_min_o"), F.col("low_s") - F.col("low_n") * F.col("low_min_s")
     return g.withColumns({
-        "qo": F.array(*[quantile("o", i, q) for i, q in enumerate(wanted["o"][2])]), "qs": F.array(*[quantile("s", i, q) for i, q in enumerate(wanted["s"][2])]),
+        "qo": F.array(*[quantile("o", i, q) for i, q in enumerate(QUANTILES["o"])]), "qs": F.array(*[quantile("s", i, q) for i, q in enumerate(QUANTILES["s"])]),
         "mde": quantile("e", 0, 0.5), "mdae": quantile("a", 0, 0.5), "mdse": (below * below + above * above) / 2,
         "fhv": over(100 * (F.col("top_s") - F.col("top_o")), F.col("top_o")), "flv": F.when(F.col("low_bad") == 0, over(-100 * (below_s - below_o), below_o)),
     })
 
 
+def long_series_sums(pairs: DataFrame, rows: int = ranges.RANGE) -> DataFrame:
+    """What ``series_sums`` and ``curve_distance`` give, with no more than a block or a range of a series in one task. The pairs and
+    their ranked values are written while it runs; a row a series is left."""
+    key = ["series_id"]
+    pairs = written(pairs.select("series_id", "k", "obs", "sim"), "pairs")
+    sizes = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.avg("obs").alias("mo"), F.avg("sim").alias("ms"))
+    x = pairs.select("series_id", "k", "obs", "sim", (F.col("sim") - F.col("obs")).alias("e")).join(sizes, key)
+    plain = x.groupBy(*key).agg(*[v.alias(k) for k, v in _plain_sums().items()])
+
+    near = ranges.neighbours(pairs.select("series_id", "k", "obs"), key, 1, 0, rows)
+    before = F.lag("obs").over(Window.partitionBy("series_id", "block_").orderBy("k"))
+    steps = near.withColumn("step", F.when(F.col("own_"), F.abs(F.col("obs") - before))).groupBy(*key).agg(F.avg(F.when(F.col("own_"), F.col("step"))).alias("step"))
+
+    sides = {"o": F.col("obs"), "s": F.col("sim"), "e": F.col("e"), "a": F.abs("e")}
+    values = x.select("series_id", F.inline(F.array(*[F.struct(F.lit(side).alias("side"), v.alias("value")) for side, v in sides.items()])))
+    ranked = ranges.ranked_values(values, ["series_id", "side"], rows, write=True)
+    placed_ = ranked.join(sizes, key)
+    n, value, top, tail, log = F.col("n"), F.col("value"), *_ends(), _ln(F.col("value") + F.col("mo") * EPS)
+    is_ = lambda side: F.col("side") == side
+    in_tail = (F.col("before") < n - tail) & (F.col("side").isin("o", "s"))
+    curve = {"low_n": F.sum(F.when(is_("o"), ranges.sum_of_places(F.lit(1), F.lit(0), n - tail))), "low_bad": F.max((in_tail & log.isNull()).cast("int"))}
+    for side in ("o", "s"):
+        curve |= {
+            f"top_{side}": F.sum(F.when(is_(side), ranges.sum_of_places(value, n - top, n))), f"low_{side}": F.sum(F.when(is_(side), ranges.sum_of_places(log, F.lit(0), n - tail))),
+            f"low_min_{side}": F.min(F.when(is_(side) & in_tail, log)),
+        }
+    for side, qs in QUANTILES.items():
+        for i, q in enumerate(qs):
+            h = (n - 1) * F.lit(q)
+            curve |= {f"{side}{i}_{end}": F.max(F.when(is_(side), ranges.at_place(at, value))) for end, at in (("lo", F.floor(h)), ("hi", F.ceil(h)))}
+    curves = placed_.groupBy(*key).agg(*[v.alias(k) for k, v in curve.items()])
+
+    # Ranks: each pair meets its values' ranks. A value that many pairs have is one row, and the join may split its pairs.
+    of = lambda side, c, name: ranked.where(is_(side)).select("series_id", F.col("value").alias(c), (F.col("before") + (F.col("c") + 1) / 2).alias(name))
+    both = x.select("series_id", "obs", "sim", "n").join(of("o", "obs", "ro"), ["series_id", "obs"]).join(of("s", "sim", "rs"), ["series_id", "sim"])
+    ranks = both.groupBy(*key).agg(*[v.alias(k) for k, v in _rank_sums().items()])
+
+    # The curves' gap: both sides' values as shares of their sums, in one order.
+    mean = F.when(is_("o"), F.col("mo")).otherwise(F.col("ms"))
+    share = placed_.where(F.col("side").isin("o", "s")).select("series_id", F.try_divide("value", n * mean).alias("v"), F.when(is_("o"), F.col("c")).otherwise(-F.col("c")).alias("d"))
+    share = share.groupBy("series_id", "v").agg(F.sum("d").alias("d"), F.count("v").alias("have"), F.count("*").alias("rows"))
+    ranged = ranges.running(ranges.with_ranges(share, key, F.col("v"), rows), key, "range_", [F.col("v")], {"sum": F.col("d")})
+    first = ranged.groupBy("series_id", "range_").agg(F.min("v").alias("first"))
+    after = first.select("series_id", "range_", F.lead("first").over(Window.partitionBy(*key).orderBy("range_")).alias("after"))
+    lead = F.coalesce(F.lead("v").over(Window.partitionBy("series_id", "range_").orderBy("v")), F.col("after"))
+    gaps = ranged.join(after, ["series_id", "range_"]).withColumn("gap", F.abs("sum") * (lead - F.col("v")))
+    l1 = gaps.groupBy(*key).agg(F.sum("gap").alias("l1"), F.sum("have").alias("have"), F.sum("rows").alias("rows"))
+    l1 = l1.select("series_id", F.when(F.col("have") == F.col("rows"), F.coalesce("l1", F.lit(0.0))).alias("fdc_l1"))
+    out = written(_with_quantiles(ranges.joined([plain, steps, curves, ranks], key)).join(l1, key), "sums")
+    deleted(pairs, ranked)
+    return out
+
+
+def has_long_series(pairs: DataFrame, rows: int) -> bool:
+    return not pairs.groupBy("series_id").agg(F.count("*").alias("n")).where(F.col("n") > rows).isEmpty()
+
+
 def curve_distance(x: DataFrame) -> DataFrame:
     """(series_id, fdc_l1): the sum of the gaps between both sides' sorted values, as shares of their sums. That is the area between
     the two distributions: both sides' values in one order, each step times how many more of one side lie below it."""
@@ -107,10 +195,14 @@ def _ln(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
-def wide_panel(pairs: DataFrame) -> DataFrame:
-    """One row a series with a column for each classical metric, and kge parts (r, variability, bias) for the three KGEs."""
-    x = placed(pairs)
-    joined = series_sums(x).join(curve_distance(x), "series_id")
+def wide_panel(pairs: DataFrame, long: int | None = LONG) -> DataFrame:
+    """One row a series with a column for each classical metric, and kge parts (r, variability, bias) for the three KGEs. One job
+    counts pairs: if a series has more than ``long``, series are spread over tasks (None: no job, no series is)."""
+    if long is not None and has_long_series(pairs, long):
+        joined = long_series_sums(pairs, min(long, ranges.RANGE))
+    else:
+        x = placed(pairs)
+        joined = series_sums(x).join(curve_distance(x), "series_id")
     c = {n: F.col(n) for n in joined.columns}
     n, mo, ms, so, ss = c["n"], c["mo"], c["ms"], c["so"], c["ss"]
     eps = mo * EPS

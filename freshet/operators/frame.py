@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite
+from . import ranges
 
 
 def by_time() -> WindowSpec:
@@ -147,8 +148,11 @@ def derivative(series: DataFrame, c: str = "obs") -> DataFrame:
     return series.withColumn("y", F.col(c) - F.lag(c).over(by_time()))
 
 
-def cumulative(series: DataFrame, c: str = "obs") -> DataFrame:
-    return series.withColumn("y", F.when(F.col(c).isNotNull(), F.sum(c).over(by_time().rowsBetween(Window.unboundedPreceding, 0))))
+def cumulative(series: DataFrame, c: str = "obs", rows: int = ranges.RANGE) -> DataFrame:
+    """Running sums in time order, range by range of the dates; ``rows`` a range."""
+    x = ranges.with_ranges(series, ["series_id"], F.unix_micros(F.col("ts").cast("timestamp")), rows)
+    x = ranges.running(x, ["series_id"], "range_", [F.col("ts")], {"y": F.col(c)})
+    return x.withColumn("y", F.when(F.col(c).isNotNull(), F.col("y"))).drop("range_")
 
 
 def from_mean(series: DataFrame, n: int = 1, c: str = "obs") -> DataFrame:
@@ -156,11 +160,15 @@ def from_mean(series: DataFrame, n: int = 1, c: str = "obs") -> DataFrame:
     return x.withColumn("y", F.col("y") - F.avg("y").over(whole()))
 
 
-def exceedance(series: DataFrame, c: str = "obs") -> DataFrame:
-    """The flow-duration curve by Weibull's plotting positions, 100 i / (n + 1)."""
-    x = series.where(F.col(c).isNotNull())
-    i = F.row_number().over(whole().orderBy(F.desc(c)))
-    return x.select("series_id", i.alias("i"), F.col(c).alias("q"), (100.0 * i / (F.count("*").over(whole()) + 1)).alias("p"))
+def exceedance(series: DataFrame, c: str = "obs", rows: int = ranges.RANGE) -> DataFrame:
+    """The flow-duration curve by Weibull's plotting positions, 100 i / (n + 1). Distinct values are ranked range by range, ``rows`` a
+    range, and take as many positions as rows have them."""
+    key, x = ["series_id"], series.where(F.col(c).isNotNull())
+    ranked = ranges.ranked_values(x.select("series_id", F.col(c).alias("value")), key, rows)
+    placed = ranges.meet(ranked, x.groupBy(*key).agg(F.count("*").alias("n")), key)
+    last = F.col("n") - F.col("before")
+    each = placed.withColumn("i", F.explode(F.sequence(last - F.col("c") + 1, last)))
+    return each.select("series_id", F.col("i").cast("int").alias("i"), F.col("value").alias("q"), (100.0 * F.col("i") / (F.col("n") + 1)).alias("p"))
 
 
 def quantile_pairs(series: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions.stats import uniform_draw
-from ..operators import bootstrap, classical, frame, matching, ranking, sandbox, shape, timing, units
+from ..operators import bootstrap, classical, frame, matching, ranges, ranking, sandbox, shape, timing, units
 from . import oracles as sql
 from ..sources import sinks, tables
 from ..sources.scratch import scratch_path
@@ -58,6 +58,15 @@ def _panels() -> None:
     for name, g in groups.items():
         _add(f"panel_{name}", _wide(_ids(g)), sql.wide(_ids(g)))
     _add("panel_by_brand", _wide(every, source=by_brand), sql.wide(every, sql.pairs(sql.BRAND)))
+    # A series of all orders, in ranges of 2000 values and blocks of 2000 places: no task has it whole.
+    orders = "by_order AS (SELECT l_orderkey, sum(l_quantity)::DOUBLE AS obs, floor(((sum(l_extendedprice::DECIMAL(12,2)) * 100)::BIGINT + 75) / 150) / 1000 AS sim FROM lineitem GROUP BY l_orderkey), pairs AS (SELECT 'all' AS series_id, l_orderkey AS k, obs, sim FROM by_order)"
+
+    def one_long(spark: SparkSession, sf: str) -> DataFrame:
+        cents = (F.sum(F.col("l_extendedprice").cast("decimal(12,2)")) * 100).cast("long")
+        x = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("double").alias("obs"), (F.floor((cents + 75) / 150) / 1000).alias("sim"))
+        return ranges.numbered(x.withColumn("series_id", F.lit("all")), ["series_id"], F.col("l_orderkey"), 2000)
+
+    _add("panel_one_long_series", lambda s, d: _rounded(classical.wide_panel(one_long(s, d), long=2000).select("series_id", *every)), sql.wide(every, orders))
     # Many short series, more with a larger table. Five digits: medians of values with four have a fifth, which no rounding meets.
     _add("panel_by_supplier", lambda s, d: _to_digits(classical.wide_panel(frame.paired(by_supplier(s, d))).select("series_id", *every), 5), sql.wide(every, sql.pairs(sql.SUPPLIER), 5))
     some = ["me", "rmse", "nse", "kge2009", "pbias"]
@@ -133,6 +142,16 @@ SELECT conversion, CASE WHEN max(f) - min(f) <= 1e-9 * max(f) THEN round(any_val
         sinks.write_text(one_record(spark, sf).withColumnRenamed("ts", "Date"), path, ";")
         return tables.staged(tables.read_delimited(spark, path))[0]
 
+    def through_awkward_text(spark: SparkSession, sf: str) -> DataFrame:
+        """Dots in headers, two runs that differ in their unit only, quoted separators, quotes and line breaks."""
+        path = scratch_path(spark, "table")
+        note = F.concat(F.lit('first; "line"\n'), F.col("ts").cast("string"), F.lit(';\n"last"\n'))
+        cells = one_record(spark, sf).select(F.col("ts").alias("Date"), note.alias("a note; of.some kind"), F.col("Observed").alias("obs.mean"), F.col("A").alias("run.1"), F.col("N").alias("run.1 [cfs]"))
+        sinks.write_text(cells, path, ";")
+        return tables.staged(tables.read_delimited(spark, path), ["date", "ignore", "observed", "run", "run"])[0]
+
+    _add("text_awkward_round_trip", through_awkward_text, f"WITH {sql.RECORD} SELECT CASE series_id WHEN 'A' THEN 'run.1' ELSE 'run.1 (2)' END AS series_id, ts, obs, sim FROM record WHERE series_id IN ('A', 'N')")
+
     def through_project(spark: SparkSession, sf: str) -> DataFrame:
         path = scratch_path(spark, "project")
         runs = one_record(spark, sf).unpivot(["ts", "Observed"], ["A", "N", "R"], "series_id", "sim").withColumnRenamed("Observed", "obs")

@@ -24,7 +24,7 @@ def with_intervals(metrics: DataFrame, ci: DataFrame) -> DataFrame:
 def write_text(df: DataFrame, path: str, sep: str = ",") -> None:
     """Delimited text with a header; cells are guarded against being read as formulas."""
     safe = df.select(*[safe_cell(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
-    safe.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    safe.write.mode("overwrite").options(header=True, sep=sep, escape='"').csv(path)
 
 
 def plot_rows(traces: dict[str, DataFrame], x: str, y: str) -> DataFrame:

@@ -26,13 +26,51 @@ def sniffed(line: str) -> str:
     return max(SEPARATORS, key=lambda s: (line.count(s), s == ","))
 
 
+def unique_names(names: list[str]) -> list[str]:
+    """Header cells as column names: without a byte order mark and spaces; empty ones are called by their place, and of equal ones (in any
+    case, as Spark takes names) the second is "name (2)" and so on."""
+    out: list[str] = []
+    for i, name in enumerate(names):
+        name = (name or "").lstrip("\ufeff").strip() or f"column {i + 1}"
+        taken, n, base = {c.lower() for c in out}, 1, name
+        while name.lower() in taken:
+            n += 1
+            name = f"{base} ({n})"
+        out.append(name)
+    return out
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as trimmed strings; the first row is the header; blank rows go, ragged ones stay."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    """All cells as trimmed strings; the first row that is not blank is the header; blank rows go, short ones end in nulls, and cells
+    beyond the header are dropped. A quoted cell may hold separators, line breaks and doubled quotes.
+
+    Columns are read by place, so a header may hold dots or equal names. Files are split at line breaks between tasks unless
+    the text has a quoted line break, which needs whole files a task; one pass over the lines finds that out: a line
+    whose quotes do not pair goes on in the next one."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    look = lines.agg(F.max((quotes % 2 == 1).cast("int"))).first()[0] == 1
+    first = lines.where(F.trim(F.replace("value", F.lit("\ufeff"))) != "").limit(1).collect()
     sep = sniffed(first[0][0]) if first else ","
-    raw = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-    return raw.dropna(how="all")
+    how = {"sep": sep, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": look, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    head = spark.read.options(header=False, **how).csv(path)
+    filled = F.concat_ws("", *[F.trim(F.coalesce(F.col(c), F.lit(""))) for c in head.columns])
+    header = head.where(filled != "").limit(1).collect() if head.columns else []
+    if not header:
+        return spark.createDataFrame([], T.StructType([]))
+    cells = list(header[0])
+    while len(cells) > 1 and not (cells[-1] or "").strip():
+        cells.pop()
+    names = unique_names(cells)
+    # With a schema the rows are read by place; the header's own row, wherever a file has it, is left out.
+    places = [f"c{i}" for i in range(len(names))]
+    rows = spark.read.options(header=False, enforceSchema=True, **how).schema(T.StructType([T.StructField(c, T.StringType()) for c in places])).csv(path)
+    same = F.lit(True)
+    for c, cell in zip(places, cells, strict=True):
+        rows_cell = F.coalesce(F.trim(F.replace(F.col(c), F.lit("\ufeff"))), F.lit(""))
+        same = same & (rows_cell == (cell or "").lstrip("\ufeff").strip())
+    blank = F.concat_ws("", *[F.coalesce(F.trim(c), F.lit("")) for c in places]) == ""
+    return rows.where(~blank & ~same).select(*[F.trim(c).alias(n) for c, n in zip(places, names, strict=True)])
 
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -153,13 +191,14 @@ def staged(table: DataFrame, roles: list[str] | None = None, date_format: str =
     if not (pick("date") and pick("observed") and pick("run")):
         raise ValueError("a table needs a date, an observed and a run column")
     date, observed = pick("date")[0], pick("observed")[0]
-    kind = date_format_of(table, date) if date_format == "auto" else date_format
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    kind = date_format_of(table.select(quoted(date).alias("date")), "date") if date_format == "auto" else date_format
     if kind == "ambiguous":
         raise ValueError("day and month can't be told apart; give the date format")
     numbered = table.withColumn("row_no", F.monotonically_increasing_id())
-    quoted = lambda c: F.col(f"`{c}`")
-    wide = numbered.select("row_no", parsed_date(quoted(date), kind).alias("ts"), value_cell(quoted(observed), missing).alias("obs"), *[value_cell(quoted(r), missing).alias(unit_of(r)[0]) for r in pick("run")])
-    long = wide.unpivot(["row_no", "ts", "obs"], [quoted(unit_of(r)[0]) for r in pick("run")], "series_id", "sim")
+    runs = unique_names([unit_of(r)[0] for r in pick("run")])  # two runs may differ in their unit only
+    values = F.array(*[F.struct(F.lit(n).alias("series_id"), value_cell(quoted(c), missing).alias("sim")) for n, c in zip(runs, pick("run"), strict=True)])
+    long = numbered.select("row_no", parsed_date(quoted(date), kind).alias("ts"), value_cell(quoted(observed), missing).alias("obs"), F.inline(values))
     return aligned(long).select("series_id", "ts", "obs", "sim"), checks(long.select("series_id", "ts", "obs", "sim"))
 
 

@@ -271,6 +271,22 @@ def test_text_tables(spark, tmp_path):
     assert [tuple(r) for r in grid] == [("2001-01-01", "1", "2", ""), ("2001-01-02", "3", "", "")]
 
 
+def test_text_with_quoted_breaks_dots_and_equal_names(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('Date,sim.1,note,sim.1,,SIM.1\n2001-01-01,1,"a\nb, ""c""",2,x,3,beyond\n\n2001-01-02,4\n" ",,\n')
+    table = tables.read_delimited(spark, str(tmp_path / "q.csv"))
+    assert table.columns == ["Date", "sim.1", "note", "sim.1 (2)", "column 5", "SIM.1 (3)"]
+    assert [tuple(r) for r in table.collect()] == [("2001-01-01", "1", 'a\nb, "c"', "2", "x", "3"), ("2001-01-02", "4", None, None, None, None)]
+    series, found = tables.staged(table, ["date", "observed", "ignore", "run", "ignore", "run"])
+    assert sorted((r.series_id, r.ts.day, r.obs, r.sim) for r in series.collect()) == [("SIM.1 (3)", 1, 1.0, 3.0), ("SIM.1 (3)", 2, 4.0, None), ("sim.1 (2)", 1, 1.0, 2.0), ("sim.1 (2)", 2, 4.0, None)]
+    assert {r.level for r in found.collect()} == {"error"}
+    (tmp_path / "r.csv").write_text("date,o,run a,run a [cfs]\n2001-01-01,1,2,3\n2001-01-02,1,2,3\n")
+    both = tables.staged(tables.read_delimited(spark, str(tmp_path / "r.csv")), ["date", "observed", "run", "run"])[0]
+    assert {(r.series_id, r.sim) for r in both.collect()} == {("run a", 2.0), ("run a (2)", 3.0)}
+    for empty in ("", "\n\n"):
+        (tmp_path / "e.csv").write_text(empty)
+        assert tables.read_delimited(spark, str(tmp_path / "e.csv")).count() == 0
+
+
 def test_workbooks(spark, tmp_path):
     """Shared and inline strings, dates as numbers with a date style, a blank row, a short first sheet and a later one."""
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
