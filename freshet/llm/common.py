@@ -10,7 +10,7 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
@@ -84,6 +84,13 @@ def text_of(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def spread_windows(text: Column, windows: int = 64, size: int = 1024) -> Column:
+    """``text``, or if it has more than windows * size characters, so many windows of that size, spread evenly from its start to its end."""
+    gap = (F.length(text) - size).cast("double") / (windows - 1)
+    cut = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring(text, F.floor(i * gap).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) > windows * size, F.array_join(cut, " ")).otherwise(text)
+
+
 class TextBlock:
     """Some rows of an Arrow text column as one byte array: ``data``, and row i at offsets[i]:offsets[i+1]."""
 

@@ -6,7 +6,8 @@ are learned by follow-the-regularised-leader with an elastic-net penalty, one ro
 rows of each language; a temperature fitted on rows put aside, weighted by the languages' counts over all training rows,
 calibrates the probabilities.
 
-The rows learned from, languages x rows at most, and the model, features x languages, are held by the driver and each task: both
+A sampled text that is longer than 64 windows of 1024 characters stands in the fit by so many windows, spread over it; document
+frequencies and predictions take whole texts. The rows learned from, languages x rows at most, and the model, features x languages, are held by the driver and each task: both
 grow with the number of languages, not with the documents.
 
 Defined results: a null text, or one without letters, is ``und`` with score 1; a very long text counts whole, in one task; equal
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TextBlock, durable, text_blocks, text_of
+from .common import TextBlock, durable, spread_windows, text_blocks, text_of
 
-#: Bounds of the training sample: rows of each language, and bytes of a text in it. Every language is learned.
-SAMPLE_ROWS, SAMPLE_BYTES = 600, 65_536
+#: Bounds of the training sample: rows of each language, and windows of 1024 characters of a text in it. Every language is learned.
+SAMPLE_ROWS, SAMPLE_WINDOWS = 600, 64
 BITS = 15
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 3
 
@@ -186,10 +187,10 @@ def identify_language(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     counts = durable(known.groupBy("lang").count(), "languages")
     share = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    small = known.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
-    near = small.join(counts, "lang").where(share < F.least(F.lit(1.0), 1.5 * rows / F.col("count")))  # about half more than asked for
+    near = known.join(counts, "lang").where(share < F.least(F.lit(1.0), 1.5 * rows / F.col("count")))  # about half more than asked for
     first = F.row_number().over(Window.partitionBy("lang").orderBy(share, "doc_id", "text"))
-    sample = near.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", first.alias("first")).where(F.col("first") <= rows).drop("first").toPandas().sort_values(["doc_id", "text"])
+    chosen = near.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", first.alias("first")).where(F.col("first") <= rows)
+    sample = chosen.select("doc_id", spread_windows(F.col("text"), SAMPLE_WINDOWS).alias("text"), "lang").toPandas().sort_values(["doc_id", "text"])
     if not len(sample):
         return predict_language(docs, None)
     have, n = document_frequency(text_of(known))

@@ -8,7 +8,7 @@ rows that are not held out, so the bound of the sample does not change what a sc
 Defined results: a null text counts as empty and gets the score of an empty segment; a very long text counts whole, in as many
 segments as it has, in one task; equal texts get equal scores; a row without doc_id is held out; without labels of both
 kinds the score is the share of good labels (0.5 without any); an empty table gives an empty result; extra columns are not
-read. Labels repeat as often as they are given.
+read. Labels that repeat or contradict each other count each in the labels' counts.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import spread_windows, text_of
 
-#: Bounds of the labelled sample: rows of each label, and bytes of a text in it.
-SAMPLE_ROWS, SAMPLE_BYTES = 1200, 65_536
+#: Bounds of the labelled sample: rows of each label, and windows of 1024 characters of a text in it.
+SAMPLE_ROWS, SAMPLE_WINDOWS = 1200, 64
 SEGMENT, DICTIONARY, LEVEL = 512, 65_536, 1
 THRESHOLD = 0.3
 
@@ -94,17 +94,18 @@ def fit(texts: list[bytes], good: np.ndarray, counts: tuple[int, int]) -> Qualit
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray, tuple[int, int]]:
-    """At most ``rows`` labels of each kind, by a hash of their ids, and of their texts (of SAMPLE_BYTES at most) the first 4 * rows
-    where ids repeat. Also how many rows have each label (good, bad) in all, held-out ones aside."""
+    """At most ``rows`` labels of each kind among those whose documents are there, by a hash of their ids, and of their texts the first
+    4 * rows where ids repeat; a long text by windows spread over it. Also how many rows have each label (good, bad) in all,
+    held-out ones aside."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit("quality"), "doc_id")
-    parts = [known.where(F.col("quality") == v).orderBy(order, "doc_id").limit(rows) for v in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * rows at most
-    found = text_of(docs).join(chosen, "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES)
-    pdf = found.orderBy(order, "doc_id", "text").limit(4 * rows).toPandas()
     times = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("times"))
     given = known.groupBy("doc_id", "quality").agg(F.count("*").alias("given")).join(times, "doc_id")
     counts = dict(given.groupBy("quality").agg(F.sum(F.col("given") * F.col("times"))).collect())
+    parts = [given.where(F.col("quality") == v).orderBy(order, "doc_id").limit(rows).select("doc_id", "quality") for v in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * rows at most
+    found = text_of(docs).join(chosen, "doc_id").select("doc_id", "quality", spread_windows(F.col("text"), SAMPLE_WINDOWS).alias("text"))
+    pdf = found.orderBy(order, "doc_id", "text").limit(4 * rows).toPandas()
     return [t.encode() for t in pdf["text"]], pdf["quality"].to_numpy(int), (counts.get(1, 0), counts.get(0, 0))
 
 
