@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The C library's call, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _OWN_DIR: dict[str, str] = {}
 _PATH_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -106,12 +109,14 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iter
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     first = 0
     for chunk in chunks:
-        chunk = pc.fill_null(chunk.cast(pa.large_binary()), b"")
         n = len(chunk)
         if not n:
             continue
-        _, off, data = chunk.buffers()
-        offsets = np.frombuffer(off, np.int64, n + 1, chunk.offset * 8)
+        if chunk.null_count:
+            chunk = pc.fill_null(chunk.cast(pa.large_binary()), b"")
+        _, off, data = chunk.buffers()  # the batch's own bytes, no copy
+        kind = np.int64 if pa.types.is_large_string(chunk.type) or pa.types.is_large_binary(chunk.type) else np.int32
+        offsets = np.frombuffer(off, kind, n + 1, chunk.offset * np.dtype(kind).itemsize).astype(np.int64)
         buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         i = 0
         while i < n:
@@ -119,6 +124,14 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iter
             yield TextBlock(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], first + i)
             i = j
         first += n
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a worker has freed to the machine: workers live on from stage to stage, and would keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 _IS_SPACE = np.zeros(256, bool)
