@@ -1,10 +1,10 @@
 """Chat formatting: linking tool calls to their results, in DataFrame operations.
 
 Calls and results meet in a hash join by conversation and identifier. Calls are ordered topologically: level 0 refers to no
-other call of its conversation, level k + 1 to calls of level k at most. Calls that refer to one other at most form chains;
-rounds double the distance that a call looks along its chain, down to a call with no or several references. Only calls
-with several references are then settled one after the other, so the number of rounds is the logarithm of the longest
-chain and the depth of such calls. Arguments are validated against the tools' schemas. Each call becomes one line of
+other call of its conversation, level k + 1 to calls of level k at most. A call's level is a longest path; paths are put together
+over blocks of turns that double in size, so the number of rounds is the logarithm of the longest conversation, however deep
+calls refer and to however many. References to a call of the same or a later turn can't be cut so; what they point to is
+settled in rounds, as many as a path has of them. Arguments are validated against the tools' schemas. Each call becomes one line of
 canonical JSON: keys in order at every depth, no spaces.
 
 Defined results: a call id without a result is ``no_result``, a result without a call ``orphan``; of several results of an
@@ -42,56 +42,67 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return F.when(parsed.isNull(), F.array(F.lit("not JSON"))).when(~F.schema_of_variant(parsed).startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(out)
 
 
-#: Rounds over calls with several references between two written tables.
+#: Rounds over forward references between two written tables.
 UNROLLED = 3
 
 
-def _chain_ends(nodes: DataFrame, single: DataFrame, ends: DataFrame) -> DataFrame:
-    """(conv_id, call_id, up, away): the call of ``ends`` to which a chain of ``single`` references leads, and how far it is; ``up`` is
-    null if the chain ends in a call without references. Chains that never end, in a cycle, are not returned."""
-    ids = ["conv_id", "call_id"]
-    stop = ends.select(*ids, F.lit(True).alias("stop"))
-    start = nodes.join(single, ids, "left").join(stop, ids, "left").select(*ids, F.when(F.col("stop").isNull(), F.col("ref")).alias("up"), "stop")
-    jump = durable(start.select(*ids, "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("away"), F.when(F.col("stop"), F.col("call_id")).alias("end")), "level")
-    total, reach = jump.where("up is not null").count(), 1
-    while total and reach <= 2 * total:
-        above = jump.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("away").alias("more"), F.col("end").alias("its_end"))
-        last, jump = jump, durable(jump.join(above.hint("shuffle_hash"), ["conv_id", "up"], "left").select(*ids, F.col("next").alias("up"), (F.col("away") + F.coalesce("more", F.lit(0))).alias("away"), F.coalesce("end", "its_end").alias("end")), "level")
+def _substituted(terms: DataFrame) -> DataFrame:
+    """``terms`` (conv_id, call_id, pos, up, up_pos, far, steps) with every earlier call put in the place of its own terms, so that
+    up is null, the start of all chains, or far, a reference that points forward.
+
+    A conversation is cut into blocks of 2, 4, 8, ... turns. When blocks of a size are done, no term of a call lies in the
+    call's block; at the next size one join puts the terms of the first half's calls into those of the second half. So a level takes
+    one join, and a call has at most as many terms as different calls before its block are referred to from it."""
+    joint = F.when(F.col("up").isNotNull() & ~F.col("far"), F.length(F.bin(F.col("pos").bitwiseXOR(F.col("up_pos")))))
+    terms = durable(terms.withColumn("joint", joint), "terms")
+    while (size := terms.agg(F.min("joint")).collect()[0][0]) is not None:
+        hit = F.coalesce(F.col("joint") == size, F.lit(False))
+        own = terms.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("up_pos").alias("next_pos"), F.col("far").alias("next_far"), F.col("steps").alias("more"))
+        put = terms.where(hit).join(own.hint("shuffle_hash"), ["conv_id", "up"]).select("conv_id", "call_id", "pos", F.col("next").alias("up"), F.col("next_pos").alias("up_pos"), F.col("next_far").alias("far"), (F.col("steps") + F.col("more")).alias("steps"))
+        new = terms.where(~hit).drop("joint").unionByName(put).groupBy("conv_id", "call_id", "pos", "up", "up_pos", "far").agg(F.max("steps").alias("steps"))
+        last, terms = terms, durable(new.withColumn("joint", joint), "terms")
         discard(last)
-        reach *= 2
-        if jump.where("up is not null").limit(1).count() == 0:
-            break
-    return jump.where("up is null").select(*ids, F.col("end").alias("up"), "away")
+    return terms
 
 
 def call_levels(calls: DataFrame, refs: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that have one. refs: (conv_id, call_id, ref), a call and one it refers to."""
+    """(conv_id, call_id, level) of the calls that have one. calls: (conv_id, call_id) and, if there is one, turn, the order in which
+    calls were made; refs: (conv_id, call_id, ref), a call and one it refers to."""
     ids = ["conv_id", "call_id"]
-    nodes = calls.select(*ids).where("conv_id is not null and call_id is not null").distinct()
-    known = nodes.withColumnRenamed("call_id", "ref")
-    open_ = durable(refs.select(*ids, "ref").distinct().join(known, ["conv_id", "ref"], "left_semi").join(nodes, ids, "left_semi"), "refs")
-    several = durable(open_.groupBy(*ids).count().where("count > 1").select(*ids), "several")
-    chain = durable(_chain_ends(nodes, open_.join(several, ids, "left_anti"), several), "chain")
-    if several.limit(1).count() == 0:
-        return chain.select(*ids, F.col("away").alias("level"))
-    # References of the calls with several: to such a call over `away` steps, or to the end of a chain (up is null).
-    reach = chain.select("conv_id", F.col("call_id").alias("ref"), "up", "away", F.lit(True).alias("ends"))
-    edges = durable(open_.join(several, ids, "left_semi").join(reach.hint("shuffle_hash"), ["conv_id", "ref"], "left").select(*ids, "up", F.when(F.col("ends"), F.col("away") + 1).alias("steps")), "edges")
-    settled = several.withColumn("level", F.lit(None).cast("int"))
+    pos = F.min(F.col("turn").cast("long")) if "turn" in calls.columns else F.lit(0).cast("long")
+    nodes = calls.where("conv_id is not null and call_id is not null").groupBy(*ids).agg(pos.alias("pos"))
+    known = nodes.select("conv_id", F.col("call_id").alias("ref"), F.col("pos").alias("up_pos"))
+    links = refs.select(*ids, "ref").distinct().join(known, ["conv_id", "ref"]).join(nodes, ids)
+    far = F.coalesce(F.col("up_pos") >= F.col("pos"), F.lit(True))
+    links = durable(links.select(*ids, "pos", F.col("ref").alias("up"), "up_pos", far.alias("far"), F.lit(1).alias("steps")), "refs")
+    start = nodes.join(links, ids, "left_anti").select(*ids, "pos", F.lit(None).cast("string").alias("up"), F.lit(None).cast("long").alias("up_pos"), F.lit(False).alias("far"), F.lit(0).alias("steps"))
+    terms = _substituted(links.unionByName(start))
+    discard(links)
+    targets = terms.where("far").select("conv_id", F.col("up").alias("call_id")).distinct()
+    if targets.limit(1).count() == 0:
+        return terms.groupBy(*ids).agg(F.max("steps").alias("level"))
+    # What forward references point to is settled in rounds; calls in or after a cycle never are.
+    edges = durable(terms.join(targets, ids, "left_semi").select(*ids, "up", "steps"), "edges")
+    settled = durable(targets.withColumn("level", F.lit(None).cast("int")), "settled")
+
+    def levels(of: DataFrame, known: DataFrame) -> DataFrame:
+        known = known.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("up_level"))
+        here = F.when(F.col("up").isNull(), F.col("steps")).otherwise(F.col("steps") + F.col("up_level"))
+        return of.join(known.hint("shuffle_hash"), ["conv_id", "up"], "left").groupBy(*ids).agg(F.when(F.count("*") == F.count(here), F.max(here)).cast("int").alias("level"))
+
     before = 0
     while True:
-        for _ in range(UNROLLED):
-            of = settled.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("up_level"))
-            here = F.when(F.col("up").isNull(), F.col("steps")).otherwise(F.col("steps") + F.col("up_level"))
-            settled = edges.join(of.hint("shuffle_hash"), ["conv_id", "up"], "left").groupBy(*ids).agg(F.when(F.count("*") == F.count(here), F.max(here)).cast("int").alias("level"))
+        last, settled = settled, levels(edges, settled)
+        for _ in range(UNROLLED - 1):
+            settled = levels(edges, settled)
         settled = durable(settled, "settled")
+        discard(last)
         done = settled.where("level is not null").count()
         if done == before:
             break
         before = done
-    ends = settled.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("up_level"))
-    level = F.when(F.col("up").isNull(), F.col("away")).otherwise(F.col("away") + F.col("up_level"))
-    return chain.join(ends.hint("shuffle_hash"), ["conv_id", "up"], "left").select(*ids, level.alias("level")).where("level is not null")
+    discard(edges)
+    return levels(terms, settled).where("level is not null")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, refs: DataFrame, schemas: Schemas, context: DataFrame | None = None) -> DataFrame:
@@ -134,8 +145,8 @@ def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame, Data
     An assistant's turn that is a JSON object with id and name is that call, and refers to its argument ``after``; any other turn
     of a user or a tool that is a JSON object with call_id and content is that result. Plain turns become calls and
     results, too: an assistant's is a call with the identifier of its turn, with its whole text in the arguments; every fifth
-    names no known tool, and searches for short texts lack the limit. It refers to the assistant's call before it, that of
-    turn 5 to that of turn 1, too. A user's turn answers the turn before it."""
+    names no known tool, and searches for short texts lack the limit. It refers to the assistant's two calls before it. A
+    user's turn answers the turn before it."""
     text = F.coalesce("text", F.lit(""))
     json = F.when(text.rlike(r"^\s*\{") & F.is_valid_utf8(text) & F.try_parse_json(text).isNotNull(), text)
     turns = conversations.select("conv_id", "turn", "role", text.alias("text"), json.alias("json"))
@@ -150,7 +161,7 @@ def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame, Data
     plain = said.where("not own")
     given = said.where("own").select("conv_id", "turn", of("id").alias("call_id"), of("name").alias("name"), of("arguments").alias("arguments"))
     calls = plain.select("conv_id", "turn", call_id.alias("call_id"), name.alias("name"), F.when(name == "summarise", summarise).otherwise(search).alias("arguments")).unionByName(given)
-    refs = plain.select("conv_id", call_id.alias("call_id"), F.explode(F.array_compact(F.array(before(2), F.when(F.col("turn") == 5, before(4))))).alias("ref"))
+    refs = plain.select("conv_id", call_id.alias("call_id"), F.explode(F.array_compact(F.array(before(2), before(4)))).alias("ref"))
     refs = refs.unionByName(given.select("conv_id", "call_id", F.get_json_object("arguments", "$.after").alias("ref")).where("ref is not null"))
     is_result = of("call_id").isNotNull() & of("content").isNotNull()
     answers = turns.where("role in ('user', 'tool')")

@@ -57,3 +57,47 @@ def test_levels_equal_longest_paths(spark):
                 level[x], changed = max((level[u] + 1 for u in ups.get(x, ())), default=0), True
     got = tool_calls.call_levels(spark.createDataFrame(calls, "conv_id long, call_id string"), spark.createDataFrame(refs, "conv_id long, call_id string, ref string"))
     assert {(x.conv_id, x.call_id): x.level for x in got.collect()} == level and len(level) < len(calls)
+
+
+def _longest(calls, refs):
+    """Level of each call that has one, in plain Python."""
+    ups, level = {}, {}
+    for conv, a, b in refs:
+        ups.setdefault((conv, a), set()).add((conv, b))
+    changed = True
+    while changed:
+        changed = False
+        for conv, a, _ in calls:
+            if (conv, a) not in level and all(u in level for u in ups.get((conv, a), ())):
+                level[conv, a], changed = max((level[u] + 1 for u in ups.get((conv, a), ())), default=0), True
+    return level
+
+
+def _levels(spark, calls, refs):
+    got = tool_calls.call_levels(spark.createDataFrame(calls, "conv_id long, call_id string, turn long"), spark.createDataFrame(refs, "conv_id long, call_id string, ref string"))
+    return {(x.conv_id, x.call_id): x.level for x in got.collect()}
+
+
+def test_two_references_at_every_call(spark):
+    """A conversation of 2000 calls, each referring to the two before it, beside short ones: rounds follow the logarithm."""
+    calls = [(1, f"call_{i}", 2 * i) for i in range(2000)] + [(2, "call_0", -3), (2, "call_1", 4), (3, "a", 1)]
+    refs = [(1, f"call_{i}", f"call_{i - d}") for i in range(2000) for d in (1, 2) if i >= d] + [(2, "call_1", "call_0"), (2, "call_1", "none"), (3, None, "a")]
+    assert _levels(spark, calls, refs) == {**{(1, f"call_{i}"): i for i in range(2000)}, (2, "call_0"): 0, (2, "call_1"): 1, (3, "a"): 0}
+
+
+def test_levels_by_turn_with_forward_references_and_cycles(spark):
+    """Random references, most of them to earlier turns, some forward, some in cycles, and calls of one turn or none."""
+    r = random.Random(3)
+    calls, refs = [], []
+    for conv in range(10):
+        n = r.randint(1, 60)
+        calls += [(conv, f"c{i}", None if r.random() < 0.02 else i - i % 3 if conv % 2 else i) for i in range(n)]
+        for i in range(1, n):
+            refs += [(conv, f"c{i}", f"c{max(0, i - r.choice([1, 1, 2, 2, 4, 9, 30]))}") for _ in range(r.choice([0, 1, 2, 2, 3]))]
+        if conv % 3 == 0 and n > 8:
+            refs += [(conv, f"c{n // 2}", f"c{n // 2 + 2}"), (conv, "c3", "c3")]
+        if conv % 3 == 1 and n > 8:
+            calls.append((conv, "late", 10_000))
+            refs += [(conv, "c1", "late"), (conv, "late", "c0")]
+    want = _longest(calls, refs)
+    assert _levels(spark, calls, refs) == want and 0 < len(want) < len({(c, a) for c, a, _ in calls})
