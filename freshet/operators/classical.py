@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, js_round, over, pearson
+from ..plans.registry import user_sums, user_values
 from ..sources.scratch import deleted, written
 from . import ranges
 
@@ -50,7 +51,7 @@ HIGH, LOW = 0.02, 0.3
 
 
 def _plain_sums() -> dict[str, Column]:
-    """Aggregates over pairs with e, n, mo and ms that no order matters to."""
+    """Aggregates over pairs with e, n, mo and ms that no order matters to, those of registered metrics among them."""
     o, s, e, mo, ms, n = (F.col(c) for c in ("obs", "sim", "e", "mo", "ms", "n"))
     a, b = o - mo, s - ms
     ratio = F.when((o > 0) & (s > 0), F.ln(F.try_divide(s, o)))
@@ -67,7 +68,7 @@ def _plain_sums() -> dict[str, Column]:
         "mape": 100 * F.avg(rel), "smape": 100 * F.avg(F.coalesce(F.try_divide(F.abs(e), (F.abs(o) + F.abs(s)) / 2), F.lit(0.0))),
         "maape": F.avg(F.when(o == 0, F.pi() / 2).otherwise(F.atan(rel))),
         "log_see": F.sum(_square(lo - ls)), "log_vo": F.var_pop(lo) * F.count("*"), "log_bad": F.max((lo.isNull() | ls.isNull()).cast("int")),
-    }
+    } | user_sums()
 
 
 def _rank_sums() -> dict[str, Column]:
@@ -231,7 +232,7 @@ def wide_panel(pairs: DataFrame, long: int | None = LONG) -> DataFrame:
         "fhv": c["fhv"], "flv": c["flv"], "fms": over(100 * ((slopes[0] - slopes[1]) - (slopes[2] - slopes[3])), slopes[2] - slopes[3]), "fmm": over(100 * (_ln(c["qs"][2] + eps) - med_o), med_o),
     }
     parts = {"kge_r": r, "kge_alpha": alpha, "kge_beta": beta, "kge_gamma": cv, "kge_shift": shift}
-    return joined.select("series_id", "n", *[finite(v).alias(k) for k, v in m.items()], *[v.alias(k) for k, v in parts.items()])
+    return joined.select("series_id", "n", *[finite(v).alias(k) for k, v in (m | user_values()).items()], *[v.alias(k) for k, v in parts.items()])
 
 
 def metric_ids(wide: DataFrame) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +14,13 @@ from ..functions.stats import uniform_draw
 from ..operators import bootstrap, classical, frame, matching, ranges, ranking, sandbox, shape, timing, units
 from . import oracles as sql
 from ..sources import sinks, tables
-from ..sources.scratch import scratch_path
+from ..sources.datasets import DataSets
+from ..sources.scratch import scratch_path, written
 from .config import EvalConfig, Perturbation, TimingConfig, timing_defaults
 from .derived import by_brand, by_flag, by_supplier, hourly, messy, one_record, table
 from .panel import evaluate, full_panel, skill_rows
-from .registry import C2M, CORRELATION, EFFICIENCIES, ERROR_NORMS, ESSENTIALS, FDC, displayed, metric_registry, preset, search
+from .registry import C2M, CORRELATION, EFFICIENCIES, ERROR_NORMS, ESSENTIALS, FDC, UserMetric, displayed, metric_registry, preset, search, user_metrics
+from .stored import evaluate_stored, stale
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAILY = TimingConfig()
@@ -324,7 +328,81 @@ def _cells() -> None:
     _add("csv_guard", lambda s, d: table(s, d, "events").select("event_id", cells.safe_cell(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("="), "event_type")).when(F.col("event_id") % 3 == 1, (-F.col("event_id")).cast("string")).otherwise(F.col("event_type"))).alias("cell")), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '''=' || event_type WHEN 1 THEN (-event_id)::VARCHAR ELSE event_type END AS cell FROM events")
 
 
-for _build in (_panels, _frames, _plots, _timing, _runs, _cells):
+def _kept() -> None:
+    """Metrics of a user's own, and results that are kept."""
+    near = UserMetric("near_share", "Share of pairs within a fifth", lambda: {"near": F.sum((F.abs("e") * 5 <= F.col("obs")).cast("int")), "n": F.count("*")}, lambda c: c["near"] / c["n"], 1, "max")
+    high_error = UserMetric("high_mae", "Mean absolute error above the mean", lambda: {"mae": F.avg(F.when(F.col("obs") > F.col("mo"), F.abs("e")))}, lambda c: c["mae"], unitful=True)
+    both = ["near_share", "high_mae"]
+    values = f"WITH {sql.pairs()}, m AS (SELECT *, avg(obs) OVER (PARTITION BY series_id) AS mo FROM pairs), u AS (SELECT series_id, count_if(abs(sim - obs) * 5 <= obs) / count(*) AS near_share, avg(CASE WHEN obs > mo THEN abs(sim - obs) END) AS high_mae FROM m GROUP BY series_id)"
+
+    def panel(spark: SparkSession, sf: str) -> DataFrame:
+        with user_metrics(near, high_error):
+            return _rounded(classical.to_long(classical.wide_panel(_pairs(spark, sf)), both))
+
+    def ranks(spark: SparkSession, sf: str) -> DataFrame:
+        with user_metrics(near, high_error):
+            long = classical.to_long(classical.wide_panel(_pairs(spark, sf)), both).select(F.lit("all").alias("dataset_id"), F.col("series_id").alias("run"), "metric_id", "value")
+            scores = ranking.scored(long, metric_registry(spark))
+        return _rounded(ranking.ranked(scores, {"near_share": 1.0, "high_mae": 2.0}).select("run", "composite", "rank"))
+
+    _add("user_metrics", panel, f"{values} SELECT series_id, unnest(['near_share', 'high_mae']) AS metric_id, round(unnest([near_share, high_mae]), 6) AS value FROM u")
+    _add(
+        "user_metric_ranks", ranks,
+        f"{values}, x AS (SELECT series_id AS run, (near_share - min(near_share) OVER ()) / (max(near_share) OVER () - min(near_share) OVER ()) AS a, 1 - (high_mae - min(high_mae) OVER ()) / (max(high_mae) OVER () - min(high_mae) OVER ()) AS b FROM u) "
+        "SELECT run, round((a + 2 * b) / 3, 6) AS composite, (row_number() OVER (ORDER BY (a + 2 * b) / 3 DESC, run))::INT AS rank FROM x",
+    )
+
+    def kept(spark: SparkSession, sf: str) -> DataFrame:
+        """Results of all brands are kept, then one brand's series is changed: only its metrics are made anew."""
+        path, first = scratch_path(spark, "results"), by_brand(spark, sf)
+        evaluate_stored(first, path)
+        changed = first.withColumn("sim", F.when(F.col("series_id") == "Brand#11", F.col("sim") * 2).otherwise(F.col("sim")))
+        anew = written(stale(changed, path).select("series_id", F.lit(True).alias("anew")), "anew")
+        out = evaluate_stored(changed, path).join(anew, "series_id", "left")
+        return _rounded(out.select("series_id", "metric_id", "value", F.coalesce("anew", F.lit(False)).alias("anew")))
+
+    every = [i for g in (ERROR_NORMS, CORRELATION, EFFICIENCIES, FDC) for i in _ids(g)]
+    doubled = f"{sql.BRAND.replace('series AS', 'given AS', 1)}, series AS (SELECT series_id, ts, obs, CASE WHEN series_id = 'Brand#11' THEN sim * 2 ELSE sim END AS sim FROM given)"
+    _add("stored_results", kept, f"{sql.long(every, sql.pairs(doubled))} SELECT series_id, metric_id, round(value, 6) AS value, series_id = 'Brand#11' AS anew FROM long")
+
+
+def _sets() -> None:
+    """Data sets in the catalogue, and a grid of perturbations."""
+    first = dt.datetime(1996, 1, 1), dt.datetime(1998, 12, 31)
+
+    def sets(spark: SparkSession, sf: str) -> DataFrame:
+        """Saved, duplicated, the copy edited, a monthly subset committed; both names and the subset are read from the catalogue."""
+        name = f"freshet_{uuid.uuid4().hex}"
+        d = DataSets(spark, name)
+        d.save("daily", by_flag(spark, sf))
+        d.duplicate("daily", "copy")
+        d.save("copy", d.read("copy").withColumn("sim", F.col("sim") * 2))
+        d.commit("months", "copy", window=tuple(F.lit(x) for x in first), to="month")
+        parts = [d.read(n).select(F.lit(n).alias("dataset_id"), F.lit(v.version).alias("version"), F.lit(v.step_ms).cast("long").alias("step_ms"), "series_id", "ts", "obs", "sim") for n in d.names() for v in [d.version(n)]]
+        return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+    _add(
+        "dataset_versions", sets,
+        f"""WITH {sql.FLAG} SELECT 'daily' AS dataset_id, 1::INT AS version, 86400000::BIGINT AS step_ms, series_id, ts, round(obs, 6) AS obs, round(sim, 6) AS sim FROM series
+UNION ALL SELECT 'copy', 2, 86400000, series_id, ts, round(obs, 6), round(sim * 2, 6) FROM series
+UNION ALL SELECT 'months', 1, 2592000000, series_id, date_trunc('month', ts)::TIMESTAMP, round(avg(obs), 6), round(avg(sim * 2), 6) FROM series WHERE ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' GROUP BY ALL""",
+    )
+
+    settings = {"late": Perturbation(shift=3), "early": Perturbation(shift=-7), "damped": Perturbation(shift=12, scale=1.25, dampen=0.4, offset=2.0), "noisy": Perturbation(shift=1, noise=5.0)}
+    ids = ("nse", "kge2009", "r", "rmse", "pbias", "lag_best", "w1")
+    moved = f"""{sql.pairs().replace("pairs AS", "plain_pairs AS")}, base AS (SELECT series_id, k, ts, obs, max(k) OVER (PARTITION BY series_id) AS last, avg(obs) OVER (PARTITION BY series_id) AS m FROM plain_pairs),
+settings(setting, shift, gain, added, noise) AS (VALUES ('base', 0, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('late', 3, 1, 0, 0), ('early', -7, 1, 0, 0), ('damped', 12, 1.25 * 0.6, 2, 0), ('noisy', 1, 1, 0, 5)),
+pairs AS (SELECT setting || '/' || a.series_id AS series_id, a.k, a.ts, a.obs, a.m + (b.obs - a.m) * gain + added + CASE WHEN noise > 0 THEN ({sql.draw('a.k', 42)} * 2 - 1) * noise ELSE 0 END AS sim
+  FROM base a CROSS JOIN settings JOIN base b ON b.series_id = a.series_id AND b.k = greatest(0, least(a.k - shift, a.last)))"""
+    values = " UNION ALL ".join(f"SELECT series_id, '{i}' AS metric_id, {sql.METRICS[i]} AS value FROM panel" for i in ids[:5])
+    values += " UNION ALL SELECT series_id, 'lag_best', arg_max(lag, (nse, -lag))::DOUBLE FROM sweep WHERE nse IS NOT NULL GROUP BY series_id UNION ALL SELECT series_id, 'w1', w1 FROM sweep WHERE lag = 0"
+    _add(
+        "sandbox_grid", lambda s, d: _rounded(sandbox.compared(_pairs(s, d), settings, DAILY, synthetic=True, ids=ids)),
+        f"WITH {sql.panel(moved)}{sql.SWEEP.split(sql.pairs(), 1)[1]}, v AS ({values}) SELECT split_part(v.series_id, '/', 2) AS series_id, setting, metric_id, round(value, 6) AS value, CASE WHEN metric_id = 'lag_best' THEN shift END::INT AS injected FROM v JOIN settings ON setting = split_part(v.series_id, '/', 1)",
+    )
+
+
+for _build in (_panels, _frames, _plots, _timing, _runs, _cells, _kept, _sets):
     _build()
 
 

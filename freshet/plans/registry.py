@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Id, label, optimum, direction, unitful, digits, by group.
@@ -42,8 +46,65 @@ PRIORITIES = {"nse": 1.0, "kge2009": 1.0, "w1": 1.0, "peak_lag_abs": 1.0}
 SCHEMA = "ordinal int, metric_id string, label string, grp string, optimum int, direction string, timing boolean, unitful boolean, digits int"
 
 
+@dataclass(frozen=True)
+class UserMetric:
+    """A metric of a user's own, as a state that merges: ``sums`` are Spark aggregates over pairs with the columns obs, sim, e (sim - obs),
+    n, mo and ms (number and means of the series), by name; ``finish`` makes the value of a series from them. So it is part of the
+    panel's own aggregation, combined before any shuffle, and works on series of any length."""
+
+    metric_id: str
+    label: str
+    sums: Callable[[], dict[str, Column]]
+    finish: Callable[[dict[str, Column]], Column]
+    optimum: int = 0
+    direction: str = "min"  # min, max, zero or one
+    unitful: bool = False
+    digits: int = 3
+
+
+USER_METRICS: dict[str, UserMetric] = {}
+
+
+def register_metric(metric: UserMetric) -> None:
+    """From now on ``metric`` is in every classical panel, in its registry, and so in rankings and bootstrap intervals."""
+    if metric.metric_id in {r[1] for r in rows()} or metric.metric_id.startswith("kge_") or metric.metric_id in ("series_id", "n"):
+        raise ValueError(f"there is a metric {metric.metric_id}")
+    if metric.direction not in ("min", "max", "zero", "one") or not 0 <= metric.digits <= 4:
+        raise ValueError("a direction is min, max, zero or one, and digits are 0 to 4")
+    USER_METRICS[metric.metric_id] = metric
+
+
+def unregister_metric(metric_id: str) -> None:
+    USER_METRICS.pop(metric_id, None)
+
+
+@contextmanager
+def user_metrics(*metrics: UserMetric) -> Iterator[None]:
+    """``metrics`` are registered for what is built within."""
+    done = []
+    try:
+        for m in metrics:
+            register_metric(m)
+            done.append(m.metric_id)
+        yield
+    finally:
+        for i in done:
+            unregister_metric(i)
+
+
+def user_sums() -> dict[str, Column]:
+    """The aggregates of all registered metrics, under names that nothing else has."""
+    return {f"user_{m.metric_id}_{k}": v for m in USER_METRICS.values() for k, v in m.sums().items()}
+
+
+def user_values() -> dict[str, Column]:
+    """The registered metrics, over a row a series with the columns of ``user_sums``."""
+    return {m.metric_id: m.finish({k: F.col(f"user_{m.metric_id}_{k}") for k in m.sums()}) for m in USER_METRICS.values()}
+
+
 def rows() -> list[tuple]:
-    return [(0, m, label, g, o, d, g == "Timing & shape", u, n) for g, ms in GROUPS.items() for m, label, o, d, u, n in ms]
+    own = [(0, m, label, g, o, d, g == "Timing & shape", u, n) for g, ms in GROUPS.items() for m, label, o, d, u, n in ms]
+    return own + [(0, m.metric_id, m.label, "User metrics", m.optimum, m.direction, False, m.unitful, m.digits) for m in USER_METRICS.values()]
 
 
 def metric_registry(spark: SparkSession) -> DataFrame:
