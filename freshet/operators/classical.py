@@ -204,6 +204,12 @@ def wide_panel(pairs: DataFrame, long: int | None = LONG) -> DataFrame:
     else:
         x = placed(pairs)
         joined = series_sums(x).join(curve_distance(x), "series_id")
+    return from_sums(joined, user_values())
+
+
+def from_sums(joined: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """The panel from one row a series with the columns of ``series_sums`` and fdc_l1, and ``more`` metrics over the same row. A metric
+    whose sums are NULL is NULL."""
     c = {n: F.col(n) for n in joined.columns}
     n, mo, ms, so, ss = c["n"], c["mo"], c["ms"], c["so"], c["ss"]
     eps = mo * EPS
@@ -232,7 +238,7 @@ def wide_panel(pairs: DataFrame, long: int | None = LONG) -> DataFrame:
         "fhv": c["fhv"], "flv": c["flv"], "fms": over(100 * ((slopes[0] - slopes[1]) - (slopes[2] - slopes[3])), slopes[2] - slopes[3]), "fmm": over(100 * (_ln(c["qs"][2] + eps) - med_o), med_o),
     }
     parts = {"kge_r": r, "kge_alpha": alpha, "kge_beta": beta, "kge_gamma": cv, "kge_shift": shift}
-    return joined.select("series_id", "n", *[finite(v).alias(k) for k, v in (m | user_values()).items()], *[v.alias(k) for k, v in parts.items()])
+    return joined.select("series_id", "n", *[finite(v).alias(k) for k, v in (m | more).items()], *[v.alias(k) for k, v in parts.items()])
 
 
 def metric_ids(wide: DataFrame) -> list[str]:

@@ -14,7 +14,7 @@ def scored(metrics: DataFrame, registry: DataFrame) -> DataFrame:
     """metrics (dataset_id, run, metric_id, value) with a score from 0 to 1 within dataset and metric."""
     x = metrics.join(F.broadcast(registry.select("metric_id", "direction", "optimum")), "metric_id")
     v = finite(F.col("value"))
-    bounded = F.when(F.col("metric_id").isin(C2M), (c2m(v) + 1) / 2).otherwise(v)
+    bounded = F.when(F.col("metric_id").isin(list(C2M)), (c2m(v) + 1) / 2).otherwise(v)
     x = x.withColumn("raw", F.when(F.col("direction") == "max", bounded).otherwise(F.abs(v - F.col("optimum"))))
     w = Window.partitionBy("dataset_id", "metric_id")
     lo, hi = F.min("raw").over(w), F.max("raw").over(w)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..functions.stats import uniform_draw
-from ..operators import bootstrap, classical, frame, matching, ranges, ranking, sandbox, shape, timing, units
+from ..operators import bootstrap, classical, frame, matching, plots, ranges, ranking, sandbox, shape, timing, units
 from . import oracles as sql
 from ..sources import sinks, tables
 from ..sources.datasets import DataSets
@@ -19,7 +19,7 @@ from ..sources.scratch import scratch_path, written
 from .config import EvalConfig, Perturbation, TimingConfig, timing_defaults
 from .derived import by_brand, by_flag, by_supplier, hourly, messy, one_record, table
 from .panel import evaluate, full_panel, skill_rows
-from .registry import C2M, CORRELATION, EFFICIENCIES, ERROR_NORMS, ESSENTIALS, FDC, UserMetric, displayed, metric_registry, preset, search, user_metrics
+from .registry import C2M, CORRELATION, EFFICIENCIES, ERROR_NORMS, ESSENTIALS, FDC, TIMING_SUMMARY, UserMetric, displayed, metric_registry, preset, rows, search, user_metrics
 from .stored import evaluate_stored, stale
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +177,13 @@ t AS (SELECT series_id, arg_max(gap, c * 1e12 - gap) AS mode, max(c) AS mode_n,
 o AS (SELECT series_id, any_value(mode) AS mode, any_value(mode_n) AS mode_n, any_value(n) AS n, any_value(months) AS months, sum(CASE WHEN gap % mode <> 0 THEN c ELSE 0 END) AS off FROM c JOIN t USING (series_id) GROUP BY series_id),
 r AS (SELECT series_id, CASE WHEN months > 0.9 * n THEN 30 * 86400000::BIGINT ELSE mode END::BIGINT AS step_ms, months <= 0.9 * n AND (off > 0.05 * n OR n - mode_n > 0.5 * n) AS irregular, months > 0.9 * n AS monthly FROM o)
 SELECT *, CASE WHEN monthly THEN '1mo' WHEN step_ms % 86400000 = 0 THEN (step_ms // 86400000)::VARCHAR || 'd' WHEN step_ms % 3600000 = 0 THEN (step_ms // 3600000)::VARCHAR || 'h' WHEN step_ms % 60000 = 0 THEN (step_ms // 60000)::VARCHAR || 'min' ELSE step_ms::VARCHAR || 'ms' END AS label FROM r""")
+    def places(spark: SparkSession, sf: str) -> DataFrame:
+        """Balances as positions and areas, some of them impossible or missing."""
+        x = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+        lat = F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal") / 100)
+        return frame.valid_location(x.select(F.col("c_custkey").alias("dataset_id"), lat.alias("lat"), ((F.col("c_nationkey") - 12) * 16.0).alias("lon"), (F.col("c_acctbal") + 500).alias("area")))
+
+    _add("valid_locations", places, "SELECT * FROM (SELECT c_custkey AS dataset_id, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal / 100 END AS lat, ((c_nationkey - 12) * 16)::DOUBLE AS lon, c_acctbal + 500 AS area FROM customer) WHERE (lat IS NULL OR abs(lat) <= 90) AND (lon IS NULL OR abs(lon) <= 180) AND (area IS NULL OR area > 0)")
     _add("validate_checks", lambda s, d: frame.checks(by_flag(s, d).unionByName(messy(s, d))), sql.CHECKS)
 
     def dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,6 +215,17 @@ def _plots() -> None:
     _add("doy_climatology", lambda s, d: _rounded(frame.doy_climatology(by_flag(s, d))), f"WITH {sql.FLAG} SELECT series_id, dayofyear(ts)::INT AS doy, round(quantile_cont(obs, 0.25), 6) AS obs_q25, round(median(obs), 6) AS obs_median, round(quantile_cont(obs, 0.75), 6) AS obs_q75, round(median(sim), 6) AS sim_median FROM series GROUP BY 1, 2")
     _add("year_doy", lambda s, d: frame.year_by_doy(hourly(s, d)), f"WITH {sql.HOURLY} SELECT series_id, year(ts)::INT AS year, dayofyear(ts)::INT AS doy, arg_max(obs, ts) AS value FROM series GROUP BY 1, 2, 3")
     _add("year_doy_matrix", lambda s, d: frame.year_matrix(by_flag(s, d)), f"WITH {sql.FLAG} SELECT series_id, year(ts)::INT AS year, " + ", ".join(f'max(CASE WHEN dayofyear(ts) = {i} THEN obs END) AS "{i}"' for i in range(1, 367)) + " FROM series GROUP BY 1, 2")
+    ends = "SELECT series_id, least(0, min(least(obs, sim))) AS lo, max(greatest(obs, sim)) AS hi FROM pairs GROUP BY series_id"
+    cell = lambda v, n: f"least({n - 1}, coalesce(floor(({v} - lo) / nullif(hi - lo, 0) * {n}), 0))::INT"
+    # Sums, as means of four digits may end in a half.
+    _add("scatter_cells", lambda s, d: plots.scatter_cells(_pairs(s, d), 60).withColumns({c: F.round(F.col(c) * F.col("n"), 4) for c in ("obs", "sim")}), f"WITH {sql.pairs()}, axis AS ({ends}) SELECT series_id, {cell('obs', 60)} AS x, {cell('sim', 60)} AS y, count(*) AS n, round(sum(obs), 4) AS obs, round(sum(sim), 4) AS sim FROM pairs JOIN axis USING (series_id) GROUP BY ALL")
+    _add("heat_cells", lambda s, d: _rounded(plots.heat_cells(hourly(s, d), 61)), f"WITH {sql.HOURLY}, days AS (SELECT series_id, year(ts)::INT AS year, dayofyear(ts) AS doy, arg_max(obs, ts) AS v FROM series GROUP BY ALL) SELECT series_id, year, floor((doy - 1) * 61 / 366)::INT AS column, count(v) AS n, round(avg(v), 6) AS value FROM days GROUP BY ALL")
+    at = cell("epoch_us(ts)::DOUBLE", 300)
+    _add(
+        "trace_cells", lambda s, d: _rounded(plots.trace_cells(by_brand(s, d), 300)),
+        f"WITH {sql.BRAND}, have AS (SELECT * FROM series WHERE obs IS NOT NULL), axis AS (SELECT series_id, min(epoch_us(ts))::DOUBLE AS lo, max(epoch_us(ts))::DOUBLE AS hi FROM have GROUP BY series_id) SELECT series_id, {at} AS column, count(*) AS n, "
+        "round(arg_min(obs, ts), 6) AS first, round(arg_max(obs, ts), 6) AS last, round(min(obs), 6) AS low, round(max(obs), 6) AS high FROM have JOIN axis USING (series_id) GROUP BY ALL",
+    )
     _add("threshold_line", lambda s, d: _rounded(frame.threshold_line(by_flag(s, d), 50.0, True)), f"WITH {sql.FLAG} SELECT series_id, ts, round(log10(50.0::DOUBLE), 6) AS y FROM series")
     _add("colour_floor", lambda s, d: _rounded(frame.colour_floor(timing.lag_sweep(_pairs(s, d)))), f"{sql.SWEEP} SELECT series_id, round(greatest(-1, least(floor(min(r) * 20) / 20 - 0.05, 0.9)), 6)::DOUBLE AS floor FROM sweep GROUP BY series_id")
 
@@ -237,7 +255,28 @@ h AS (SELECT d.series_id, du, o.k AS ko, s.k AS ks FROM (SELECT series_id, du, u
     _add("dtw_path_ties", lambda s, d: shape.ties(shape.warping_path(timing.decimated(p := _pairs(s, d)), DAILY), p))
     _add("xwt_by_scale", lambda s, d: shape.cross_wavelet(_pairs(s, d)))
     _add("xwt", lambda s, d: shape.cross_wavelet_lag(shape.cross_wavelet(_pairs(s, d))))
-    _add("notes", lambda s, d: timing.notes(p := _pairs(s, d), shape.peak_timing(shape.peak_table(p, DAILY)), found(p)))
+    told = "CASE WHEN unresolved > 0 THEN unresolved || ' unresolved peaks' END, CASE WHEN n > 6000 THEN 'warping ran on every d-th pair' END, CASE WHEN dry THEN 'observed flow is not perennial' END, CASE WHEN events IS NULL THEN 'no events' END"
+    _add(
+        "notes", lambda s, d: timing.notes(p := _pairs(s, d), shape.peak_timing(shape.peak_table(p, DAILY)), found(p)).select("series_id", F.concat_ws("; ", "notes").alias("notes")),
+        f"{sql.PEAKS}, unresolved_ AS (SELECT series_id, count_if(NOT resolved) AS unresolved FROM peaks GROUP BY series_id), found_ AS (SELECT series_id, count(*) AS events FROM ({sql.EVENTS} SELECT * FROM events_) GROUP BY series_id), "
+        f"each_ AS (SELECT series_id, count(*) AS n, bool_or(obs <= 0) AS dry FROM pairs GROUP BY series_id) SELECT series_id, concat_ws('; ', {told}) AS notes FROM each_ LEFT JOIN unresolved_ USING (series_id) LEFT JOIN found_ USING (series_id)",
+    )
+    def summary(spark: SparkSession, sf: str) -> DataFrame:
+        p = _pairs(spark, sf)
+        seen = found(p)
+        frames = [shape.peak_timing(shape.peak_table(p, DAILY)), timing.event_metrics(timing.event_errors(p, seen, 3)), timing.wasserstein1(p), timing.diagnostic_efficiency(p), matching.series_distance(p, seen, simulated(p), DAILY)]
+        long = None
+        for f in frames:
+            part = classical.to_long(_rounded(f), [c for c in f.columns if c in TIMING_SUMMARY])
+            long = part if long is None else long.unionByName(part)
+        return sinks.timing_summary(long, metric_registry(spark), ["A", "N", "R"]).drop("ordinal")
+
+    # Whole summary but for warping and wavelets, which SQL does not have.
+    parts = {"peak_timing": ("peak_lag_abs", "peak_lag_signed"), "event_metrics": ("event_peak", "event_vol", "event_lag"), "w1": ("w1",), "diagnostic_efficiency": ("de",), "series_distance": ("sd_occ", "sd_amp", "sd_time")}
+    told = {r[1]: (r[2], r[4], r[8]) for r in rows()}
+    values = " UNION ALL ".join(f"SELECT series_id, '{i}' AS metric_id, '{told[i][0]}' AS label, {told[i][1]}::INT AS optimum, coalesce(printf('%.{told[i][2]}f', floor({i} * 1e{told[i][2]} + 0.5) / 1e{told[i][2]}), 'n/a') AS shown FROM ({_SQL[q]})" for q, ids in parts.items() for i in ids)
+    _add("timing_summary", summary, f"SELECT metric_id, label, optimum, max(CASE WHEN series_id = 'A' THEN shown END) AS A, max(CASE WHEN series_id = 'N' THEN shown END) AS N, max(CASE WHEN series_id = 'R' THEN shown END) AS R FROM ({values}) GROUP BY ALL")
+    _add("report_events", lambda s, d: long_ks(_rounded(sinks.report_tables(classical.to_long(classical.wide_panel(p := _pairs(s, d)), ["nse"]), metric_registry(s), timing.event_errors(p, found(p), 3), ["A", "N", "R"])["events"].select("series_id", "event_no", "peak_lag", "peak_mag_err_pct", "volume_err_pct"))), f"{sql.ERRORS} SELECT series_id, event_no, peak_lag, round(peak_mag_err_pct, 6) AS peak_mag_err_pct, round(volume_err_pct, 6) AS volume_err_pct FROM errors WHERE event_no < 12")
     _add("panel_full", lambda s, d: full_panel(_pairs(s, d), DAILY))
 
 
@@ -258,20 +297,31 @@ def _runs() -> None:
         return _rounded(classical.wide_panel(both).select("series_id", "nse", "rmse", "pbias"))
 
     three = ["nse", "rmse", "pbias"]
-    again = f"{sql.pairs()}, n AS (SELECT *, max(k) OVER (PARTITION BY series_id) AS last, avg(sim) OVER (PARTITION BY series_id) AS m FROM pairs), {src}, both_ AS (SELECT series_id, k, obs, sim FROM pairs UNION ALL SELECT series_id || ' moved', k, obs, sim FROM q)"
-    _add("sandbox_compare", against, sql.wide(three, again).replace("FROM pairs GROUP BY series_id),\nx AS (SELECT p.*", "FROM both_ GROUP BY series_id),\nx AS (SELECT p.*").replace("FROM pairs p JOIN st", "FROM both_ p JOIN st").replace("rk AS (SELECT series_id, rank() OVER (PARTITION BY series_id ORDER BY obs) + (count(*) OVER (PARTITION BY series_id, obs) - 1) / 2.0 AS ro, rank() OVER (PARTITION BY series_id ORDER BY sim) + (count(*) OVER (PARTITION BY series_id, sim) - 1) / 2.0 AS rs FROM pairs)", "rk AS (SELECT series_id, 1.0 AS ro, 1.0 AS rs FROM both_)").replace("AS i FROM pairs)", "AS i FROM both_)"))
+    plain = lambda x: x.replace("pairs AS (", "plain_pairs AS (").replace("FROM pairs", "FROM plain_pairs").replace("JOIN pairs", "JOIN plain_pairs")
+    again = f"{plain(base.removeprefix('WITH ') + src)}, pairs AS (SELECT series_id, k, obs, sim FROM plain_pairs UNION ALL SELECT series_id || ' moved', k, obs, sim FROM q)"
+    _add("sandbox_compare", against, sql.wide(three, again))
     draw = sql.draw("b * blocks + blk", 12345)
-    _add(
-        "bootstrap_ci_small",
-        lambda s, d: _rounded(bootstrap.confidence_intervals(_pairs(s, d), b=20, ids=["nse", "rmse", "pbias"])),
-        f"""WITH {sql.pairs()}, c AS (SELECT series_id, count(*) AS n, greatest(3, floor(cbrt(count(*)) + 0.5))::BIGINT AS len FROM pairs GROUP BY series_id), e AS (SELECT *, ceil(n / len)::BIGINT AS blocks FROM c),
+    few = f"""WITH {sql.pairs()}, c AS (SELECT series_id, count(*) AS n, greatest(3, floor(cbrt(count(*)) + 0.5))::BIGINT AS len FROM pairs GROUP BY series_id), e AS (SELECT *, ceil(n / len)::BIGINT AS blocks FROM c),
 g AS (SELECT *, unnest(range(blocks)) AS blk FROM (SELECT *, unnest(range(20)) AS b FROM e)), h AS (SELECT *, floor({draw} * n)::BIGINT AS start FROM g), i AS (SELECT *, unnest(range(len)) AS j FROM h),
 r AS (SELECT i.series_id, b, obs, sim FROM i JOIN pairs p ON p.series_id = i.series_id AND p.k = (start + j) % n WHERE blk * len + j < n), m AS (SELECT *, avg(obs) OVER (PARTITION BY series_id, b) AS mo FROM r),
 v AS (SELECT series_id, b, {sql.LOW_NSE} AS nse, sqrt(avg(power(sim - obs, 2))) AS rmse, 100 * sum(obs - sim) / sum(obs) AS pbias FROM m GROUP BY ALL), l AS (UNPIVOT v ON nse, rmse, pbias INTO NAME metric_id VALUE value)
-SELECT series_id, metric_id, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM l GROUP BY ALL""",
-    )
+SELECT series_id, metric_id, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM l GROUP BY ALL"""
+    _add("bootstrap_ci_small", lambda s, d: _rounded(bootstrap.confidence_intervals(_pairs(s, d), b=20, ids=three)), few)
     every = [i for g in (ERROR_NORMS, CORRELATION, EFFICIENCIES, FDC) for i in _ids(g)]
     _add("bootstrap_ci", lambda s, d: _rounded(bootstrap.confidence_intervals(_pairs(s, d))), f"{sql.long(every, sql.resampled_pairs(500, 12345))} SELECT split_part(series_id, '#', 1) AS series_id, metric_id, CASE WHEN count(value) >= 400 THEN round(quantile_cont(value, 0.025), 6) END AS lo, CASE WHEN count(value) >= 400 THEN round(quantile_cont(value, 0.975), 6) END AS hi FROM long GROUP BY ALL")
+    intervals = "CASE WHEN count(value) >= 400 THEN round(quantile_cont(value, 0.025), 6) END AS lo, CASE WHEN count(value) >= 400 THEN round(quantile_cont(value, 0.975), 6) END AS hi"
+    _add("bootstrap_ci_sums", lambda s, d: _rounded(bootstrap.confidence_intervals(_pairs(s, d), ids=list(bootstrap.ADDITIVE))), f"{sql.long(list(bootstrap.ADDITIVE), sql.resampled_pairs(500, 12345))} SELECT split_part(series_id, '#', 1) AS series_id, metric_id, {intervals} FROM long GROUP BY ALL")
+
+    def through_export(spark: SparkSession, sf: str) -> DataFrame:
+        """The exported table with intervals, as one file, read again: text holds all digits of a value."""
+        p, path, runs = _pairs(spark, sf), scratch_path(spark, "metrics"), ["A", "N", "R"]
+        long = classical.to_long(classical.wide_panel(p), every)
+        head = sinks.export_head("flags", p.count(), "1d", "m3s", EvalConfig())
+        sinks.write_metrics_file(long, metric_registry(spark), runs, path, head, bootstrap.confidence_intervals(p, b=20, ids=three))
+        return _rounded(sinks.read_metrics_file(spark, path, runs))
+
+    labels = "CASE metric_id " + " ".join(f"WHEN '{r[1]}' THEN '{r[2]}'" for r in rows() if r[1] in every) + " END"
+    _add("metrics_export", through_export, f"{sql.long(every)}, ci AS ({few}) SELECT series_id, {labels} AS metric, round(value, 6) AS value, lo, hi FROM long LEFT JOIN ci USING (series_id, metric_id)")
     used = ["nse", "kge2009", "mae", "pbias"]
     weights = {"nse": 1.0, "kge2009": 2.0, "mae": 1.0}
 

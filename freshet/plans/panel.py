@@ -3,27 +3,27 @@ to metrics with its settings."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import classical, frame, matching, shape, timing
+from ..sources.scratch import written
 from .config import EvalConfig, TimingConfig
 
 
 def full_panel(pairs: DataFrame, cfg: TimingConfig, heavy: bool = True) -> DataFrame:
-    """(series_id, metric_id, value). Series under four pairs get no timing metrics. With ``heavy`` the pairs, their thresholds and
-    events are kept (memory, then disk), as many branches read them; ``unpersist`` by spark.catalog.clearCache()."""
+    """(series_id, metric_id, value). Series under four pairs get no timing metrics. With ``heavy`` the pairs and their events
+    are written to the shared folder first, as many branches read them; the session's cache stays as it was."""
     if heavy:
-        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+        pairs = written(pairs.select("series_id", "k", "ts", "obs", "sim"), "panel-pairs")
     wide = classical.wide_panel(pairs)
     out = classical.to_long(wide, classical.metric_ids(wide))
     if not heavy:
         return out
     size = pairs.groupBy("series_id").agg(F.count("*").alias("n")).where("n >= 4").select("series_id")
     p = pairs.join(size, "series_id", "left_semi")
-    level = timing.thresholds(p, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    seen, made = (timing.events(p, level, cfg, c).persist(StorageLevel.MEMORY_AND_DISK) for c in ("obs", "sim"))
+    level = timing.thresholds(p, cfg)
+    seen, made = (written(timing.events(p, level, cfg, c), f"panel-events-{c}") for c in ("obs", "sim"))
     parts = {
         ("peak_lag_abs", "peak_lag_signed"): shape.peak_timing(shape.peak_table(p, cfg)),
         ("event_threat",): matching.event_threat(seen, made, cfg.tolerance),

@@ -38,9 +38,12 @@ TIMING = [
     ("dtw_warp", "Mean warp of DTW", 0, "min", False, 2), ("dtw_dist", "DTW distance", 0, "min", True, 3), ("w1", "Wasserstein-1 of mass", 0, "min", False, 2), ("w2sq", "Squared Wasserstein-2 of mass", 0, "min", False, 2), ("xwt_lag", "Cross-wavelet lag", 0, "zero", False, 2),
 ]
 GROUPS = {"Error norms": ERROR_NORMS, "Correlation & agreement": CORRELATION, "Efficiencies": EFFICIENCIES, "FDC signatures": FDC, "Timing & shape": TIMING}
-# The metrics of the short preset, those with a bounded form, those that may be given weights, and default weights.
-ESSENTIALS = "rmse mae rsr r r2 d nse kge2009 pbias ve fhv flv fms sd_occ sd_amp sd_time dtw_warp dtw_dist xwt_lag w1 peak_lag_abs peak_lag_signed event_peak event_vol event_lag de".split()
-C2M = "nse nse_mod nse_rel lognse kge2009 kge2012 kge2021 kgenp ve lm_index drel".split()
+# The metrics of the short preset, its timing metrics, those with a bounded form, those that may be given weights, and
+# default weights.
+ESSENTIALS = ("rmse", "mae", "rsr", "r", "r2", "d", "nse", "kge2009", "pbias", "ve", "fhv", "flv", "fms", "sd_occ", "sd_amp", "sd_time", "dtw_warp", "dtw_dist", "xwt_lag", "w1", "peak_lag_abs", "peak_lag_signed", "event_peak", "event_vol", "event_lag", "de")
+TIMING_SUMMARY = ("sd_occ", "sd_amp", "sd_time", "dtw_warp", "dtw_dist", "xwt_lag", "w1", "peak_lag_abs", "peak_lag_signed", "event_peak", "event_vol", "event_lag", "de")
+C2M = ("nse", "nse_mod", "nse_rel", "lognse", "kge2009", "kge2012", "kge2021", "kgenp", "ve", "lm_index", "drel")
+CANDIDATES = ("nse", "kge2009", "r2", "ve", "rmse", "pbias", "peak_lag_abs", "w1", "dtw_warp", "de", "xwt_lag")
 PRIORITIES = {"nse": 1.0, "kge2009": 1.0, "w1": 1.0, "peak_lag_abs": 1.0}
 
 SCHEMA = "ordinal int, metric_id string, label string, grp string, optimum int, direction string, timing boolean, unitful boolean, digits int"
@@ -125,6 +128,12 @@ def search(registry: DataFrame, text: str) -> DataFrame:
     return registry.where(F.lower(F.concat_ws(" ", "label", "metric_id")).contains(text.lower()))
 
 
+def candidates(registry: DataFrame) -> DataFrame:
+    """Metrics that a ranking may give weights, in display order, with the weight that each has by default (0: none)."""
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITIES.items() for x in kv]), F.col("metric_id"))
+    return registry.where(F.col("metric_id").isin(list(CANDIDATES))).withColumn("weight", F.coalesce(weight, F.lit(0.0)))
+
+
 def displayed(metrics: DataFrame, registry: DataFrame) -> DataFrame:
     """``metrics`` (series_id, metric_id, value) rounded to each metric's digits, with its place in display order."""
     out = metrics.join(F.broadcast(registry.select("metric_id", "ordinal", "digits")), "metric_id")
