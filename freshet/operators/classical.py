@@ -123,7 +123,10 @@ def long_series_sums(pairs: DataFrame, rows: int = ranges.RANGE) -> DataFrame:
     key = ["series_id"]
     pairs = written(pairs.select("series_id", "k", "obs", "sim"), "pairs")
     sizes = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.avg("obs").alias("mo"), F.avg("sim").alias("ms"))
-    x = pairs.select("series_id", "k", "obs", "sim", (F.col("sim") - F.col("obs")).alias("e")).join(sizes, key)
+    # A series' size and means are given to each of its pieces, so that no join sends all its rows to one task.
+    piece = ranges.block_of(rows=rows)
+    blocks = pairs.select("series_id", piece.alias("block_")).distinct().join(sizes, key)
+    x = pairs.select("series_id", "k", "obs", "sim", (F.col("sim") - F.col("obs")).alias("e"), piece.alias("block_")).join(blocks, ["series_id", "block_"]).drop("block_")
     plain = x.groupBy(*key).agg(*[v.alias(k) for k, v in _plain_sums().items()])
 
     near = ranges.neighbours(pairs.select("series_id", "k", "obs"), key, 1, 0, rows)
@@ -133,7 +136,8 @@ def long_series_sums(pairs: DataFrame, rows: int = ranges.RANGE) -> DataFrame:
     sides = {"o": F.col("obs"), "s": F.col("sim"), "e": F.col("e"), "a": F.abs("e")}
     values = x.select("series_id", F.inline(F.array(*[F.struct(F.lit(side).alias("side"), v.alias("value")) for side, v in sides.items()])))
     ranked = ranges.ranked_values(values, ["series_id", "side"], rows, write=True)
-    placed_ = ranked.join(sizes, key)
+    places = sizes.withColumn("block_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / rows))))
+    placed_ = ranked.withColumn("block_", ranges.block_of("before", rows)).join(places, ["series_id", "block_"]).drop("block_")
     n, value, top, tail, log = F.col("n"), F.col("value"), *_ends(), _ln(F.col("value") + F.col("mo") * EPS)
     is_ = lambda side: F.col("side") == side
     in_tail = (F.col("before") < n - tail) & (F.col("side").isin("o", "s"))

@@ -5,7 +5,8 @@ value, between splitters that a mergeable sketch gives. Whatever runs over a who
 pieces, and over one row a piece, whose results are joined to the pieces. Equal values are counted before they are dealt, so a value that
 many rows have is one row of its range. A short series is a single piece.
 
-Keys may be null: pieces meet their rows null-safe.
+Keys may be null: pieces meet their rows null-safe. A join by a series' key alone would send all its rows to one task; beyond DEAL rows
+none is made here.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..sources.scratch import deleted, written
 
 #: Rows a piece, and pieces a series at most, by value: beyond, pieces grow.
 BLOCK, RANGE, MOST_RANGES = 65_536, 65_536, 4096
+#: Rows of a key that one task meets its splitters for.
+DEAL = 1_048_576
 
 
 def block_of(k: str = "k", rows: int = BLOCK) -> Column:
@@ -36,7 +39,8 @@ def meet(x: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") ->
 def with_ranges(df: DataFrame, keys: list[str], by: Column, rows: int = RANGE) -> DataFrame:
     """``df`` with range_, the number of the range of ``by`` that a row lies in: about ``rows`` rows of its keys. Ranges are in the order
     of ``by``, equal values share one, null is in the first. A job counts the rows of the largest key; splitters are quantiles of a
-    sample by a hash of the value, about 100 for each range, so they are the same however often they are made."""
+    sample by a hash of the value, about 100 for each range, so they are the same however often they are made. Beyond DEAL rows a key's
+    rows are dealt by a hash, and each share meets the splitters on its own."""
     x = df.withColumn("by_", by.cast("double"))
     largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     m = int(min(MOST_RANGES, -(-largest // rows)))
@@ -45,13 +49,17 @@ def with_ranges(df: DataFrame, keys: list[str], by: Column, rows: int = RANGE) -
     every = max(1, largest // (100 * m))
     cuts = F.array_distinct(F.percentile_approx("by_", [i / m for i in range(1, m)], 20 * m))
     sample = x.where(F.pmod(F.xxhash64("by_"), F.lit(every)) == 0).groupBy(*keys).agg(cuts.alias("cuts_"))
-    x = meet(x, sample, keys, "left")
+    shares = -(-largest // DEAL)
+    if shares > 1:
+        x = x.withColumn("deal_", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t]), F.lit(shares)))
+        sample = sample.withColumn("deal_", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<long>")))
+    x = meet(x, sample, [*keys, "deal_"] if shares > 1 else keys, "left")
 
     def step(at: Column, size: Column) -> Column:
         return F.when(F.get("cuts_", at + size - 1) < F.col("by_"), at + size).otherwise(at)
 
     powers = F.array(*[F.lit(1 << b) for b in reversed(range(m.bit_length()))])
-    return x.withColumn("range_", F.aggregate(powers, F.lit(0), step)).drop("by_", "cuts_")
+    return x.withColumn("range_", F.aggregate(powers, F.lit(0), step)).drop("by_", "cuts_", "deal_")
 
 
 def running(df: DataFrame, keys: list[str], piece: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:

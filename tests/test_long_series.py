@@ -102,3 +102,32 @@ def test_places_and_ranges(spark):
     k = [(r.v, r.k) for r in ranges.numbered(x, ["g"], F.col("v"), 40).collect()]
     assert sorted(k) == sorted((v, i) for i, v in enumerate(values))
     assert ranges.with_ranges(x.limit(0), ["g"], F.col("v")).count() == 0
+
+
+def test_no_task_has_a_long_series_whole(spark, pairs, monkeypatch):
+    """Joins of many rows with a row a series are made piece by piece, so that none is one task's."""
+    largest = lambda df: df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    some, seen, write = pairs.where("series_id in ('long', 'tied')"), {}, ranges.written
+
+    def watched(df, name):
+        seen[name] = (largest(df), df.count())
+        return write(df, name)
+
+    monkeypatch.setattr(ranges, "written", watched)
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(ranges, "DEAL", 100, raising=False)
+        cut = ranges.with_ranges(some, ["series_id"], F.col("obs"), 50)
+        assert largest(cut) < 700
+        classical.long_series_sums(some.where("series_id = 'long'"), 37)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert seen["counts"][0] < seen["counts"][1] / 2
+    ranged = lambda df: sorted((r.series_id, r.k, r.range_) for r in df.collect())
+    dealt = ranged(cut)
+    monkeypatch.setattr(ranges, "DEAL", 10_000)
+    assert dealt == ranged(ranges.with_ranges(some, ["series_id"], F.col("obs"), 50)) and len({r for *_, r in dealt}) > 5
