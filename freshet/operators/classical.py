@@ -1,7 +1,7 @@
 """The 45 classical metrics, in one of two ways to the same values.
 
-Input: pairs (series_id, k, obs, sim), both values finite. Short series take one exchange by series: windows give each pair its
-neighbours, ranks and places by observed value, simulated value and error; quantiles and flow-duration sums are read off the
+Input: pairs (series_id, k, obs, sim), both values finite. Short series take one exchange by series, to as many tasks as their pairs need:
+windows give each pair its neighbours, ranks and places by observed value, simulated value and error; quantiles and flow-duration sums are read off the
 places, and one aggregation makes every sum a metric needs. Once a series has more than LONG pairs no window spans a series: sums are
 plain aggregations, the value before comes from blocks of places that overlap by one, and ranks, quantiles and flow-duration sums come
 from the distinct values of each side, ranked range by range. Everything a metric shares with another is computed once.
@@ -18,8 +18,8 @@ from ..sources.scratch import deleted, written
 from . import ranges
 
 EPS = 0.01
-#: Pairs of a series beyond which it is spread over tasks.
-LONG = 2_000_000
+#: Pairs of a series beyond which it is spread over tasks, and pairs of short series that a task takes.
+LONG, TASK = 2_000_000, 131_072
 
 
 def _square(x: Column) -> Column:
@@ -174,8 +174,10 @@ def long_series_sums(pairs: DataFrame, rows: int = ranges.RANGE) -> DataFrame:
     return out
 
 
-def has_long_series(pairs: DataFrame, rows: int) -> bool:
-    return not pairs.groupBy("series_id").agg(F.count("*").alias("n")).where(F.col("n") > rows).isEmpty()
+def pair_counts(pairs: DataFrame) -> tuple[int, int]:
+    """The pairs of the longest series, and of all."""
+    longest, total = pairs.groupBy("series_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return longest or 0, total or 0
 
 
 def curve_distance(x: DataFrame) -> DataFrame:
@@ -202,11 +204,14 @@ def _ln(x: Column) -> Column:
 
 def wide_panel(pairs: DataFrame, long: int | None = LONG) -> DataFrame:
     """One row a series with a column for each classical metric, and kge parts (r, variability, bias) for the three KGEs. One job
-    counts pairs: if a series has more than ``long``, series are spread over tasks (None: no job, no series is)."""
-    if long is not None and has_long_series(pairs, long):
+    counts pairs: if a series has more than ``long``, series are spread over tasks (None: no job, no series is). Else whole series are
+    dealt to tasks of about TASK pairs, so that more series make more tasks, not larger ones."""
+    longest, total = (0, 0) if long is None else pair_counts(pairs)
+    if long is not None and longest > long:
         joined = long_series_sums(pairs, min(long, ranges.RANGE))
     else:
-        x = placed(pairs)
+        tasks = -(-total // TASK)
+        x = placed(pairs.repartition(tasks, "series_id") if tasks > 1 else pairs)
         joined = series_sums(x).join(curve_distance(x), "series_id")
     return from_sums(joined, user_values())
 

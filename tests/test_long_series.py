@@ -131,3 +131,14 @@ def test_no_task_has_a_long_series_whole(spark, pairs, monkeypatch):
     dealt = ranged(cut)
     monkeypatch.setattr(ranges, "DEAL", 10_000)
     assert dealt == ranged(ranges.with_ranges(some, ["series_id"], F.col("obs"), 50)) and len({r for *_, r in dealt}) > 5
+
+
+def test_more_short_series_make_more_tasks(pairs, monkeypatch):
+    """Short series are dealt by their pairs, so a task's share does not grow with their number."""
+    many = pairs.where("series_id = 'negative'").withColumn("series_id", F.explode(F.split(F.lit("abcdefghijklmnopqrstuvwx"), "")))
+    whole = table(classical.wide_panel(many), "series_id")
+    monkeypatch.setattr(classical, "TASK", 90, raising=False)
+    dealt = classical.wide_panel(many)
+    shares = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) > 8 and max(r["count"] for r in shares) < 8
+    same(whole, table(dealt, "series_id"))
