@@ -404,7 +404,7 @@ def _kept() -> None:
 
     def kept(spark: SparkSession, sf: str) -> DataFrame:
         """Results of all brands are kept, then one brand's series is changed: only its metrics are made anew."""
-        path, first = scratch_path(spark, "results"), by_brand(spark, sf)
+        path, first = scratch_path(spark, "results"), written(by_brand(spark, sf), "series")
         evaluate_stored(first, path)
         changed = first.withColumn("sim", F.when(F.col("series_id") == "Brand#11", F.col("sim") * 2).otherwise(F.col("sim")))
         anew = written(stale(changed, path).select("series_id", F.lit(True).alias("anew")), "anew")

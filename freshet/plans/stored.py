@@ -47,19 +47,27 @@ def _kept(series: DataFrame, path: str, settings: str) -> DataFrame:
 
 def stale(series: DataFrame, path: str, cfg: EvalConfig = EvalConfig(), heavy: bool = False) -> DataFrame:
     """(series_id, content) of the series for which the store at ``path`` has no results under these settings."""
-    return contents(series).join(_kept(series, path, settings_key(cfg, heavy)).select("content").distinct(), "content", "left_anti").select("series_id", "content")
+    return _lacking(contents(series), path, settings_key(cfg, heavy))
+
+
+def _lacking(content: DataFrame, path: str, settings: str) -> DataFrame:
+    return content.join(_kept(content, path, settings).select("content").distinct(), "content", "left_anti").select("series_id", "content")
 
 
 def evaluate_stored(series: DataFrame, path: str, cfg: EvalConfig = EvalConfig(), heavy: bool = False) -> DataFrame:
     """(series_id, metric_id, value) as ``panel.evaluate`` gives, from the store at ``path``, a folder that all machines share. Series
     that are new, changed, or not yet evaluated under these settings are evaluated first. Series without pairs get no metrics, but
-    a mark (a null metric_id), so they are not evaluated again. Writers at the same time may add a result twice; one is read."""
+    a mark (a null metric_id), so they are not evaluated again. Writers at the same time may add a result twice; one is read.
+    ``series`` is made twice: for its contents, and for what is evaluated, both written as several jobs read them."""
     settings = settings_key(cfg, heavy)
-    todo = written(stale(series, path, cfg, heavy), "stale")
+    content = written(contents(series), "contents")
+    todo = written(_lacking(content, path, settings), "stale")
     if not todo.isEmpty():
-        made = evaluate(series.join(todo, "series_id", "left_semi"), cfg, heavy)
+        fresh = written(series.select("series_id", "ts", "obs", "sim").join(todo, "series_id", "left_semi"), "stale-series")
+        made = evaluate(fresh, cfg, heavy)
         rows = todo.join(made, "series_id", "left").select("content", "metric_id", "value", F.lit(settings).alias("settings"))
         rows.write.mode("append").partitionBy("settings").parquet(path)
+        deleted(fresh)
     deleted(todo)
     kept = _kept(series, path, settings).where("metric_id is not null").dropDuplicates(["content", "metric_id"])
-    return contents(series).join(kept, "content").select("series_id", "metric_id", "value")
+    return content.join(kept, "content").select("series_id", "metric_id", "value")

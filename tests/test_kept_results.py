@@ -81,6 +81,16 @@ def test_only_stale_series_are_made_anew(spark, three, tmp_path):
     assert stored.evaluate_stored(base.limit(0), path).count() == 0
 
 
+def test_evaluation_reads_written_series(spark, three, tmp_path, monkeypatch):
+    """A series that is costly to make is not made again by each job of an evaluation, nor by those that read the result."""
+    base, seen = str(tmp_path / "given"), []
+    series_of(spark, three).write.parquet(base)
+    monkeypatch.setattr(stored, "evaluate", lambda s, *a: seen.extend(s.inputFiles()) or evaluate(s, *a))
+    out = stored.evaluate_stored(spark.read.parquet(base), str(tmp_path / "results"))
+    assert seen and not any("/given/" in f for f in [*seen, *out.inputFiles()])
+    assert out.select("series_id").distinct().count() == 3
+
+
 def test_contents_tell_series_apart(spark):
     a = [(None, DAY, 1.0, None), ("x", DAY, 1.0, None), ("y", DAY, None, 1.0), ("z", DAY, 1.0, None), ("z", DAY, 1.0, None), ("w", None, 1.0, None)]
     got = stored.contents(spark.createDataFrame(a, SERIES)).collect()
